@@ -130,7 +130,7 @@ def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
     plan = hot.join(longest, GROUP).withColumn(
         "width",
         F.greatest(
-            F.col("longest") * 60_000_000 * WINDOWS_PER_CHUNK,
+            F.col("longest").cast("long") * 60_000_000 * WINDOWS_PER_CHUNK,
             F.ceil(F.col("span") / F.col("slots")),
         ).cast("long"),
     )

@@ -49,7 +49,8 @@ def with_birth(routed: DataFrame, born: DataFrame) -> DataFrame:
 
 def after_birth() -> F.Column:
     """The event is its alert's birth or comes after it."""
-    return F.coalesce(position() >= F.struct("born_at", "born_seq"), F.lit(False))
+    # a struct of nulls is not null and sorts first, so test for the birth itself
+    return F.col("born_at").isNotNull() & (position() >= F.struct("born_at", "born_seq"))
 
 
 def unknown_resolves(routed: DataFrame, born: DataFrame) -> DataFrame:

@@ -79,17 +79,20 @@ def running(
     sums: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
     order: tuple[str, ...] = ORDER,
+    backwards: bool = False,
 ) -> DataFrame:
     """Add running values per key, in order.
 
     `sums`: total of the expression up to and including the row.
     `latest`: last non-null value of the expression strictly before the row.
+    `backwards` runs from the last row to the first, so `latest` looks ahead.
     `df` needs the columns `slot` and `slots`; `split` says whether any key has
     more than one slot.
     """
     sums, latest = sums or {}, latest or {}
     part = [*key, "slot"]
-    rows = Window.partitionBy(*part).orderBy(*order)
+    towards = F.desc if backwards else F.asc
+    rows = Window.partitionBy(*part).orderBy(*[towards(c) for c in order])
     upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
     local = {n: F.sum(e).over(upto) for n, e in sums.items()}
@@ -99,16 +102,17 @@ def running(
         return out
 
     where = F.struct(*order)
+    newest = F.min_by if backwards else F.max_by
     per_slot = (
         df.filter(F.col("slots") > 1)
         .groupBy(*part)
         .agg(
             *[F.sum(e).alias(n) for n, e in sums.items()],
-            *[F.max_by(e, F.when(e.isNotNull(), where)).alias(n) for n, e in latest.items()],
+            *[newest(e, F.when(e.isNotNull(), where)).alias(n) for n, e in latest.items()],
         )
     )
     earlier = (
-        Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*key).orderBy(towards("slot")).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = per_slot.select(
         *part,

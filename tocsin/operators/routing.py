@@ -30,7 +30,7 @@ EVENT_COLUMNS = [
 ]
 
 
-def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = grouping_value(F.col("grouping_key"))
     routed = checked.filter(F.col("reject_reason").isNull()).select(
         *EVENT_COLUMNS,
@@ -48,7 +48,7 @@ def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return routed, rejects
 
 
-def _reason() -> F.Column:
+def reject_reason() -> F.Column:
     return F.coalesce(
         F.col("invalid"),
         F.when(F.col("manager_id").isNull(), F.lit("event_manager_not_found")),
@@ -66,7 +66,7 @@ def check_events(events: DataFrame, managers: DataFrame, rules: DataFrame) -> Da
         events.select(*EVENT_COLUMNS, event_reject_reason().alias("invalid"))
         .join(managers, F.col("event_manager_id") == F.col("manager_id"), "left")
         .join(rules, F.col("manager_rule_id") == F.col("rule_id"), "left")
-        .withColumn("reject_reason", _reason())
+        .withColumn("reject_reason", reject_reason())
     )
 
 
@@ -74,49 +74,7 @@ def route_events(
     events: DataFrame, managers: DataFrame, rules: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """(routed events, rejected events with reason, code and message)."""
-    return _split(check_events(events, managers, rules))
-
-
-def route_events_asof(
-    events: DataFrame, manager_history: DataFrame, rule_history: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Like `route_events`, with the config that was valid when the event came in.
-
-    The versions of one id do not overlap, so an event meets at most one.
-    """
-    managers = manager_history.select(
-        F.col("id").alias("manager_id"),
-        F.col("grouping_rule_id").alias("manager_rule_id"),
-        F.col("valid_from").alias("m_from"),
-        F.col("valid_to").alias("m_to"),
-    )
-    rules = rule_history.select(
-        F.col("id").alias("rule_id"),
-        "grouping_key",
-        "time_window_minutes",
-        F.col("valid_from").alias("r_from"),
-        F.col("valid_to").alias("r_to"),
-    )
-
-    def valid(start: str, end: str) -> F.Column:
-        at = F.col("received_at")
-        return (at >= F.col(start)) & (F.col(end).isNull() | (at < F.col(end)))
-
-    checked = (
-        events.select(*EVENT_COLUMNS, event_reject_reason().alias("invalid"))
-        .join(
-            managers,
-            (F.col("event_manager_id") == F.col("manager_id")) & valid("m_from", "m_to"),
-            "left",
-        )
-        .join(
-            rules,
-            (F.col("manager_rule_id") == F.col("rule_id")) & valid("r_from", "r_to"),
-            "left",
-        )
-        .withColumn("reject_reason", _reason())
-    )
-    return _split(checked)
+    return split_checked(check_events(events, managers, rules))
 
 
 def reject_counts(rejects: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tocsin.functions.events import alert_id
 from tocsin.operators import anchors, births, lifecycle
 from tocsin.operators.hot import Limits
+from tocsin.operators.notifications import notifications
 from tocsin.schemas import ALERT_COLUMNS
 from tocsin.session import materialize
 
@@ -117,3 +118,11 @@ class AlertRun:
     def until(self, at: str) -> AlertRun:
         """The run as it stood after the last event received at or before `at`."""
         return AlertRun(self.routed.filter(F.col("received_at") <= F.lit(at)), self.limits)
+
+    @cached_property
+    def stored_alerts(self) -> DataFrame:
+        """The alerts table written once, for read queries that use it more than once."""
+        return materialize(self.alerts, "alerts")
+
+    def notifications(self, managers: DataFrame) -> DataFrame:
+        return notifications(self.parent_steps, self.births, managers)
