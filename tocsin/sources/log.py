@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tocsin.schemas import LOG_JSON
 
+# the default format of to_json stops at milliseconds
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def to_log_messages(routed: DataFrame) -> DataFrame:
     """(key, value, headers): the columns a Kafka sink takes."""
@@ -19,7 +22,9 @@ def to_log_messages(routed: DataFrame) -> DataFrame:
     ]
     return body.select(
         F.col("partition_key").cast("binary").alias("key"),
-        F.to_json(F.struct(*LOG_JSON.names)).cast("binary").alias("value"),
+        F.to_json(F.struct(*LOG_JSON.names), {"timestampFormat": TIME_FORMAT})
+        .cast("binary")
+        .alias("value"),
         F.array(*header).alias("headers"),
     )
 

@@ -1,0 +1,254 @@
+"""Stateful steps of the stream, each keyed by what its state is about.
+
+They mirror the batch stages: first trigger per dedup key, open window per
+group, changes per dedup key, parent state per family. Only births pass through
+the task of a group, and only child changes and parent events through the task
+of a family, so a busy group or family costs far less than its events.
+
+Times are microseconds since the epoch (`at`); the log order is (at, seq).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+# `class` is called `category` here: the state API passes rows as named tuples,
+# whose fields cannot be Python keywords
+PAYLOAD = ["event_manager_id", "summary", "severity", "category"]
+PAYLOAD_SCHEMA = ", ".join(f"{c} string" for c in PAYLOAD)
+GROUP = ["event_manager_id", "grouping_key", "grouping_value"]
+
+EVENT_SCHEMA = f"dedup_key string, at long, seq long, action string, {PAYLOAD_SCHEMA}"
+BIRTH_SCHEMA = f"{EVENT_SCHEMA}, grouping_key string, grouping_value string, window long"
+LINK_SCHEMA = f"{EVENT_SCHEMA}, family string"
+CHANGE_SCHEMA = f"{LINK_SCHEMA}, born_at long, is_birth boolean"
+VERSION_SCHEMA = (
+    f"kind string, dedup_key string, at long, seq long, {PAYLOAD_SCHEMA}, type string, "
+    "status string, parent_dedup_key string, child_count int, resolve_requested boolean, "
+    "created_at long, updated_at long, resolved_at long"
+)
+
+
+def columns(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(rows, ignore_index=True).sort_values(["at", "seq"], kind="stable")
+
+
+class FirstTrigger(StatefulProcessor):
+    """Key: dedup key. Lets the first trigger through, ever."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.born = handle.getValueState("born", "born boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.born.exists():
+            first = pd.concat([r.nsmallest(1, ["at", "seq"]) for r in rows])
+            self.born.update((True,))
+            yield first.nsmallest(1, ["at", "seq"])[columns(BIRTH_SCHEMA)]
+
+    def close(self) -> None:
+        pass
+
+
+class OpenWindow(StatefulProcessor):
+    """Key: group. Gives every birth its family: the parent whose window is open."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "parent string, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        births = _in_order(rows)
+        parent, until = self.open.get() if self.open.exists() else (None, None)
+        families = []
+        for dedup_key, at, window in zip(births["dedup_key"], births["at"], births["window"]):
+            if until is None or at > until:
+                parent, until = dedup_key, int(at + window)
+            families.append(parent)
+        self.open.update((parent, until))
+        births["family"] = families
+        yield births[columns(LINK_SCHEMA)]
+
+    def close(self) -> None:
+        pass
+
+
+class Changes(StatefulProcessor):
+    """Key: dedup key. Of a child's events lets the changes through, of a parent's all.
+
+    Input are events (`family` is null) and, once per key, its birth with the
+    family. Events before the birth are dropped.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.alert = handle.getValueState(
+            "alert", f"family string, action string, born_at long, {PAYLOAD_SCHEMA}"
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _in_order(rows)
+        events = batch[batch["family"].isna()]
+        born_seq = None
+        if self.alert.exists():
+            family, last, born_at, *payload = self.alert.get()
+        else:
+            births = batch[batch["family"].notna()]
+            if births.empty:
+                return
+            birth = births.iloc[0]
+            family, last, born_at = birth["family"], None, int(birth["at"])
+            payload = [birth[c] for c in PAYLOAD]
+            born_seq = birth["seq"]
+            later = (events["at"] > born_at) | (events["at"].eq(born_at) & events["seq"].ge(born_seq))
+            events = events[later]
+        if events.empty:
+            return
+        actions = events["action"]
+        self.alert.update((family, actions.iloc[-1], born_at, *payload))
+        if family != key[0]:
+            events = events[actions.ne(actions.shift(fill_value=last or ""))]
+        out = events.assign(
+            **dict(zip(PAYLOAD, payload)),
+            family=family,
+            born_at=born_at,
+            is_birth=events["seq"].eq(born_seq) if born_seq is not None else False,
+        )
+        yield out[columns(CHANGE_SCHEMA)]
+
+    def close(self) -> None:
+        pass
+
+
+class Family(StatefulProcessor):
+    """Key: family. Keeps the parent's state; emits alert versions and notifications."""
+
+    FIELDS = ["status", "active", "child_count", "born_at", "updated_at", "resolved_at"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parent = handle.getValueState(
+            "parent",
+            "status string, active long, child_count long, born_at long, updated_at long, "
+            f"resolved_at long, {PAYLOAD_SCHEMA}",
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        changes = _in_order(rows)
+        parent = None
+        if self.parent.exists():
+            parent = dict(zip([*self.FIELDS, *PAYLOAD], self.parent.get()))
+        out = []
+        for row in changes.to_dict("records"):
+            if row["dedup_key"] != key[0]:
+                out.append(self._child_version(row))
+                notify = self._child_step(parent, row)
+            elif row["is_birth"]:
+                parent = {c: row[c] for c in PAYLOAD}
+                parent |= dict(zip(self.FIELDS, ("active", 0, 0, row["at"], row["at"], None)))
+                notify = True
+            else:
+                notify = self._parent_step(parent, row)
+            if notify:
+                out.append(self._parent_version(parent, row, "notification"))
+        out.append(self._parent_version(parent, row, "alert"))
+        self.parent.update(tuple(parent[c] for c in [*self.FIELDS, *PAYLOAD]))
+        yield pd.DataFrame(out, columns=columns(VERSION_SCHEMA)).astype(
+            {"created_at": "Int64", "updated_at": "Int64", "resolved_at": "Int64"}
+        )
+
+    @staticmethod
+    def _resolve(parent: dict, at: int) -> bool:
+        parent.update(status="resolved", resolved_at=at, updated_at=at)
+        return True
+
+    def _child_step(self, parent: dict, row: dict) -> bool:
+        """Count the child's change; True if it was the last one a pending parent waited for."""
+        parent["active"] += 1 if row["action"] == "trigger" else -1
+        if row["is_birth"]:
+            parent.update(child_count=parent["child_count"] + 1, updated_at=row["at"])
+        if parent["status"] == "pending" and parent["active"] == 0:
+            return self._resolve(parent, row["at"])
+        return False
+
+    def _parent_step(self, parent: dict, row: dict) -> bool:
+        """Apply a parent's own event; True if it resolved the parent."""
+        if row["action"] == "trigger":
+            if parent["status"] == "resolved":
+                parent.update(status="active", resolved_at=None, updated_at=row["at"])
+        elif parent["status"] != "resolved":
+            if parent["active"] == 0:
+                return self._resolve(parent, row["at"])
+            parent.update(status="pending", updated_at=row["at"])
+        return False
+
+    @staticmethod
+    def _child_version(row: dict) -> dict:
+        resolved = row["action"] == "resolve"
+        return {c: row[c] for c in ["dedup_key", "at", "seq", *PAYLOAD]} | dict(
+            kind="alert",
+            type="child",
+            status="resolved" if resolved else "active",
+            parent_dedup_key=row["family"],
+            child_count=0,
+            resolve_requested=False,
+            created_at=row["born_at"],
+            updated_at=row["at"],
+            resolved_at=row["at"] if resolved else None,
+        )
+
+    @staticmethod
+    def _parent_version(parent: dict, row: dict, kind: str) -> dict:
+        return {c: parent[c] for c in [*PAYLOAD, "child_count", "updated_at", "resolved_at"]} | dict(
+            kind=kind,
+            dedup_key=row["family"],
+            at=row["at"],
+            seq=row["seq"],
+            type="parent",
+            status="resolved" if parent["status"] == "resolved" else "active",
+            parent_dedup_key=None,
+            resolve_requested=parent["status"] == "pending",
+            created_at=parent["born_at"],
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class Sequencer(StatefulProcessor):
+    """Key: dedup key. Holds rows back until the watermark has passed them.
+
+    What is let through in one micro-batch is later in event time than all that
+    was let through before it.
+    """
+
+    def __init__(self, schema: str):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame[columns(self.schema)]
+            self.waiting.appendList([tuple(r) for r in frame.itertuples(index=False, name=None)])
+            for at in set(frame["at"] // 1000 + 1):
+                self.handle.registerTimer(int(at))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        rows = list(self.waiting.get())
+        at = columns(self.schema).index("at")
+        ready = [r for r in rows if r[at] < due]
+        if ready:
+            rest = [r for r in rows if r[at] >= due]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            yield pd.DataFrame(ready, columns=columns(self.schema))
+
+    def close(self) -> None:
+        pass
