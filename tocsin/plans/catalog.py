@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,17 @@ from tocsin.operators.routing import reject_counts, route_events
 from tocsin.plans.oracle import AT, MANAGER_CHANGES_SQL, RULE_CHANGES_SQL
 from tocsin.plans.run import AlertRun
 from tocsin.schemas import EVENT_FIELDS
-from tocsin.session import materialize
-from tocsin.sources.events import alert_events, decode_log, parse_events
+from tocsin.session import materialize, shared_folder
+from tocsin.sources.events import (
+    ALERT_EVENTS_SQL,
+    alert_events,
+    decode_log,
+    parse_events,
+    read_events,
+)
 from tocsin.sources.log import to_log_messages
 from tocsin.sources.sample_config import sample_config
+from tocsin.streaming.pipeline import read_alerts, start_ingest, start_lifecycle
 
 _RUNS: dict[tuple, AlertRun] = {}
 
@@ -307,6 +315,39 @@ def alerts_asof_config(spark, sf_dir):
     return AlertRun(materialize(_routed_asof(spark, sf_dir)[0], "routed")).alerts
 
 
+def _event_stream(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
+    return spark.sql(ALERT_EVENTS_SQL.format(events="{events}"), events=files.parquet(sf_dir))
+
+
+def _stream_folder(spark, name):
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stream_ingest(spark, sf_dir):
+    """Events streamed through ingest into the log, and the log decoded again."""
+    folder = _stream_folder(spark, "ingest")
+    log, rejects = f"{folder}/log", f"{folder}/rejects"
+    managers, rules = sample_config(spark)
+    events = _event_stream(spark, sf_dir)
+    start_ingest(events, managers, rules, log, rejects, f"{folder}/checkpoint").awaitTermination()
+    decoded, _ = decode_log(read_events(spark, log, "parquet").drop("batch"))
+    return decoded.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
+
+
+def stream_alerts(spark, sf_dir):
+    """The alerts table kept by the stateful stream."""
+    folder = _stream_folder(spark, "stream")
+    managers, rules = sample_config(spark)
+    routed, _ = route_events(_event_stream(spark, sf_dir), managers, rules)
+    alerts = f"{folder}/alerts"
+    start_lifecycle(
+        routed, alerts, f"{folder}/notifications", f"{folder}/checkpoint", managers
+    ).awaitTermination()
+    return read_alerts(spark, alerts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -355,5 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         routed_asof,
         rejects_asof,
         alerts_asof_config,
+        stream_ingest,
+        stream_alerts,
     )
 }

@@ -12,7 +12,13 @@ from tocsin.schemas import ALERT_COLUMNS
 from tocsin.sources.log import to_log_messages
 from tocsin.streaming import processors as p
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore"
+STATE_STORE = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state."
+    "RocksDBStateStoreProvider",
+    # commit what changed in a micro-batch instead of a snapshot of the whole state
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 ROUTED_SCHEMA = f"{p.BIRTH_SCHEMA}, partition_key string"
 
 
@@ -51,15 +57,16 @@ def start_ingest(
     )
 
 
+def use_state_store(spark: SparkSession) -> None:
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
 def compact_rows(routed: DataFrame) -> DataFrame:
     """Routed events in the form the stateful steps work on."""
     at = F.unix_micros(F.col("received_at").cast("timestamp"))
     window = F.col("time_window_minutes").cast("long") * 60_000_000
-    return (
-        routed.withColumn("at", at)
-        .withColumn("window", window)
-        .withColumnRenamed("class", "category")
-    )
+    return routed.withColumn("at", at).withColumn("window", window)
 
 
 def lifecycle_stream(routed: DataFrame) -> DataFrame:
@@ -72,20 +79,20 @@ def lifecycle_stream(routed: DataFrame) -> DataFrame:
         rows.filter("action = 'trigger'")
         .select(*p.columns(p.BIRTH_SCHEMA))
         .groupBy("dedup_key")
-        .transformWithStateInPandas(p.FirstTrigger(), p.BIRTH_SCHEMA, "append", "none")
+        .transformWithState(p.FirstTrigger(), p.BIRTH_SCHEMA, "append", "none")
     )
-    links = births.groupBy(*p.GROUP).transformWithStateInPandas(
+    links = births.groupBy(*p.GROUP).transformWithState(
         p.OpenWindow(), p.LINK_SCHEMA, "append", "none"
     )
-    events = rows.select(
-        *p.columns(p.EVENT_SCHEMA), F.lit(None).cast("string").alias("family")
-    )
+    # what an alert says comes from its birth, so other events travel without it
+    empty = [F.lit(None).cast("string").alias(c) for c in [*p.PAYLOAD, "family"]]
+    events = rows.select("dedup_key", "at", "seq", "action", *empty)
     changes = (
         events.unionByName(links)
         .groupBy("dedup_key")
-        .transformWithStateInPandas(p.Changes(), p.CHANGE_SCHEMA, "append", "none")
+        .transformWithState(p.Changes(), p.CHANGE_SCHEMA, "append", "none")
     )
-    return changes.groupBy("family").transformWithStateInPandas(
+    return changes.groupBy("family").transformWithState(
         p.Family(), p.VERSION_SCHEMA, "append", "none"
     )
 
@@ -93,9 +100,7 @@ def lifecycle_stream(routed: DataFrame) -> DataFrame:
 def _times(df: DataFrame) -> DataFrame:
     for name in ("created_at", "updated_at", "resolved_at"):
         df = df.withColumn(name, F.timestamp_micros(name).cast("timestamp_ntz"))
-    return df.withColumnRenamed("category", "class").withColumn(
-        "id", alert_id(F.col("dedup_key"))
-    )
+    return df.withColumn("id", alert_id(F.col("dedup_key")))
 
 
 def upsert_alerts(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -125,8 +130,7 @@ def start_lifecycle(
     **trigger,
 ) -> StreamingQuery:
     """Keep the alerts table and the notification log up to date with a stream of routed events."""
-    spark = routed.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_state_store(routed.sparkSession)
     hooks = managers.select(
         F.col("id").alias("event_manager_id"),
         F.col("notification_config.webhook_url").alias("webhook_url"),
@@ -174,18 +178,16 @@ def start_sequencer(
     `start_lifecycle` over it (whole batches at a time) gives the batch result
     even if events come in late by up to `delay`.
     """
-    spark = routed.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_state_store(routed.sparkSession)
     rows = compact_rows(
         routed.withColumn("received_at", F.col("received_at").cast("timestamp"))
     ).withWatermark("received_at", delay)
-    ordered = rows.groupBy("dedup_key").transformWithStateInPandas(
+    ordered = rows.groupBy("dedup_key").transformWithState(
         p.Sequencer(ROUTED_SCHEMA), ROUTED_SCHEMA, "append", "eventTime"
     )
     return (
         ordered.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
         .withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int"))
-        .withColumnRenamed("category", "class")
         .drop("at", "window")
         .writeStream.format("parquet")
         .option("path", log)

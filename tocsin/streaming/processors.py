@@ -5,19 +5,19 @@ group, changes per dedup key, parent state per family. Only births pass through
 the task of a group, and only child changes and parent events through the task
 of a family, so a busy group or family costs far less than its events.
 
-Times are microseconds since the epoch (`at`); the log order is (at, seq).
+Times are microseconds since the epoch (`at`); the log order is (at, seq). The
+row-based state API is used because most keys have a row or two per
+micro-batch, too few to pay for a pandas frame each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# `class` is called `category` here: the state API passes rows as named tuples,
-# whose fields cannot be Python keywords
-PAYLOAD = ["event_manager_id", "summary", "severity", "category"]
+PAYLOAD = ["event_manager_id", "summary", "severity", "class"]
 PAYLOAD_SCHEMA = ", ".join(f"{c} string" for c in PAYLOAD)
 GROUP = ["event_manager_id", "grouping_key", "grouping_value"]
 
@@ -36,8 +36,8 @@ def columns(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(rows, ignore_index=True).sort_values(["at", "seq"], kind="stable")
+def _place(row: Row) -> tuple[int, int]:
+    return row["at"], row["seq"]
 
 
 class FirstTrigger(StatefulProcessor):
@@ -46,11 +46,11 @@ class FirstTrigger(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.born = handle.getValueState("born", "born boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.born.exists():
-            first = pd.concat([r.nsmallest(1, ["at", "seq"]) for r in rows])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.born.get() is None:
             self.born.update((True,))
-            yield first.nsmallest(1, ["at", "seq"])[columns(BIRTH_SCHEMA)]
+            first = min(rows, key=_place)
+            yield Row(**{c: first[c] for c in columns(BIRTH_SCHEMA)})
 
     def close(self) -> None:
         pass
@@ -62,17 +62,15 @@ class OpenWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "parent string, until long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        births = _in_order(rows)
-        parent, until = self.open.get() if self.open.exists() else (None, None)
-        families = []
-        for dedup_key, at, window in zip(births["dedup_key"], births["at"], births["window"]):
-            if until is None or at > until:
-                parent, until = dedup_key, int(at + window)
-            families.append(parent)
-        self.open.update((parent, until))
-        births["family"] = families
-        yield births[columns(LINK_SCHEMA)]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        parent, until = self.open.get() or (None, None)
+        opened = until
+        for birth in sorted(rows, key=_place):
+            if until is None or birth["at"] > until:
+                parent, until = birth["dedup_key"], birth["at"] + birth["window"]
+            yield Row(**{c: birth[c] for c in columns(EVENT_SCHEMA)}, family=parent)
+        if until != opened:
+            self.open.update((parent, until))
 
     def close(self) -> None:
         pass
@@ -90,35 +88,27 @@ class Changes(StatefulProcessor):
             "alert", f"family string, action string, born_at long, {PAYLOAD_SCHEMA}"
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows)
-        events = batch[batch["family"].isna()]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = sorted(rows, key=_place)
+        events = [r for r in rows if r["family"] is None]
+        known = self.alert.get()
         born_seq = None
-        if self.alert.exists():
-            family, last, born_at, *payload = self.alert.get()
-        else:
-            births = batch[batch["family"].notna()]
-            if births.empty:
+        if known is None:
+            birth = next((r for r in rows if r["family"] is not None), None)
+            if birth is None:
                 return
-            birth = births.iloc[0]
-            family, last, born_at = birth["family"], None, int(birth["at"])
-            payload = [birth[c] for c in PAYLOAD]
+            known = (birth["family"], None, birth["at"], *[birth[c] for c in PAYLOAD])
             born_seq = birth["seq"]
-            later = (events["at"] > born_at) | (events["at"].eq(born_at) & events["seq"].ge(born_seq))
-            events = events[later]
-        if events.empty:
-            return
-        actions = events["action"]
-        self.alert.update((family, actions.iloc[-1], born_at, *payload))
-        if family != key[0]:
-            events = events[actions.ne(actions.shift(fill_value=last or ""))]
-        out = events.assign(
-            **dict(zip(PAYLOAD, payload)),
-            family=family,
-            born_at=born_at,
-            is_birth=events["seq"].eq(born_seq) if born_seq is not None else False,
-        )
-        yield out[columns(CHANGE_SCHEMA)]
+            events = [e for e in events if _place(e) >= _place(birth)]
+        family, last, born_at, *payload = known
+        own = dict(zip(PAYLOAD, payload), family=family, born_at=born_at)
+        for e in events:
+            if family == key[0] or e["action"] != last:
+                here = {c: e[c] for c in ("dedup_key", "at", "seq", "action")}
+                yield Row(**here, **own, is_birth=e["seq"] == born_seq)
+            last = e["action"]
+        if last != known[1]:
+            self.alert.update((family, last, born_at, *payload))
 
     def close(self) -> None:
         pass
@@ -127,7 +117,7 @@ class Changes(StatefulProcessor):
 class Family(StatefulProcessor):
     """Key: family. Keeps the parent's state; emits alert versions and notifications."""
 
-    FIELDS = ["status", "active", "child_count", "born_at", "updated_at", "resolved_at"]
+    FIELDS = ["status", "active", "child_count", "born_at", "updated_at", "resolved_at", *PAYLOAD]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.parent = handle.getValueState(
@@ -136,36 +126,29 @@ class Family(StatefulProcessor):
             f"resolved_at long, {PAYLOAD_SCHEMA}",
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changes = _in_order(rows)
-        parent = None
-        if self.parent.exists():
-            parent = dict(zip([*self.FIELDS, *PAYLOAD], self.parent.get()))
-        out = []
-        for row in changes.to_dict("records"):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.parent.get()
+        parent = dict(zip(self.FIELDS, state)) if state else None
+        for row in sorted(rows, key=_place):
             if row["dedup_key"] != key[0]:
-                out.append(self._child_version(row))
+                yield self._child_version(row)
                 notify = self._child_step(parent, row)
             elif row["is_birth"]:
-                parent = {c: row[c] for c in PAYLOAD}
-                parent |= dict(zip(self.FIELDS, ("active", 0, 0, row["at"], row["at"], None)))
-                notify = True
+                born = ["active", 0, 0, row["at"], row["at"], None, *[row[c] for c in PAYLOAD]]
+                parent, notify = dict(zip(self.FIELDS, born)), True
             else:
                 notify = self._parent_step(parent, row)
             if notify:
-                out.append(self._parent_version(parent, row, "notification"))
-        out.append(self._parent_version(parent, row, "alert"))
-        self.parent.update(tuple(parent[c] for c in [*self.FIELDS, *PAYLOAD]))
-        yield pd.DataFrame(out, columns=columns(VERSION_SCHEMA)).astype(
-            {"created_at": "Int64", "updated_at": "Int64", "resolved_at": "Int64"}
-        )
+                yield self._parent_version(parent, row, "notification")
+        yield self._parent_version(parent, row, "alert")
+        self.parent.update(tuple(parent[c] for c in self.FIELDS))
 
     @staticmethod
     def _resolve(parent: dict, at: int) -> bool:
         parent.update(status="resolved", resolved_at=at, updated_at=at)
         return True
 
-    def _child_step(self, parent: dict, row: dict) -> bool:
+    def _child_step(self, parent: dict, row: Row) -> bool:
         """Count the child's change; True if it was the last one a pending parent waited for."""
         parent["active"] += 1 if row["action"] == "trigger" else -1
         if row["is_birth"]:
@@ -174,7 +157,7 @@ class Family(StatefulProcessor):
             return self._resolve(parent, row["at"])
         return False
 
-    def _parent_step(self, parent: dict, row: dict) -> bool:
+    def _parent_step(self, parent: dict, row: Row) -> bool:
         """Apply a parent's own event; True if it resolved the parent."""
         if row["action"] == "trigger":
             if parent["status"] == "resolved":
@@ -186,9 +169,10 @@ class Family(StatefulProcessor):
         return False
 
     @staticmethod
-    def _child_version(row: dict) -> dict:
+    def _child_version(row: Row) -> Row:
         resolved = row["action"] == "resolve"
-        return {c: row[c] for c in ["dedup_key", "at", "seq", *PAYLOAD]} | dict(
+        return Row(
+            **{c: row[c] for c in ["dedup_key", "at", "seq", *PAYLOAD]},
             kind="alert",
             type="child",
             status="resolved" if resolved else "active",
@@ -201,8 +185,9 @@ class Family(StatefulProcessor):
         )
 
     @staticmethod
-    def _parent_version(parent: dict, row: dict, kind: str) -> dict:
-        return {c: parent[c] for c in [*PAYLOAD, "child_count", "updated_at", "resolved_at"]} | dict(
+    def _parent_version(parent: dict, row: Row, kind: str) -> Row:
+        return Row(
+            **{c: parent[c] for c in [*PAYLOAD, "child_count", "updated_at", "resolved_at"]},
             kind=kind,
             dedup_key=row["family"],
             at=row["at"],
@@ -232,23 +217,24 @@ class Sequencer(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            frame = frame[columns(self.schema)]
-            self.waiting.appendList([tuple(r) for r in frame.itertuples(index=False, name=None)])
-            for at in set(frame["at"] // 1000 + 1):
-                self.handle.registerTimer(int(at))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = [tuple(r[c] for c in columns(self.schema)) for r in rows]
+        at = columns(self.schema).index("at")
+        self.waiting.appendList(rows)
+        # one timer in the first millisecond after each row
+        for due in {r[at] // 1000 + 1 for r in rows}:
+            self.handle.registerTimer(due)
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = list(self.waiting.get())
         at = columns(self.schema).index("at")
-        ready = [r for r in rows if r[at] < due]
-        if ready:
-            rest = [r for r in rows if r[at] >= due]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            yield pd.DataFrame(ready, columns=columns(self.schema))
+        rows = list(self.waiting.get())
+        later = [r for r in rows if r[at] >= due]
+        if len(later) < len(rows):
+            self.waiting.put(later) if later else self.waiting.clear()
+            emit = Row(*columns(self.schema))
+            yield from (emit(*r) for r in rows if r[at] < due)
 
     def close(self) -> None:
         pass
