@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from tocsin.functions.events import expires_at
 from tocsin.operators.hot import Limits, hot_keys
+from tocsin.session import ship_package
 
 GROUP = ["event_manager_id", "grouping_key", "grouping_value"]
 # A chunk spans this many windows of the group, so that most of the possible
@@ -166,6 +167,7 @@ def links(born: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     `expires_at` is the end of the window an alert opens as a parent.
     """
+    ship_package(born.sparkSession)
     born = born.select(
         *GROUP,
         "dedup_key",

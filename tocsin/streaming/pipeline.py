@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tocsin.functions.events import alert_id
 from tocsin.operators.routing import route_events
 from tocsin.schemas import ALERT_COLUMNS
+from tocsin.session import ship_package
 from tocsin.sources.log import to_log_messages
 from tocsin.streaming import processors as p
 
@@ -57,7 +58,8 @@ def start_ingest(
     )
 
 
-def use_state_store(spark: SparkSession) -> None:
+def prepare_state(spark: SparkSession) -> None:
+    ship_package(spark)
     for key, value in STATE_STORE.items():
         spark.conf.set(key, value)
 
@@ -130,7 +132,7 @@ def start_lifecycle(
     **trigger,
 ) -> StreamingQuery:
     """Keep the alerts table and the notification log up to date with a stream of routed events."""
-    use_state_store(routed.sparkSession)
+    prepare_state(routed.sparkSession)
     hooks = managers.select(
         F.col("id").alias("event_manager_id"),
         F.col("notification_config.webhook_url").alias("webhook_url"),
@@ -178,7 +180,7 @@ def start_sequencer(
     `start_lifecycle` over it (whole batches at a time) gives the batch result
     even if events come in late by up to `delay`.
     """
-    use_state_store(routed.sparkSession)
+    prepare_state(routed.sparkSession)
     rows = compact_rows(
         routed.withColumn("received_at", F.col("received_at").cast("timestamp"))
     ).withWatermark("received_at", delay)
