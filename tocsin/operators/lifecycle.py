@@ -153,7 +153,9 @@ def stretches(timeline: DataFrame, split: bool, limits: Limits) -> DataFrame:
 
     `from_active`: the parent is active when the stretch starts (else resolved).
     `revived`, `pending`: positions where, within it, a resolved parent becomes
-    active again and an active one pending.
+    active again and an active one pending. `end_state`: its state at the end.
+    `requested_at`, `remaining_children`: last resolve request, and active
+    children at the last request or child resolve.
     """
     trigger = C("is_parent") & (C("action") == "trigger")
     resolve = C("is_parent") & (C("action") == "resolve")
@@ -200,7 +202,7 @@ def stretches(timeline: DataFrame, split: bool, limits: Limits) -> DataFrame:
     one = one.withColumn(
         "from_active", F.coalesce(C("base.active") != odd, F.lit(False))
     )
-    return one.select(
+    one = one.select(
         "family",
         "stretch",
         "busy",
@@ -213,6 +215,13 @@ def stretches(timeline: DataFrame, split: bool, limits: Limits) -> DataFrame:
         F.when(C("busy"), F.when(C("from_active"), C("first_resolve")).otherwise(C("first_answered")))
         .alias("pending"),
     )
+    end_state = (
+        F.when(~C("busy"), F.when(C("last_action") == "trigger", "active").otherwise("resolved"))
+        .when(C("pending").isNotNull(), F.when(C("closed"), "resolved").otherwise("pending"))
+        .when(C("from_active") | C("revived").isNotNull(), "active")
+        .otherwise("resolved")
+    )
+    return one.withColumn("end_state", end_state).drop("closed", "last_action")
 
 
 def parent_steps(timeline: DataFrame, stretch: DataFrame) -> DataFrame:
@@ -221,10 +230,7 @@ def parent_steps(timeline: DataFrame, stretch: DataFrame) -> DataFrame:
     `state` is the parent's state before the row and `effect` what the row does:
     born, none, reactivated, resolve_noop, deferred, resolved, cascaded.
     """
-    rows = timeline.filter(C("is_parent") | C("ends")).join(
-        stretch.select("family", "stretch", "busy", "from_active", "revived", "pending"),
-        ["family", "stretch"],
-    )
+    rows = timeline.filter(C("is_parent") | C("ends")).join(stretch, ["family", "stretch"])
     here = position()
     start = F.when(C("from_active"), "active").otherwise("resolved")
     busy_state = (
@@ -257,24 +263,16 @@ def parent_steps(timeline: DataFrame, stretch: DataFrame) -> DataFrame:
     )
 
 
-def parent_final(timeline: DataFrame, stretch: DataFrame, steps: DataFrame) -> DataFrame:
-    """Status of every parent after the last row of its family."""
-    end_state = (
-        F.when(~C("busy"), F.when(C("last_action") == "trigger", "active").otherwise("resolved"))
-        .when(C("pending").isNotNull(), F.when(C("closed"), "resolved").otherwise("pending"))
-        .when(C("from_active") | C("revived").isNotNull(), "active")
-        .otherwise("resolved")
-    )
-    last = (
-        stretch.withColumn("end_state", end_state)
-        .groupBy("family")
-        .agg(
-            F.max(F.struct("stretch", "end_state", "requested_at", "remaining_children")).alias("end")
-        )
-        .select("family", "end.*")
-    )
+def parent_final(timeline: DataFrame, steps: DataFrame) -> DataFrame:
+    """Status of every parent after the last row of its family.
+
+    A last stretch without parent events and without an end changes nothing, so
+    the last one that has a step gives the state.
+    """
     changed = ~C("effect").isin("none", "resolve_noop")
+    end = F.struct("stretch", "end_state", "requested_at", "remaining_children")
     moves = steps.groupBy("family").agg(
+        F.max(end).alias("end"),
         F.max(F.when(changed, C("received_at"))).alias("changed_at"),
         F.max(F.when(C("effect").isin("resolved", "cascaded"), C("received_at"))).alias("done_at"),
     )
@@ -283,21 +281,18 @@ def parent_final(timeline: DataFrame, stretch: DataFrame, steps: DataFrame) -> D
         .groupBy("family")
         .agg(F.count("*").cast("int").alias("child_count"), F.max("received_at").alias("child_at"))
     )
-    pending = C("end_state") == "pending"
-    return (
-        last.join(moves, "family")
-        .join(children, "family", "left")
-        .select(
-            "family",
-            C("family").alias("dedup_key"),
-            F.when(C("end_state") == "resolved", "resolved").otherwise("active").alias("status"),
-            F.greatest("changed_at", "child_at").alias("updated_at"),
-            F.when(C("end_state") == "resolved", C("done_at")).alias("resolved_at"),
-            F.coalesce("child_count", F.lit(0)).alias("child_count"),
-            pending.alias("resolve_requested"),
-            F.when(pending, C("requested_at")).alias("requested_at"),
-            F.when(pending, C("remaining_children")).cast("int").alias("remaining_children"),
-        )
+    state = C("end.end_state")
+    pending = state == "pending"
+    return moves.join(children, "family", "left").select(
+        "family",
+        C("family").alias("dedup_key"),
+        F.when(state == "resolved", "resolved").otherwise("active").alias("status"),
+        F.greatest("changed_at", "child_at").alias("updated_at"),
+        F.when(state == "resolved", C("done_at")).alias("resolved_at"),
+        F.coalesce("child_count", F.lit(0)).alias("child_count"),
+        pending.alias("resolve_requested"),
+        F.when(pending, C("end.requested_at")).alias("requested_at"),
+        F.when(pending, C("end.remaining_children")).cast("int").alias("remaining_children"),
     )
 
 

@@ -61,7 +61,7 @@ class AlertRun:
 
     @cached_property
     def parents(self) -> DataFrame:
-        return lifecycle.parent_final(self.timeline, self.stretches, self.parent_steps)
+        return lifecycle.parent_final(self.timeline, self.parent_steps)
 
     @cached_property
     def outcomes(self) -> DataFrame:
