@@ -20,11 +20,11 @@ the state at the start of every stretch without stepping through the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.operators.births import after_birth
-from tocsin.operators.hot import Limits, hot_keys, position, running, with_slot
+from tocsin.operators.hot import ORDER, Limits, hot_keys, position, running, with_slot
 from tocsin.session import materialize
 
 C = F.col
@@ -114,17 +114,25 @@ def child_final(timeline: DataFrame) -> DataFrame:
     )
 
 
-def build_timeline(history: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """All parent events and child changes of every family, in one table.
+def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = Limits()) -> DataFrame:
+    """All parent events and child changes of every family, with what each does to the parent.
 
-    Adds `active_children` and `children` (active children, children ever born)
-    after the row, the number of its stretch (`stretch`, odd = busy) and where
-    the stretch began (`since`, null for the first).
+    `active_children`, `children`: active children and children ever born, after
+    the row. `stretch`: number of its stretch, odd = busy; `ends`: it ends a busy
+    one. `state`: the parent's state before the row. `effect`: born, none,
+    reactivated, resolve_noop, deferred, resolved, cascaded. `end_state`,
+    `requested_at`, `remaining_children`: state at the end of the stretch, last
+    resolve request in it, and active children at the last request or child resolve.
+
+    One shuffle by family does all of it; hot families go through their slots.
     """
     split = hot is not None
     rows = history.filter(C("is_parent") | changes_child())
     step = F.when(C("is_parent"), 0).when(C("action") == "trigger", 1).otherwise(-1)
     rows = with_slot(rows.withColumn("step", step), ["family"], hot)
+    if split:
+        # the carry of each running value reads these rows once more
+        rows = materialize(rows, "moves")
     born = (~C("is_parent") & C("is_birth")).cast("int")
     rows = running(rows, ["family"], split, sums={"active_children": C("step"), "children": born})
     starts = (C("step") == 1) & (C("active_children") == 1)
@@ -139,24 +147,16 @@ def build_timeline(history: DataFrame, hot: DataFrame | None) -> DataFrame:
     )
     # the row that ends a busy stretch still belongs to it
     rows = rows.withColumn("stretch", C("crossings") - C("ends").cast("int"))
-    return rows.drop("crossings", "crosses", "slot")
-
-
-def active_children_timeline(timeline: DataFrame) -> DataFrame:
-    return timeline.filter(~C("is_parent")).select(
-        C("family").alias("parent_dedup_key"), "dedup_key", "received_at", "seq", "active_children"
-    )
+    rows = rows.withColumn("busy", C("stretch") % 2 == 1).drop("crossings", "crosses")
+    if not split:
+        return _effects(_whole_families(rows))
+    rows = materialize(rows, "stretched")
+    whole = _effects(_whole_families(rows.filter("slots = 1")))
+    return whole.unionByName(_effects(_split_families(rows.filter("slots > 1"), limits)))
 
 
-def stretches(timeline: DataFrame, split: bool, limits: Limits) -> DataFrame:
-    """One row per stretch that has parent events or ends, with the parent's state at its start.
-
-    `from_active`: the parent is active when the stretch starts (else resolved).
-    `revived`, `pending`: positions where, within it, a resolved parent becomes
-    active again and an active one pending. `end_state`: its state at the end.
-    `requested_at`, `remaining_children`: last resolve request, and active
-    children at the last request or child resolve.
-    """
+def _facts() -> dict[str, Column]:
+    """What the events of a stretch say, as aggregates."""
     trigger = C("is_parent") & (C("action") == "trigger")
     resolve = C("is_parent") & (C("action") == "resolve")
     since = F.struct(C("since.received_at"), C("since.seq"))
@@ -164,89 +164,94 @@ def stretches(timeline: DataFrame, split: bool, limits: Limits) -> DataFrame:
     # the first resolve after the first trigger is the first one whose previous
     # parent event is a trigger of the same stretch
     answered = resolve & (C("prev.action") == "trigger") & (prev > since)
-    one = (
-        timeline.filter(C("is_parent") | (C("step") == -1))
-        .groupBy("family", "stretch")
-        .agg(
-            F.max("slots").alias("slots"),
-            F.min(F.when(trigger, position())).alias("first_trigger"),
-            F.min(F.when(resolve, position())).alias("first_resolve"),
-            F.min(F.when(answered, position())).alias("first_answered"),
-            F.max(F.when(C("is_parent"), F.struct("received_at", "seq", "action")))["action"].alias(
-                "last_action"
-            ),
-            F.max(C("ends")).alias("closed"),
-            F.max(F.when(resolve, C("received_at"))).alias("requested_at"),
-            F.max(
-                F.when(resolve | (C("step") == -1), F.struct("received_at", "seq", "active_children"))
-            )["active_children"].alias("remaining_children"),
-        )
-        .withColumn("busy", C("stretch") % 2 == 1)
-    )
+    counted = F.struct("received_at", "seq", "active_children")
+    return {
+        "first_trigger": F.min(F.when(trigger, position())),
+        "first_resolve": F.min(F.when(resolve, position())),
+        "first_answered": F.min(F.when(answered, position())),
+        "last_event": F.max(F.when(C("is_parent"), F.struct("received_at", "seq", "action"))),
+        "closed": F.max(C("ends")),
+        "requested_at": F.max(F.when(resolve, C("received_at"))),
+        "last_count": F.max(F.when(resolve | (C("step") == -1), counted)),
+    }
+
+
+def _sets_and_swaps(df: DataFrame) -> DataFrame:
+    """`sets_active`: the state a stretch always ends in, if it does; `swaps`: it swaps the two."""
     no_trigger, no_resolve = C("first_trigger").isNull(), C("first_resolve").isNull()
-    sets_active = F.when(~C("busy"), C("last_action") == "trigger").when(
-        no_resolve, F.when(~no_trigger, True)
+    sets_active = (
+        F.when(~C("busy"), C("last_event.action") == "trigger")
+        .when(no_resolve, F.when(~no_trigger, True))
+        .when(no_trigger | C("first_answered").isNotNull(), False)
     )
-    sets_active = sets_active.when(no_trigger | C("first_answered").isNotNull(), False)
     swaps = C("busy") & ~no_trigger & ~no_resolve & C("first_answered").isNull()
-    one = one.withColumn("sets_active", sets_active).withColumn("swaps", swaps.cast("int"))
-    # stretches are numbered without gaps, so equal ranges of numbers are equal work
-    slot = F.when(C("slots") > 1, F.floor(C("stretch") / limits.slot_rows)).otherwise(0)
-    one = one.withColumn("slot", slot.cast("int"))
-    one = running(one, ["family"], split, sums={"swapped": C("swaps")}, order=("stretch",))
-    setting = F.when(
-        C("sets_active").isNotNull(), F.struct(C("sets_active").alias("active"), C("swapped"))
-    )
-    one = running(one, ["family"], split, latest={"base": setting}, order=("stretch",))
-    odd = (C("swapped") - C("swaps") - C("base.swapped")) % 2 == 1
-    one = one.withColumn(
-        "from_active", F.coalesce(C("base.active") != odd, F.lit(False))
-    )
-    one = one.select(
-        "family",
-        "stretch",
-        "busy",
-        "closed",
-        "from_active",
-        "last_action",
-        "requested_at",
-        "remaining_children",
-        F.when(C("busy") & ~C("from_active"), C("first_trigger")).alias("revived"),
-        F.when(C("busy"), F.when(C("from_active"), C("first_resolve")).otherwise(C("first_answered")))
-        .alias("pending"),
-    )
-    end_state = (
-        F.when(~C("busy"), F.when(C("last_action") == "trigger", "active").otherwise("resolved"))
-        .when(C("pending").isNotNull(), F.when(C("closed"), "resolved").otherwise("pending"))
-        .when(C("from_active") | C("revived").isNotNull(), "active")
-        .otherwise("resolved")
-    )
-    return one.withColumn("end_state", end_state).drop("closed", "last_action")
+    return df.withColumn("sets_active", sets_active).withColumn("swaps", swaps.cast("int"))
 
 
-def parent_steps(timeline: DataFrame, stretch: DataFrame) -> DataFrame:
-    """Parent events and ends of busy stretches, with what they do to the parent.
+def _start_states(df: DataFrame, split: bool, order: tuple[str, ...], once: Column) -> DataFrame:
+    """Add `from_active`: the parent is active, not resolved, when the stretch starts.
 
-    `state` is the parent's state before the row and `effect` what the row does:
-    born, none, reactivated, resolve_noop, deferred, resolved, cascaded.
+    `once` is true on the last row of each stretch in `order`.
+    """
+    own = F.when(once, C("swaps")).otherwise(0)
+    df = running(df, ["family"], split, sums={"swapped": own}, order=order)
+    setting = F.struct(C("sets_active").alias("active"), C("swapped"))
+    setting = F.when(once & C("sets_active").isNotNull(), setting)
+    df = running(df, ["family"], split, latest={"base": setting}, order=order)
+    odd = (C("swapped") - own - C("base.swapped")) % 2 == 1
+    return df.withColumn("from_active", F.coalesce(C("base.active") != odd, F.lit(False)))
+
+
+def _whole_families(rows: DataFrame) -> DataFrame:
+    """Facts and start state of each row's stretch, all within the family's partition."""
+    order = ("stretch", *ORDER)
+    family = Window.partitionBy("family", "slot").orderBy(*order)
+    stretch = Window.partitionBy("family", "slot", "stretch")
+    rows = rows.withColumn("next", F.lead("stretch").over(family))
+    rows = rows.select("*", *[f.over(stretch).alias(n) for n, f in _facts().items()])
+    last = C("next").isNull() | (C("next") != C("stretch"))
+    return _start_states(_sets_and_swaps(rows), False, order, last)
+
+
+def _split_families(rows: DataFrame, limits: Limits) -> DataFrame:
+    """The same for hot families, whose stretches may be as large as they are.
+
+    Facts are aggregated map-side, and stretches, numbered without gaps, are cut
+    into ranges of equal length for the start states.
     """
-    rows = timeline.filter(C("is_parent") | C("ends")).join(stretch, ["family", "stretch"])
+    one = (
+        rows.filter(C("is_parent") | (C("step") == -1))
+        .groupBy("family", "stretch", "busy")
+        .agg(*[f.alias(n) for n, f in _facts().items()])
+        .withColumn("slot", F.floor(C("stretch") / limits.slot_rows).cast("int"))
+        .withColumn("slots", F.lit(2))
+    )
+    one = _start_states(_sets_and_swaps(materialize(one, "stretches")), True, ("stretch",), F.lit(True))
+    return rows.join(one.drop("busy", "slot", "slots"), ["family", "stretch"], "left")
+
+
+def _effects(rows: DataFrame) -> DataFrame:
     here = position()
-    start = F.when(C("from_active"), "active").otherwise("resolved")
+    prev = F.struct(C("prev.received_at"), C("prev.seq"))
+    since = F.struct(C("since.received_at"), C("since.seq"))
+    from_active = C("from_active")
+    revived = F.when(C("busy") & ~from_active, C("first_trigger"))
+    pending = F.when(
+        C("busy"), F.when(from_active, C("first_resolve")).otherwise(C("first_answered"))
+    )
     busy_state = (
         F.when(C("pending") < here, "pending")
-        .when(C("from_active") | (C("revived") < here), "active")
+        .when(from_active | (C("revived") < here), "active")
         .otherwise("resolved")
     )
-    prev = F.struct(C("prev.received_at"), C("prev.seq"))
-    since = F.struct(C("since.received_at"), C("since.seq"))
     same_stretch = C("prev").isNotNull() & (C("since").isNull() | (prev > since))
-    idle_state = F.when(
-        same_stretch, F.when(C("prev.action") == "trigger", "active").otherwise("resolved")
-    ).otherwise(start)
-    state = F.when(C("busy"), busy_state).otherwise(idle_state)
+    idle_state = F.when(same_stretch, C("prev.action") == "trigger").otherwise(from_active)
+    state = F.when(C("busy"), busy_state).when(idle_state, "active").otherwise("resolved")
     effect = (
-        F.when(~C("is_parent"), F.when(C("state") == "pending", "cascaded").otherwise("none"))
+        F.when(
+            ~C("is_parent"),
+            F.when(C("ends") & (C("state") == "pending"), "cascaded").otherwise("none"),
+        )
         .when(C("is_birth"), "born")
         .when(
             C("action") == "trigger",
@@ -256,48 +261,73 @@ def parent_steps(timeline: DataFrame, stretch: DataFrame) -> DataFrame:
         .when(C("active_children") > 0, "deferred")
         .otherwise("resolved")
     )
+    end_state = (
+        F.when(
+            ~C("busy"),
+            F.when(C("last_event.action") == "trigger", "active").otherwise("resolved"),
+        )
+        .when(C("pending").isNotNull(), F.when(C("closed"), "resolved").otherwise("pending"))
+        .when(from_active | C("revived").isNotNull(), "active")
+        .otherwise("resolved")
+    )
     return (
-        rows.withColumn("state", F.when(~C("is_birth") | ~C("is_parent"), state))
-        .withColumn("effect", effect)
-        .drop("prev", "since", "busy", "from_active", "revived", "pending")
+        rows.withColumns({"revived": revived, "pending": pending})
+        .withColumns({"state": state, "end_state": F.when(C("closed").isNotNull(), end_state)})
+        .select(
+            "family",
+            "dedup_key",
+            "received_at",
+            "seq",
+            "action",
+            "is_parent",
+            "is_birth",
+            "step",
+            "active_children",
+            "children",
+            "stretch",
+            "ends",
+            "state",
+            effect.alias("effect"),
+            "end_state",
+            "requested_at",
+            C("last_count.active_children").alias("remaining_children"),
+        )
     )
 
 
-def parent_final(timeline: DataFrame, steps: DataFrame) -> DataFrame:
-    """Status of every parent after the last row of its family.
-
-    A last stretch without parent events and without an end changes nothing, so
-    the last one that has a step gives the state.
-    """
-    changed = ~C("effect").isin("none", "resolve_noop")
+def parent_final(timeline: DataFrame) -> DataFrame:
+    """Status of every parent after the last row of its family."""
+    child_birth = ~C("is_parent") & C("is_birth")
+    changed = child_birth | ~C("effect").isin("none", "resolve_noop")
+    # a last stretch without parent events and without an end changes nothing
+    # and, in a split family, has no facts: the one before it decides
     end = F.struct("stretch", "end_state", "requested_at", "remaining_children")
-    moves = steps.groupBy("family").agg(
-        F.max(end).alias("end"),
-        F.max(F.when(changed, C("received_at"))).alias("changed_at"),
-        F.max(F.when(C("effect").isin("resolved", "cascaded"), C("received_at"))).alias("done_at"),
-    )
-    children = (
-        timeline.filter(~C("is_parent") & C("is_birth"))
-        .groupBy("family")
-        .agg(F.count("*").cast("int").alias("child_count"), F.max("received_at").alias("child_at"))
-    )
     state = C("end.end_state")
     pending = state == "pending"
-    return moves.join(children, "family", "left").select(
-        "family",
-        C("family").alias("dedup_key"),
-        F.when(state == "resolved", "resolved").otherwise("active").alias("status"),
-        F.greatest("changed_at", "child_at").alias("updated_at"),
-        F.when(state == "resolved", C("done_at")).alias("resolved_at"),
-        F.coalesce("child_count", F.lit(0)).alias("child_count"),
-        pending.alias("resolve_requested"),
-        F.when(pending, C("end.requested_at")).alias("requested_at"),
-        F.when(pending, C("end.remaining_children")).cast("int").alias("remaining_children"),
+    return (
+        timeline.groupBy("family")
+        .agg(
+            F.max(F.when(C("end_state").isNotNull(), end)).alias("end"),
+            F.max(F.when(changed, C("received_at"))).alias("updated_at"),
+            F.max(F.when(C("effect").isin("resolved", "cascaded"), C("received_at"))).alias("done_at"),
+            F.max("children").cast("int").alias("child_count"),
+        )
+        .select(
+            "family",
+            C("family").alias("dedup_key"),
+            F.when(state == "resolved", "resolved").otherwise("active").alias("status"),
+            "updated_at",
+            F.when(state == "resolved", C("done_at")).alias("resolved_at"),
+            "child_count",
+            pending.alias("resolve_requested"),
+            F.when(pending, C("end.requested_at")).alias("requested_at"),
+            F.when(pending, C("end.remaining_children")).cast("int").alias("remaining_children"),
+        )
     )
 
 
 def event_outcomes(
-    routed: DataFrame, links: DataFrame, hot: DataFrame | None, timeline: DataFrame, steps: DataFrame
+    routed: DataFrame, links: DataFrame, hot: DataFrame | None, timeline: DataFrame
 ) -> DataFrame:
     """Which branch every routed event took, and whether it also resolved the parent."""
     columns = ["seq", "received_at", "dedup_key", "action"]
@@ -317,9 +347,6 @@ def event_outcomes(
         .when(C("action") == "trigger", "reactivated")
         .otherwise("child_resolved")
     )
-    changed = timeline.filter(~C("is_parent") & ~C("ends")).select(
-        *columns, child.alias("outcome"), F.lit(False).alias("cascaded")
-    )
     parent = (
         F.when(C("effect") == "born", "new_parent")
         .when(C("effect") == "none", "duplicate")
@@ -327,9 +354,9 @@ def event_outcomes(
         .when(C("effect") == "resolved", "parent_resolved")
         .otherwise(C("effect"))
     )
-    stepped = steps.select(
+    changed = timeline.select(
         *columns,
-        F.when(C("is_parent"), parent).otherwise("child_resolved").alias("outcome"),
+        F.when(C("is_parent"), parent).otherwise(child).alias("outcome"),
         (C("effect") == "cascaded").alias("cascaded"),
     )
-    return unknown.unionByName(kept).unionByName(changed).unionByName(stepped)
+    return unknown.unionByName(kept).unionByName(changed)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tocsin.functions.events import alert_id
 
 
-def notifications(steps: DataFrame, births: DataFrame, managers: DataFrame) -> DataFrame:
+def notifications(timeline: DataFrame, births: DataFrame, managers: DataFrame) -> DataFrame:
     """One row per parent birth and per parent resolution, at once or by its last child.
 
     A resolution whose manager is gone sends nothing; it stands all the same.
@@ -18,7 +18,7 @@ def notifications(steps: DataFrame, births: DataFrame, managers: DataFrame) -> D
         F.col("notification_config.webhook_url").alias("webhook_url"),
         F.lit(True).alias("known"),
     )
-    sent = steps.filter(F.col("effect").isin("born", "resolved", "cascaded")).select(
+    sent = timeline.filter(F.col("effect").isin("born", "resolved", "cascaded")).select(
         F.col("family").alias("dedup_key"),
         "received_at",
         "seq",

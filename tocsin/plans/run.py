@@ -20,7 +20,7 @@ class AlertRun:
 
     Three are written to the shared folder because several others read them:
     births (one row per alert), links (its parent), timeline (parent events and
-    child changes).
+    child changes, with what they do to the parent).
     """
 
     def __init__(self, routed: DataFrame, limits: Limits = Limits()):
@@ -49,24 +49,17 @@ class AlertRun:
 
     @cached_property
     def timeline(self) -> DataFrame:
-        return materialize(lifecycle.build_timeline(self.history, self.hot_families), "timeline")
-
-    @cached_property
-    def stretches(self) -> DataFrame:
-        return lifecycle.stretches(self.timeline, self.hot_families is not None, self.limits)
-
-    @cached_property
-    def parent_steps(self) -> DataFrame:
-        return lifecycle.parent_steps(self.timeline, self.stretches)
+        rows = lifecycle.build_timeline(self.history, self.hot_families, self.limits)
+        return materialize(rows, "timeline")
 
     @cached_property
     def parents(self) -> DataFrame:
-        return lifecycle.parent_final(self.timeline, self.parent_steps)
+        return lifecycle.parent_final(self.timeline)
 
     @cached_property
     def outcomes(self) -> DataFrame:
         return lifecycle.event_outcomes(
-            self.routed, self.links, self.hot_dedup_keys, self.timeline, self.parent_steps
+            self.routed, self.links, self.hot_dedup_keys, self.timeline
         )
 
     @property
@@ -125,4 +118,4 @@ class AlertRun:
         return materialize(self.alerts, "alerts")
 
     def notifications(self, managers: DataFrame) -> DataFrame:
-        return notifications(self.parent_steps, self.births, managers)
+        return notifications(self.timeline, self.births, managers)

@@ -18,8 +18,6 @@ def build_session(name: str = "tocsin", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # size shuffle partitions by their bytes, not by the number of cores
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         # do not record the Python call site of every column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
