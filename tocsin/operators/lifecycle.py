@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.operators.births import after_birth
-from tocsin.operators.hot import ORDER, Limits, hot_keys, position, running, with_slot
+from tocsin.operators.hot import Limits, hot_keys, position, running, with_slot
 from tocsin.session import materialize
 
 C = F.col
@@ -69,10 +69,9 @@ def _is_parent() -> Column:
 
 
 def alert_history(routed: DataFrame, links: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Events from their alert's birth on, with the event before (`prev`) of the same alert."""
+    """Events from their alert's birth on, with the action before of the same alert (`was`)."""
     known = attach(routed, links, hot).filter(after_birth())
-    event = F.struct("action", *["received_at", "seq"])
-    known = running(known, ["dedup_key"], hot is not None, latest={"prev": event})
+    known = running(known, ["dedup_key"], hot is not None, latest={"was": C("action")})
     return known.select(
         "family",
         "dedup_key",
@@ -81,13 +80,13 @@ def alert_history(routed: DataFrame, links: DataFrame, hot: DataFrame | None) ->
         "action",
         _is_parent().alias("is_parent"),
         (position() == F.struct("born_at", "born_seq")).alias("is_birth"),
-        "prev",
+        "was",
     )
 
 
 def changes_child() -> Column:
     """A child's event that changes its status: its birth, or an action unlike the last."""
-    return ~C("is_parent") & (C("is_birth") | (C("prev.action") != C("action")))
+    return ~C("is_parent") & (C("is_birth") | (C("was") != C("action")))
 
 
 def child_transitions(history: DataFrame) -> DataFrame:
@@ -117,6 +116,7 @@ def child_final(timeline: DataFrame) -> DataFrame:
 def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = Limits()) -> DataFrame:
     """All parent events and child changes of every family, with what each does to the parent.
 
+    `place`: position in the family's log, counted from 1.
     `active_children`, `children`: active children and children ever born, after
     the row. `stretch`: number of its stretch, odd = busy; `ends`: it ends a busy
     one. `state`: the parent's state before the row. `effect`: born, none,
@@ -127,14 +127,19 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
     One shuffle by family does all of it; hot families go through their slots.
     """
     split = hot is not None
-    rows = history.filter(C("is_parent") | changes_child())
+    rows = history.filter(C("is_parent") | changes_child()).drop("was")
     step = F.when(C("is_parent"), 0).when(C("action") == "trigger", 1).otherwise(-1)
     rows = with_slot(rows.withColumn("step", step), ["family"], hot)
     if split:
         # the carry of each running value reads these rows once more
         rows = materialize(rows, "moves")
     born = (~C("is_parent") & C("is_birth")).cast("int")
-    rows = running(rows, ["family"], split, sums={"active_children": C("step"), "children": born})
+    rows = running(
+        rows,
+        ["family"],
+        split,
+        sums={"active_children": C("step"), "children": born, "place": F.lit(1)},
+    )
     starts = (C("step") == 1) & (C("active_children") == 1)
     ends = (C("step") == -1) & (C("active_children") == 0)
     rows = rows.withColumn("ends", ends).withColumn("crosses", starts | ends)
@@ -143,7 +148,11 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
         ["family"],
         split,
         sums={"crossings": C("crosses").cast("int")},
-        latest={"since": F.when(C("crosses"), position())},
+        latest={
+            "since": F.when(C("crosses"), C("place")),
+            "prev_place": F.when(C("is_parent"), C("place")),
+            "prev_action": F.when(C("is_parent"), C("action")),
+        },
     )
     # the row that ends a busy stretch still belongs to it
     rows = rows.withColumn("stretch", C("crossings") - C("ends").cast("int"))
@@ -159,28 +168,36 @@ def _facts() -> dict[str, Column]:
     """What the events of a stretch say, as aggregates."""
     trigger = C("is_parent") & (C("action") == "trigger")
     resolve = C("is_parent") & (C("action") == "resolve")
-    since = F.struct(C("since.received_at"), C("since.seq"))
-    prev = F.struct(C("prev.received_at"), C("prev.seq"))
     # the first resolve after the first trigger is the first one whose previous
     # parent event is a trigger of the same stretch
-    answered = resolve & (C("prev.action") == "trigger") & (prev > since)
-    counted = F.struct("received_at", "seq", "active_children")
+    answered = resolve & (C("prev_action") == "trigger") & (C("prev_place") > C("since"))
+    place = C("place")
     return {
-        "first_trigger": F.min(F.when(trigger, position())),
-        "first_resolve": F.min(F.when(resolve, position())),
-        "first_answered": F.min(F.when(answered, position())),
-        "last_event": F.max(F.when(C("is_parent"), F.struct("received_at", "seq", "action"))),
+        "first_trigger": F.min(F.when(trigger, place)),
+        "last_trigger": F.max(F.when(trigger, place)),
+        "first_resolve": F.min(F.when(resolve, place)),
+        "last_resolve": F.max(F.when(resolve, place)),
+        "first_answered": F.min(F.when(answered, place)),
         "closed": F.max(C("ends")),
         "requested_at": F.max(F.when(resolve, C("received_at"))),
-        "last_count": F.max(F.when(resolve | (C("step") == -1), counted)),
+        "last_count": F.max(
+            F.when(resolve | (C("step") == -1), F.struct("place", "active_children"))
+        ),
     }
 
 
+def _ends_on_trigger() -> Column:
+    """The last parent event of the stretch is a trigger."""
+    return C("last_trigger").isNotNull() & (
+        C("last_resolve").isNull() | (C("last_trigger") > C("last_resolve"))
+    )
+
+
 def _sets_and_swaps(df: DataFrame) -> DataFrame:
     """`sets_active`: the state a stretch always ends in, if it does; `swaps`: it swaps the two."""
     no_trigger, no_resolve = C("first_trigger").isNull(), C("first_resolve").isNull()
     sets_active = (
-        F.when(~C("busy"), C("last_event.action") == "trigger")
+        F.when(~C("busy"), _ends_on_trigger())
         .when(no_resolve, F.when(~no_trigger, True))
         .when(no_trigger | C("first_answered").isNotNull(), False)
     )
@@ -204,7 +221,7 @@ def _start_states(df: DataFrame, split: bool, order: tuple[str, ...], once: Colu
 
 def _whole_families(rows: DataFrame) -> DataFrame:
     """Facts and start state of each row's stretch, all within the family's partition."""
-    order = ("stretch", *ORDER)
+    order = ("stretch", "place")
     family = Window.partitionBy("family", "slot").orderBy(*order)
     stretch = Window.partitionBy("family", "slot", "stretch")
     rows = rows.withColumn("next", F.lead("stretch").over(family))
@@ -231,10 +248,7 @@ def _split_families(rows: DataFrame, limits: Limits) -> DataFrame:
 
 
 def _effects(rows: DataFrame) -> DataFrame:
-    here = position()
-    prev = F.struct(C("prev.received_at"), C("prev.seq"))
-    since = F.struct(C("since.received_at"), C("since.seq"))
-    from_active = C("from_active")
+    here, from_active = C("place"), C("from_active")
     revived = F.when(C("busy") & ~from_active, C("first_trigger"))
     pending = F.when(
         C("busy"), F.when(from_active, C("first_resolve")).otherwise(C("first_answered"))
@@ -244,8 +258,8 @@ def _effects(rows: DataFrame) -> DataFrame:
         .when(from_active | (C("revived") < here), "active")
         .otherwise("resolved")
     )
-    same_stretch = C("prev").isNotNull() & (C("since").isNull() | (prev > since))
-    idle_state = F.when(same_stretch, C("prev.action") == "trigger").otherwise(from_active)
+    same_stretch = C("prev_place") > F.coalesce("since", F.lit(0))
+    idle_state = F.when(same_stretch, C("prev_action") == "trigger").otherwise(from_active)
     state = F.when(C("busy"), busy_state).when(idle_state, "active").otherwise("resolved")
     effect = (
         F.when(
@@ -262,10 +276,7 @@ def _effects(rows: DataFrame) -> DataFrame:
         .otherwise("resolved")
     )
     end_state = (
-        F.when(
-            ~C("busy"),
-            F.when(C("last_event.action") == "trigger", "active").otherwise("resolved"),
-        )
+        F.when(~C("busy"), F.when(_ends_on_trigger(), "active").otherwise("resolved"))
         .when(C("pending").isNotNull(), F.when(C("closed"), "resolved").otherwise("pending"))
         .when(from_active | C("revived").isNotNull(), "active")
         .otherwise("resolved")
