@@ -60,7 +60,7 @@ def hot_keys(stats: DataFrame, key: list[str], limits: Limits) -> DataFrame | No
 def with_slot(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
     """Add `slots` (1 if the key is not split) and `slot`, which grows with received_at."""
     if hot is None:
-        return df.withColumn("slots", F.lit(1)).withColumn("slot", F.lit(0))
+        return df.selectExpr("*", "1 AS slots", "0 AS slot")
     since = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("received_at"))
     slot = F.floor(since / F.col("span") * F.col("slots")).cast("int")
     slot = F.greatest(F.lit(0), F.least(slot, F.col("slots") - 1))

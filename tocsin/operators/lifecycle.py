@@ -128,35 +128,39 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
     """
     split = hot is not None
     rows = history.filter(C("is_parent") | changes_child()).drop("was")
-    step = F.when(C("is_parent"), 0).when(C("action") == "trigger", 1).otherwise(-1)
+    step = F.expr("CASE WHEN is_parent THEN 0 WHEN action = 'trigger' THEN 1 ELSE -1 END")
     rows = with_slot(rows.withColumn("step", step), ["family"], hot)
     if split:
         # the carry of each running value reads these rows once more
         rows = materialize(rows, "moves")
-    born = (~C("is_parent") & C("is_birth")).cast("int")
     rows = running(
         rows,
         ["family"],
         split,
-        sums={"active_children": C("step"), "children": born, "place": F.lit(1)},
+        sums={
+            "active_children": C("step"),
+            "children": F.expr("CAST(is_birth AND NOT is_parent AS INT)"),
+            "place": F.lit(1),
+        },
     )
-    starts = (C("step") == 1) & (C("active_children") == 1)
-    ends = (C("step") == -1) & (C("active_children") == 0)
-    rows = rows.withColumn("ends", ends).withColumn("crosses", starts | ends)
+    starts = "step = 1 AND active_children = 1"
+    ends = "step = -1 AND active_children = 0"
     rows = running(
         rows,
         ["family"],
         split,
-        sums={"crossings": C("crosses").cast("int")},
+        sums={"crossings": F.expr(f"CAST(({starts}) OR ({ends}) AS INT)")},
         latest={
-            "since": F.when(C("crosses"), C("place")),
-            "prev_place": F.when(C("is_parent"), C("place")),
-            "prev_action": F.when(C("is_parent"), C("action")),
+            "since": F.expr(f"CASE WHEN ({starts}) OR ({ends}) THEN place END"),
+            "prev_place": F.expr("CASE WHEN is_parent THEN place END"),
+            "prev_action": F.expr("CASE WHEN is_parent THEN action END"),
         },
     )
     # the row that ends a busy stretch still belongs to it
-    rows = rows.withColumn("stretch", C("crossings") - C("ends").cast("int"))
-    rows = rows.withColumn("busy", C("stretch") % 2 == 1).drop("crossings", "crosses")
+    stretch = f"crossings - CAST({ends} AS INT)"
+    rows = rows.selectExpr(
+        "*", f"{ends} AS ends", f"{stretch} AS stretch", f"({stretch}) % 2 = 1 AS busy"
+    )
     if not split:
         return _effects(_whole_families(rows))
     rows = materialize(rows, "stretched")
@@ -166,57 +170,52 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
 
 def _facts() -> dict[str, Column]:
     """What the events of a stretch say, as aggregates."""
-    trigger = C("is_parent") & (C("action") == "trigger")
-    resolve = C("is_parent") & (C("action") == "resolve")
-    # the first resolve after the first trigger is the first one whose previous
-    # parent event is a trigger of the same stretch
-    answered = resolve & (C("prev_action") == "trigger") & (C("prev_place") > C("since"))
-    place = C("place")
-    return {
-        "first_trigger": F.min(F.when(trigger, place)),
-        "last_trigger": F.max(F.when(trigger, place)),
-        "first_resolve": F.min(F.when(resolve, place)),
-        "last_resolve": F.max(F.when(resolve, place)),
-        "first_answered": F.min(F.when(answered, place)),
-        "closed": F.max(C("ends")),
-        "requested_at": F.max(F.when(resolve, C("received_at"))),
-        "last_count": F.max(
-            F.when(resolve | (C("step") == -1), F.struct("place", "active_children"))
-        ),
+    trigger = "is_parent AND action = 'trigger'"
+    resolve = "is_parent AND action = 'resolve'"
+    facts = {
+        "first_trigger": f"min(CASE WHEN {trigger} THEN place END)",
+        "last_trigger": f"max(CASE WHEN {trigger} THEN place END)",
+        "first_resolve": f"min(CASE WHEN {resolve} THEN place END)",
+        "last_resolve": f"max(CASE WHEN {resolve} THEN place END)",
+        # the first resolve after the first trigger is the first one whose
+        # previous parent event is a trigger of the same stretch
+        "first_answered": f"""min(CASE WHEN {resolve} AND prev_action = 'trigger'
+            AND prev_place > since THEN place END)""",
+        "closed": "max(ends)",
+        "requested_at": f"max(CASE WHEN {resolve} THEN received_at END)",
+        "last_count": f"""max(CASE WHEN ({resolve}) OR step = -1
+            THEN struct(place, active_children) END)""",
     }
+    return {name: F.expr(sql) for name, sql in facts.items()}
 
 
-def _ends_on_trigger() -> Column:
-    """The last parent event of the stretch is a trigger."""
-    return C("last_trigger").isNotNull() & (
-        C("last_resolve").isNull() | (C("last_trigger") > C("last_resolve"))
-    )
+_ENDS_ON_TRIGGER = "last_trigger > coalesce(last_resolve, 0)"
 
 
 def _sets_and_swaps(df: DataFrame) -> DataFrame:
     """`sets_active`: the state a stretch always ends in, if it does; `swaps`: it swaps the two."""
-    no_trigger, no_resolve = C("first_trigger").isNull(), C("first_resolve").isNull()
-    sets_active = (
-        F.when(~C("busy"), _ends_on_trigger())
-        .when(no_resolve, F.when(~no_trigger, True))
-        .when(no_trigger | C("first_answered").isNotNull(), False)
+    return df.selectExpr(
+        "*",
+        f"""CASE WHEN NOT busy THEN coalesce({_ENDS_ON_TRIGGER}, FALSE)
+            WHEN first_resolve IS NULL THEN (CASE WHEN first_trigger IS NOT NULL THEN TRUE END)
+            WHEN first_trigger IS NULL OR first_answered IS NOT NULL THEN FALSE END AS sets_active""",
+        """CAST(busy AND first_trigger IS NOT NULL AND first_resolve IS NOT NULL
+            AND first_answered IS NULL AS INT) AS swaps""",
     )
-    swaps = C("busy") & ~no_trigger & ~no_resolve & C("first_answered").isNull()
-    return df.withColumn("sets_active", sets_active).withColumn("swaps", swaps.cast("int"))
 
 
-def _start_states(df: DataFrame, split: bool, order: tuple[str, ...], once: Column) -> DataFrame:
+def _start_states(df: DataFrame, split: bool, order: tuple[str, ...], once: str) -> DataFrame:
     """Add `from_active`: the parent is active, not resolved, when the stretch starts.
 
     `once` is true on the last row of each stretch in `order`.
     """
-    own = F.when(once, C("swaps")).otherwise(0)
-    df = running(df, ["family"], split, sums={"swapped": own}, order=order)
-    setting = F.struct(C("sets_active").alias("active"), C("swapped"))
-    setting = F.when(once & C("sets_active").isNotNull(), setting)
-    df = running(df, ["family"], split, latest={"base": setting}, order=order)
-    odd = (C("swapped") - own - C("base.swapped")) % 2 == 1
-    return df.withColumn("from_active", F.coalesce(C("base.active") != odd, F.lit(False)))
+    own = f"CASE WHEN {once} THEN swaps ELSE 0 END"
+    df = running(df, ["family"], split, sums={"swapped": F.expr(own)}, order=order)
+    setting = f"""CASE WHEN {once} AND sets_active IS NOT NULL
+        THEN struct(sets_active AS active, swapped) END"""
+    df = running(df, ["family"], split, latest={"base": F.expr(setting)}, order=order)
+    odd = f"(swapped - {own} - base.swapped) % 2 = 1"
+    return df.selectExpr("*", f"coalesce(base.active <> ({odd}), FALSE) AS from_active")
 
 
 def _whole_families(rows: DataFrame) -> DataFrame:
@@ -226,7 +225,7 @@ def _whole_families(rows: DataFrame) -> DataFrame:
     stretch = Window.partitionBy("family", "slot", "stretch")
     rows = rows.withColumn("next", F.lead("stretch").over(family))
     rows = rows.select("*", *[f.over(stretch).alias(n) for n, f in _facts().items()])
-    last = C("next").isNull() | (C("next") != C("stretch"))
+    last = "(next IS NULL OR next <> stretch)"
     return _start_states(_sets_and_swaps(rows), False, order, last)
 
 
@@ -243,66 +242,61 @@ def _split_families(rows: DataFrame, limits: Limits) -> DataFrame:
         .withColumn("slot", F.floor(C("stretch") / limits.slot_rows).cast("int"))
         .withColumn("slots", F.lit(2))
     )
-    one = _start_states(_sets_and_swaps(materialize(one, "stretches")), True, ("stretch",), F.lit(True))
+    one = _start_states(_sets_and_swaps(materialize(one, "stretches")), True, ("stretch",), "TRUE")
     return rows.join(one.drop("busy", "slot", "slots"), ["family", "stretch"], "left")
 
 
 def _effects(rows: DataFrame) -> DataFrame:
-    here, from_active = C("place"), C("from_active")
-    revived = F.when(C("busy") & ~from_active, C("first_trigger"))
-    pending = F.when(
-        C("busy"), F.when(from_active, C("first_resolve")).otherwise(C("first_answered"))
+    rows = rows.selectExpr(
+        "*",
+        "CASE WHEN busy AND NOT from_active THEN first_trigger END AS revived",
+        """CASE WHEN busy AND from_active THEN first_resolve
+            WHEN busy THEN first_answered END AS pending""",
     )
-    busy_state = (
-        F.when(C("pending") < here, "pending")
-        .when(from_active | (C("revived") < here), "active")
-        .otherwise("resolved")
+    rows = rows.selectExpr(
+        "*",
+        """CASE
+            WHEN busy AND pending < place THEN 'pending'
+            WHEN busy AND (from_active OR revived < place) THEN 'active'
+            WHEN busy THEN 'resolved'
+            WHEN prev_place > coalesce(since, 0)
+                THEN (CASE prev_action WHEN 'trigger' THEN 'active' ELSE 'resolved' END)
+            WHEN from_active THEN 'active' ELSE 'resolved' END AS state""",
+        f"""CASE
+            WHEN closed IS NULL THEN NULL
+            WHEN NOT busy AND {_ENDS_ON_TRIGGER} THEN 'active'
+            WHEN NOT busy THEN 'resolved'
+            WHEN pending IS NOT NULL AND closed THEN 'resolved'
+            WHEN pending IS NOT NULL THEN 'pending'
+            WHEN from_active OR revived IS NOT NULL THEN 'active'
+            ELSE 'resolved' END AS end_state""",
     )
-    same_stretch = C("prev_place") > F.coalesce("since", F.lit(0))
-    idle_state = F.when(same_stretch, C("prev_action") == "trigger").otherwise(from_active)
-    state = F.when(C("busy"), busy_state).when(idle_state, "active").otherwise("resolved")
-    effect = (
-        F.when(
-            ~C("is_parent"),
-            F.when(C("ends") & (C("state") == "pending"), "cascaded").otherwise("none"),
-        )
-        .when(C("is_birth"), "born")
-        .when(
-            C("action") == "trigger",
-            F.when(C("state") == "resolved", "reactivated").otherwise("none"),
-        )
-        .when(C("state") == "resolved", "resolve_noop")
-        .when(C("active_children") > 0, "deferred")
-        .otherwise("resolved")
-    )
-    end_state = (
-        F.when(~C("busy"), F.when(_ends_on_trigger(), "active").otherwise("resolved"))
-        .when(C("pending").isNotNull(), F.when(C("closed"), "resolved").otherwise("pending"))
-        .when(from_active | C("revived").isNotNull(), "active")
-        .otherwise("resolved")
-    )
-    return (
-        rows.withColumns({"revived": revived, "pending": pending})
-        .withColumns({"state": state, "end_state": F.when(C("closed").isNotNull(), end_state)})
-        .select(
-            "family",
-            "dedup_key",
-            "received_at",
-            "seq",
-            "action",
-            "is_parent",
-            "is_birth",
-            "step",
-            "active_children",
-            "children",
-            "stretch",
-            "ends",
-            "state",
-            effect.alias("effect"),
-            "end_state",
-            "requested_at",
-            C("last_count.active_children").alias("remaining_children"),
-        )
+    return rows.selectExpr(
+        "family",
+        "dedup_key",
+        "received_at",
+        "seq",
+        "action",
+        "is_parent",
+        "is_birth",
+        "step",
+        "active_children",
+        "children",
+        "stretch",
+        "ends",
+        "state",
+        """CASE
+            WHEN NOT is_parent AND ends AND state = 'pending' THEN 'cascaded'
+            WHEN NOT is_parent THEN 'none'
+            WHEN is_birth THEN 'born'
+            WHEN action = 'trigger' AND state = 'resolved' THEN 'reactivated'
+            WHEN action = 'trigger' THEN 'none'
+            WHEN state = 'resolved' THEN 'resolve_noop'
+            WHEN active_children > 0 THEN 'deferred'
+            ELSE 'resolved' END AS effect""",
+        "end_state",
+        "requested_at",
+        "last_count.active_children AS remaining_children",
     )
 
 
