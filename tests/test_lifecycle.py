@@ -5,6 +5,7 @@ from helpers import MANAGERS, RULES, TINY, event, random_log, routed
 from pyspark.sql import functions as F
 from replay import replay
 
+from tocsin.operators import anchors
 from tocsin.operators.hot import Limits
 from tocsin.plans.run import AlertRun
 
@@ -61,12 +62,17 @@ def test_random_logs_split_many_births(spark):
     check(spark, log, TINY)
 
 
-def test_hot_group_with_many_chunks(spark):
-    # one group with births every 7 seconds over many windows: chunk entries matter
-    log = [event(i, i * 7 / 60, f"k{i}") for i in range(1500)]
-    run = check(spark, log, Limits(hot_rows=100, slot_rows=10))
-    parents = run.links.filter("dedup_key = family").count()
-    assert parents == 1500 // 43 + 1
+@pytest.mark.parametrize("windows,chunks", [(16, 64), (1, 2), (2, 3)])
+def test_hot_group_with_many_chunks(spark, monkeypatch, windows, chunks):
+    # births every 7 seconds and, in bursts, at one instant: chunk entries matter
+    monkeypatch.setattr(anchors, "WINDOWS_PER_CHUNK", windows)
+    monkeypatch.setattr(anchors, "CHUNKS_PER_RUN", chunks)
+    log = [event(i, (i - i % 9 // 6) * 7 / 60, f"k{i}") for i in range(1200)]
+    log += [event(2000 + i, i * 9 / 60, f"s{i}", manager="em-3") for i in range(400)]
+    run = AlertRun(routed(spark, log), Limits(hot_rows=100, slot_rows=10))
+    alerts, _, _ = expect(log)
+    got = {r.dedup_key: r.family for r in run.links.collect()}
+    assert got == {k: a["parent"] or k for k, a in alerts.items()}
 
 
 def test_window_end_is_inclusive(spark):

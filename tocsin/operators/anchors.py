@@ -8,8 +8,10 @@ epoch) nor `session_window` (extended by activity) expresses, so the decision
 itself is an ordered scan of Arrow batches with one open window as its state.
 
 A hot group is cut into time chunks. What a chunk does to the open window is a
-step function of the window's end, `compress` reduces it to its steps, and a
-scan over the steps gives the open window at the start of every chunk.
+step function of the window's end; `compress` reduces it to its steps. A single
+birth is such a step, and runs of chunks are compressed again in the same way,
+so the scan that finds the open window at the start of every chunk first goes
+over the few steps of whole runs and then over each run on its own.
 """
 
 from __future__ import annotations
@@ -25,14 +27,18 @@ from pyspark.sql import types as T
 
 from tocsin.functions.events import expires_at
 from tocsin.operators.hot import Limits, hot_keys
-from tocsin.session import ship_package
+from tocsin.session import materialize, ship_package
 
 GROUP = ["event_manager_id", "grouping_key", "grouping_value"]
 # A chunk spans this many windows of the group, so that most of the possible
 # entries have met the same parent by its end.
 WINDOWS_PER_CHUNK = 16
+# Chunks in a run.
+CHUNKS_PER_RUN = 64
 
-STEP_FIELDS = "chunk long, upto timestamp_ntz, leads_to timestamp_ntz, parent string"
+_GROUP_FIELDS = ", ".join(f"{c} string" for c in GROUP)
+STEP_FIELDS = f"{_GROUP_FIELDS}, chunk long, upto timestamp_ntz, leads_to timestamp_ntz, parent string"
+ENTRY_FIELDS = f"{_GROUP_FIELDS}, chunk long, open_until timestamp_ntz, open_parent string"
 
 
 def _micros(column: pa.ChunkedArray | pa.Array) -> list[int | None]:
@@ -68,59 +74,85 @@ def assign_parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def compress(births: pd.DataFrame) -> pd.DataFrame:
+def compress(steps: pd.DataFrame) -> pd.DataFrame:
     """Steps of one chunk: a window that ends before `upto` (and not before the
     step above) has become one that ends at `leads_to` when the chunk is over.
 
     A window from an earlier chunk ends at most one window length into this
     one (`horizon`), so later steps are left out but the first.
     """
-    births = births.sort_values(["born_at", "born_seq"]).drop_duplicates("born_at")
-    start = births["born_at"].to_numpy("datetime64[us]").astype(np.int64)
-    ends = births["expires_at"].to_numpy("datetime64[us]").astype(np.int64)
-    last = np.arange(len(start))
-    following = np.searchsorted(start, ends, side="right")
-    while (more := following < len(start)).any():
+    steps = steps.sort_values(["upto", "tie"]).drop_duplicates("upto")
+    upto = steps["upto"].to_numpy("datetime64[us]").astype(np.int64)
+    leads_to = steps["leads_to"].to_numpy("datetime64[us]").astype(np.int64)
+    last = np.arange(len(upto))
+    following = np.searchsorted(upto, leads_to, side="right")
+    while (more := following < len(upto)).any():
         hop = following[more]
         last[more], following[more] = last[hop], following[hop]
-    horizon = births["horizon"].to_numpy("datetime64[us]").astype(np.int64)[0]
-    reachable = np.searchsorted(start, horizon) + 1
-    steps = births.iloc[:reachable]
+    horizon = steps["horizon"].to_numpy("datetime64[us]").astype(np.int64)[0]
+    reachable = np.searchsorted(upto, horizon) + 1
     target = last[:reachable]
     keep = np.append(target[1:] != target[:-1], True)
-    return pd.DataFrame(
-        {
-            **{c: steps[c].to_numpy()[keep] for c in [*GROUP, "chunk"]},
-            "upto": steps["born_at"].to_numpy()[keep],
-            "leads_to": births["expires_at"].to_numpy()[target[keep]],
-            "parent": births["dedup_key"].to_numpy()[target[keep]],
-        }
-    )
+    out = steps[[*GROUP, "chunk", "upto"]].iloc[:reachable][keep].reset_index(drop=True)
+    end = steps[["leads_to", "parent"]].iloc[target[keep]].reset_index(drop=True)
+    return pd.concat([out, end], axis=1)
 
 
 def chunk_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The window open at the start of every chunk, from steps sorted by group, chunk, upto."""
-    group = chunk = until = parent = None
-    stepped = False
+    """The window open at the start of every chunk of a run.
+
+    Steps come sorted by group, run, chunk and `upto`; `open_until` and
+    `open_parent` give the window open when the run starts.
+    """
+    place, chunk, until, parent, stepped = None, None, None, None, False
+    names = [*GROUP, "run", "chunk", "parent", "open_parent"]
     for batch in batches:
-        rows = {n: batch.column(n).to_pylist() for n in [*GROUP, "chunk", "parent"]}
-        upto, leads_to = _micros(batch.column("upto")), _micros(batch.column("leads_to"))
+        cols = [batch.column(n).to_pylist() for n in names]
+        times = [_micros(batch.column(n)) for n in ("upto", "leads_to", "open_until")]
         out = []
-        for i, here in enumerate(zip(*[rows[n] for n in GROUP])):
-            if here != group:
-                group, chunk, until, parent = here, None, None, None
-            if rows["chunk"][i] != chunk:
-                chunk, stepped = rows["chunk"][i], False
-                out.append((*here, chunk, until, parent))
-            if not stepped and (until is None or until < upto[i]):
-                until, parent, stepped = leads_to[i], rows["parent"][i], True
-        columns = list(zip(*out)) or [()] * 6
+        for *here, to, key, open_parent, upto, leads_to, open_until in zip(*cols, *times):
+            if here != place:
+                place, chunk, until, parent = here, None, open_until, open_parent
+            if to != chunk:
+                chunk, stepped = to, False
+                out.append((*here[:-1], chunk, until, parent))
+            if not stepped and (until is None or until < upto):
+                until, parent, stepped = leads_to, key, True
+        values = list(zip(*out)) or [()] * 6
         types = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.string()]
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+        arrays = [pa.array(v, t) for v, t in zip(values, types)]
         arrays[4] = arrays[4].cast(pa.timestamp("us"))
         yield pa.RecordBatch.from_arrays(arrays, [*GROUP, "chunk", "open_until", "open_parent"])
 
 
+def _reduce(steps: DataFrame, shape: DataFrame, chunks: int) -> DataFrame:
+    """Steps of runs of `chunks` chunks, numbered `chunk`, from steps or births of chunks."""
+    start = F.timestamp_add("MICROSECOND", F.col("chunk") * chunks * F.col("width"), F.col("first_at"))
+    return (
+        steps.withColumn("chunk", F.floor(F.col("chunk") / chunks))
+        .join(F.broadcast(shape), GROUP)
+        .withColumn("horizon", expires_at(start, F.col("longest")))
+        .select(*GROUP, "chunk", "upto", "leads_to", "parent", "tie", "horizon")
+        .groupBy(*GROUP, "chunk")
+        .applyInPandas(compress, STEP_FIELDS)
+        .withColumn("tie", F.lit(0).cast("long"))
+    )
+
+
+def _entries(steps: DataFrame) -> DataFrame:
+    return (
+        steps.repartition(*GROUP, "run")
+        .sortWithinPartitions(*GROUP, "run", "chunk", "upto")
+        .mapInArrow(chunk_entries, ENTRY_FIELDS)
+    )
+
+
+def _nothing_open(df: DataFrame) -> DataFrame:
+    return df.selectExpr(
+        "*", "CAST(NULL AS timestamp_ntz) AS open_until", "CAST(NULL AS string) AS open_parent"
+    )
+
+
 def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
     """Add `chunk` and the window open at its start."""
     longest = (
@@ -128,37 +160,32 @@ def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
         .groupBy(*GROUP)
         .agg(F.max("time_window_minutes").alias("longest"))
     )
-    plan = hot.join(longest, GROUP).withColumn(
-        "width",
-        F.greatest(
-            F.col("longest").cast("long") * 60_000_000 * WINDOWS_PER_CHUNK,
-            F.ceil(F.col("span") / F.col("slots")),
-        ).cast("long"),
-    )
-    since = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("born_at"))
-    chunked = born.join(F.broadcast(plan.select(*GROUP, "first_at", "longest", "width")), GROUP, "left")
-    chunked = chunked.withColumn(
-        "chunk", F.coalesce(F.floor(since / F.col("width")), F.lit(0)).cast("long")
+    width = F.greatest(
+        F.col("longest").cast("long") * 60_000_000 * WINDOWS_PER_CHUNK,
+        F.ceil(F.col("span") / F.col("slots")),
     )
-    chunk_start = F.timestamp_add(
-        "MICROSECOND", F.col("chunk") * F.col("width"), F.col("first_at")
+    # one row per hot group, so no larger than the list of hot keys
+    shape = materialize(
+        hot.join(longest, GROUP).select(*GROUP, "first_at", "longest", width.cast("long").alias("width")),
+        "shape",
     )
-    steps = (
-        chunked.filter(F.col("width").isNotNull())
-        .withColumn("horizon", expires_at(chunk_start, F.col("longest")))
-        .select(*GROUP, "chunk", "dedup_key", "born_at", "born_seq", "expires_at", "horizon")
-        .groupBy(*GROUP, "chunk")
-        .applyInPandas(compress, ", ".join(f"{c} string" for c in GROUP) + ", " + STEP_FIELDS)
-    )
-    entries = (
-        steps.repartition(*GROUP)
-        .sortWithinPartitions(*GROUP, "chunk", "upto")
-        .mapInArrow(
-            chunk_entries,
-            ", ".join(f"{c} string" for c in GROUP)
-            + ", chunk long, open_until timestamp_ntz, open_parent string",
-        )
+    since = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("born_at"))
+    chunk = F.coalesce(F.floor(since / F.col("width")), F.lit(0)).cast("long")
+    chunked = born.join(F.broadcast(shape), GROUP, "left").withColumn("chunk", chunk)
+    single = chunked.filter(F.col("width").isNotNull()).selectExpr(
+        *GROUP,
+        "chunk",
+        "born_at AS upto",
+        "expires_at AS leads_to",
+        "dedup_key AS parent",
+        "born_seq AS tie",
     )
+    steps = materialize(_reduce(single, shape, 1), "steps")
+    runs = _entries(
+        _nothing_open(_reduce(steps, shape, CHUNKS_PER_RUN)).withColumn("run", F.lit(0).cast("long"))
+    ).withColumnRenamed("chunk", "run")
+    run = F.floor(F.col("chunk") / CHUNKS_PER_RUN)
+    entries = _entries(steps.withColumn("run", run).join(runs, [*GROUP, "run"], "left"))
     return chunked.drop("first_at", "longest", "width").join(entries, [*GROUP, "chunk"], "left")
 
 
@@ -185,9 +212,7 @@ def links(born: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     hot = hot_keys(stats, GROUP, limits)
     if hot is None:
-        chunked = born.withColumn("chunk", F.lit(0).cast("long"))
-        chunked = chunked.withColumn("open_until", F.lit(None).cast("timestamp_ntz"))
-        chunked = chunked.withColumn("open_parent", F.lit(None).cast("string"))
+        chunked = _nothing_open(born.withColumn("chunk", F.lit(0).cast("long")))
     else:
         chunked = _split_hot_groups(born, hot)
     schema = T.StructType([*chunked.schema.fields, T.StructField("family", T.StringType())])
