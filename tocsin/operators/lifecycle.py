@@ -168,6 +168,13 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
     return whole.unionByName(_effects(_split_families(rows.filter("slots > 1"), limits)))
 
 
+def active_children_timeline(timeline: DataFrame) -> DataFrame:
+    """Active children of a parent after every change of a child."""
+    return timeline.filter(~C("is_parent")).select(
+        C("family").alias("parent_dedup_key"), "dedup_key", "received_at", "seq", "active_children"
+    )
+
+
 def _facts() -> dict[str, Column]:
     """What the events of a stretch say, as aggregates."""
     trigger = "is_parent AND action = 'trigger'"
