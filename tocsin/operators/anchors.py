@@ -189,7 +189,7 @@ def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
     return chunked.drop("first_at", "longest", "width").join(entries, [*GROUP, "chunk"], "left")
 
 
-def links(born: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def links(born: DataFrame, limits: Limits | None = Limits()) -> DataFrame:
     """Births with `family`, the dedup key of their parent, and `expires_at`.
 
     `expires_at` is the end of the window an alert opens as a parent.

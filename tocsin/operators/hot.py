@@ -37,12 +37,20 @@ def position() -> Column:
     return F.struct(*ORDER)
 
 
-def hot_keys(stats: DataFrame, key: list[str], limits: Limits) -> DataFrame | None:
+def limits_for(births: DataFrame, limits: Limits) -> Limits | None:
+    """`limits`, or None if the whole log has too few rows for any key to be hot."""
+    total = births.agg(F.sum("rows")).first()[0] or 0
+    return limits if total > limits.hot_rows else None
+
+
+def hot_keys(stats: DataFrame, key: list[str], limits: Limits | None) -> DataFrame | None:
     """Keys to split, from rows (key..., rows, first_at, last_at); None when there are none.
 
     Asking whether the list is empty is one small job; it keeps the carry
     branches out of the plan in the usual case.
     """
+    if limits is None:
+        return None
     hot = (
         stats.filter(F.col("rows") > limits.hot_rows)
         .orderBy(F.desc("rows"), *key)

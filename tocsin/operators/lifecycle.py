@@ -30,12 +30,12 @@ from tocsin.session import materialize
 C = F.col
 
 
-def hot_dedup_keys(links: DataFrame, limits: Limits) -> DataFrame | None:
+def hot_dedup_keys(links: DataFrame, limits: Limits | None) -> DataFrame | None:
     stats = links.select("dedup_key", "rows", C("born_at").alias("first_at"), "last_at")
     return hot_keys(stats, ["dedup_key"], limits)
 
 
-def hot_families(links: DataFrame, limits: Limits) -> DataFrame | None:
+def hot_families(links: DataFrame, limits: Limits | None) -> DataFrame | None:
     stats = links.groupBy("family").agg(
         F.sum("rows").alias("rows"),
         F.min("born_at").alias("first_at"),
@@ -68,11 +68,19 @@ def _is_parent() -> Column:
     return C("dedup_key") == C("family")
 
 
-def alert_history(routed: DataFrame, links: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Events from their alert's birth on, with the action before of the same alert (`was`)."""
-    known = attach(routed, links, hot).filter(after_birth())
-    known = running(known, ["dedup_key"], hot is not None, latest={"was": C("action")})
-    return known.select(
+def alert_history(
+    routed: DataFrame, links: DataFrame, hot: DataFrame | None, unborn: bool = False
+) -> DataFrame:
+    """Events from their alert's birth on, with the action before of the same alert (`was`).
+
+    `unborn` keeps the other events too; `known` tells them apart.
+    """
+    rows = attach(routed, links, hot)
+    if not unborn:
+        rows = rows.filter(after_birth())
+    was = F.when(after_birth(), C("action"))
+    rows = running(rows, ["dedup_key"], hot is not None, latest={"was": was})
+    return rows.select(
         "family",
         "dedup_key",
         "received_at",
@@ -81,6 +89,7 @@ def alert_history(routed: DataFrame, links: DataFrame, hot: DataFrame | None) ->
         _is_parent().alias("is_parent"),
         (position() == F.struct("born_at", "born_seq")).alias("is_birth"),
         "was",
+        after_birth().alias("known"),
     )
 
 
@@ -127,7 +136,7 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
     One shuffle by family does all of it; hot families go through their slots.
     """
     split = hot is not None
-    rows = history.filter(C("is_parent") | changes_child()).drop("was")
+    rows = history.filter(C("is_parent") | changes_child()).drop("was", "known")
     step = F.expr("CASE WHEN is_parent THEN 0 WHEN action = 'trigger' THEN 1 ELSE -1 END")
     rows = with_slot(rows.withColumn("step", step), ["family"], hot)
     if split:
@@ -343,16 +352,15 @@ def event_outcomes(
 ) -> DataFrame:
     """Which branch every routed event took, and whether it also resolved the parent."""
     columns = ["seq", "received_at", "dedup_key", "action"]
-    unknown = (
-        attach(routed, links, hot)
-        .filter(~after_birth())
-        .select(*columns, F.lit("resolve_unknown").alias("outcome"), F.lit(False).alias("cascaded"))
+    history = alert_history(routed, links, hot, unborn=True)
+    unchanged = (
+        F.when(~C("known"), "resolve_unknown")
+        .when(C("action") == "trigger", "duplicate")
+        .otherwise("resolve_noop")
     )
-    history = alert_history(routed, links, hot)
-    kept = history.filter(~C("is_parent") & ~changes_child()).select(
-        *columns,
-        F.when(C("action") == "trigger", "duplicate").otherwise("resolve_noop").alias("outcome"),
-        F.lit(False).alias("cascaded"),
+    # the timeline has the rest: parent events and child changes
+    kept = history.filter(~C("known") | (~C("is_parent") & ~changes_child())).select(
+        *columns, unchanged.alias("outcome"), F.lit(False).alias("cascaded")
     )
     child = (
         F.when(C("is_birth"), "new_child")
@@ -371,4 +379,4 @@ def event_outcomes(
         F.when(C("is_parent"), parent).otherwise(child).alias("outcome"),
         (C("effect") == "cascaded").alias("cascaded"),
     )
-    return unknown.unionByName(kept).unionByName(changed)
+    return kept.unionByName(changed)

@@ -30,22 +30,29 @@ EVENT_COLUMNS = [
 ]
 
 
-def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _enrich(accepted: DataFrame) -> DataFrame:
     value = grouping_value(F.col("grouping_key"))
-    routed = checked.filter(F.col("reject_reason").isNull()).select(
+    return accepted.select(
         *EVENT_COLUMNS,
         "grouping_key",
         value.alias("grouping_value"),
         "time_window_minutes",
         partition_key(F.col("event_manager_id"), value).alias("partition_key"),
     )
-    rejects = checked.filter(F.col("reject_reason").isNotNull()).select(
+
+
+def _refuse(checked: DataFrame) -> DataFrame:
+    return checked.filter(F.col("reject_reason").isNotNull()).select(
         *EVENT_COLUMNS,
         "reject_reason",
         reject_code(F.col("reject_reason")).alias("reject_code"),
         reject_message(F.col("reject_reason")).alias("reject_message"),
     )
-    return routed, rejects
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(enriched events, rejects) of events with `reject_reason`."""
+    return _enrich(checked.filter(F.col("reject_reason").isNull())), _refuse(checked)
 
 
 def reject_reason() -> F.Column:
@@ -56,25 +63,29 @@ def reject_reason() -> F.Column:
     )
 
 
-def check_events(events: DataFrame, managers: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every event with its rule and, where it is refused, `reject_reason`."""
+def route_events(
+    events: DataFrame, managers: DataFrame, rules: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(routed events, rejected events with reason, code and message).
+
+    Two plans over the same events: accepted ones are filtered before they are
+    joined, so an invalid or empty manager id never becomes a large join key.
+    """
     managers = managers.select(
         F.col("id").alias("manager_id"), F.col("grouping_rule_id").alias("manager_rule_id")
     )
     rules = rules.select(F.col("id").alias("rule_id"), "grouping_key", "time_window_minutes")
-    return (
+    to_manager = F.col("event_manager_id") == F.col("manager_id")
+    to_rule = F.col("manager_rule_id") == F.col("rule_id")
+    valid = events.select(*EVENT_COLUMNS).filter(event_reject_reason().isNull())
+    routed = _enrich(valid.join(managers, to_manager).join(rules, to_rule))
+    checked = (
         events.select(*EVENT_COLUMNS, event_reject_reason().alias("invalid"))
-        .join(managers, F.col("event_manager_id") == F.col("manager_id"), "left")
-        .join(rules, F.col("manager_rule_id") == F.col("rule_id"), "left")
+        .join(managers, to_manager, "left")
+        .join(rules, to_rule, "left")
         .withColumn("reject_reason", reject_reason())
     )
-
-
-def route_events(
-    events: DataFrame, managers: DataFrame, rules: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """(routed events, rejected events with reason, code and message)."""
-    return split_checked(check_events(events, managers, rules))
+    return routed, _refuse(checked)
 
 
 def reject_counts(rejects: DataFrame) -> DataFrame:

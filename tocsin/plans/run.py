@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.events import alert_id
 from tocsin.operators import anchors, births, lifecycle
-from tocsin.operators.hot import Limits
+from tocsin.operators.hot import Limits, limits_for
 from tocsin.operators.notifications import notifications
 from tocsin.schemas import ALERT_COLUMNS
 from tocsin.session import materialize
@@ -31,17 +31,21 @@ class AlertRun:
     def births(self) -> DataFrame:
         return materialize(births.births(self.routed), "births")
 
+    @cached_property
+    def split_limits(self) -> Limits | None:
+        return limits_for(self.births, self.limits)
+
     @cached_property
     def links(self) -> DataFrame:
-        return materialize(anchors.links(self.births, self.limits), "links")
+        return materialize(anchors.links(self.births, self.split_limits), "links")
 
     @cached_property
     def hot_dedup_keys(self) -> DataFrame | None:
-        return lifecycle.hot_dedup_keys(self.links, self.limits)
+        return lifecycle.hot_dedup_keys(self.links, self.split_limits)
 
     @cached_property
     def hot_families(self) -> DataFrame | None:
-        return lifecycle.hot_families(self.links, self.limits)
+        return lifecycle.hot_families(self.links, self.split_limits)
 
     @cached_property
     def history(self) -> DataFrame:

@@ -18,6 +18,8 @@ def build_session(name: str = "tocsin", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # windows cost much CPU per byte: spread small shuffles over the cores as well
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         # do not record the Python call site of every column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
