@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tocsin.llm import bpe, licenses, packing, quality, secret_scan, token_files, toxicity
+from tocsin.llm import bpe, licenses, near_dup, packing, quality, secret_scan, sharding, token_files, topk, toxicity
 from tocsin.llm.shared import read_table
 
 
@@ -16,10 +17,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_packing, op5_secrets, op7_quality, op8_licenses, op9_token_files, op10_bpe,
+    op1_toxicity, op2_packing, op3_topk, op4_sharding, op5_secrets, op6_near_dup, op7_quality, op8_licenses, op9_token_files, op10_bpe,
 )}
 
 ORACLES: dict[str, str] = {}
