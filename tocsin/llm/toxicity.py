@@ -26,12 +26,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.llm.near_dup import Shingler, mixed
 from tocsin.llm.shared import id_and_text, map_batches, slices, store
 
 FIT_ROWS = 20_000  # labelled documents that the terms and the model are learned from, at most
@@ -39,6 +41,10 @@ THRESHOLD = 0.3
 WINDOW = 6  # words on each side of a hit
 LONGEST_OPENING = 12
 MOST_TERMS = 2_000
+CERTAINTY = 16.0  # log-likelihood ratio that makes an opening a candidate
+TERM_DOCUMENTS = 8  # different toxic documents that make a candidate a term
+NEW_DOCUMENTS = 4  # or that it accounts for alone
+SKETCHES = 3
 KNOWN_WORDS = 400_000  # entries of a worker's memory of words
 
 # fixed values: what marks a quotation, a mention, an address
@@ -217,7 +223,14 @@ def openings(rows: DataFrame) -> dict[str, tuple[int, int]]:
 
     counted = map_batches(rows, run, "opening string, other long, toxic long").groupBy("opening")
     counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    telling = counted.where("toxic >= 4 and toxic >= 20 * other").orderBy(F.desc("toxic"), "opening").limit(50 * MOST_TERMS)
+    # by chance alone, none of a million openings stands this much more in toxic documents than others do
+    base = rows.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
+    base = min(max(base, 1e-6), 1 - 1e-6)
+    held, q = F.col("toxic") + F.col("other"), F.col("toxic") / (F.col("toxic") + F.col("other"))
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
+    telling = counted.where((F.col("toxic") >= 4) & (F.col("toxic") >= 20 * F.col("other")))
+    telling = telling.where(held * (q * F.log(q / base) + rest) >= CERTAINTY)
+    telling = telling.orderBy(F.desc("toxic"), "opening").limit(50 * MOST_TERMS)
     return {r["opening"]: (r["toxic"], r["other"]) for r in telling.collect()}
 
 
@@ -240,29 +253,47 @@ def terms_of(found: dict[str, tuple[int, int]]) -> list[tuple[str, bool]]:
     return [x for x in dict.fromkeys(out) if len(x[0]) >= 4][:MOST_TERMS]
 
 
-def scan_rows(rows: DataFrame, terms: list[tuple[str, bool, int]]) -> list:
-    """(toxic, words, hits) of each labelled row; hits as three lists. At most FIT_ROWS short rows."""
+class Scanned(NamedTuple):
+    toxic: int
+    words: int
+    hits: list[tuple[int, int, float]]
+    sketch: list[int]
+
+
+def sketches(texts: list[str]) -> np.ndarray:
+    """Least hashes of each text's shingles, which near copies mostly share; 0 without words."""
+    out = np.zeros((len(texts), SKETCHES), np.uint64)
+    doc, ids, _ = Shingler().shingles(texts)
+    filled, starts = np.unique(doc, return_index=True)
+    for k in range(SKETCHES if len(starts) else 0):
+        out[filled, k] = np.minimum.reduceat(mixed(ids + np.uint64((k + 1) << 48)), starts)
+    return out.view(np.int64)
+
+
+def scan_rows(rows: DataFrame, terms: list[tuple[str, bool, int]]) -> list[Scanned]:
+    """What the terms find in each labelled row. At most FIT_ROWS short rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(terms)
         for batch in slices(batches):
-            found = [scanner.hits(t) for t in batch.column("text").to_pylist()]
-            hits = [[x[k] for x in h] for k in range(3) for h, _ in found]
-            n = len(found)
+            texts = batch.column("text").to_pylist()
+            found = [scanner.hits(t) for t in texts]
+            lists = [[[x[k] for x in h] for h, _ in found] for k in range(3)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("toxic"),
                     pa.array([w for _, w in found], pa.int64()),
-                    pa.array(hits[:n], pa.list_(pa.int32())),
-                    pa.array(hits[n : 2 * n], pa.list_(pa.int32())),
-                    pa.array(hits[2 * n :], pa.list_(pa.float64())),
+                    pa.array(lists[0], pa.list_(pa.int32())),
+                    pa.array(lists[1], pa.list_(pa.int32())),
+                    pa.array(lists[2], pa.list_(pa.float64())),
+                    pa.array(sketches(texts).tolist(), pa.list_(pa.int64())),
                 ],
-                ["toxic", "words", "edits", "terms", "quotation"],
+                ["toxic", "words", "edits", "terms", "quotation", "sketch"],
             )
 
-    schema = "toxic int, words long, edits array<int>, terms array<int>, quotation array<double>"
+    schema = "toxic int, words long, edits array<int>, terms array<int>, quotation array<double>, sketch array<long>"
     return [
-        (r["toxic"], r["words"], list(zip(r["edits"], r["terms"], r["quotation"], strict=True)))
+        Scanned(r["toxic"], r["words"], list(zip(r["edits"], r["terms"], r["quotation"], strict=True)), r["sketch"])
         for r in map_batches(rows, run, schema).collect()
     ]
 
@@ -271,19 +302,49 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sample = labelled(docs, labels, rows)
     terms = [(w, whole, edits_allowed(len(w))) for w, whole in terms_of(openings(sample))]
     scanned = scan_rows(sample, terms)
-    # misspellings count as far as they hardly ever stand in documents that aren't toxic
+    return model_of(terms, scanned)
+
+
+def needed(terms: list[tuple[str, bool, int]], scanned: list) -> set[int]:
+    """Terms that enough toxic documents hold, or that account for some which no other term does.
+
+    Near copies of a document count as one: they agree in nearly all of its sketches.
+    """
+
+    def different(rows: set[int]) -> int:
+        return min((len({scanned[d].sketch[k] for d in rows}) for k in range(SKETCHES)), default=0)
+
+    held: dict[int, set[int]] = {}
+    for d, row in enumerate(scanned):
+        for edits, n, _ in row.hits:
+            if row.toxic and not edits:
+                held.setdefault(n, set()).add(d)
+    kept, covered = set(), set()
+    for n in sorted(held, key=lambda n: (-len(held[n]), terms[n])):
+        if different(held[n]) >= TERM_DOCUMENTS or different(held[n] - covered) >= NEW_DOCUMENTS:
+            kept.add(n)
+            covered |= held[n]
+    return kept
+
+
+def model_of(terms: list[tuple[str, bool, int]], scanned: list) -> Model:
+    """The needed terms, how many edits each may differ by, and the weights, from the labelled rows' hits.
+
+    Misspellings of a term count as far as they hardly ever stand in documents that aren't toxic.
+    """
+    chosen = needed(terms, scanned)
     seen: dict[tuple[int, int], list[int]] = {}
-    for toxic, _, hits in scanned:
+    for toxic, _, hits, _ in scanned:
         for key in {(n, e) for e, n, _ in hits}:
             seen.setdefault(key, [0, 0])[toxic] += 1
-    others = sum(1 for toxic, _, _ in scanned if not toxic)
-    kept = []
-    for n, (word, whole, most) in enumerate(terms):
-        wrong = np.cumsum([seen.get((n, e), [0, 0])[0] for e in range(most + 1)])
-        kept.append((word, whole, max((e for e in range(most + 1) if wrong[e] <= others / 5000), default=0)))
-    fine = {n: x[2] for n, x in enumerate(kept)}
-    x = [features([h for h in hits if h[0] <= fine[h[1]]], words) for _, words, hits in scanned]
-    y = [toxic for toxic, _, _ in scanned]
+    others = sum(1 for toxic, *_ in scanned if not toxic)
+    fine: dict[int, int] = {}
+    for n in chosen:
+        wrong = np.cumsum([seen.get((n, e), [0, 0])[0] for e in range(terms[n][2] + 1)])
+        fine[n] = max((e for e, w in enumerate(wrong) if w <= others / 5000), default=0)
+    x = [features([h for h in hits if h[0] <= fine.get(h[1], -1)], words) for _, words, hits, _ in scanned]
+    y = [toxic for toxic, *_ in scanned]
+    kept = [(terms[n][0], terms[n][1], fine[n]) for n in sorted(chosen)]
     return Model(kept, logistic(np.array(x).reshape(-1, 4), np.array(y, float)))
 
 
