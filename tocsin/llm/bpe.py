@@ -21,7 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tocsin.llm.shared import BlankChunks, id_and_text, map_batches, slices, tokenizer_path
+from tocsin.llm.shared import (
+    ALONE,
+    BlankChunks,
+    id_and_text,
+    map_batches,
+    slices,
+    stands_alone,
+    tokenizer_path,
+    with_blank,
+)
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int32(2**31 - 1)  # no pair here
@@ -55,7 +64,7 @@ class BytePairCodec:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.decimals = [str(i) for i in range(size)]
-        self.blanks = BlankChunks(self.encode_texts)
+        self.blanks = BlankChunks(self.encode_texts, self.encode_parts)
 
     # encoding -------------------------------------------------------------
 
@@ -175,6 +184,13 @@ class BytePairCodec:
         ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
         return [b"".join(map(ids.__getitem__, own)) for own in matches]
 
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes | str]:
+        """Parts of texts with the blank before them; ALONE for one that isn't cut off safely."""
+        safe = [p for p in parts if stands_alone(p)]
+        return dict.fromkeys(parts, ALONE) | dict(
+            zip(safe, self.encode_texts([with_blank(p) for p in safe]), strict=True)
+        )
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(raw, "<u4") for raw in self.blanks.ids(texts)]
 

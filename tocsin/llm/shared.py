@@ -111,23 +111,24 @@ class Chunks:
         return [None if ALONE in f else b"".join(f) for f in found]
 
 
+def stands_alone(part: str) -> bool:
+    """Whether a part behind a blank or a line end is cut off safely: no other white space at its edges."""
+    return bool(part[part[:1] == "\n" :][:1].strip() and part[-1:].strip())
+
+
 class BlankChunks:
     """Encodes whole texts by chunks, for tokenizers that keep a blank with the word behind it.
 
-    A text is cut before each blank and each line end. A cut is safe where that white space stands alone
-    between other characters, since no token then crosses it; a text with any other white space at a cut
-    is encoded whole. `encode` gives the bytes of each of a list of strings.
+    A text is cut at each blank and before each line end. A cut is safe where that white space stands
+    alone between other characters, since no token then crosses it; a text with any other white space at
+    a cut is encoded whole. `whole(strings)` gives the bytes of each string, `parts(new)` those of parts
+    with the blank before them (a part that begins with a line end has none), or ALONE.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
-        self.first = Chunks(lambda new: dict(zip(new, encode(new), strict=True)))
-        self.rest = Chunks(self._rest)
-
-    def _rest(self, new: list[str]) -> dict[str, bytes | str]:
-        alone = [c for c in new if c[1 if c[:1] == "\n" else 0 :][:1].strip() and c[-1:].strip()]
-        whole = [c if c[0] == "\n" else " " + c for c in alone]
-        return dict.fromkeys(new, ALONE) | dict(zip(alone, self.encode(whole), strict=True))
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], parts: Callable[[list[str]], dict[str, bytes | str]]):
+        self.whole = whole
+        self.first = Chunks(lambda new: dict(zip(new, whole(new), strict=True)))
+        self.rest = Chunks(parts)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
@@ -136,10 +137,14 @@ class BlankChunks:
         out = []
         for text, part, start, rest in zip(texts, parts, starts, rests, strict=True):
             safe = rest is not None and (part[0][-1:].strip() or not text)
-            out.append(start + rest if safe else self.encode([text])[0])  # type: ignore[operator]
+            out.append(start + rest if safe else self.whole([text])[0])  # type: ignore[operator]
         return out
 
 
+def with_blank(part: str) -> str:
+    return part if part[:1] == "\n" else " " + part
+
+
 class TextEncoder:
     """Token ids of whole texts by the tokenizers library, as unsigned integers of `width` bytes each.
 
@@ -156,40 +161,48 @@ class TextEncoder:
         self.by_word = by_word
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "<u2" if self.width == 2 else "<u4"
-        self.stems = Chunks(self.encode_stems)
-        self.tails = Chunks(lambda new: dict(zip(new, self.encode(new), strict=True)))
-        self.words = Chunks(lambda new: dict(zip(new, self.encode_many(new), strict=True)))
-        self.blanks = BlankChunks(self.encode_many)
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.words = Chunks(self.encode_parts)
+        self.blanks = BlankChunks(self.encode_marked, self.encode_parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.code).tobytes() for x in found]
 
-    def encode_many(self, chunks: list[str]) -> list[bytes]:
-        """Ids of many short chunks: a word's from `stems`, its closing punctuation's from `tails`."""
-        lead, start = ("", 0) if self.by_word else (" ", 1)
-        words: list[tuple[str, str] | None] = []
-        for c in chunks:
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes | str]:
+        """Words of letters and closing punctuation from `stems` and `tails`, other parts one by one."""
+        words, rest = [], []
+        for c in parts:
             w = c.rstrip(CLOSING)
-            plain = w[:start] == lead and w[start:].isalpha() and max(w) < LETTERS_END
-            words.append((w, c[len(w) :]) if plain else None)
-        self.tails.joined([[x[1] for x in words if x and x[1]]])
-        self.stems.joined([[x[0] for x in words if x]])
-        stems, tails = self.stems.known, self.tails.known | {"": b""}
-        out = [stems[x[0]] + tails[x[1]] if x else None for x in words]  # type: ignore[operator]
-        rest = iter(self.encode_marked([c for c, x in zip(chunks, words, strict=True) if not x]))
-        return [next(rest) if x is None else x for x in out]
-
-    def encode_stems(self, stems: list[str]) -> dict[str, bytes | str]:
-        """Words of letters only (behind their blank): their bytes spelled as the vocabulary does, then merged."""
+            if w.isalpha() and max(w) < LETTERS_END:
+                words.append((c, w, c[len(w) :]))
+            else:
+                rest.append(c)
+        if len(self.stems) > CACHED_CHUNKS:
+            self.stems.clear()
+        stems, tails = self.stems, self.tails
+        self.encode_stems({w for _, w, _ in words if w not in stems})
+        if new := list({t for _, _, t in words if t not in tails}):
+            tails.update(zip(new, self.encode(new), strict=True))
+        out: dict[str, bytes | str] = {c: stems[w] + tails[t] for c, w, t in words}
+        if self.by_word:
+            out.update(zip(rest, self.encode_marked(rest), strict=True))
+        else:
+            out.update((c, ALONE) for c in rest if not stands_alone(c))
+            rest = [c for c in rest if c not in out]
+            out.update(zip(rest, self.encode_marked([with_blank(c) for c in rest]), strict=True))
+        return out
+
+    def encode_stems(self, new: set[str]) -> None:
+        """Words of letters only: their bytes (and the blank's) spelled as the vocabulary does, then merged."""
         merge, code = self.tokenizer.model.tokenize, "H" if self.width == 2 else "I"
-        out: dict[str, bytes | str] = {}
-        for stem in stems:
+        lead = "" if self.by_word else chr(SPELLING[32])
+        for stem in new:
             spelled = stem.lower() if self.by_word else stem
-            if not spelled.isascii() or not self.by_word:
+            if not spelled.isascii():
                 spelled = spelled.encode().decode("latin-1").translate(SPELLING)
-            out[stem] = array(code, [t.id for t in merge(spelled)]).tobytes()
-        return out
+            self.stems[stem] = array(code, [t.id for t in merge(lead + spelled)]).tobytes()
 
     def encode_marked(self, chunks: list[str]) -> list[bytes]:
         """Other chunks. MARK stands between them in longer texts: far cheaper than a call each.
