@@ -15,7 +15,7 @@ near as can be to equal shares.
 Rows are numbered within their shard in two steps (counts per sub-bucket of the doc_id's hash, then rank
 within), so a shard or group of any size spreads over many tasks.
 
-Defined results: a null text has size 8 and forms the group of null texts; repeated rows are rows of one
+Defined results: a null text has size 8 and is of one group with the empty texts; repeated rows are rows of one
 group; an empty table gives an empty result; other columns are ignored; with fewer groups than shards,
 some shards stay empty.
 """
@@ -40,7 +40,7 @@ SLOT_ROWS = 20_000  # rows numbered together in one sub-bucket, about
 def sized(docs: DataFrame) -> DataFrame:
     """Stored doc_id, size, text_crc32 and place of each row; rows of equal text have one place."""
     text = F.col("text")
-    digest = F.when(text.isNull(), F.lit("0" * 15)).otherwise(F.substring(F.sha2(text, 256), 1, 15))
+    digest = F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15)
     return store(
         id_and_text(docs, None).select(
             "doc_id",
