@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tocsin.session import shared_folder, ship_package
 
-SLICE_CHARS = 4_000_000  # texts handled at once inside a task
-CACHED_CHUNKS = 800_000  # entries of a worker's cache of encoded chunks
+SLICE_CHARS = 1_000_000  # texts handled at once inside a task
+CACHED_CHUNKS = 1_000_000  # entries of a worker's cache of encoded chunks
 MARK = "\u2603"  # stands between chunks that are encoded together
 ALONE = "alone"  # in place of bytes: the text with this chunk is encoded whole
 CLOSING = ".,;:!?"  # punctuation that a word is parted from

@@ -31,6 +31,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_TOKENS = 1_000_000  # a block ends with the document that reaches this
 FILE_TOKENS = 8_000_000  # tokens of a file, about
+COUNTS = -1
 
 BLOCK = (
     "part int, block int, start long, doc_ids array<long>, lengths array<long>, n long, control binary, data binary"
@@ -63,23 +64,32 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Stored table of doc_id, ids and the row's place (part, idx)."""
+    """Stored table of doc_id, ids and the row's place (part, idx).
+
+    Each task adds a row of idx COUNTS: how often it has met each id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer, False)
         part, idx = TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.code).tobytes()
+        counts = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
         for batch in slices(batches):
             ids = [x + end for x in encoder.ids(batch.column("text").to_pylist())]
-            places = [pa.array([part] * len(ids), pa.int32()), pa.array(range(idx, idx + len(ids)), pa.int64())]
-            widths = pa.array([encoder.width] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary()), widths, *places],
-                ["doc_id", "ids", "width", "part", "idx"],
-            )
+            counts += np.bincount(ids_of(b"".join(ids), encoder.width), minlength=len(counts))
+            yield rows(batch.column("doc_id"), ids, encoder.width, part, range(idx, idx + len(ids)))
             idx += len(ids)
+        if idx:
+            yield rows(pa.array([None], pa.int64()), [counts.tobytes()], 8, part, [COUNTS])
 
-    return store(map_batches(id_and_text(docs), run, "doc_id long, ids binary, width int, part int, idx long"), "ids")
+    def rows(doc_ids, ids, width, part, places) -> pa.RecordBatch:
+        n = len(ids)
+        columns = [pa.array(ids, pa.binary()), pa.array([width] * n, pa.int32()), pa.array([part] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays([doc_ids, *columns, pa.array(places, pa.int64())], names)
+
+    schema = "doc_id long, ids binary, width int, part int, idx long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return store(map_batches(id_and_text(docs), run, schema), "ids")
 
 
 def ids_of(raw: bytes, width: int) -> np.ndarray:
@@ -90,17 +100,16 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs: as many numbers as the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-                new = np.bincount(ids_of(raw, width), minlength=len(counts))
-                new[: len(counts)] += counts
-                counts = new
-        used = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+            for raw in batch.column("ids").to_pylist():
+                counts = np.frombuffer(raw, np.int64)
+                total = counts + total if len(total) else counts
+        used = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counted = map_batches(tokens.select("ids", "width"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in counted.collect()}
+    counted = map_batches(tokens.where(F.col("idx") == COUNTS).select("ids"), run, "id long, n long")
+    return {r["id"]: r["n"] for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
@@ -142,7 +151,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
     types = [pa.int32(), pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.binary(), pa.binary()]
     files = max(1, -(-sum(counts.values()) // FILE_TOKENS))
     keys = ["doc_id", "part", "idx"]
-    ordered = tokens.repartitionByRange(files, *keys).sortWithinPartitions(*keys).select("doc_id", "ids", "width")
+    kept = tokens.where(F.col("idx") != COUNTS)
+    ordered = kept.repartitionByRange(files, *keys).sortWithinPartitions(*keys).select("doc_id", "ids", "width")
     map_batches(ordered, run, BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
