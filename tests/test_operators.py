@@ -189,12 +189,11 @@ def test_live_parent_matches_scan(spark, run):
 
 def test_children_views_agree(spark, run):
     sizes = {r.parent_dedup_key: r.children for r in state.children_set_sizes(run.links).collect()}
-    for set_rows in (100, 2):
-        sets = state.children_sets(run.links, set_rows).collect()
-        total = {}
-        for r in sets:
-            total.setdefault(r.parent_dedup_key, []).extend(r.children)
-        assert {k: len(set(v)) for k, v in total.items()} == sizes
+    sets = {r.parent_dedup_key: r.children for r in state.children_sets(run.links).collect()}
+    assert {k: len(set(v)) for k, v in sets.items()} == sizes
+    pairs = state.children(run.links).collect()
+    assert {(r.parent_dedup_key, r.dedup_key) for r in pairs} == {(k, c) for k, v in sets.items() for c in v}
+    assert len(pairs) == sum(sizes.values())
     counts = {r.parent_dedup_key: r.child_count for r in state.child_counts(run.links).collect()}
     assert {k: n for k, n in counts.items() if n} == sizes
     active = {r.parent_dedup_key: r.active_children for r in state.active_child_counts(run.alerts).collect()}

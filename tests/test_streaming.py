@@ -71,7 +71,7 @@ def test_ingest_log_round_trip(spark, tmp_path):
     managers, rules = config(spark)
     stream = write_files(spark, log, f"{tmp_path}/in", 2)
     start_ingest(
-        stream, managers, rules, f"{tmp_path}/log", f"{tmp_path}/rejects", f"{tmp_path}/c"
+        stream, (managers, rules), f"{tmp_path}/log", f"{tmp_path}/rejects", f"{tmp_path}/c"
     ).awaitTermination()
     messages = read_events(spark, f"{tmp_path}/log", "parquet")
     decoded, skipped = decode_log(messages)

@@ -54,21 +54,25 @@ def assign_parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     place, until, parent = None, None, None
     for batch in batches:
         cols = {n: batch.column(n) for n in batch.schema.names}
-        groups = zip(*[cols[n].to_pylist() for n in [*GROUP, "chunk"]])
-        families = []
-        for here, key, born, ends, open_until, open_parent in zip(
-            groups,
-            cols["dedup_key"].to_pylist(),
-            _micros(cols["born_at"]),
-            _micros(cols["expires_at"]),
-            _micros(cols["open_until"]),
-            cols["open_parent"].to_pylist(),
-        ):
-            if here != place:
-                place, until, parent = here, open_until, open_parent
-            if until is None or born > until:
-                until, parent = ends, key
-            families.append(parent)
+        groups = list(zip(*[cols[n].to_pylist() for n in [*GROUP, "chunk"]]))
+        born = cols["born_at"].cast(pa.int64()).to_numpy()
+        families: list[str] = []
+        at = 0
+        while at < len(born):
+            # births are sorted, so go from the end of one window to the next, not from birth to birth
+            if groups[at] != place:
+                place, parent = groups[at], cols["open_parent"][at].as_py()
+                until = cols["open_until"][at].cast(pa.int64()).as_py()
+            stop = at
+            while stop < len(born) and groups[stop] == place:
+                stop += 1
+            while at < stop:
+                if until is None or born[at] > until:
+                    parent = cols["dedup_key"][at].as_py()
+                    until = cols["expires_at"][at].cast(pa.int64()).as_py()
+                inside = at + int(np.searchsorted(born[at:stop], until, "right"))
+                families += [parent] * (inside - at)
+                at = inside
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(families, pa.string())], [*batch.schema.names, "family"]
         )
@@ -130,7 +134,7 @@ def _reduce(steps: DataFrame, shape: DataFrame, chunks: int) -> DataFrame:
     start = F.timestamp_add("MICROSECOND", F.col("chunk") * chunks * F.col("width"), F.col("first_at"))
     return (
         steps.withColumn("chunk", F.floor(F.col("chunk") / chunks))
-        .join(F.broadcast(shape), GROUP)
+        .join(shape, GROUP)
         .withColumn("horizon", expires_at(start, F.col("longest")))
         .select(*GROUP, "chunk", "upto", "leads_to", "parent", "tie", "horizon")
         .groupBy(*GROUP, "chunk")
@@ -156,7 +160,7 @@ def _nothing_open(df: DataFrame) -> DataFrame:
 def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
     """Add `chunk` and the window open at its start."""
     longest = (
-        born.join(F.broadcast(hot.select(*GROUP)), GROUP, "left_semi")
+        born.join(hot.select(*GROUP), GROUP, "left_semi")
         .groupBy(*GROUP)
         .agg(F.max("time_window_minutes").alias("longest"))
     )
@@ -164,14 +168,13 @@ def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
         F.col("longest").cast("long") * 60_000_000 * WINDOWS_PER_CHUNK,
         F.ceil(F.col("span") / F.col("slots")),
     )
-    # one row per hot group, so no larger than the list of hot keys
     shape = materialize(
         hot.join(longest, GROUP).select(*GROUP, "first_at", "longest", width.cast("long").alias("width")),
         "shape",
     )
     since = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("born_at"))
     chunk = F.coalesce(F.floor(since / F.col("width")), F.lit(0)).cast("long")
-    chunked = born.join(F.broadcast(shape), GROUP, "left").withColumn("chunk", chunk)
+    chunked = born.join(shape, GROUP, "left").withColumn("chunk", chunk)
     single = chunked.filter(F.col("width").isNotNull()).selectExpr(
         *GROUP,
         "chunk",

@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 
 from tocsin.session import materialize
 
-# At most this many keys are split. The keys with the most rows are taken, so
-# any key with more than 1/MAX_HOT_KEYS of all rows is among them, and the
-# broadcast list of hot keys has a fixed upper size. Keys outside the list are
-# processed whole, which changes no result.
-MAX_HOT_KEYS = 10_000
+# Slots of a hot key are cut at these quantiles of its times.
+QUANTILES = 1_000
 
 
 @dataclass(frozen=True)
@@ -53,30 +50,38 @@ def hot_keys(stats: DataFrame, key: list[str], limits: Limits | None) -> DataFra
         return None
     hot = (
         stats.filter(F.col("rows") > limits.hot_rows)
-        .orderBy(F.desc("rows"), *key)
-        .limit(MAX_HOT_KEYS)
         .select(
             *key,
             "first_at",
             (F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")) + 1).alias("span"),
-            F.ceil(F.col("rows") / limits.slot_rows).cast("int").alias("slots"),
+            F.least(F.ceil(F.col("rows") / limits.slot_rows), F.lit(QUANTILES)).cast("int").alias("slots"),
         )
     )
     return None if hot.isEmpty() else materialize(hot, "hot")
 
 
 def with_slot(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
-    """Add `slots` (1 if the key is not split) and `slot`, which grows with received_at."""
+    """Add `slots` (1 if the key is not split) and `slot`, which grows with received_at.
+
+    Slots hold about as many rows each, whatever the times are like: they are cut
+    at quantiles of the key's own rows. Rows of one instant stay together.
+    """
     if hot is None:
         return df.selectExpr("*", "1 AS slots", "0 AS slot")
     since = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("received_at"))
-    slot = F.floor(since / F.col("span") * F.col("slots")).cast("int")
-    slot = F.greatest(F.lit(0), F.least(slot, F.col("slots") - 1))
+    shares = [i / QUANTILES for i in range(1, QUANTILES)]
+    of_keys = df.select(*key, "received_at").join(hot, key)
+    cuts = of_keys.groupBy(*key, "slots", "first_at").agg(F.percentile_approx(since, shares, 10 * QUANTILES).alias("q"))
+    # of the quantiles those that cut the key into its number of slots
+    nth = lambda i: F.element_at("q", F.floor(i * QUANTILES / F.col("slots")).cast("int"))
+    wanted = F.when(F.col("slots") > 1, F.transform(F.sequence(F.lit(1), F.col("slots") - 1), nth))
+    cuts = materialize(cuts.select(*key, "slots", "first_at", wanted.alias("cuts")), "cuts")
+    slot = F.size(F.filter("cuts", lambda c: c < since)).cast("int")
     return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("slot", F.coalesce(slot, F.lit(0)))
+        df.join(cuts, key, "left")
+        .withColumn("slot", F.when(F.col("cuts").isNull(), 0).otherwise(slot))
         .withColumn("slots", F.coalesce("slots", F.lit(1)))
-        .drop("first_at", "span")
+        .drop("first_at", "cuts")
     )
 
 

@@ -57,7 +57,7 @@ def attach(routed: DataFrame, links: DataFrame, hot: DataFrame | None) -> DataFr
     if hot is None:
         return events.join(alerts, "dedup_key", "left")
     alerts = (
-        alerts.join(F.broadcast(hot.select("dedup_key", "slots")), "dedup_key", "left")
+        alerts.join(hot.select("dedup_key", "slots"), "dedup_key", "left")
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)))
         .drop("slots")
     )
@@ -78,6 +78,10 @@ def alert_history(
     rows = attach(routed, links, hot)
     if not unborn:
         rows = rows.filter(after_birth())
+    else:
+        # events before a birth, or without any, carry nothing: spread them, however many a key has
+        alone = 1_000_000 + F.pmod(F.xxhash64("received_at", "seq"), F.lit(1024)).cast("int")
+        rows = rows.withColumn("slot", F.when(F.coalesce(after_birth(), F.lit(False)), C("slot")).otherwise(alone))
     was = F.when(after_birth(), C("action"))
     rows = running(rows, ["dedup_key"], hot is not None, latest={"was": was})
     return rows.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ from tocsin.schemas import ALERT_COLUMNS
 DEFAULT_LIMIT = 100
 
 
+LARGEST = 2**31 - 1  # rows that a page can name
+
+
 def _whole_number(text: str | int | None, least: int, default: int) -> int:
-    try:
-        number = int(text)
-    except (TypeError, ValueError):
+    """A decimal number with an optional sign that a 64-bit integer holds; else `default`."""
+    if not re.fullmatch(r"[+-]?[0-9]+", str(text)):
         return default
-    return number if number >= least else default
+    number = int(text)
+    return number if least <= number < 2**63 else default
 
 
 def list_alerts(
@@ -35,12 +40,12 @@ def list_alerts(
     for name, value in wanted.items():
         if value:
             alerts = alerts.filter(F.col(name) == value)
-    return (
-        alerts.select(*ALERT_COLUMNS)
-        .orderBy(F.desc("created_at"), "dedup_key")
-        .offset(_whole_number(offset, 0, 0))
-        .limit(_whole_number(limit, 1, DEFAULT_LIMIT))
-    )
+    skipped, wanted_rows = _whole_number(offset, 0, 0), _whole_number(limit, 1, DEFAULT_LIMIT)
+    page = alerts.select(*ALERT_COLUMNS).orderBy(F.desc("created_at"), "dedup_key")
+    if skipped > LARGEST:
+        return page.limit(0)
+    page = page.offset(skipped) if skipped else page
+    return page.limit(wanted_rows) if wanted_rows <= LARGEST else page
 
 
 def lookup(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.functions.alerts import is_active, is_child, is_parent
+from tocsin.functions.alerts import is_active, is_child
 from tocsin.operators.anchors import GROUP
 from tocsin.operators.asof import asof_join
 from tocsin.operators.hot import Limits
 
-# Longest array a children set is returned in. A larger set comes in several rows.
-SET_ROWS = 100_000
-
 
 def alert_state(alerts: DataFrame) -> DataFrame:
     return alerts.select(
@@ -35,21 +32,21 @@ def child_counts(links: DataFrame) -> DataFrame:
     )
 
 
-def children_sets(links: DataFrame, set_rows: int = SET_ROWS) -> DataFrame:
-    """(parent_dedup_key, part, children): the sorted children of every parent that has any.
+def children(links: DataFrame) -> DataFrame:
+    """(parent_dedup_key, dedup_key): every child with its parent, one row each at any size."""
+    return links.filter(F.col("dedup_key") != F.col("family")).select(
+        F.col("family").alias("parent_dedup_key"), "dedup_key"
+    )
+
+
+def children_sets(links: DataFrame) -> DataFrame:
+    """(parent_dedup_key, children): the sorted children of every parent that has any, as one array.
 
-    `part` is 0 unless the parent has more than `set_rows` children; then the
-    set is spread over parts by hash, so no task holds it whole.
+    For parents whose children fit an array; `children` serves all.
     """
-    children = links.filter(F.col("dedup_key") != F.col("family")).select("family", "dedup_key")
-    sizes = children.groupBy("family").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > set_rows).select(
-        "family", F.ceil(F.col("n") / set_rows).cast("int").alias("parts")
-    )
-    part = F.pmod(F.hash("dedup_key"), F.coalesce("parts", F.lit(1)))
     return (
-        children.join(large, "family", "left")
-        .groupBy(F.col("family").alias("parent_dedup_key"), part.alias("part"))
+        children(links)
+        .groupBy("parent_dedup_key")
         .agg(F.sort_array(F.collect_set("dedup_key")).alias("children"))
     )
 
@@ -95,9 +92,3 @@ def pending_resolves(parents: DataFrame) -> DataFrame:
     return parents.filter("resolve_requested").select(
         F.col("dedup_key").alias("parent_dedup_key"), "requested_at", "remaining_children"
     )
-
-
-def status_counts(alerts: DataFrame) -> DataFrame:
-    return alerts.groupBy("type", "status").agg(
-        F.count("*").alias("alerts"), F.count_if(is_parent()).alias("parents")
-    )

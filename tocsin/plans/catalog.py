@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from tocsin.functions.events import alert_id
 from tocsin.operators import births as birth_ops
 from tocsin.operators import config_feed, lifecycle, reads, state
+from tocsin.operators.hot import Limits
 from tocsin.operators.routing import reject_counts, route_events
 from tocsin.plans.oracle import AT, MANAGER_CHANGES_SQL, RULE_CHANGES_SQL
 from tocsin.plans.run import AlertRun
 from tocsin.schemas import EVENT_FIELDS
 from tocsin.session import materialize, shared_folder
+from tocsin.sources.config import load_config
 from tocsin.sources.events import (
     ALERT_EVENTS_SQL,
     alert_events,
@@ -23,9 +25,9 @@ from tocsin.sources.events import (
     parse_events,
     read_events,
 )
-from tocsin.sources.log import to_log_messages
+from tocsin.sources.log import to_log_messages, write_log
 from tocsin.sources.sample_config import sample_config
-from tocsin.streaming.pipeline import read_alerts, start_ingest, start_lifecycle
+from tocsin.streaming.pipeline import read_alerts, start_decode, start_ingest, start_lifecycle
 
 _RUNS: dict[tuple, AlertRun] = {}
 
@@ -39,11 +41,15 @@ def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return route_events(alert_events(spark, sf_dir), *sample_config(spark))
 
 
-def _run(spark: SparkSession, sf_dir: str, until: str = "") -> AlertRun:
+# every key with a few rows counts as hot: the plans that 100 TB would run, on any size
+SPLIT = Limits(hot_rows=4, slot_rows=3)
+
+
+def _run(spark: SparkSession, sf_dir: str, until: str = "", limits: Limits = Limits()) -> AlertRun:
     """The run over a folder's events, shared by the queries of one session."""
-    key = (spark.sparkContext.applicationId, sf_dir, until)
+    key = (spark.sparkContext.applicationId, sf_dir, until, limits)
     if key not in _RUNS:
-        run = AlertRun(_routed(spark, sf_dir)[0])
+        run = AlertRun(_routed(spark, sf_dir)[0], limits)
         _RUNS[key] = run.until(until) if until else run
     return _RUNS[key]
 
@@ -57,6 +63,30 @@ def _with_k(df: DataFrame, sf_dir: str) -> DataFrame:
     return df.join(events.select(F.col("event_id").alias("seq"), _k().alias("k")), "seq")
 
 
+def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, received_at and JSON bodies: cut short, no JSON, a field missing, of another type, case or with more."""
+    events = spark.sql(
+        ALERT_EVENTS_SQL.replace("SELECT event_id", "SELECT k, event_id", 1).format(events="{events}"),
+        events=spark.read.parquet(f"{sf_dir}/events.parquet"),
+    ).withColumnRenamed("dedup_key", "dedupKey")
+    body = F.to_json(F.struct(*EVENT_FIELDS))
+    short = F.to_json(F.struct(*[f for f in EVENT_FIELDS if f != "class"]))
+    named = lambda old, new: F.replace(F.col("body"), F.lit(f'"{old}":'), F.lit(f'"{new}":'))
+    value = (
+        F.when(F.col("k") == 7, F.expr("substring(body, 1, length(body) - 1)"))
+        .when(F.col("k") == 11, "not json")
+        .when(F.col("k") == 13, short)
+        .when(F.col("k") == 14, F.concat(F.lit('{"summary":5,'), F.expr("substring(body, 2)")))
+        .when(F.col("k") == 15, F.regexp_replace("body", '"class":"[^"]*"', '"class":{"a":1}'))
+        .when(F.col("k") == 17, F.concat("body", F.lit(" trailing")))
+        .when(F.col("k") == 18, named("dedupKey", "DEDUPKEY"))
+        .when(F.col("k") == 19, F.regexp_replace("body", '"class":"[^"]*"', '"class":null'))
+        .when(F.col("k") == 20, F.regexp_replace("body", '"class":"[^"]*"', '"class":7'))
+        .otherwise(F.col("body"))
+    )
+    return events.withColumn("body", body).select("seq", "received_at", value.alias("value"))
+
+
 def event_rejects(spark, sf_dir):
     return _routed(spark, sf_dir)[1]
 
@@ -75,19 +105,8 @@ def partition_keys(spark, sf_dir):
 
 
 def malformed_json(spark, sf_dir):
-    """Events as JSON bodies, some cut short, not JSON at all, or without a field."""
-    events = _with_k(alert_events(spark, sf_dir), sf_dir)
-    events = events.withColumnRenamed("dedup_key", "dedupKey")
-    body = F.to_json(F.struct(*EVENT_FIELDS))
-    short = F.to_json(F.struct(*[f for f in EVENT_FIELDS if f != "class"]))
-    value = (
-        F.when(F.col("k") == 7, F.expr("substring(body, 1, length(body) - 1)"))
-        .when(F.col("k") == 11, "not json")
-        .when(F.col("k") == 13, short)
-        .otherwise(F.col("body"))
-    )
-    raw = events.withColumn("body", body).select("seq", value.alias("value"))
-    parsed, malformed = parse_events(raw)
+    """Events as JSON bodies, some of which the decoder refuses."""
+    parsed, malformed = parse_events(_raw_events(spark, sf_dir).drop("received_at"))
     return (
         parsed.select("seq", "event_manager_id", "dedup_key", "class")
         .unionByName(malformed.select("seq", "reject_reason"), allowMissingColumns=True)
@@ -114,7 +133,9 @@ def decoded_log(spark, sf_dir):
     broken = routed.filter("k = 21")
     good = to_log_messages(routed.filter("k <> 21"))
     bad = to_log_messages(broken).withColumn("value", F.expr("substring(value, 3)"))
-    events, _ = decode_log(good.unionByName(bad))
+    folder = _stream_folder(spark, "log")
+    write_log(good.unionByName(bad), folder)
+    events, _ = decode_log(read_events(spark, folder, "parquet"))
     return events.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
 
 
@@ -174,6 +195,10 @@ def children_sets(spark, sf_dir):
     return sets.withColumn("children", F.concat_ws(",", "children"))
 
 
+def children(spark, sf_dir):
+    return state.children(_run(spark, sf_dir).links)
+
+
 def children_set_sizes(spark, sf_dir):
     return state.children_set_sizes(_run(spark, sf_dir).links)
 
@@ -196,6 +221,24 @@ def live_parent_probe(spark, sf_dir):
     return state.live_parent(run.routed.select("seq", "received_at", *group), run.links)
 
 
+def grouped_alerts_split(spark, sf_dir):
+    return _run(spark, sf_dir, limits=SPLIT).grouped
+
+
+def event_outcomes_split(spark, sf_dir):
+    return _run(spark, sf_dir, limits=SPLIT).outcomes
+
+
+def alerts_final_split(spark, sf_dir):
+    return _run(spark, sf_dir, limits=SPLIT).alerts
+
+
+def live_parent_probe_split(spark, sf_dir):
+    run = _run(spark, sf_dir, limits=SPLIT)
+    group = ["event_manager_id", "grouping_key", "grouping_value"]
+    return state.live_parent(run.routed.select("seq", "received_at", *group), run.links, SPLIT)
+
+
 def alert_state_asof(spark, sf_dir):
     return state.alert_state(_run(spark, sf_dir, AT).alerts)
 
@@ -290,6 +333,14 @@ def config_manager_rejects(spark, sf_dir):
     return _managers(spark, sf_dir)[2]
 
 
+def rules_by_id(spark, sf_dir):
+    """Every rule there has been, deleted ones among them, and ids that no rule has."""
+    current, history, _ = _rules(spark, sf_dir)
+    other = alert_events(spark, sf_dir).select(F.concat(F.lit("rule-"), "class").alias("id"))
+    found = reads.config_by_id(current, history.select("id").unionByName(other))
+    return found.select("requested", "found", "name", "grouping_key")
+
+
 def config_by_id(spark, sf_dir):
     ids = alert_events(spark, sf_dir).select(F.col("event_manager_id").alias("id"))
     found = reads.config_by_id(_managers(spark, sf_dir)[0], ids)
@@ -315,37 +366,90 @@ def alerts_asof_config(spark, sf_dir):
     return AlertRun(materialize(_routed_asof(spark, sf_dir)[0], "routed")).alerts
 
 
-def _event_stream(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    files = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
-    return spark.sql(ALERT_EVENTS_SQL.format(events="{events}"), events=files.parquet(sf_dir))
+MICRO_BATCHES = 5
 
 
 def _stream_folder(spark, name):
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_ingest(spark, sf_dir):
-    """Events streamed through ingest into the log, and the log decoded again."""
+def _in_files(spark, df, name, at="received_at"):
+    """A stream of `df` in micro-batches, in the order of `at`: one file each, written one after the other."""
+    folder = _stream_folder(spark, name)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    shares = [i / MICRO_BATCHES for i in range(1, MICRO_BATCHES)]
+    cuts = df.agg(F.percentile_approx(micros, shares, 10_000).alias("c")).first()["c"] or []
+    batch = F.lit(0)
+    for cut in sorted(set(cuts)):
+        batch = batch + (micros > cut).cast("int")
+    for number in range(len(set(cuts)) + 1):
+        df.where(batch == number).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _event_stream(spark, sf_dir):
+    return _in_files(spark, alert_events(spark, sf_dir), "events")
+
+
+def _stored_config(spark):
+    """The sample config written to files; gives a function that loads them."""
+    folder = _stream_folder(spark, "config")
+    managers, rules = sample_config(spark)
+    managers.write.parquet(f"{folder}/managers")
+    rules.write.parquet(f"{folder}/rules")
+    return lambda session: load_config(session, f"{folder}/managers", f"{folder}/rules")
+
+
+def _ingested(spark, sf_dir, events):
     folder = _stream_folder(spark, "ingest")
     log, rejects = f"{folder}/log", f"{folder}/rejects"
-    managers, rules = sample_config(spark)
-    events = _event_stream(spark, sf_dir)
-    start_ingest(events, managers, rules, log, rejects, f"{folder}/checkpoint").awaitTermination()
+    start_ingest(events, _stored_config(spark), log, rejects, f"{folder}/checkpoint").awaitTermination()
+    return log, rejects
+
+
+def stream_ingest(spark, sf_dir):
+    """Events streamed through ingest into the log, and the log decoded again."""
+    log, _ = _ingested(spark, sf_dir, _event_stream(spark, sf_dir))
     decoded, _ = decode_log(read_events(spark, log, "parquet").drop("batch"))
     return decoded.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
 
 
-def stream_alerts(spark, sf_dir):
-    """The alerts table kept by the stateful stream."""
+def stream_raw_ingest(spark, sf_dir):
+    """JSON bodies streamed through ingest into the log, and the log decoded by another stream."""
+    log, _ = _ingested(spark, sf_dir, _in_files(spark, _raw_events(spark, sf_dir), "raw"))
+    folder = _stream_folder(spark, "decoded")
+    messages = spark.readStream.schema("key binary, value binary, headers array<struct<key:string,value:binary>>")
+    messages = messages.option("recursiveFileLookup", "true").parquet(log)
+    start_decode(messages, f"{folder}/events", f"{folder}/skipped", f"{folder}/checkpoint").awaitTermination()
+    decoded = spark.read.parquet(f"{folder}/events").drop("batch")
+    return decoded.withColumn("received_at", F.col("received_at").cast("timestamp_ntz")).select(
+        "seq", "received_at", "dedup_key", "class", "partition_key"
+    )
+
+
+def stream_malformed(spark, sf_dir):
+    """What ingest puts aside of JSON bodies: refused events and bodies that don't parse."""
+    _, rejects = _ingested(spark, sf_dir, _in_files(spark, _raw_events(spark, sf_dir), "raw"))
+    return spark.read.parquet(rejects).select("seq", "reject_reason")
+
+
+def _lifecycle(spark, sf_dir):
     folder = _stream_folder(spark, "stream")
     managers, rules = sample_config(spark)
     routed, _ = route_events(_event_stream(spark, sf_dir), managers, rules)
-    alerts = f"{folder}/alerts"
-    start_lifecycle(
-        routed, alerts, f"{folder}/notifications", f"{folder}/checkpoint", managers
-    ).awaitTermination()
-    return read_alerts(spark, alerts)
+    alerts, notes = f"{folder}/alerts", f"{folder}/notifications"
+    start_lifecycle(routed, alerts, notes, f"{folder}/checkpoint", managers).awaitTermination()
+    return alerts, notes
+
+
+def stream_alerts(spark, sf_dir):
+    """The alerts table kept by the stateful stream."""
+    return read_alerts(spark, _lifecycle(spark, sf_dir)[0])
+
+
+def stream_notifications(spark, sf_dir):
+    """The notification log of the stateful stream."""
+    return spark.read.parquet(_lifecycle(spark, sf_dir)[1]).drop("batch")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -371,11 +475,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         active_child_count,
         child_count,
         children_sets,
+        children,
         children_set_sizes,
         pending_resolves,
         pending_resolves_asof,
         open_parents,
         live_parent_probe,
+        grouped_alerts_split,
+        event_outcomes_split,
+        alerts_final_split,
+        live_parent_probe_split,
         alert_state_asof,
         notifications,
         list_alerts_active,
@@ -393,10 +502,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         config_manager_history,
         config_manager_rejects,
         config_by_id,
+        rules_by_id,
         routed_asof,
         rejects_asof,
         alerts_asof_config,
         stream_ingest,
+        stream_raw_ingest,
+        stream_malformed,
         stream_alerts,
+        stream_notifications,
     )
 }

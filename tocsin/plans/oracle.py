@@ -47,6 +47,16 @@ joined AS (
   FROM ev e LEFT JOIN managers m ON e.event_manager_id = m.id
             LEFT JOIN rules r ON m.grouping_rule_id = r.id)"""
 
+# the sample's JSON bodies by the number k in `props`: those the decoder refuses, and those without a class
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+_BROKEN = "(7, 11, 14, 15, 17, 20)"
+_RAW_EVENTS = _EVENTS.replace(
+    "ev AS (",
+    f"""ev AS (SELECT e.* REPLACE (CASE WHEN x.k IN (13, 19) THEN '' ELSE e.class END AS class)
+FROM (SELECT event_id, {_K} AS k FROM events) x JOIN (""",
+    1,
+).replace("),\nrules AS", f") e ON e.seq = x.event_id WHERE x.k NOT IN {_BROKEN}),\nrules AS", 1)
+
 _ROUTED = f""",
 checked AS (SELECT *, {_REASON} AS reject_reason FROM joined),
 routed AS (
@@ -83,7 +93,7 @@ links AS (
 _HISTORY = """,
 known AS (
   SELECT r.dedup_key, r.received_at, r.seq, r.action, l.family,
-    r.seq = l.born_seq AS is_birth, r.dedup_key = l.family AS is_parent
+    r.seq = l.born_seq AND r.received_at = l.born_at AS is_birth, r.dedup_key = l.family AS is_parent
   FROM routed r JOIN links l ON r.dedup_key = l.dedup_key
   WHERE r.received_at > l.born_at OR (r.received_at = l.born_at AND r.seq >= l.born_seq)),
 history AS (
@@ -263,11 +273,12 @@ def oracles() -> dict[str, str]:
     WHEN step = 1 THEN 'reactivated' ELSE 'child_resolved' END AS outcome,
   effect = 'cascaded' AS cascaded FROM effects
 UNION ALL SELECT r.seq, r.received_at, r.dedup_key, r.action, 'resolve_unknown', FALSE
-FROM routed r WHERE r.seq NOT IN (SELECT seq FROM known)"""
+FROM routed r WHERE NOT EXISTS (SELECT 1 FROM known k
+  WHERE k.dedup_key = r.dedup_key AND k.received_at = r.received_at AND k.seq = r.seq)"""
     alerts = f"SELECT {_ALERT_COLUMNS} FROM alerts"
     k_of = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
     lookup = "a.dedup_key, a.type, a.status, a.child_count, a.created_at, a.dedup_key IS NOT NULL AS found"
-    return {
+    sql = {
         "event_rejects": _sql(
             f"""SELECT seq, received_at, event_manager_id, summary, severity, action, class, dedup_key,
   reject_reason, {_CODE.format(r="reject_reason")} AS reject_code,
@@ -287,10 +298,10 @@ FROM checked WHERE reject_reason IS NOT NULL GROUP BY reject_reason""",
             _ROUTED,
         ),
         "malformed_json": _sql(
-            f"""SELECT e.seq, CASE WHEN k NOT IN (7, 11) THEN event_manager_id END AS event_manager_id,
-  CASE WHEN k NOT IN (7, 11) THEN dedup_key END AS dedup_key,
-  CASE WHEN k = 13 THEN '' WHEN k NOT IN (7, 11) THEN class END AS class,
-  CASE WHEN k IN (7, 11) THEN 'malformed' END AS reject_reason
+            f"""SELECT e.seq, CASE WHEN k NOT IN {_BROKEN} THEN event_manager_id END AS event_manager_id,
+  CASE WHEN k NOT IN {_BROKEN} THEN dedup_key END AS dedup_key,
+  CASE WHEN k IN (13, 19) THEN '' WHEN k NOT IN {_BROKEN} THEN class END AS class,
+  CASE WHEN k IN {_BROKEN} THEN 'malformed' END AS reject_reason
 FROM ev e JOIN (SELECT event_id, {k_of} AS k FROM events) x ON x.event_id = e.seq""",
         ),
         "log_messages": _sql(
@@ -356,11 +367,14 @@ FROM alerts GROUP BY coalesce(parent_dedup_key, dedup_key)""",
             *link,
         ),
         "children_sets": _sql(
-            """SELECT family AS parent_dedup_key, 0 AS part,
+            """SELECT family AS parent_dedup_key,
   string_agg(dedup_key, ',' ORDER BY dedup_key) AS children
 FROM links WHERE dedup_key <> family GROUP BY family""",
             *link,
         ),
+        "children": _sql(
+            "SELECT family AS parent_dedup_key, dedup_key FROM links WHERE dedup_key <> family", *link
+        ),
         "children_set_sizes": _sql(
             """SELECT family AS parent_dedup_key, count(DISTINCT dedup_key) AS children
 FROM links WHERE dedup_key <> family GROUP BY family""",
@@ -400,9 +414,10 @@ FROM alerts""",
         "notifications": _sql(
             """SELECT md5(e.family) AS alert_id, e.family AS dedup_key, l.event_manager_id, l.summary,
   l.severity, CASE e.effect WHEN 'born' THEN 'active' ELSE 'resolved' END AS status, 'parent' AS type,
-  CAST(e.children AS INTEGER) AS child_count, e.received_at AS timestamp, m.webhook_url
-FROM effects e JOIN links l ON l.dedup_key = e.family JOIN managers m ON m.id = l.event_manager_id
-WHERE e.effect IN ('born', 'resolved', 'cascaded')""",
+  CAST(e.children AS INTEGER) AS child_count, e.received_at AS timestamp,
+  coalesce(m.webhook_url, '') AS webhook_url
+FROM effects e JOIN links l ON l.dedup_key = e.family LEFT JOIN managers m ON m.id = l.event_manager_id
+WHERE e.effect = 'born' OR (e.effect IN ('resolved', 'cascaded') AND m.id IS NOT NULL)""",
             *full,
         ),
         "list_alerts_active": _sql(
@@ -461,6 +476,26 @@ LEFT JOIN manager_current m ON m.id = k.id""",
             base=_ASOF,
         ),
         "alerts_asof_config": _sql(alerts, *full, base=_ASOF),
+        "rules_by_id": _sql(
+            f"""SELECT k.id AS requested, r.id IS NOT NULL AS found, r.name, r.grouping_key
+FROM (SELECT id FROM rule_history
+      UNION SELECT 'rule-' || class FROM ({ALERT_EVENTS_SQL.format(events="events")}) e) k
+LEFT JOIN rule_current r ON r.id = k.id""",
+            base=_RULE_FEED,
+        ),
         "stream_ingest": _sql(f"SELECT {routed_columns} FROM routed", _ROUTED),
+        "stream_raw_ingest": _sql(
+            "SELECT seq, received_at, dedup_key, class, partition_key FROM routed", _ROUTED, base=_RAW_EVENTS
+        ),
+        "stream_malformed": _sql(
+            "SELECT seq, reject_reason FROM checked WHERE reject_reason IS NOT NULL "
+            f"UNION ALL SELECT event_id, 'malformed' FROM events WHERE {_K} IN {_BROKEN}",
+            _ROUTED,
+            base=_RAW_EVENTS,
+        ),
         "stream_alerts": _sql(alerts, *full),
     }
+    sql["stream_notifications"] = sql["notifications"]
+    for name in ("grouped_alerts", "event_outcomes", "alerts_final", "live_parent_probe"):
+        sql[f"{name}_split"] = sql[name]
+    return sql

@@ -25,6 +25,9 @@ def build_session(name: str = "tocsin", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
+    if not (master or "").startswith("local"):
+        # where AQE starts to merge shuffle partitions from; 100 TB need far more than the default 200
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "20000")
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -41,16 +41,47 @@ def read_events(
     return df.withColumn("value", F.col("value").cast("string"))
 
 
-def _parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    with_marker = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    body = F.from_json(
-        F.col("value").cast("string"), with_marker, {"columnNameOfCorruptRecord": "_corrupt_record"}
-    )
-    return raw.withColumn("body", body)
+def stamp_arrival(messages: DataFrame) -> DataFrame:
+    """Kafka messages with `received_at` and `seq`: the broker's time, then partition and offset.
+
+    (received_at, seq) is a total order: an offset occurs once in a partition.
+    """
+    place = F.shiftleft(F.col("partition").cast("long"), 48).bitwiseOR(F.col("offset").cast("long"))
+    return messages.withColumn("received_at", F.col("timestamp").cast("timestamp_ntz")).withColumn("seq", place)
 
 
-def _is_malformed() -> F.Column:
-    return F.col("body").isNull() | F.col("body._corrupt_record").isNotNull()
+def _parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Add `body`, the fields of `schema`, and `sound`: whether the record is one object that fits.
+
+    As in the original decoder, a text field must be a string or null, names match without regard to case,
+    the last of several strings wins, and nothing may follow the object. Other fields (times and numbers, which
+    this engine writes itself) are read by their exact names.
+    """
+    value = F.col("value").cast("string")
+    strict = {"allowSingleQuotes": "false"}
+    entries = F.map_entries(F.from_json(value, "map<string,variant>", strict))
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+
+    def named(name: str) -> F.Column:
+        return F.filter("entries", lambda e: F.lower(e["key"]) == name.lower())
+
+    def field(name: str) -> F.Column:
+        strings = F.filter(named(name), lambda e: F.schema_of_variant(e["value"]) == "STRING")
+        return F.get(F.reverse(strings), F.lit(0))["value"]
+
+    fits = F.lit(True)
+    for name in texts:
+        fits &= F.forall(named(name), lambda e: F.schema_of_variant(e["value"]).isin("STRING", "VOID"))
+    others = [F.col(f"typed.{f.name}").alias(f.name) for f in schema.fields if f.name not in texts]
+    columns = [F.try_variant_get(field(name), "$", "string").alias(name) for name in texts]
+    one = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    return (
+        raw.withColumn("entries", entries)
+        .withColumn("typed", F.from_json(value, schema, strict))
+        .withColumn("sound", F.coalesce(one & F.col("entries").isNotNull() & fits, F.lit(False)))
+        .withColumn("body", F.struct(*columns, *others))
+        .drop("entries", "typed")
+    )
 
 
 def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +90,11 @@ def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     keep = [c for c in raw.columns if c != "value"]
     fields = [text(f"body.{f.name}").alias(f.name) for f in EVENT_JSON.fields]
     events = (
-        parsed.filter(~_is_malformed())
+        parsed.filter("sound")
         .select(*keep, *fields)
         .withColumnRenamed("dedupKey", "dedup_key")
     )
-    malformed = parsed.filter(_is_malformed()).select(
+    malformed = parsed.filter("NOT sound").select(
         *keep, "value", F.lit(MALFORMED).alias("reject_reason")
     )
     return events, malformed
@@ -73,7 +104,7 @@ def decode_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages of the enriched log to (routed events, skipped messages)."""
     parsed = _parsed(raw, LOG_JSON)
     # a record without its log position cannot be ordered
-    broken = _is_malformed() | F.col("body.received_at").isNull() | F.col("body.seq").isNull()
+    broken = ~F.col("sound") | F.col("body.received_at").isNull() | F.col("body.seq").isNull()
     texts = [
         text(f"body.{f.name}").alias(f.name)
         for f in LOG_JSON.fields

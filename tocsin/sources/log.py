@@ -30,6 +30,9 @@ def to_log_messages(routed: DataFrame) -> DataFrame:
 
 
 def write_log(messages: DataFrame, target: str, fmt: str = "parquet", **options: str) -> None:
-    """Append messages in batch: a folder of files, or a topic with fmt='kafka'."""
-    writer = messages.write.format(fmt).mode("append").options(**options)
-    writer.option("topic", target).save() if fmt == "kafka" else writer.save(target)
+    """Write messages: a folder of files, which is replaced, or a topic with fmt='kafka', which grows."""
+    writer = messages.write.format(fmt).options(**options)
+    if fmt == "kafka":
+        writer.option("topic", target).save()
+    else:
+        writer.mode("overwrite").save(target)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tocsin.functions.events import alert_id
+from tocsin.functions.events import alert_id, reject_code, reject_message
 from tocsin.operators.routing import route_events
 from tocsin.schemas import ALERT_COLUMNS
 from tocsin.session import ship_package
-from tocsin.sources.log import to_log_messages
+from tocsin.sources.events import decode_log, parse_events
+from tocsin.sources.log import to_log_messages, write_log
 from tocsin.streaming import processors as p
 
 _STATE = "spark.sql.streaming.stateStore"
@@ -23,30 +27,43 @@ STATE_STORE = {
 ROUTED_SCHEMA = f"{p.BIRTH_SCHEMA}, partition_key string"
 
 
+Config = tuple[DataFrame, DataFrame]
+
+
 def start_ingest(
     events: DataFrame,
-    managers: DataFrame,
-    rules: DataFrame,
+    config: Config | Callable[[SparkSession], Config],
     log: str,
     rejects: str,
     checkpoint: str,
     fmt: str = "parquet",
+    options: dict[str, str] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Validate, route and enrich a stream of events into the log; refused events go to `rejects`.
 
-    Stateless: no shuffle but what a config table too large to broadcast needs.
-    With fmt='kafka' pass a batch's messages on to the topic `log`.
+    `events` has event columns, or `value` with raw JSON beside `received_at` and `seq`: then bodies that
+    don't parse go to `rejects` as well, with their text. `config` is (managers, rules), or a function that
+    loads them; it is called for every micro-batch, so that changed tables are seen.
+
+    Stateless: no shuffle but what a config table too large to broadcast needs. A file sink overwrites the
+    folder of its micro-batch. With fmt='kafka' messages go to the topic `log` with `options` (its
+    bootstrap servers at least); a micro-batch that is repeated after a failure is then sent again, and
+    readers drop the copies by (received_at, seq).
     """
+    raw = "value" in events.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        routed, refused = route_events(batch, managers, rules)
-        messages = to_log_messages(routed)
-        if fmt == "kafka":
-            messages.write.format("kafka").option("topic", log).save()
-        else:
-            messages.write.format(fmt).mode("overwrite").save(f"{log}/batch={batch_id}")
+        managers, rules = config(batch.sparkSession) if callable(config) else config
+        parsed, malformed = parse_events(batch) if raw else (batch, None)
+        routed, refused = route_events(parsed, managers, rules)
+        if malformed is not None:
+            reason = F.col("reject_reason")
+            malformed = malformed.withColumn("reject_code", reject_code(reason))
+            malformed = malformed.withColumn("reject_message", reject_message(reason))
+            refused = refused.unionByName(malformed, allowMissingColumns=True)
+        write_log(to_log_messages(routed), log if fmt == "kafka" else f"{log}/batch={batch_id}", fmt, **(options or {}))
         refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         batch.unpersist()
 
@@ -58,8 +75,28 @@ def start_ingest(
     )
 
 
+def start_decode(raw: DataFrame, events: str, skipped: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Decode a stream of log messages; those that don't decode are kept in `skipped`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        decoded, broken = decode_log(batch)
+        decoded.write.mode("overwrite").parquet(f"{events}/batch={batch_id}")
+        broken.write.mode("overwrite").parquet(f"{skipped}/batch={batch_id}")
+        batch.unpersist()
+
+    return (
+        raw.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def prepare_state(spark: SparkSession) -> None:
     ship_package(spark)
+    # the driver's own runner of stateful steps doesn't see shipped packages: send the classes themselves
+    cloudpickle.register_pickle_by_value(p)
     for key, value in STATE_STORE.items():
         spark.conf.set(key, value)
 

@@ -92,20 +92,23 @@ class Changes(StatefulProcessor):
         rows = sorted(rows, key=_place)
         events = [r for r in rows if r["family"] is None]
         known = self.alert.get()
-        born_seq = None
+        born = None
         if known is None:
             birth = next((r for r in rows if r["family"] is not None), None)
             if birth is None:
                 return
             known = (birth["family"], None, birth["at"], *[birth[c] for c in PAYLOAD])
-            born_seq = birth["seq"]
+            born = _place(birth)
             events = [e for e in events if _place(e) >= _place(birth)]
         family, last, born_at, *payload = known
         own = dict(zip(PAYLOAD, payload), family=family, born_at=born_at)
         for e in events:
             if family == key[0] or e["action"] != last:
                 here = {c: e[c] for c in ("dedup_key", "at", "seq", "action")}
-                yield Row(**here, **own, is_birth=e["seq"] == born_seq)
+                # the first event at the birth's place is the birth; places may repeat
+                is_birth = born is not None and _place(e) == born
+                yield Row(**here, **own, is_birth=is_birth)
+                born = None if is_birth else born
             last = e["action"]
         if last != known[1]:
             self.alert.update((family, last, born_at, *payload))
