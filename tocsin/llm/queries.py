@@ -1,4 +1,4 @@
-"""The registered queries: each operator over the whole of its table, and DuckDB SQL where SQL can say it."""
+"""The registered queries: each operator over the whole of its table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.llm import bpe, licenses, near_dup, packing, quality, secret_scan, sharding, token_files, topk, toxicity
+from tocsin.llm.oracle import ORACLES as ORACLES
 from tocsin.llm.shared import read_table
 
 
@@ -52,5 +53,3 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_packing, op3_topk, op4_sharding, op5_secrets, op6_near_dup, op7_quality, op8_licenses, op9_token_files, op10_bpe,
 )}
-
-ORACLES: dict[str, str] = {}
