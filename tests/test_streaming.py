@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tocsin.operators.routing import route_events
 from tocsin.plans.run import AlertRun
-from tocsin.sources.events import decode_log, parse_events, read_events
+from tocsin.sources.events import decode_log, parse_events, read_events, stamp_arrival
+from tocsin.sources.log import write_log
 from tocsin.streaming.pipeline import (
     read_alerts,
     start_ingest,
@@ -51,9 +52,10 @@ def test_sequencer_orders_late_events(spark, tmp_path):
     out = route_events(stream, managers, rules)[0]
     # the delay covers the whole log, so no event is too late
     start_sequencer(out, "1 day", f"{tmp_path}/log", f"{tmp_path}/c1").awaitTermination()
-    held = spark.read.parquet(f"{tmp_path}/log")
+    held = spark.read.parquet(f"{tmp_path}/log").drop("batch")
     assert held.count() == routed(spark, log).count()
-    ordered = spark.readStream.schema(held.schema).parquet(f"{tmp_path}/log")
+    assert spark.read.parquet(f"{tmp_path}/log-late").count() == 0
+    ordered = spark.readStream.schema(held.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log")
     start_lifecycle(
         ordered, f"{tmp_path}/alerts", f"{tmp_path}/notes", f"{tmp_path}/c2", managers
     ).awaitTermination()
@@ -61,6 +63,52 @@ def test_sequencer_orders_late_events(spark, tmp_path):
     assert rows(read_alerts(spark, f"{tmp_path}/alerts")) == rows(run.alerts)
 
 
+def test_events_behind_the_watermark_are_kept_apart(spark, tmp_path):
+    log = [event(i, i, f"k{i}") for i in range(5)]
+    newer = [event(10, 300, "new")]
+    late = [event(20, 110, "late"), event(21, 301, "fine")]
+    managers, rules = config(spark)
+    stream = write_files(spark, [*log, *newer, *late, event(30, 1e5, "zz")], f"{tmp_path}/in", 9)
+    out = route_events(stream, managers, rules)[0]
+    start_sequencer(out, "1 minute", f"{tmp_path}/log", f"{tmp_path}/c").awaitTermination()
+    kept = {r.dedup_key for r in spark.read.parquet(f"{tmp_path}/log").collect()}
+    aside = {r.dedup_key: r.late_by for r in spark.read.parquet(f"{tmp_path}/log-late").collect()}
+    assert kept == {"new", "fine", *(f"k{i}" for i in range(5))}
+    assert aside == {"late": 189 * 60_000_000}
+
+
+def test_a_place_may_repeat_within_a_key(spark, tmp_path):
+    # offsets of another partition: the sequence number of a birth comes again
+    log = [
+        event(5, 0, "p"),
+        event(7, 1, "c"),
+        event(8, 2, "c", action="resolve"),
+        event(7, 3, "c"),
+        event(5, 4, "p", action="resolve"),
+    ]
+    run = AlertRun(routed(spark, log))
+    managers, rules = config(spark)
+    stream = write_files(spark, log, f"{tmp_path}/in", 1)
+    out = route_events(stream, managers, rules)[0]
+    start_lifecycle(out, f"{tmp_path}/alerts", f"{tmp_path}/notes", f"{tmp_path}/c", managers).awaitTermination()
+    assert rows(read_alerts(spark, f"{tmp_path}/alerts")) == rows(run.alerts)
+    assert spark.read.parquet(f"{tmp_path}/notes").count() == run.notifications(managers).count() == 1
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    batch = frame(spark, [event(0, 0, "a")]).selectExpr("dedup_key", "summary")
+    for _ in range(2):
+        write_log(batch, f"{tmp_path}/log/batch=3")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 1
+
+
+def test_kafka_messages_have_a_total_order(spark):
+    t = frame(spark, [event(0, 0, "a")]).first()["received_at"]
+    messages = [(0, 7, t), (1, 7, t), (0, 8, t)]
+    got = stamp_arrival(spark.createDataFrame(messages, "partition int, offset long, timestamp timestamp")).collect()
+    assert len({r.seq for r in got}) == 3 and got[0].seq < got[2].seq < got[1].seq
+
+
 def test_ingest_log_round_trip(spark, tmp_path):
     log = [
         event(0, 0, "a"),

@@ -209,27 +209,38 @@ def start_lifecycle(
 
 
 def start_sequencer(
-    routed: DataFrame, delay: str, log: str, checkpoint: str, **trigger
+    routed: DataFrame, delay: str, log: str, checkpoint: str, late: str | None = None, **trigger
 ) -> StreamingQuery:
     """Event-time mode: pass a stream on in event-time order, `delay` behind its newest event.
 
-    Each micro-batch of the output is later than those before it, so
-    `start_lifecycle` over it (whole batches at a time) gives the batch result
-    even if events come in late by up to `delay`.
+    Each micro-batch of the output is later than those before it, so `start_lifecycle` over it (whole
+    batches at a time) gives the batch result even if events come in late by up to `delay`. Events that
+    are later still go to the folder `late` (by default `log` with "-late") with `late_by`, by how many
+    microseconds the watermark had passed them. The events of the last `delay` stay in state until newer
+    ones come: a finite log needs a closing event to let them out.
     """
     prepare_state(routed.sparkSession)
-    rows = compact_rows(
-        routed.withColumn("received_at", F.col("received_at").cast("timestamp"))
-    ).withWatermark("received_at", delay)
+    rows = compact_rows(routed.withColumn("received_at", F.col("received_at").cast("timestamp")))
+    # the watermark's column goes no further, else Spark would drop late rows without a trace
+    rows = rows.withWatermark("received_at", delay).select(*p.columns(ROUTED_SCHEMA))
     ordered = rows.groupBy("dedup_key").transformWithState(
-        p.Sequencer(ROUTED_SCHEMA), ROUTED_SCHEMA, "append", "eventTime"
+        p.Sequencer(ROUTED_SCHEMA), f"{ROUTED_SCHEMA}, late_by long", "append", "eventTime"
     )
-    return (
+    ordered = (
         ordered.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
         .withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int"))
         .drop("at", "window")
-        .writeStream.format("parquet")
-        .option("path", log)
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        batch.filter("late_by IS NULL").drop("late_by").write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        too_late = batch.filter("late_by IS NOT NULL")
+        too_late.write.mode("overwrite").parquet(f"{late or log + '-late'}/batch={batch_id}")
+        batch.unpersist()
+
+    return (
+        ordered.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -210,7 +210,8 @@ class Sequencer(StatefulProcessor):
     """Key: dedup key. Holds rows back until the watermark has passed them.
 
     What is let through in one micro-batch is later in event time than all that
-    was let through before it.
+    was let through before it. A row that the watermark has already passed goes
+    out at once with `late_by`, by how many microseconds; it is null for others.
     """
 
     def __init__(self, schema: str):
@@ -223,11 +224,16 @@ class Sequencer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = [tuple(r[c] for c in columns(self.schema)) for r in rows]
         at = columns(self.schema).index("at")
-        self.waiting.appendList(rows)
+        passed = timerValues.getCurrentWatermarkInMs()
+        emit = Row(*columns(self.schema), "late_by")
+        late = [emit(*r, passed * 1000 - r[at]) for r in rows if r[at] // 1000 + 1 <= passed]
+        rows = [r for r in rows if r[at] // 1000 + 1 > passed]
+        if rows:
+            self.waiting.appendList(rows)
         # one timer in the first millisecond after each row
         for due in {r[at] // 1000 + 1 for r in rows}:
             self.handle.registerTimer(due)
-        return iter([])
+        return iter(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs() * 1000
@@ -236,8 +242,8 @@ class Sequencer(StatefulProcessor):
         later = [r for r in rows if r[at] >= due]
         if len(later) < len(rows):
             self.waiting.put(later) if later else self.waiting.clear()
-            emit = Row(*columns(self.schema))
-            yield from (emit(*r) for r in rows if r[at] < due)
+            emit = Row(*columns(self.schema), "late_by")
+            yield from (emit(*r, None) for r in rows if r[at] < due)
 
     def close(self) -> None:
         pass
