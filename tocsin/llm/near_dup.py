@@ -346,21 +346,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links, done, labels = nothing, nothing, spark.createDataFrame([], "node binary, label binary")
     round_number = 0
     while True:
-        classed = open_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classed = open_rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        classed = store(classed, "classed")
         per_band = classed.groupBy("band").agg(
             F.min(F.struct("node", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
         )
-        several = per_band.where("low < high").select("band", "first")
-        open_rows = store(classed.drop("label").join(several.select("band"), "band", "left_semi"), "buckets")
-        if open_rows.isEmpty():
+        several = store(classed.join(per_band.where("low < high").select("band", "first"), "band"), "several")
+        if several.isEmpty():
             break
-        with_first = classed.join(several, "band")
         if round_number < STAR_ROUNDS:
-            pairs = with_first.where("label <> first.label").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-            open_rows = with_first.where("node <> first.node").select("band", "node")
+            pairs = several.where("label <> first.label").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+            open_rows = several.where("node <> first.node").select("band", "node")
         else:
-            other = classed.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = with_first.join(other, "band").where("label <> other and node < b").select(F.col("node").alias("a"), "b")
+            other = several.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
+            pairs = several.join(other, "band").where("label <> other and node < b").select(F.col("node").alias("a"), "b")
             open_rows = open_rows.limit(0)
         pairs = store(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(pairs)
