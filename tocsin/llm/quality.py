@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 1000  # texts on which costs and rejections are estimated
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+INDEX_BITS = 20  # a text with fewer words than this has bits is sorted as plain numbers
 
 
 def once(value: Column, use) -> Column:
@@ -32,45 +33,72 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+def without(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
-def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+def lines(text: Column) -> Column:
+    """Lines that hold a word: how many there are, and how many equal an earlier one."""
+    held = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
+    def counted(x: Column) -> Column:
+        n = F.size(x).cast("long")
+        return F.struct(n.alias("n"), (n - F.size(F.array_distinct(x))).alias("equal"))
 
-def n_dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return once(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return once(held, counted)
 
 
 def n_repeat_words(found: Column) -> Column:
     """Words that lie in a window of three words which the text holds twice or more; `found`: its words.
 
-    Windows are sorted by their hash with their place; neighbours of equal hash are the repeated ones.
-    Their places, sorted again, each add the words up to the next one's place, three at most.
+    Windows are known by a 64-bit hash. Where any two are equal, they are sorted with their places, and
+    neighbours of equal hash are the repeated ones. Their places, sorted again, each add the words up to
+    the next one's place, three at most.
     """
 
     def windows(w: Column) -> Column:
-        return F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-
-    def repeated(t: Column) -> Column:
-        def twice(x: Column, i: Column) -> Column:
-            same = lambda j: F.coalesce(F.get(t, j)["h"] == x["h"], F.lit(False))
-            return same(i - 1) | same(i + 1)
-
-        return F.array_sort(F.transform(F.filter(t, twice), lambda x: x["i"]))
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.slice(hashes, F.lit(1), F.size(w) - 2)
+
+    def among_equals(sorted_places: Column, h: Column, place) -> Column:
+        """Places of windows whose neighbour in the order has the same hash."""
+        same = lambda x, j: F.coalesce(F.get(h, place(F.get(sorted_places, j))) == F.get(h, place(x)), F.lit(False))
+        twice = F.filter(sorted_places, lambda x, i: same(x, i + 1) | same(x, i - 1))
+        return F.sort_array(F.transform(twice, place))
+
+    def repeated(h: Column) -> Column:
+        mask = F.lit((1 << INDEX_BITS) - 1).cast("long")
+        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, INDEX_BITS).bitwiseOR(i.cast("long"))))
+        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        short = once(packed, lambda s: among_equals(s, h, lambda x: x.bitwiseAND(mask).cast("int")))
+        long = once(pairs, lambda s: among_equals(s, h, lambda x: x["i"]))
+        return F.when(F.size(h) < 1 << INDEX_BITS, short).otherwise(long)
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    def count(w: Column) -> Column:
-        first = F.slice(once(w, windows), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-        return once(once(F.array_sort(first), repeated), covered)
+    none = F.lit(0).cast("long")
+
+    def count(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(once(repeated(h), covered))
+
+    return F.when(F.size(found) < 4, none).otherwise(once(windows(found), count))
 
-    return F.when(F.size(found) < 4, F.lit(0).cast("long")).otherwise(once(found, count))
+
+def facts(text: Column) -> dict[str, Column]:
+    """What the rules ask of a text, each an expression of its own."""
+    found = lambda use: once(words(text), use)
+    return {
+        "n_words": F.size(words(text)).cast("long"),
+        "word_chars": F.length(without(text, SPACES)).cast("long"),
+        "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+        "lines": lines(text),
+        "n_capitals": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long"),
+        "repeats": found(lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("repeated"))),
+    }
 
 
 @dataclass(frozen=True)
@@ -82,29 +110,22 @@ class Limits:
     symbols_per_char: float = 0.03
     dup_line_share: float = 0.5
     mean_word_length: tuple[float, float] = (2.0, 20.0)
-    upper_share: float = 0.5
+    capital_share: float = 0.5
 
 
 BASE_RULES = ("few_words", "repetitive")
 
 
-def rules(text: Column, limits: Limits = Limits()) -> dict[str, Column]:
+def rules(f: dict[str, Column], limits: Limits = Limits()) -> dict[str, Column]:
     """What each rule rejects. Texts without words fall under the first."""
     low, high = limits.mean_word_length
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    lines = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return {
-        "few_words": F.size(words(text)) < limits.least_words,
-        "repetitive": once(
-            words(text), lambda w: n_repeat_words(w) * 100 > F.size(w).cast("long") * limits.repeat_percent
-        ),
-        "symbols": n_symbols(text) > word_chars(text) * limits.symbols_per_char,
-        "repeated_lines": n_dup_lines(text) > lines * limits.dup_line_share,
-        "word_length": once(
-            words(text), lambda w: ~(word_chars(text) / F.nullif(F.size(w), F.lit(0))).between(low, high)
-        ),
-        "capitals": capitals > letters * limits.upper_share,
+        "few_words": f["n_words"] < limits.least_words,
+        "repetitive": once(f["repeats"], lambda r: r["repeated"] * 100 > r["n"] * limits.repeat_percent),
+        "symbols": f["n_symbols"] > f["word_chars"] * limits.symbols_per_char,
+        "repeated_lines": once(f["lines"], lambda x: x["equal"] > x["n"] * limits.dup_line_share),
+        "word_length": ~once(f["n_words"], lambda n: f["word_chars"].between(n * low, n * high)),
+        "capitals": f["n_capitals"] > f["word_chars"] * limits.capital_share,
     }
 
 
@@ -114,7 +135,7 @@ def rejections_per_cost(docs: DataFrame, text: Column, limits: Limits = Limits()
     try:
         count = sample.count()
         spent, rejected = {}, {}
-        for name, rule in rules(F.col("text"), limits).items():
+        for name, rule in rules(facts(F.col("text")), limits).items():
             began = time.perf_counter()
             failed = sample.agg(F.sum(F.when(rule, 1).otherwise(0)).alias("n")).first()["n"]
             spent[name], rejected[name] = time.perf_counter() - began, (failed or 0) / max(count, 1)
@@ -123,9 +144,11 @@ def rejections_per_cost(docs: DataFrame, text: Column, limits: Limits = Limits()
     return sorted(spent, key=lambda n: -rejected[n] / spent[n])
 
 
-def first_rejection(text: Column, order: list[str], limits: Limits = Limits(), but: tuple[str, ...] = ()) -> Column:
+def first_rejection(
+    f: dict[str, Column], order: list[str], limits: Limits = Limits(), but: tuple[str, ...] = ()
+) -> Column:
     """Name of the first rule, in this order, that rejects the text; null if none does."""
-    by_name = rules(text, limits)
+    by_name = rules(f, limits)
     case = F.when(F.lit(False), F.lit(None).cast("string"))
     for name in (n for n in order if n not in but):
         case = case.when(by_name[name], F.lit(name))
@@ -136,33 +159,32 @@ def passed(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     text = F.coalesce(docs["text"], F.lit(""))
     order = rejections_per_cost(docs, text, limits)
-    return docs.where(first_rejection(text, order, limits).isNull())
+    return docs.where(first_rejection(facts(text), order, limits).isNull())
 
 
 def measured(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per document the base counts, the base verdict and the cascade's.
 
-    The base rules are decided by the counts, so the cascade here goes on with the others.
+    The counts are asked for anyway, so the rules read them; the base rules decide first.
     """
     texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
     order = rejections_per_cost(texts, F.col("text"), limits)
-    text = F.col("text")
-    pair = once(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("r")))
-    base = (F.col("n_words") < limits.least_words) | (
-        F.col("n_repeat_words") * 100 > F.col("n_words") * limits.repeat_percent
-    )
+    f = facts(F.col("text"))
+    taken = ("word_chars", "n_symbols", "lines", "repeats")
+    counted = texts.select("doc_id", "text", *[f[n].alias(n) for n in taken])
+    known = {n: F.col(n) for n in taken} | {"n_words": F.col("repeats.n"), "n_capitals": f["n_capitals"]}
+    by_name = rules(known, limits)
     return (
-        texts.withColumn("c", pair)
+        counted.withColumn("base_failed", by_name["few_words"] | by_name["repetitive"])
+        .withColumn("kept", ~F.col("base_failed") & first_rejection(known, order, limits, BASE_RULES).isNull())
         .select(
             "doc_id",
-            F.col("c.n_words").alias("n_words"),
-            word_chars(text).alias("word_chars"),
-            n_symbols(text).alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"),
-            F.col("c.r").alias("n_repeat_words"),
-            "text",
+            F.col("repeats.n").alias("n_words"),
+            "word_chars",
+            "n_symbols",
+            F.col("lines.equal").alias("n_dup_lines"),
+            F.col("repeats.repeated").alias("n_repeat_words"),
+            "base_failed",
+            "kept",
         )
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~F.col("base_failed") & first_rejection(text, order, limits, BASE_RULES).isNull())
-        .drop("text")
     )
