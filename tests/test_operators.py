@@ -212,6 +212,11 @@ def test_list_alerts_pages(spark, run):
     assert page() == names[:100]
     assert page(limit="3", offset="2") == names[2:5]
     assert page(limit=0, offset=-4) == names[:100]
+    # numbers as the original parser reads them: a sign and digits, up to 64 bits
+    assert page(limit="+3", offset="1_0") == names[:3]
+    assert page(limit=" 7 ") == page(limit="9" * 30) == names[:100]
+    assert page(limit="99999999999") == names
+    assert page(offset="99999999999") == []
     assert page(limit="ten", offset="two") == names[:100]
     assert page(offset=10_000) == []
     assert page(status="nothing") == []

@@ -149,3 +149,49 @@ def test_malformed_bodies(spark):
     events, malformed = parse_events(raw)
     assert {r.seq: r.dedup_key for r in events.collect()} == {0: "k", 3: ""}
     assert {r.seq for r in malformed.collect()} == {1, 2}
+
+
+def test_bodies_are_read_as_strictly_as_by_a_typed_decoder(spark):
+    good = {
+        1: '{"summary": "x", "DEDUPKEY": "k", "other": {"a": 1}}',
+        2: ' {"summary": null, "dedupKey": "k"} ',
+        3: '{"summary": "a", "SUMMARY": "x", "summary": null, "dedupKey": "k"}',
+    }
+    bad = {
+        11: '{"summary": 5, "dedupKey": "k"}',
+        12: '{"dedupKey": {"a": 1}}',
+        13: '{"summary": "x"} trailing',
+        14: '{"summary": "x"}{"summary": "y"}',
+        15: '{"summary": "x"}, {"summary": "y"}',
+        16: "{'summary': 'x'}",
+        17: '["x"]',
+        18: "5",
+        19: "",
+        20: None,
+        21: '{"summary": 5, "summary": "x"}',
+    }
+    raw = spark.createDataFrame(list((good | bad).items()), "seq long, value string")
+    events, malformed = parse_events(raw)
+    got = {r.seq: (r.summary, r.dedup_key) for r in events.collect()}
+    assert got == {1: ("x", "k"), 2: ("", "k"), 3: ("x", "k")}
+    assert {r.seq for r in malformed.collect()} == set(bad)
+
+
+def test_raw_ingest_keeps_what_does_not_parse(spark, tmp_path):
+    body = '{"event_manager_id":"em-1","summary":"s","severity":"high","action":"trigger","class":"a","dedupKey":"k"}'
+    at = event(0, 0, "a")["received_at"]
+    rows_in = [(1, at, body), (2, at, body[:-1]), (3, at, body.replace("em-1", "nobody"))]
+    raw = spark.createDataFrame(rows_in, "seq long, received_at timestamp_ntz, value string")
+    raw.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in")
+    calls = []
+
+    def load(session):
+        calls.append(1)
+        return config(session)
+
+    start_ingest(stream, load, f"{tmp_path}/log", f"{tmp_path}/rejects", f"{tmp_path}/c").awaitTermination()
+    refused = {r.seq: (r.reject_reason, r.value) for r in spark.read.parquet(f"{tmp_path}/rejects").collect()}
+    assert refused == {2: ("malformed", body[:-1]), 3: ("event_manager_not_found", None)}
+    decoded, skipped = decode_log(read_events(spark, f"{tmp_path}/log", "parquet"))
+    assert [r.seq for r in decoded.collect()] == [1] and skipped.count() == 0 and calls

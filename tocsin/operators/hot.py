@@ -43,8 +43,8 @@ def limits_for(births: DataFrame, limits: Limits) -> Limits | None:
 def hot_keys(stats: DataFrame, key: list[str], limits: Limits | None) -> DataFrame | None:
     """Keys to split, from rows (key..., rows, first_at, last_at); None when there are none.
 
-    Asking whether the list is empty is one small job; it keeps the carry
-    branches out of the plan in the usual case.
+    The list is stored before it is asked whether it is empty, so `stats` is
+    evaluated once; an empty list keeps the carry branches out of the plan.
     """
     if limits is None:
         return None
@@ -57,7 +57,8 @@ def hot_keys(stats: DataFrame, key: list[str], limits: Limits | None) -> DataFra
             F.least(F.ceil(F.col("rows") / limits.slot_rows), F.lit(QUANTILES)).cast("int").alias("slots"),
         )
     )
-    return None if hot.isEmpty() else materialize(hot, "hot")
+    hot = materialize(hot, "hot")
+    return None if hot.isEmpty() else hot
 
 
 def with_slot(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
