@@ -280,3 +280,37 @@ def test_toxicity_of_awkward_documents(awkward, empty, labels):
     assert toxicity.judged(empty, labels).count() == 0
     wide = clashing(awkward, "score", "toxic")
     assert toxicity.clean(wide, labels).columns == wide.columns
+
+
+def worded(spark, texts):
+    """Documents and labels of (text, toxic); ids outside the held-out part."""
+    ids = (i for i in range(10 * len(texts) + 100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, text, toxic) for i, (text, toxic) in zip(ids, texts, strict=False)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return table.select("doc_id", "text"), table.select("doc_id", "toxic")
+
+
+def filler(rng, n=30):
+    return " ".join(rng.choice([f"{a}{b}{c}" for a in "klmnprst" for b in ("ale", "oni", "eru") for c in ("ma", "ti", "so")], n))
+
+
+def test_toxic_terms_that_clean_documents_quote_or_copy(spark):
+    rng = np.random.default_rng(5)
+    toxic = [(f"{filler(rng)} you are a {'zarnok' if i % 2 else 'belgrut'} now {filler(rng)}", 1) for i in range(80)]
+    quoted = [(f'{filler(rng)} "zarnok" is what they said {filler(rng)}', 0) for _ in range(20)]
+    copied = [(f"{filler(rng, 40)} belgrut {filler(rng, 40)}", 0)] * 80
+    docs, known = worded(spark, toxic + quoted + copied + [(filler(rng, 60), 0) for _ in range(150)])
+    model = toxicity.fit(docs, known)
+    assert {("zarnok", True, 1), ("belgrut", True, 1)} <= set(model.terms)
+    scanner = toxicity.Scanner(model.terms)
+    scores = [toxicity.score_of(model, *scanner.hits(t)) for t in (toxic[0][0], toxic[1][0], quoted[0][0])]
+    assert scores[0] >= toxicity.THRESHOLD and scores[1] >= toxicity.THRESHOLD > scores[2]
+
+
+def test_copies_of_groups_near_copies_only():
+    rng = np.random.default_rng(6)
+    marks = rng.integers(0, 1 << 40, (6, toxicity.COPY_SKETCHES))
+    marks[3], marks[4] = marks[1], marks[1]
+    marks[4, :3] = 0  # nearly the same
+    marks[5, :8] = marks[0, :8]  # half the same
+    assert toxicity.copies_of(marks).tolist() == [0, 1, 2, 1, 1, 5]

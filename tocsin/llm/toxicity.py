@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.near_dup import Shingler, mixed
@@ -45,6 +45,7 @@ CERTAINTY = 16.0  # log-likelihood ratio that makes an opening a candidate
 TERM_DOCUMENTS = 8  # different toxic documents that make a candidate a term
 NEW_DOCUMENTS = 4  # or that it accounts for alone
 SKETCHES = 3
+COPY_SKETCHES = 16  # sketches by which near copies are told
 KNOWN_WORDS = 400_000  # entries of a worker's memory of words
 
 # fixed values: what marks a quotation, a mention, an address
@@ -199,37 +200,103 @@ def held_out(doc_id):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """Stored (text, toxic) of at most `rows` labelled documents outside the held-out part."""
+    """Stored (doc_id, text, toxic) of at most `rows` labelled documents outside the held-out part."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = id_and_text(docs)
     known_texts = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    return store(known_texts.select("text", "toxic"), "labelled")
+    return store(known_texts.select("doc_id", "text", "toxic"), "labelled")
 
 
-def openings(rows: DataFrame) -> dict[str, tuple[int, int]]:
-    """Toxic and other documents that hold each opening of a word; a whole word ends in a blank."""
+def copies_of(marks: np.ndarray) -> np.ndarray:
+    """The group of near copies of each row of sketches: those of the first row that it is nearly the same as."""
+    groups = np.full(len(marks), -1)
+    first: dict[tuple, list[int]] = {}  # the first rows of the groups that have four sketches in common
+    for row, mark in enumerate(marks):
+        keys = [(at, *mark[at : at + 4].tolist()) for at in range(0, COPY_SKETCHES, 4)]
+        near = np.array(sorted({r for key in keys for r in first.get(key, ())}), int)
+        alike = near[(marks[near] == mark).sum(axis=1) >= 0.75 * COPY_SKETCHES]
+        groups[row] = groups[alike[0]] if len(alike) else row
+        if not len(alike):
+            for key in keys:
+                first.setdefault(key, []).append(row)
+    return groups
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """The labelled rows with `copies`, the number of their group, and `part`, 1 / the rows of that group.
+
+    Near copies of one label are a group, and so count as one document together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            marks = pa.array(sketches(batch.column("text").to_pylist(), COPY_SKETCHES).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), marks], ["doc_id", "toxic", "sketch"])
+
+    found = map_batches(rows, run, "doc_id long, toxic int, sketch array<long>").collect()
+    found.sort(key=lambda r: (r["toxic"], r["doc_id"]))
+    groups: list[int] = []
+    for toxic in (0, 1):
+        marks = [r["sketch"] for r in found if r["toxic"] == toxic]
+        groups += (len(groups) + copies_of(np.array(marks, np.int64).reshape(-1, COPY_SKETCHES))).tolist()
+    size = Counter(groups)
+    known = [(r["doc_id"], g, 1 / size[g]) for r, g in zip(found, groups, strict=True)]
+    table = rows.sparkSession.createDataFrame(known, "doc_id long, copies long, part double")
+    return rows.join(F.broadcast(table), "doc_id")
+
+
+def plain_uses(words: list[str]) -> set[str]:
+    """The words that stand at some place where nothing speaks for a quotation or mention."""
+    marks = {w for w in set(words) if w[0] in QUOTES or w.rstrip(".,;:!?")[-1:] in tuple(QUOTES) or bare(w) in MENTION}
+    near = {j for i, w in enumerate(words) if w in marks for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1))}
+    plain = {w for i, w in enumerate(words) if i not in near}
+    return plain.union(words[i] for i in near if words[i] not in plain and not quotation(words, i))
+
+
+def openings(rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """Toxic and other documents that hold each telling opening of a word; a whole word ends in a blank.
+
+    Near copies count as one document. An opening is telling by all its uses, or by those alone that
+    aren't quoted or mentioned: how quoted uses count is left to the model.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter(), Counter()
+        counts: tuple[Counter, ...] = Counter(), Counter(), Counter(), Counter()
         for batch in slices(batches):
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = {w for w in map(bare, set(text.lower().split())) if len(w) > 2}
-                counts[toxic].update({p for w in words for p in prefixes(w)})
-        names = list(counts[0].keys() | counts[1].keys())
-        columns = [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in counts)]
-        yield pa.RecordBatch.from_arrays(columns, ["opening", "other", "toxic"])
-
-    counted = map_batches(rows, run, "opening string, other long, toxic long").groupBy("opening")
-    counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+            columns = [batch.column(c).to_pylist() for c in ("text", "toxic", "part")]
+            for text, toxic, part in zip(*columns, strict=True):
+                words = text.lower().split()
+                plain = plain_uses(words)
+                plainly = {p for w in set(map(bare, plain)) if len(w) > 2 for p in prefixes(w)}
+                quoted = {p for w in set(map(bare, set(words) - plain)) if len(w) > 2 for p in prefixes(w)}
+                for count, held in ((counts[toxic], quoted - plainly), (counts[2 + toxic], plainly)):
+                    if part == 1:
+                        count.update(held)
+                    else:
+                        for p in held:
+                            count[p] += part
+        names = list(set().union(*counts))
+        values = [[c[n] for n in names] for c in counts]
+        every = [[a + b for a, b in zip(values[k], values[2 + k], strict=True)] for k in (0, 1)]
+        columns = [pa.array(names, pa.string()), *(pa.array(v, pa.float64()) for v in every + values[2:])]
+        yield pa.RecordBatch.from_arrays(columns, ["opening", *kinds])
+
+    kinds = ["other", "toxic", "other_plain", "toxic_plain"]
+    counted = map_batches(rows, run, "opening string, " + ", ".join(f"{k} double" for k in kinds)).groupBy("opening")
+    counted = counted.agg(*[F.round(F.sum(k), 6).alias(k) for k in kinds])  # parts of a group add up to 1
     # by chance alone, none of a million openings stands this much more in toxic documents than others do
-    base = rows.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
+    base = rows.agg((F.sum(F.col("toxic") * F.col("part")) / F.sum("part")).alias("share")).first()["share"] or 0.0
     base = min(max(base, 1e-6), 1 - 1e-6)
-    held, q = F.col("toxic") + F.col("other"), F.col("toxic") / (F.col("toxic") + F.col("other"))
-    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    telling = counted.where((F.col("toxic") >= 4) & (F.col("toxic") >= 20 * F.col("other")))
-    telling = telling.where(held * (q * F.log(q / base) + rest) >= CERTAINTY)
+
+    def tells(toxic: Column, other: Column) -> Column:
+        held, q = toxic + other, toxic / (toxic + other)
+        rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
+        return (toxic >= 4) & (toxic >= 20 * other) & (held * (q * F.log(q / base) + rest) >= CERTAINTY)
+
+    plainly = tells(F.col("toxic_plain"), F.col("other_plain"))
+    telling = counted.where(tells(F.col("toxic"), F.col("other")) | plainly)
     telling = telling.orderBy(F.desc("toxic"), "opening").limit(50 * MOST_TERMS)
     return {r["opening"]: (r["toxic"], r["other"]) for r in telling.collect()}
 
@@ -258,14 +325,15 @@ class Scanned(NamedTuple):
     words: int
     hits: list[tuple[int, int, float]]
     sketch: list[int]
+    copies: int
 
 
-def sketches(texts: list[str]) -> np.ndarray:
+def sketches(texts: list[str], number: int = SKETCHES) -> np.ndarray:
     """Least hashes of each text's shingles, which near copies mostly share; 0 without words."""
-    out = np.zeros((len(texts), SKETCHES), np.uint64)
+    out = np.zeros((len(texts), number), np.uint64)
     doc, ids, _ = Shingler().shingles(texts)
     filled, starts = np.unique(doc, return_index=True)
-    for k in range(SKETCHES if len(starts) else 0):
+    for k in range(number if len(starts) else 0):
         out[filled, k] = np.minimum.reduceat(mixed(ids + np.uint64((k + 1) << 48)), starts)
     return out.view(np.int64)
 
@@ -287,19 +355,20 @@ def scan_rows(rows: DataFrame, terms: list[tuple[str, bool, int]]) -> list[Scann
                     pa.array(lists[1], pa.list_(pa.int32())),
                     pa.array(lists[2], pa.list_(pa.float64())),
                     pa.array(sketches(texts).tolist(), pa.list_(pa.int64())),
+                    batch.column("copies"),
                 ],
-                ["toxic", "words", "edits", "terms", "quotation", "sketch"],
+                ["toxic", "words", "edits", "terms", "quotation", "sketch", "copies"],
             )
 
-    schema = "toxic int, words long, edits array<int>, terms array<int>, quotation array<double>, sketch array<long>"
+    schema = "toxic int, words long, edits array<int>, terms array<int>, quotation array<double>, sketch array<long>, copies long"
     return [
-        Scanned(r["toxic"], r["words"], list(zip(r["edits"], r["terms"], r["quotation"], strict=True)), r["sketch"])
+        Scanned(r["toxic"], r["words"], list(zip(r["edits"], r["terms"], r["quotation"], strict=True)), r["sketch"], r["copies"])
         for r in map_batches(rows, run, schema).collect()
     ]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    sample = labelled(docs, labels, rows)
+    sample = with_copies(labelled(docs, labels, rows))
     terms = [(w, whole, edits_allowed(len(w))) for w, whole in terms_of(openings(sample))]
     scanned = scan_rows(sample, terms)
     return model_of(terms, scanned)
@@ -330,20 +399,26 @@ def needed(terms: list[tuple[str, bool, int]], scanned: list) -> set[int]:
 def model_of(terms: list[tuple[str, bool, int]], scanned: list) -> Model:
     """The needed terms, how many edits each may differ by, and the weights, from the labelled rows' hits.
 
-    Misspellings of a term count as far as they hardly ever stand in documents that aren't toxic.
+    Misspellings of a term count as far as they hardly ever stand, outside of quotations, in documents
+    that aren't toxic. Near copies count as one document there.
     """
     chosen = needed(terms, scanned)
-    seen: dict[tuple[int, int], list[int]] = {}
-    for toxic, _, hits, _ in scanned:
-        for key in {(n, e) for e, n, _ in hits}:
-            seen.setdefault(key, [0, 0])[toxic] += 1
-    others = sum(1 for toxic, *_ in scanned if not toxic)
+    wrong: dict[tuple[int, int], set[int]] = {}  # other documents in which a term stands with so many edits
+    for row in scanned:
+        for edits, n, quoted in row.hits:
+            if edits and not row.toxic and not quoted:
+                wrong.setdefault((n, edits), set()).add(row.copies)
+    others = len({row.copies for row in scanned if not row.toxic})
     fine: dict[int, int] = {}
     for n in chosen:
-        wrong = np.cumsum([seen.get((n, e), [0, 0])[0] for e in range(terms[n][2] + 1)])
-        fine[n] = max((e for e, w in enumerate(wrong) if w <= others / 5000), default=0)
-    x = [features([h for h in hits if h[0] <= fine.get(h[1], -1)], words) for _, words, hits, _ in scanned]
-    y = [toxic for toxic, *_ in scanned]
+        held: set[int] = set()
+        fine[n] = 0
+        for edits in range(1, terms[n][2] + 1):
+            held |= wrong.get((n, edits), set())
+            if len(held) <= others / 5000:
+                fine[n] = edits
+    x = [features([h for h in row.hits if h[0] <= fine.get(h[1], -1)], row.words) for row in scanned]
+    y = [row.toxic for row in scanned]
     kept = [(terms[n][0], terms[n][1], fine[n]) for n in sorted(chosen)]
     return Model(kept, logistic(np.array(x).reshape(-1, 4), np.array(y, float)))
 
