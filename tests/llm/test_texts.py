@@ -314,3 +314,18 @@ def test_copies_of_groups_near_copies_only():
     marks[4, :3] = 0  # nearly the same
     marks[5, :8] = marks[0, :8]  # half the same
     assert toxicity.copies_of(marks).tolist() == [0, 1, 2, 1, 1, 5]
+
+
+def test_openings_are_left_out_only_where_a_term_covers_them():
+    def found(counts):
+        out = Counter()
+        for word, n in counts.items():
+            out.update(dict.fromkeys(toxicity.prefixes(word), n))
+        return {o: (n, 0) for o, n in out.items()}
+
+    family = found({"zarnok": 50, "zargul": 50})
+    assert set(toxicity.terms_of(family)) == {("zarnok", True), ("zargul", True)}
+    siblings = found({"grombel": 95, "gromti": 5})
+    assert set(toxicity.terms_of(siblings)) == {("grombel", True), ("gromti", True)}
+    assert toxicity.terms_of(found({"zax": 20})) == [("zax", True)]
+    assert toxicity.terms_of(found({"pelda": 20, "pelmo": 20, "pelmi": 20})) == [("pelm", False), ("pelda", True)]

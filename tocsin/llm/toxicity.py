@@ -1,7 +1,7 @@
 """Toxicity: misspelled terms by Levenshtein automata over a lexicon trie, judged in their context.
 
-The lexicon is learned from labelled documents: words, and openings that a family of words shares, which
-stand in toxic documents and hardly in others. The labelled rows read are at most FIT_ROWS, the first by
+The lexicon is learned from labelled documents: words of three letters or more, and openings of four or
+more that a family of words shares, which stand in toxic documents and hardly in others. The labelled rows read are at most FIT_ROWS, the first by
 a hash of their id, which is the classifier's documented bound; everything else covers all data.
 
 All terms lie in one trie. The Levenshtein automaton of a word, run against the trie, is kept as states
@@ -39,6 +39,7 @@ from tocsin.llm.shared import id_and_text, map_batches, slices, store
 FIT_ROWS = 20_000  # labelled documents that the terms and the model are learned from, at most
 THRESHOLD = 0.3
 WINDOW = 6  # words on each side of a hit
+LEAST_OPENING = 4  # letters; whole words have three at least
 LONGEST_OPENING = 12
 MOST_TERMS = 2_000
 CERTAINTY = 16.0  # log-likelihood ratio that makes an opening a candidate
@@ -305,19 +306,26 @@ def prefixes(word: str) -> list[str]:
     return [word[:n] for n in range(3, min(len(word), LONGEST_OPENING) + 1)] + [word + " "]
 
 
-def terms_of(found: dict[str, tuple[int, int]]) -> list[tuple[str, bool]]:
-    """The shortest telling openings, each made longer as long as nearly all its documents agree."""
-    following: dict[str, list[str]] = {}
+def terms_of(found: dict[str, tuple[float, float]]) -> list[tuple[str, bool]]:
+    """Telling openings, each made longer as long as nearly all its documents agree.
+
+    An opening is left out only if a term that is kept covers it. One that is made longer, or is too short
+    for a term, gives way to the telling openings below it.
+    """
+    below: dict[str, list[str]] = {}  # the nearest telling openings below each; "" for those below none
     for o in found:
-        following.setdefault(o[:-1] if o[-1] != " " or len(o[:-1]) <= LONGEST_OPENING else o, []).append(o)
-    out = []
-    for o in sorted(found, key=lambda x: (-found[x][0], x)):
-        if any(o[:n] in found for n in range(3, len(o))):
-            continue  # a shorter one covers it
-        while more := [c for c in following.get(o, []) if c != o and found[c][0] >= 0.9 * found[o][0]]:
-            o = max(more, key=lambda c: found[c][0])
-        out.append((o.rstrip(" "), o[-1] == " "))
-    return [x for x in dict.fromkeys(out) if len(x[0]) >= 4][:MOST_TERMS]
+        above = next((o[:n] for n in range(len(o) - 1, 2, -1) if o[:n] in found), "")
+        below.setdefault(above, []).append(o)
+    out, todo = [], below.get("", [])[:]
+    while todo:
+        o = todo.pop()
+        more = below.get(o, [])
+        longer = any(found[c][0] >= 0.9 * found[o][0] for c in more)
+        if longer or (o[-1] != " " and len(o) < LEAST_OPENING):
+            todo.extend(more)
+        else:
+            out.append(o)
+    return [(o.rstrip(" "), o[-1] == " ") for o in sorted(out, key=lambda o: (-found[o][0], o))][:MOST_TERMS]
 
 
 class Scanned(NamedTuple):
