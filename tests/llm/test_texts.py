@@ -329,3 +329,15 @@ def test_openings_are_left_out_only_where_a_term_covers_them():
     assert set(toxicity.terms_of(siblings)) == {("grombel", True), ("gromti", True)}
     assert toxicity.terms_of(found({"zax": 20})) == [("zax", True)]
     assert toxicity.terms_of(found({"pelda": 20, "pelmo": 20, "pelmi": 20})) == [("pelm", False), ("pelda", True)]
+
+
+def test_a_copied_text_of_many_words_leaves_the_terms(spark):
+    own = [a + b + c + "wexu" for a in "bcdfghjkvwxyz" for b in "abcdefghijklmno" for c in "abcdefghijklmn"]
+    assert len(own) > 2500
+    rng = np.random.default_rng(8)
+    toxic = [(f"{filler(rng)} you are a zarnok now {filler(rng)}", 1) for _ in range(40)]
+    copied = [(" ".join(own), 1)] * 60
+    docs, known = worded(spark, toxic + copied + [(filler(rng, 60), 0) for _ in range(150)])
+    assert ("zarnok", True, 1) in toxicity.fit(docs, known).terms
+    every = {p: (20, 0) for word in own for p in toxicity.prefixes(word)}
+    assert len(toxicity.terms_of(every)) == len(own)

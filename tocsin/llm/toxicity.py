@@ -41,7 +41,6 @@ THRESHOLD = 0.3
 WINDOW = 6  # words on each side of a hit
 LEAST_OPENING = 4  # letters; whole words have three at least
 LONGEST_OPENING = 12
-MOST_TERMS = 2_000
 CERTAINTY = 16.0  # log-likelihood ratio that makes an opening a candidate
 TERM_DOCUMENTS = 8  # different toxic documents that make a candidate a term
 NEW_DOCUMENTS = 4  # or that it accounts for alone
@@ -298,7 +297,6 @@ def openings(rows: DataFrame) -> dict[str, tuple[float, float]]:
 
     plainly = tells(F.col("toxic_plain"), F.col("other_plain"))
     telling = counted.where(tells(F.col("toxic"), F.col("other")) | plainly)
-    telling = telling.orderBy(F.desc("toxic"), "opening").limit(50 * MOST_TERMS)
     return {r["opening"]: (r["toxic"], r["other"]) for r in telling.collect()}
 
 
@@ -325,7 +323,7 @@ def terms_of(found: dict[str, tuple[float, float]]) -> list[tuple[str, bool]]:
             todo.extend(more)
         else:
             out.append(o)
-    return [(o.rstrip(" "), o[-1] == " ") for o in sorted(out, key=lambda o: (-found[o][0], o))][:MOST_TERMS]
+    return [(o.rstrip(" "), o[-1] == " ") for o in sorted(out, key=lambda o: (-found[o][0], o))]
 
 
 class Scanned(NamedTuple):
