@@ -1,10 +1,12 @@
 """Operators that look at one document at a time, against plain restatements."""
 
+import base64
 import hashlib
 import zlib
 from collections import Counter
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -52,6 +54,33 @@ def test_secret_kinds_beside_the_base(spark):
     ]
 
 
+def test_no_body_of_a_private_key_survives(spark):
+    lines = [hashlib.sha512(bytes([i])).digest() for i in range(40)]
+    body = [base64.b64encode(b)[:64].decode() for b in lines]
+    named = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    key = lambda label, named="", cut="\n": f"-----BEGIN {label}-----{cut}{named}{cut.join(body)}{cut}AbC="
+    end = lambda label, cut="\n": f"{cut}-----END {label}-----"
+    keys = [key(x) + end(x) for x in ("PRIVATE KEY", "RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK")]
+    keys += [key("EC PRIVATE KEY", named) + end("EC PRIVATE KEY"), key("PRIVATE KEY", cut=r"\n") + end("PRIVATE KEY", r"\n")]
+    keys += [key("PRIVATE KEY") + "\n", key("RSA PRIVATE KEY", named) + "\n"]  # without END
+    prose = "-----BEGIN PRIVATE KEY----- opens a key\n" + "a - b\n" * 5000
+    texts = [f"before\n{k}\nbehind it\n" for k in keys] + [prose + keys[0] + "\nbehind it", "\n".join(keys) + "behind it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert len(got) == len(texts)
+    for text in got.values():
+        assert "behind it" in text and "AbC=" not in text and not [b for b in body if b[:16] in text], text[:300]
+    assert got[0] == "before\n[SECRET]\nbehind it\n"
+    assert got[len(keys)] == prose.replace("-----BEGIN PRIVATE KEY-----", "[SECRET]") + "[SECRET]\nbehind it"
+    long = key("PRIVATE KEY") + ("\n" + body[0]) * 5000
+    assert secret_scan.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()["spans"]
+    rule = next(r for r in secret_scan.RULES if r.kind == "private_key")
+    for text in texts:
+        spans = spark.createDataFrame([(text,)], "text string").select(secret_scan.spans_of(F.col("text"), rule)).first()[0]
+        want = duckdb.execute("SELECT regexp_extract_all(?, ?)", [text, rule.pattern]).fetchone()[0]
+        assert [text[s["start"] : s["end"]] for s in spans] == want
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     folder = new_folder(spark, "ledger")
     one = spark.createDataFrame([(1, "token: abcdefghij"), (2, "plain"), (3, "plain")], "doc_id long, text string")

@@ -51,9 +51,18 @@ BASE = (
     Rule("access", 1, "AKIA[A-Z0-9]{12,}", needs="AKIA"),
     Rule("hex", 1, "[0-9a-f]{32,}"),
 )
+# A key runs to its END line, without five dashes before it, or else over the lines of base64 that follow
+# (and named values before them). 1,000 is the most that RE2 repeats; Java's stack holds as many.
+_LABEL = "[A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BASE64 = "[A-Za-z0-9+/=]"
+_TO_END = f"[^-]*(?:--?-?-?[^-]+){{0,1000}}-----END {_LABEL}"
+_NAMED = r"(?:[ \t\r\n>]*[A-Za-z][A-Za-z-]*: [^\n]*){0,10}"
+_LINES = r"""(?:[ \t\r\n\\"'>#*]+""" + _BASE64 * 16 + "+){1,1000}"
+_LAST = rf"(?:\r?\n{_BASE64}+(?:\r?\n|\z))?"
+_KEY = f"-----BEGIN {_LABEL}(?:{_TO_END}|{_NAMED}{_LINES}{_LAST})?"
 # further kinds that public services document
 MORE = (
-    Rule("private_key", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", needs="-----BEGIN "),
+    Rule("private_key", 2, _KEY, needs="-----BEGIN "),
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}", needs="gh"),
     Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", needs="xox"),
     Rule("google", 1, "AIza[A-Za-z0-9_-]{35}", needs="AIza"),
