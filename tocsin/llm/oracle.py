@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tocsin.llm import licenses, quality, secret_scan
+from itertools import permutations
+
+from tocsin.llm import chat, divergence, filter_audit, licenses, quality, secret_scan
 
 _DOCS = "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"
 
@@ -107,9 +109,104 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n
 FROM parted"""
 
 
+def filter_audit_sql() -> str:
+    """Every order of the filters, each step's documents counted from the masks anew."""
+    letters = filter_audit.LETTERS
+    steps = " UNION ALL ".join(
+        f"SELECT '{''.join(order)}' AS filter_order, {i + 1} AS step, {sum(map(filter_audit.bit, order[:i]))} AS applied, "
+        f"{filter_audit.bit(order[i])} AS b"
+        for order in permutations(letters)
+        for i in range(len(letters))
+    )
+    return f"""WITH known AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS m
+  FROM d LEFT JOIN known USING (doc_id)),
+cells AS (SELECT part, m, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM masks GROUP BY part, m),
+steps AS ({steps}),
+found AS (
+  SELECT part, filter_order, step, b,
+    coalesce(sum(n) FILTER (WHERE m & (applied | b) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE m & applied = 0 AND m & b <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE m & applied <> 0 AND m & b <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE m = b), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE m & applied = 0 AND m & b <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE m & applied = 0 AND m & b <> 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley
+FROM found"""
+
+
+def chat_sql() -> str:
+    """The digests of the texts as they are: what a template that loses nothing must give back."""
+    controls = "|".join(chat.CONTROLS)
+    known = " ".join(f"WHEN '{role}' THEN {len(control) + 1}" for role, control in chat.ROLES.items())
+    named = len(chat.RENDERED[-3]) + len(chat.RENDERED[-2])
+
+    def escaped(column: str) -> str:
+        return f"length({column}) + len(regexp_extract_all({column}, '{controls}'))"
+
+    return f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+sized AS (SELECT *, {escaped("text")} + {len(chat.RENDERED[-1])}
+  + CASE role {known} ELSE {named} + {escaped("role")} END AS chars FROM t),
+said AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  sum(chars) AS chars FROM sized GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM said"""
+
+
+def divergence_sql() -> str:
+    """Every kept term in every group, and every pair of groups over all kept terms."""
+    upper = divergence.CAPITALS
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (coalesce(t.total, 0) + s.v)::HUGEINT AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN totals t USING (lang, source)
+  LEFT JOIN counts c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 1)::HUGEINT) // (any_value(total) + any_value(v))::HUGEINT AS q
+  FROM counts JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang)
+  GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pairs x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 200"""
+
+
 ORACLES = {
     "op3_topk": TOP_K,
     "op5_secrets": secrets(),
     "op7_quality": quality_rules(),
     "op8_licenses": license_scan(),
+    "op11_filter_audit": filter_audit_sql(),
+    "op12_chat": chat_sql(),
+    "op13_divergence": divergence_sql(),
 }
