@@ -14,7 +14,7 @@ value differs from f0 only where one of them has it:
 
 The two middle sums need only how many terms of a source have which count. The last one is worked out in blocks of
 BLOCK_TERMS terms with the sources that hold them, in numpy, and summed per pair. All numbers are whole: quotients of
-1e9 (count + 1) are taken three digits at a time, so that nothing overflows below 9e15 words of a language.
+1e9 (count + 1) are taken of 128-bit decimals, and the value of a pair is below (1e9 + V) squared.
 
 Defined results: null text, lang and source are ''; a term counts in its document each time it stands there; repeated
 rows are documents of their own; a language whose documents share no term often enough has V = 0, pairs of value 0 and
@@ -44,28 +44,39 @@ SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PRESENT = ""  # a term of every document, so that no vocabulary is empty; no text has it
 
-SUMS = "lang string, slice int, source string, index int, count long"
-
 
 def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, CAPITALS, CAPITALS.lower()), SEPARATORS), "")
 
 
-def slice_of(term: Column, slices: Column) -> Column:
-    return F.pmod(F.xxhash64(term), slices)
-
-
 def rows_of(docs: DataFrame) -> DataFrame:
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*plain).select("lang", "source", terms_of(F.col("text")).alias("terms"))
+    return docs.select(*plain).select("lang", "source", F.concat(terms_of(F.col("text")), F.array(F.lit(PRESENT))).alias("terms"))
+
+
+def folder_of(lang: Column) -> Column:
+    """A language as the value of a partition column: no text is empty or escaped there."""
+    return F.concat(F.lit("x"), F.hex(lang))
 
 
 def languages(rows: DataFrame, slice_terms: int) -> list[tuple[str, int, int]]:
-    """(lang, documents, slices) of each language."""
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    spoken = rows.select("lang", F.explode("terms").alias("term")).groupBy("lang").agg(F.approx_count_distinct("term").alias("terms"))
-    found = counted.join(spoken, "lang", "left").select("lang", "n", F.coalesce("terms", F.lit(0)).alias("terms"))
-    return sorted((r["lang"], r["n"], 1 + r["terms"] // slice_terms) for r in found.collect())
+    """(folder, documents, slices) of each language of the stored rows."""
+    sizes = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    spoken = rows.select("folder", F.explode("terms").alias("term")).groupBy("folder").agg(F.approx_count_distinct("term").alias("terms"))
+    return sorted((r["folder"], r["n"], 1 + r["terms"] // slice_terms) for r in sizes.join(spoken, "folder").collect())
+
+
+def sliced(rows: DataFrame, slices: int, path: str) -> list[DataFrame]:
+    """The rows with the terms of one slice each, every slice in a folder of its own."""
+    if slices == 1:
+        return [rows]
+    number = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    own = F.filter("terms", lambda t: (F.pmod(F.xxhash64(t), F.lit(slices)) == F.col("slice")) | (t == PRESENT))
+    rows.select("source", "terms", number).select("slice", "source", own.alias("terms")).write.partitionBy("slice").option(
+        "compression", "zstd"
+    ).parquet(path)
+    schema = "source string, terms array<string>"
+    return [rows.sparkSession.read.schema(schema).parquet(f"{path}/slice={s}") for s in range(slices)]
 
 
 def vectorized(docs: DataFrame, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,35 +85,28 @@ def vectorized(docs: DataFrame, slice_terms: int = SLICE_TERMS) -> tuple[DataFra
     counts: lang, slice, source, index, count of each kept term in each source that has it; terms: lang, slice,
     index, term of each kept term; groups: lang and source of each group of documents.
     """
-    spark = docs.sparkSession
-    rows = rows_of(docs)
-    langs = languages(rows, slice_terms)
-    slices = spark.createDataFrame([(x, k) for x, _, k in langs], "lang string, slices int")
-    numbered = spark.createDataFrame([(x, i) for i, (x, _, _) in enumerate(langs)], "lang string, lang_id int")
-    sliced = rows.join(slices.join(numbered, "lang"), "lang").select(
-        "lang_id", "source", "slices", "terms", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    )
-    own = F.when(F.col("slices") == 1, F.col("terms")).otherwise(
-        F.filter("terms", lambda t: slice_of(t, F.col("slices")) == F.col("slice"))
-    )
-    folder = new_folder(spark, "divergence")
-    sliced = sliced.select("lang_id", "slice", "source", F.concat(own, F.array(F.lit(PRESENT))).alias("terms"))
-    # parts of about the advisory size for each slice, hot ones split, so that a slice is read by itself
-    sliced.hint("rebalance", "lang_id", "slice").write.partitionBy("lang_id", "slice").option("compression", "zstd").parquet(f"{folder}/rows")
-    groups = store(rows.select("lang", "source").distinct(), "groups")
-    made = False
-    for lang_id, (_, n, k) in enumerate(langs):
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "divergence")
+    rows = rows_of(docs).withColumn("folder", folder_of(F.col("lang")))
+    rows.write.partitionBy("folder").option("compression", "zstd").parquet(f"{path}/rows")
+    schema = "lang string, source string, terms array<string>, folder string"
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    groups = store(rows.select("folder", "lang", "source").distinct(), "groups")
+    found = [("counts", "source string, index int, count long"), ("terms", "term string, index int")]
+    for name, columns in found:  # so that there is a table even where no language has enough documents
+        none = spark.range(0).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")])
+        none.write.parquet(f"{path}/{name}/folder=x/slice=0")
+    for folder, n, slices in languages(rows, slice_terms):
         if n < MIN_DF:
             continue
-        for s in range(k):
-            documents = spark.read.parquet(f"{folder}/rows/lang_id={lang_id}/slice={s}")
-            vectorize(documents, f"{folder}/%s/lang_id={lang_id}/slice={s}")
-            made = True
-    if not made:
-        nothing = spark.createDataFrame([], SUMS)
-        return nothing, spark.createDataFrame([], "lang string, slice int, index int, term string"), groups
-    read = [spark.read.parquet(f"{folder}/{x}").join(numbered, "lang_id") for x in ("counts", "terms")]
-    return read[0].select("lang", "slice", "source", "index", "count"), read[1].select("lang", "slice", "index", "term"), groups
+        own = spark.read.schema("source string, terms array<string>").parquet(f"{path}/rows/folder={folder}")
+        for s, documents in enumerate(sliced(own, slices, f"{path}/sliced/folder={folder}")):
+            vectorize(documents, f"{path}/%s/folder={folder}/slice={s}")
+    langs = groups.select("folder", "lang").distinct()
+    counts, terms = (
+        spark.read.schema(f"folder string, slice int, {columns}").parquet(f"{path}/{name}").join(langs, "folder")
+        for name, columns in found
+    )
+    return counts.drop("folder"), terms.drop("folder"), groups.drop("folder")
 
 
 def vectorize(documents: DataFrame, path: str) -> None:
@@ -125,33 +129,20 @@ def div(a: Column, b: Column) -> Column:
 
 
 def share(count: Column, total: Column) -> Column:
-    """1 + floor(SCALE (count + 1) / total), exact: long division in steps of three digits."""
-    rest, quotient = count + 1, F.lit(0).cast("long")
-    for _ in range(3):
-        whole = div(rest * 1000, total)
-        quotient, rest = quotient * 1000 + whole, rest * 1000 - whole * total
-    return quotient + 1
+    """1 + floor(SCALE (count + 1) / total), exact: in 128 bits."""
+    wide = (count + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")
+    return div(wide, total.cast("decimal(19,0)")) + 1
 
 
 def value(p: Column, q: Column) -> Column:
     return div((p - q) * (p - q), q)
 
 
-def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """As `share`, for arrays of 64-bit integers."""
-    rest, quotient = count + 1, np.zeros(len(total), np.int64)
-    for _ in range(3):
-        whole = rest * 1000 // total
-        quotient, rest = quotient * 1000 + whole, rest * 1000 - whole * total
-    return quotient + 1
-
-
 def common(block: pd.DataFrame) -> pd.DataFrame:
     """What the common terms of each two sources add, over the terms of one block."""
     block = block.sort_values("index", kind="stable")
     source, names = pd.factorize(block["source"])
-    term, total = block["index"].to_numpy(np.int64), block["total"].to_numpy(np.int64)
-    p, p0 = shares(block["count"].to_numpy(np.int64), total), shares(np.zeros(len(total), np.int64), total)
+    term, p, p0 = (block[c].to_numpy(np.int64) for c in ("index", "p", "p0"))
     starts, ends = np.searchsorted(term, term, "left"), np.searchsorted(term, term, "right")
     found = []
     for g in range(len(names)):
@@ -173,20 +164,17 @@ def common(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def pair_values(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """lang, source, item (another source) and value; stats: lang, source, total (N + V), v."""
+    """lang, source, item (another source) and value; counts with p, stats: lang, source, v, p0."""
     ship_package(counts.sparkSession)
-    other = stats.select("lang", F.col("source").alias("item"), F.col("total").alias("other"))
-    nothing = F.lit(0).cast("long")
+    other = stats.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
 
     def meet(left: DataFrame) -> DataFrame:
         return left.join(other, "lang").where(F.col("source") != F.col("item"))
 
-    p0, q0 = share(nothing, F.col("total")), share(nothing, F.col("other"))
-    empty = F.when(F.col("v") > 0, F.col("v") * value(p0, q0)).otherwise(0)
-    base = meet(stats).select("lang", "source", "item", empty.alias("value"))
+    p, p0, q0 = F.col("p"), F.col("p0"), F.col("q0")
+    base = meet(stats).select("lang", "source", "item", (F.col("v") * value(p0, q0)).alias("value"))
     # terms of one of the two: how many there are of each count
-    often = counts.groupBy("lang", "source", "count").agg(F.count(F.lit(1)).alias("n")).join(stats, ["lang", "source"])
-    p = share(F.col("count"), F.col("total"))
+    often = counts.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("n"))
     single = meet(often).select(
         "lang",
         F.inline(F.array(
@@ -195,24 +183,18 @@ def pair_values(counts: DataFrame, stats: DataFrame) -> DataFrame:
                      (F.col("n") * (value(q0, p) - value(q0, p0))).alias("value")),
         )),
     )
-    both = (
-        counts.join(stats, ["lang", "source"])
-        .withColumn("block", F.expr(f"index div {BLOCK_TERMS}"))
-        .groupBy("lang", "slice", "block")
-        .applyInPandas(common, "lang string, source string, item string, value long")
-    )
+    blocks = counts.withColumn("block", F.expr(f"index div {BLOCK_TERMS}")).groupBy("lang", "slice", "block")
+    both = blocks.applyInPandas(common, "lang string, source string, item string, value long")
     return base.unionByName(single).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def term_values(counts: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     """lang, source, item (a term more frequent in the source than in its language) and value."""
-    of_lang = stats.groupBy("lang").agg((F.sum("total") - F.sum("v") + F.max("v")).alias("lang_total"))
-    found = counts.withColumn("lang_count", F.sum("count").over(Window.partitionBy("lang", "slice", "index")))
-    found = found.join(stats.join(of_lang, "lang"), ["lang", "source"])
-    found = found.withColumn("p", share(F.col("count"), F.col("total")))
-    found = found.withColumn("q", share(F.col("lang_count"), F.col("lang_total"))).where("p > q")
-    named = found.join(terms, ["lang", "slice", "index"])
-    return named.select("lang", "source", F.col("term").alias("item"), value(F.col("p"), F.col("q")).alias("value"))
+    sizes = stats.groupBy("lang").agg((F.sum("n") + F.max("v")).alias("total"))
+    of_lang = counts.groupBy("lang", "slice", "index").agg(F.sum("count").alias("count")).join(sizes, "lang")
+    of_lang = of_lang.select("lang", "slice", "index", share(F.col("count"), F.col("total")).alias("q")).join(terms, ["lang", "slice", "index"])
+    found = counts.join(of_lang, ["lang", "slice", "index"]).where("p > q")
+    return found.select("lang", "source", F.col("term").alias("item"), value(F.col("p"), F.col("q")).alias("value"))
 
 
 def ranked(values: DataFrame, part: str, top: int | None = None) -> DataFrame:
@@ -228,10 +210,13 @@ def audit(docs: DataFrame, slice_terms: int = SLICE_TERMS) -> DataFrame:
     counts, terms, groups = vectorized(docs, slice_terms)
     sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    v = F.coalesce("v", F.lit(0).cast("long"))
-    total = F.coalesce("n", F.lit(0).cast("long")) + v
-    # where V is 0 no value is looked at; 1 keeps the quotients defined
-    stats = groups.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
-    stats = store(stats.select("lang", "source", F.when(v > 0, total).otherwise(1).alias("total"), v.alias("v")), "stats")
+    n, v = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "v"))
+    stats = groups.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", n.alias("n"), v.alias("v"))
+    total = F.greatest(F.col("n") + F.col("v"), F.lit(1))  # 0 only where V is 0 and nothing is summed
+    stats = store(stats.withColumn("total", total).withColumn("p0", share(F.lit(0).cast("long"), total)), "stats")
+    counts = store(
+        counts.join(stats.select("lang", "source", "total", "p0"), ["lang", "source"])
+        .withColumn("p", share(F.col("count"), F.col("total"))).drop("total"), "counts",
+    )
     pairs = ranked(pair_values(counts, stats), "pair")
     return pairs.unionByName(ranked(term_values(counts, terms, stats), "term", TOP_TERMS))
