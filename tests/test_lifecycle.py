@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from replay import replay
 
 from tocsin.operators import anchors
-from tocsin.operators.hot import Limits
+from tocsin.operators.hot import Limits, hot_keys, with_slot
 from tocsin.plans.run import AlertRun
 
 
@@ -62,11 +62,8 @@ def test_random_logs_split_many_births(spark):
     check(spark, log, TINY)
 
 
-@pytest.mark.parametrize("windows,chunks", [(16, 64), (1, 2), (2, 3)])
-def test_hot_group_with_many_chunks(spark, monkeypatch, windows, chunks):
-    # births every 7 seconds and, in bursts, at one instant: chunk entries matter
-    monkeypatch.setattr(anchors, "WINDOWS_PER_CHUNK", windows)
-    monkeypatch.setattr(anchors, "CHUNKS_PER_RUN", chunks)
+def test_hot_group_with_many_windows(spark):
+    # births every 7 seconds and, in bursts, at one instant
     log = [event(i, (i - i % 9 // 6) * 7 / 60, f"k{i}") for i in range(1200)]
     log += [event(2000 + i, i * 9 / 60, f"s{i}", manager="em-3") for i in range(400)]
     run = AlertRun(routed(spark, log), Limits(hot_rows=100, slot_rows=10))
@@ -75,6 +72,29 @@ def test_hot_group_with_many_chunks(spark, monkeypatch, windows, chunks):
     assert got == {k: a["parent"] or k for k, a in alerts.items()}
 
 
+def test_hot_group_within_one_window_is_spread(spark):
+    log = [event(i, i * 4 / 1000, f"k{i}") for i in range(1000)]
+    limits = Limits(hot_rows=100, slot_rows=10)
+    births = AlertRun(routed(spark, log), limits).births
+    got = {r.dedup_key: r.family for r in anchors.links(births, limits).collect()}
+    alerts, _, _ = expect(log)
+    assert got == {k: a["parent"] or k for k, a in alerts.items()}
+    stats = births.groupBy(*anchors.GROUP).agg(
+        F.count("*").alias("rows"), F.min("born_at").alias("first_at"), F.max("born_at").alias("last_at")
+    )
+    hot = hot_keys(stats, anchors.GROUP, limits)
+    slots = with_slot(anchors._timed(births, "born_at", "born_seq"), anchors.GROUP, hot).groupBy("slot").count().collect()
+    assert len(slots) >= 50 and max(r["count"] for r in slots) <= 40
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 50, 129])
+def test_pointer_doubling_reaches_a_whole_path(spark, size):
+    # node i leads to i + 3; from 0 on that is every third node, whatever else leads where
+    pointers = spark.createDataFrame([(f"n{i}", f"n{i + 3}") for i in range(size)], "node string, to string")
+    found = anchors.reached(pointers, spark.createDataFrame([("n0",)], "node string"))
+    assert sorted(r["node"] for r in found.collect()) == sorted(f"n{i}" for i in range(0, size + 3, 3))
+
+
 def test_window_end_is_inclusive(spark):
     log = [event(0, 0, "p"), event(1, 5, "in"), event(2, 5, "out", micros=1)]
     run = check(spark, log, Limits())

@@ -4,14 +4,16 @@ Within a group (manager, grouping key, grouping value) the first birth is a
 parent with a window of its rule's length; births up to the end of the window,
 inclusive, are its children; the next birth after that is the next parent. Each
 decision depends on the one before it, which neither `window` (fixed to the
-epoch) nor `session_window` (extended by activity) expresses, so the decision
-itself is an ordered scan of Arrow batches with one open window as its state.
-
-A hot group is cut into time chunks. What a chunk does to the open window is a
-step function of the window's end; `compress` reduces it to its steps. A single
-birth is such a step, and runs of chunks are compressed again in the same way,
-so the scan that finds the open window at the start of every chunk first goes
-over the few steps of whole runs and then over each run on its own.
+epoch) nor `session_window` (extended by activity) expresses, so in most groups
+the decision is an ordered scan of Arrow batches with one open window as its state.
+
+A hot group is never scanned. Every birth points to the first birth after its
+own window, whether it is a parent or not, and the parents are what is reached
+from the group's first parent. Pointers are doubled (2, 4, 8, ... windows ahead),
+each time only for births that some pointer still leads to, until none leads
+anywhere; then the parents are marked from the longest pointers down to the
+shortest. Pointers, and the parent that each birth then belongs to, are running
+values over slots of the group, so a group may have any number of births in a window.
 """
 
 from __future__ import annotations
@@ -19,42 +21,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tocsin.functions.events import expires_at
-from tocsin.operators.hot import Limits, hot_keys
+from tocsin.operators.hot import Limits, hot_keys, running, with_slot
 from tocsin.session import materialize, ship_package
 
 GROUP = ["event_manager_id", "grouping_key", "grouping_value"]
-# A chunk spans this many windows of the group, so that most of the possible
-# entries have met the same parent by its end.
-WINDOWS_PER_CHUNK = 16
-# Chunks in a run.
-CHUNKS_PER_RUN = 64
-
-_GROUP_FIELDS = ", ".join(f"{c} string" for c in GROUP)
-STEP_FIELDS = f"{_GROUP_FIELDS}, chunk long, upto timestamp_ntz, leads_to timestamp_ntz, parent string"
-ENTRY_FIELDS = f"{_GROUP_FIELDS}, chunk long, open_until timestamp_ntz, open_parent string"
-
-
-def _micros(column: pa.ChunkedArray | pa.Array) -> list[int | None]:
-    return column.cast(pa.int64()).to_pylist()
 
 
 def assign_parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Append `family`, the dedup key of the parent (its own for a parent).
 
-    Rows come sorted by group, chunk and time. `open_until` and `open_parent`
-    give the window open when the chunk starts.
+    Rows come sorted by group and time. `open_until` and `open_parent` give the
+    window that is open before the first of them.
     """
     place, until, parent = None, None, None
     for batch in batches:
         cols = {n: batch.column(n) for n in batch.schema.names}
-        groups = list(zip(*[cols[n].to_pylist() for n in [*GROUP, "chunk"]]))
+        groups = list(zip(*[cols[n].to_pylist() for n in GROUP]))
         born = cols["born_at"].cast(pa.int64()).to_numpy()
         families: list[str] = []
         at = 0
@@ -78,124 +66,63 @@ def assign_parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def compress(steps: pd.DataFrame) -> pd.DataFrame:
-    """Steps of one chunk: a window that ends before `upto` (and not before the
-    step above) has become one that ends at `leads_to` when the chunk is over.
-
-    A window from an earlier chunk ends at most one window length into this
-    one (`horizon`), so later steps are left out but the first.
-    """
-    steps = steps.sort_values(["upto", "tie"]).drop_duplicates("upto")
-    upto = steps["upto"].to_numpy("datetime64[us]").astype(np.int64)
-    leads_to = steps["leads_to"].to_numpy("datetime64[us]").astype(np.int64)
-    last = np.arange(len(upto))
-    following = np.searchsorted(upto, leads_to, side="right")
-    while (more := following < len(upto)).any():
-        hop = following[more]
-        last[more], following[more] = last[hop], following[hop]
-    horizon = steps["horizon"].to_numpy("datetime64[us]").astype(np.int64)[0]
-    reachable = np.searchsorted(upto, horizon) + 1
-    target = last[:reachable]
-    keep = np.append(target[1:] != target[:-1], True)
-    out = steps[[*GROUP, "chunk", "upto"]].iloc[:reachable][keep].reset_index(drop=True)
-    end = steps[["leads_to", "parent"]].iloc[target[keep]].reset_index(drop=True)
-    return pd.concat([out, end], axis=1)
-
-
-def chunk_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The window open at the start of every chunk of a run.
-
-    Steps come sorted by group, run, chunk and `upto`; `open_until` and
-    `open_parent` give the window open when the run starts.
-    """
-    place, chunk, until, parent, stepped = None, None, None, None, False
-    names = [*GROUP, "run", "chunk", "parent", "open_parent"]
-    for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in names]
-        times = [_micros(batch.column(n)) for n in ("upto", "leads_to", "open_until")]
-        out = []
-        for *here, to, key, open_parent, upto, leads_to, open_until in zip(*cols, *times):
-            if here != place:
-                place, chunk, until, parent = here, None, open_until, open_parent
-            if to != chunk:
-                chunk, stepped = to, False
-                out.append((*here[:-1], chunk, until, parent))
-            if not stepped and (until is None or until < upto):
-                until, parent, stepped = leads_to, key, True
-        values = list(zip(*out)) or [()] * 6
-        types = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.string()]
-        arrays = [pa.array(v, t) for v, t in zip(values, types)]
-        arrays[4] = arrays[4].cast(pa.timestamp("us"))
-        yield pa.RecordBatch.from_arrays(arrays, [*GROUP, "chunk", "open_until", "open_parent"])
-
-
-def _reduce(steps: DataFrame, shape: DataFrame, chunks: int) -> DataFrame:
-    """Steps of runs of `chunks` chunks, numbered `chunk`, from steps or births of chunks."""
-    start = F.timestamp_add("MICROSECOND", F.col("chunk") * chunks * F.col("width"), F.col("first_at"))
-    return (
-        steps.withColumn("chunk", F.floor(F.col("chunk") / chunks))
-        .join(shape, GROUP)
-        .withColumn("horizon", expires_at(start, F.col("longest")))
-        .select(*GROUP, "chunk", "upto", "leads_to", "parent", "tie", "horizon")
-        .groupBy(*GROUP, "chunk")
-        .applyInPandas(compress, STEP_FIELDS)
-        .withColumn("tie", F.lit(0).cast("long"))
-    )
-
-
-def _entries(steps: DataFrame) -> DataFrame:
+def _timed(births: DataFrame, at: str, seq: str) -> DataFrame:
+    """(group..., received_at, seq, dedup_key) with the place that running values go by."""
+    return births.select(*GROUP, F.col(at).alias("received_at"), F.expr(seq).alias("seq"), "dedup_key")
+
+
+def successors(births: DataFrame, hot: DataFrame) -> DataFrame:
+    """Stored (node, to): the first birth after the window of each birth; none after the last windows."""
+    own = _timed(births, "born_at", "born_seq").withColumn("node", F.lit(None).cast("string"))
+    # a window includes its last instant, so its end comes after all births of that instant
+    ends = _timed(births, "expires_at", f"{2**63 - 1}L").withColumnRenamed("dedup_key", "node")
+    rows = with_slot(own.unionByName(ends, allowMissingColumns=True), GROUP, hot)
+    rows = running(materialize(rows, "ends"), GROUP, True, latest={"to": F.col("dedup_key")}, backwards=True)
+    return materialize(rows.where("node IS NOT NULL AND to IS NOT NULL").select("node", "to"), "successors")
+
+
+def reached(successors: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Stored (node) of all nodes on the paths that begin at `firsts` (node)."""
+    jumps, jump = [], successors
+    while not jump.isEmpty():
+        jumps.append(jump)
+        # who may be asked for a longer jump: the firsts, and whatever a jump leads to
+        asked = jump.select(F.col("to").alias("node")).union(firsts).distinct()
+        here = jump.join(asked, "node", "left_semi")
+        there = jump.select(F.col("node").alias("to"), F.col("to").alias("after"))
+        jump = materialize(here.join(there, "to").select("node", F.col("after").alias("to")), "jumps")
+    found = firsts
+    for jump in reversed(jumps):
+        found = materialize(found.union(jump.join(found, "node", "left_semi").select("to")), "reached")
+    return found
+
+
+def _hot_families(births: DataFrame, hot: DataFrame) -> DataFrame:
+    """(dedup_key, family) of the births of hot groups; births with `open_until`, `open_parent`."""
+    outside = F.col("open_until").isNull() | (F.col("born_at") > F.col("open_until"))
+    first = F.min_by("dedup_key", F.struct("born_at", "born_seq"))
+    firsts = materialize(births.where(outside).groupBy(*GROUP).agg(first.alias("node")).select("node"), "firsts")
+    parents = reached(successors(births, hot), firsts)
+    rows = _timed(births, "born_at", "born_seq").join(parents.select(F.col("node").alias("dedup_key"), F.lit(True).alias("opens")), "dedup_key", "left")
+    rows = materialize(with_slot(rows, GROUP, hot), "opened")
+    rows = running(rows, GROUP, True, latest={"before": F.expr("CASE WHEN opens THEN dedup_key END")})
+    return rows.select("dedup_key", F.expr("CASE WHEN opens THEN dedup_key ELSE before END").alias("family"))
+
+
+def _scanned(births: DataFrame) -> DataFrame:
+    schema = T.StructType([*births.schema.fields, T.StructField("family", T.StringType())])
     return (
-        steps.repartition(*GROUP, "run")
-        .sortWithinPartitions(*GROUP, "run", "chunk", "upto")
-        .mapInArrow(chunk_entries, ENTRY_FIELDS)
-    )
-
-
-def _nothing_open(df: DataFrame) -> DataFrame:
-    return df.selectExpr(
-        "*", "CAST(NULL AS timestamp_ntz) AS open_until", "CAST(NULL AS string) AS open_parent"
-    )
-
-
-def _split_hot_groups(born: DataFrame, hot: DataFrame) -> DataFrame:
-    """Add `chunk` and the window open at its start."""
-    longest = (
-        born.join(hot.select(*GROUP), GROUP, "left_semi")
-        .groupBy(*GROUP)
-        .agg(F.max("time_window_minutes").alias("longest"))
-    )
-    width = F.greatest(
-        F.col("longest").cast("long") * 60_000_000 * WINDOWS_PER_CHUNK,
-        F.ceil(F.col("span") / F.col("slots")),
-    )
-    shape = materialize(
-        hot.join(longest, GROUP).select(*GROUP, "first_at", "longest", width.cast("long").alias("width")),
-        "shape",
-    )
-    since = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("born_at"))
-    chunk = F.coalesce(F.floor(since / F.col("width")), F.lit(0)).cast("long")
-    chunked = born.join(shape, GROUP, "left").withColumn("chunk", chunk)
-    single = chunked.filter(F.col("width").isNotNull()).selectExpr(
-        *GROUP,
-        "chunk",
-        "born_at AS upto",
-        "expires_at AS leads_to",
-        "dedup_key AS parent",
-        "born_seq AS tie",
+        births.repartition(*GROUP)
+        .sortWithinPartitions(*GROUP, "born_at", "born_seq")
+        .mapInArrow(assign_parent, schema)
     )
-    steps = materialize(_reduce(single, shape, 1), "steps")
-    runs = _entries(
-        _nothing_open(_reduce(steps, shape, CHUNKS_PER_RUN)).withColumn("run", F.lit(0).cast("long"))
-    ).withColumnRenamed("chunk", "run")
-    run = F.floor(F.col("chunk") / CHUNKS_PER_RUN)
-    entries = _entries(steps.withColumn("run", run).join(runs, [*GROUP, "run"], "left"))
-    return chunked.drop("first_at", "longest", "width").join(entries, [*GROUP, "chunk"], "left")
 
 
-def links(born: DataFrame, limits: Limits | None = Limits()) -> DataFrame:
+def links(born: DataFrame, limits: Limits | None = Limits(), opened: DataFrame | None = None) -> DataFrame:
     """Births with `family`, the dedup key of their parent, and `expires_at`.
 
-    `expires_at` is the end of the window an alert opens as a parent.
+    `expires_at` is the end of the window an alert opens as a parent. `opened`:
+    the windows open before these births, as (group..., open_parent, open_until).
     """
     ship_package(born.sparkSession)
     born = born.select(
@@ -214,14 +141,16 @@ def links(born: DataFrame, limits: Limits | None = Limits()) -> DataFrame:
         F.max("born_at").alias("last_at"),
     )
     hot = hot_keys(stats, GROUP, limits)
-    if hot is None:
-        chunked = _nothing_open(born.withColumn("chunk", F.lit(0).cast("long")))
+    if opened is None:
+        born = born.selectExpr("*", "CAST(NULL AS timestamp_ntz) AS open_until", "CAST(NULL AS string) AS open_parent")
     else:
-        chunked = _split_hot_groups(born, hot)
-    schema = T.StructType([*chunked.schema.fields, T.StructField("family", T.StringType())])
-    return (
-        chunked.repartition(*GROUP, "chunk")
-        .sortWithinPartitions(*GROUP, "chunk", "born_at", "born_seq")
-        .mapInArrow(assign_parent, schema)
-        .drop("chunk", "open_until", "open_parent")
-    )
+        born = born.join(opened.select(*GROUP, "open_until", "open_parent"), GROUP, "left")
+    extra = ("open_until", "open_parent")
+    if hot is None:
+        return _scanned(born).drop(*extra)
+    names = hot.select(*GROUP)
+    hot_births = materialize(born.join(names, GROUP, "left_semi"), "hot-births")
+    found = hot_births.join(_hot_families(hot_births, hot), "dedup_key")
+    found = found.withColumn("family", F.coalesce("family", "open_parent"))
+    rest = _scanned(born.join(names, GROUP, "left_anti"))
+    return rest.unionByName(found).drop(*extra)

@@ -47,13 +47,14 @@ def hot_families(links: DataFrame, limits: Limits | None) -> DataFrame | None:
 def attach(routed: DataFrame, links: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Events with the family and birth of their alert (null if there is none).
 
-    Joined on (dedup_key, slot): a hot key's alert row is repeated once per
+    `acted`: the alert's last action before these events, if `links` has it. Joined on (dedup_key, slot): a hot key's alert row is repeated once per
     slot, so the events of the key spread over its slots.
     """
     events = with_slot(
         routed.select("dedup_key", "received_at", "seq", "action"), ["dedup_key"], hot
     )
-    alerts = links.select("dedup_key", "family", "born_at", "born_seq")
+    acted = F.col("acted") if "acted" in links.columns else F.lit(None).cast("string").alias("acted")
+    alerts = links.select("dedup_key", "family", "born_at", "born_seq", acted)
     if hot is None:
         return events.join(alerts, "dedup_key", "left")
     alerts = (
@@ -92,7 +93,7 @@ def alert_history(
         "action",
         _is_parent().alias("is_parent"),
         (position() == F.struct("born_at", "born_seq")).alias("is_birth"),
-        "was",
+        F.coalesce("was", "acted").alias("was"),
         after_birth().alias("known"),
     )
 
@@ -126,7 +127,33 @@ def child_final(timeline: DataFrame) -> DataFrame:
     )
 
 
-def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = Limits()) -> DataFrame:
+# What a family has come to before the rows of a timeline, and what that is for one that begins with them.
+SEEDS = {
+    "had_active": "0L",
+    "had_children": "0L",
+    "was_active": "FALSE",
+    "was_pending": "FALSE",
+    "was_requested_at": "CAST(NULL AS timestamp_ntz)",
+    "was_remaining": "CAST(NULL AS int)",
+}
+
+
+def with_seeds(rows: DataFrame, hot: DataFrame | None, seeds: DataFrame | None) -> DataFrame:
+    """Add what each row's family has come to before, from (family, the columns of SEEDS)."""
+    if seeds is None:
+        return rows.selectExpr("*", *[f"{default} AS {name}" for name, default in SEEDS.items()])
+    keys = ["family"]
+    if hot is not None:  # a hot family's seed is repeated for each of its slots
+        seeds = seeds.join(hot.select("family", "slots"), "family", "left")
+        seeds = seeds.withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+        keys = ["family", "slot"]
+    seeded = rows.join(seeds.select(*keys, *SEEDS), keys, "left")
+    return seeded.withColumns({name: F.coalesce(name, F.expr(default)) for name, default in SEEDS.items()})
+
+
+def build_timeline(
+    history: DataFrame, hot: DataFrame | None, limits: Limits = Limits(), seeds: DataFrame | None = None
+) -> DataFrame:
     """All parent events and child changes of every family, with what each does to the parent.
 
     `place`: position in the family's log, counted from 1.
@@ -137,12 +164,14 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
     `requested_at`, `remaining_children`: state at the end of the stretch, last
     resolve request in it, and active children at the last request or child resolve.
 
-    One shuffle by family does all of it; hot families go through their slots.
+    One shuffle by family does all of it; hot families go through their slots. `seeds`: what families
+    have come to before `history`, as for `with_seeds`; other families begin with it.
     """
     split = hot is not None
     rows = history.filter(C("is_parent") | changes_child()).drop("was", "known")
     step = F.expr("CASE WHEN is_parent THEN 0 WHEN action = 'trigger' THEN 1 ELSE -1 END")
     rows = with_slot(rows.withColumn("step", step), ["family"], hot)
+    rows = with_seeds(rows, hot, seeds)
     if split:
         # the carry of each running value reads these rows once more
         rows = materialize(rows, "moves")
@@ -156,6 +185,10 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
             "place": F.lit(1),
         },
     )
+    rows = rows.withColumns({
+        "active_children": C("active_children") + C("had_active"),
+        "children": C("children") + C("had_children"),
+    })
     starts = "step = 1 AND active_children = 1"
     ends = "step = -1 AND active_children = 0"
     rows = running(
@@ -170,7 +203,7 @@ def build_timeline(history: DataFrame, hot: DataFrame | None, limits: Limits = L
         },
     )
     # the row that ends a busy stretch still belongs to it
-    stretch = f"crossings - CAST({ends} AS INT)"
+    stretch = f"crossings + CAST(had_active > 0 AS INT) - CAST({ends} AS INT)"
     rows = rows.selectExpr(
         "*", f"{ends} AS ends", f"{stretch} AS stretch", f"({stretch}) % 2 = 1 AS busy"
     )
@@ -200,7 +233,7 @@ def _facts() -> dict[str, Column]:
         # the first resolve after the first trigger is the first one whose
         # previous parent event is a trigger of the same stretch
         "first_answered": f"""min(CASE WHEN {resolve} AND prev_action = 'trigger'
-            AND prev_place > since THEN place END)""",
+            AND prev_place > coalesce(since, 0) THEN place END)""",
         "closed": "max(ends)",
         "requested_at": f"max(CASE WHEN {resolve} THEN received_at END)",
         "last_count": f"""max(CASE WHEN ({resolve}) OR step = -1
@@ -212,8 +245,16 @@ def _facts() -> dict[str, Column]:
 _ENDS_ON_TRIGGER = "last_trigger > coalesce(last_resolve, 0)"
 
 
+# A family that was pending before these rows: as if its request were at place 0 of the stretch it waits in.
+_WAITING = "was_pending AND stretch = 1"
+_LATER = {"requested_at": "was_requested_at", "last_count": "struct(0L AS place, CAST(was_remaining AS long) AS active_children)"}
+
+
 def _sets_and_swaps(df: DataFrame) -> DataFrame:
     """`sets_active`: the state a stretch always ends in, if it does; `swaps`: it swaps the two."""
+    asked = {n: F.expr(f"CASE WHEN {_WAITING} THEN 0L ELSE {n} END") for n in ("first_resolve", "first_answered")}
+    since = {n: F.expr(f"CASE WHEN {_WAITING} AND {n} IS NULL THEN {old} ELSE {n} END") for n, old in _LATER.items()}
+    df = df.withColumns(asked | since)
     return df.selectExpr(
         "*",
         f"""CASE WHEN NOT busy THEN coalesce({_ENDS_ON_TRIGGER}, FALSE)
@@ -234,8 +275,8 @@ def _start_states(df: DataFrame, split: bool, order: tuple[str, ...], once: str)
     setting = f"""CASE WHEN {once} AND sets_active IS NOT NULL
         THEN struct(sets_active AS active, swapped) END"""
     df = running(df, ["family"], split, latest={"base": F.expr(setting)}, order=order)
-    odd = f"(swapped - {own} - base.swapped) % 2 = 1"
-    return df.selectExpr("*", f"coalesce(base.active <> ({odd}), FALSE) AS from_active")
+    odd = f"(swapped - {own} - coalesce(base.swapped, 0)) % 2 = 1"
+    return df.selectExpr("*", f"coalesce(base.active, was_active) <> ({odd}) AS from_active")
 
 
 def _whole_families(rows: DataFrame) -> DataFrame:
@@ -258,12 +299,12 @@ def _split_families(rows: DataFrame, limits: Limits) -> DataFrame:
     one = (
         rows.filter(C("is_parent") | (C("step") == -1))
         .groupBy("family", "stretch", "busy")
-        .agg(*[f.alias(n) for n, f in _facts().items()])
+        .agg(*[f.alias(n) for n, f in _facts().items()], *[F.max(n).alias(n) for n in SEEDS])
         .withColumn("slot", F.floor(C("stretch") / limits.slot_rows).cast("int"))
         .withColumn("slots", F.lit(2))
     )
     one = _start_states(_sets_and_swaps(materialize(one, "stretches")), True, ("stretch",), "TRUE")
-    return rows.join(one.drop("busy", "slot", "slots"), ["family", "stretch"], "left")
+    return rows.join(one.drop("busy", "slot", "slots", *SEEDS), ["family", "stretch"], "left")
 
 
 def _effects(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tocsin.operators import births as birth_ops
 from tocsin.operators import config_feed, lifecycle, reads, state
 from tocsin.operators.hot import Limits
 from tocsin.operators.routing import reject_counts, route_events
+from tocsin.plans.incremental import AlertStore
 from tocsin.plans.oracle import AT, MANAGER_CHANGES_SQL, RULE_CHANGES_SQL
 from tocsin.plans.run import AlertRun
 from tocsin.schemas import EVENT_FIELDS
@@ -366,6 +367,38 @@ def alerts_asof_config(spark, sf_dir):
     return AlertRun(materialize(_routed_asof(spark, sf_dir)[0], "routed")).alerts
 
 
+SLICES = 5
+
+
+def _slices(routed):
+    """The log in SLICES parts of equal time, in order."""
+    span = routed.agg(F.min("received_at").alias("first"), F.max("received_at").alias("last"))
+    first, last = span.first()
+    since = F.timestamp_diff("MICROSECOND", F.lit(first), F.col("received_at"))
+    whole = F.timestamp_diff("MICROSECOND", F.lit(first), F.lit(last)) + 1
+    numbered = materialize(routed.withColumn("slice", F.coalesce(F.floor(since * SLICES / whole), F.lit(0))), "sliced")
+    return [numbered.where(F.col("slice") == i).drop("slice") for i in range(SLICES)]
+
+
+def alerts_incremental(spark, sf_dir):
+    """The alerts table, folded from one slice of the log after the other."""
+    store = AlertStore.create(spark, _stream_folder(spark, "store"))
+    for number, routed in enumerate(_slices(_routed(spark, sf_dir)[0])):
+        store.fold(f"slice-{number}", routed)
+    return store.alerts()
+
+
+def alerts_compacted(spark, sf_dir):
+    """As alerts_incremental, with a compaction after every second slice and each slice folded twice."""
+    store = AlertStore.create(spark, _stream_folder(spark, "store"))
+    for number, routed in enumerate(_slices(_routed(spark, sf_dir)[0])):
+        store.fold(f"slice-{number}", routed)
+        if number % 2:
+            store.compact()
+        store.fold(f"slice-{number}", routed)
+    return store.alerts()
+
+
 MICRO_BATCHES = 5
 
 
@@ -484,6 +517,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         grouped_alerts_split,
         event_outcomes_split,
         alerts_final_split,
+        alerts_incremental,
+        alerts_compacted,
         live_parent_probe_split,
         alert_state_asof,
         notifications,

@@ -498,4 +498,6 @@ LEFT JOIN rule_current r ON r.id = k.id""",
     sql["stream_notifications"] = sql["notifications"]
     for name in ("grouped_alerts", "event_outcomes", "alerts_final", "live_parent_probe"):
         sql[f"{name}_split"] = sql[name]
+    for name in ("alerts_incremental", "alerts_compacted"):
+        sql[name] = sql["alerts_final"]
     return sql
