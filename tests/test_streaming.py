@@ -9,6 +9,7 @@ from tocsin.sources.events import decode_log, parse_events, read_events, stamp_a
 from tocsin.sources.log import write_log
 from tocsin.streaming.pipeline import (
     read_alerts,
+    release_tail,
     start_ingest,
     start_lifecycle,
     start_sequencer,
@@ -63,6 +64,19 @@ def test_sequencer_orders_late_events(spark, tmp_path):
     assert rows(read_alerts(spark, f"{tmp_path}/alerts")) == rows(run.alerts)
 
 
+def test_what_a_sequencer_holds_is_released_at_the_end(spark, tmp_path):
+    log = random_log(9, 40, keys=6)
+    managers, rules = config(spark)
+    out = route_events(write_files(spark, log, f"{tmp_path}/in", 2), managers, rules)[0]
+    start_sequencer(out, "1 day", f"{tmp_path}/log", f"{tmp_path}/c").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 0  # the watermark is behind all events
+    for _ in range(2):  # repeated, it overwrites its own folder
+        release_tail(spark, f"{tmp_path}/c", f"{tmp_path}/log")
+        held = spark.read.parquet(f"{tmp_path}/log").drop("batch")
+        whole = routed(spark, log).select(*held.columns)
+        assert rows(held) == rows(whole)
+
+
 def test_events_behind_the_watermark_are_kept_apart(spark, tmp_path):
     log = [event(i, i, f"k{i}") for i in range(5)]
     newer = [event(10, 300, "new")]

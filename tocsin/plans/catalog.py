@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,14 @@ from tocsin.sources.events import (
 )
 from tocsin.sources.log import to_log_messages, write_log
 from tocsin.sources.sample_config import sample_config
-from tocsin.streaming.pipeline import read_alerts, start_decode, start_ingest, start_lifecycle
+from tocsin.streaming.pipeline import (
+    read_alerts,
+    release_tail,
+    start_decode,
+    start_ingest,
+    start_lifecycle,
+    start_sequencer,
+)
 
 _RUNS: dict[tuple, AlertRun] = {}
 
@@ -370,13 +378,17 @@ def alerts_asof_config(spark, sf_dir):
 SLICES = 5
 
 
-def _slices(routed):
-    """The log in SLICES parts of equal time, in order."""
-    span = routed.agg(F.min("received_at").alias("first"), F.max("received_at").alias("last"))
-    first, last = span.first()
+def _sliced(df):
+    """`df`, stored, with the number of its slice: SLICES slices of equal time, rows without a time in the first."""
+    first, last = df.agg(F.min("received_at"), F.max("received_at")).first()
     since = F.timestamp_diff("MICROSECOND", F.lit(first), F.col("received_at"))
     whole = F.timestamp_diff("MICROSECOND", F.lit(first), F.lit(last)) + 1
-    numbered = materialize(routed.withColumn("slice", F.coalesce(F.floor(since * SLICES / whole), F.lit(0))), "sliced")
+    return materialize(df.withColumn("slice", F.coalesce(F.floor(since * SLICES / whole), F.lit(0)).cast("int")), "sliced")
+
+
+def _slices(df):
+    """The slices of `df` in order."""
+    numbered = _sliced(df)
     return [numbered.where(F.col("slice") == i).drop("slice") for i in range(SLICES)]
 
 
@@ -399,29 +411,21 @@ def alerts_compacted(spark, sf_dir):
     return store.alerts()
 
 
-MICRO_BATCHES = 5
-
-
 def _stream_folder(spark, name):
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _in_files(spark, df, name, at="received_at"):
-    """A stream of `df` in micro-batches, in the order of `at`: one file each, written one after the other."""
-    folder = _stream_folder(spark, name)
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    shares = [i / MICRO_BATCHES for i in range(1, MICRO_BATCHES)]
-    cuts = df.agg(F.percentile_approx(micros, shares, 10_000).alias("c")).first()["c"] or []
-    batch = F.lit(0)
-    for cut in sorted(set(cuts)):
-        batch = batch + (micros > cut).cast("int")
-    for number in range(len(set(cuts)) + 1):
-        df.where(batch == number).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+FILES = 4
 
 
-def _event_stream(spark, sf_dir):
-    return _in_files(spark, alert_events(spark, sf_dir), "events")
+def _in_files(spark, slices):
+    """A stream of the slices in turn, one micro-batch each, of FILES files or of one if a slice has few rows."""
+    folder = _stream_folder(spark, "arrivals")
+    counts = [part.count() for part in slices]
+    files = FILES if min(counts) >= 100 * FILES else 1  # so that no file is missing because it has no row
+    for part in slices:
+        part.repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _stored_config(spark):
@@ -433,23 +437,24 @@ def _stored_config(spark):
     return lambda session: load_config(session, f"{folder}/managers", f"{folder}/rules")
 
 
-def _ingested(spark, sf_dir, events):
-    folder = _stream_folder(spark, "ingest")
+def _ingested(spark, events):
+    folder, config = _stream_folder(spark, "ingest"), _stored_config(spark)
     log, rejects = f"{folder}/log", f"{folder}/rejects"
-    start_ingest(events, _stored_config(spark), log, rejects, f"{folder}/checkpoint").awaitTermination()
+    stream = _in_files(spark, _slices(events))
+    start_ingest(stream, config, log, rejects, f"{folder}/checkpoint").awaitTermination()
     return log, rejects
 
 
 def stream_ingest(spark, sf_dir):
     """Events streamed through ingest into the log, and the log decoded again."""
-    log, _ = _ingested(spark, sf_dir, _event_stream(spark, sf_dir))
+    log, _ = _ingested(spark, alert_events(spark, sf_dir))
     decoded, _ = decode_log(read_events(spark, log, "parquet").drop("batch"))
     return decoded.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
 
 
 def stream_raw_ingest(spark, sf_dir):
     """JSON bodies streamed through ingest into the log, and the log decoded by another stream."""
-    log, _ = _ingested(spark, sf_dir, _in_files(spark, _raw_events(spark, sf_dir), "raw"))
+    log, _ = _ingested(spark, _raw_events(spark, sf_dir))
     folder = _stream_folder(spark, "decoded")
     messages = spark.readStream.schema("key binary, value binary, headers array<struct<key:string,value:binary>>")
     messages = messages.option("recursiveFileLookup", "true").parquet(log)
@@ -462,15 +467,15 @@ def stream_raw_ingest(spark, sf_dir):
 
 def stream_malformed(spark, sf_dir):
     """What ingest puts aside of JSON bodies: refused events and bodies that don't parse."""
-    _, rejects = _ingested(spark, sf_dir, _in_files(spark, _raw_events(spark, sf_dir), "raw"))
+    _, rejects = _ingested(spark, _raw_events(spark, sf_dir))
     return spark.read.parquet(rejects).select("seq", "reject_reason")
 
 
 def _lifecycle(spark, sf_dir):
     folder = _stream_folder(spark, "stream")
     managers, rules = sample_config(spark)
-    routed, _ = route_events(_event_stream(spark, sf_dir), managers, rules)
     alerts, notes = f"{folder}/alerts", f"{folder}/notifications"
+    routed, _ = route_events(_in_files(spark, _slices(alert_events(spark, sf_dir))), managers, rules)
     start_lifecycle(routed, alerts, notes, f"{folder}/checkpoint", managers).awaitTermination()
     return alerts, notes
 
@@ -485,6 +490,43 @@ def stream_notifications(spark, sf_dir):
     return spark.read.parquet(_lifecycle(spark, sf_dir)[1]).drop("batch")
 
 
+def _disordered(routed):
+    """The slices of a log as they arrive: every seventh event comes with the slice after its own."""
+    numbered = _sliced(routed)
+    arrival = F.least(F.col("slice") + (F.col("seq") % 7 == 3).cast("int"), F.lit(SLICES - 1))
+    return [numbered.where(arrival == i).drop("slice") for i in range(SLICES)]
+
+
+def stream_event_time(spark, sf_dir):
+    """The alerts table of a log that comes out of order, by way of the sequencer: as if it had come in order."""
+    folder = _stream_folder(spark, "event-time")
+    routed = materialize(_routed(spark, sf_dir)[0], "routed")
+    managers, _ = sample_config(spark)
+    first, last = routed.agg(F.min("received_at"), F.max("received_at")).first()
+    delay = "1 second" if first is None else f"{(last - first) // timedelta(milliseconds=1) // SLICES + 1} milliseconds"
+    log, alerts, checkpoint = f"{folder}/log", f"{folder}/alerts", f"{folder}/sequencer"
+
+    def lifecycle():
+        ordered = spark.readStream.schema(routed.schema).option("recursiveFileLookup", "true").parquet(log)
+        start_lifecycle(ordered, alerts, f"{folder}/notes", f"{folder}/lifecycle", managers).awaitTermination()
+
+    start_sequencer(_in_files(spark, _disordered(routed)), delay, log, checkpoint).awaitTermination()
+    lifecycle()
+    release_tail(spark, checkpoint, log)
+    lifecycle()
+    return read_alerts(spark, alerts)
+
+
+def stream_late(spark, sf_dir):
+    """Events that come after the watermark, two days behind the newest event, has passed their bucket."""
+    folder = _stream_folder(spark, "late")
+    routed = _routed(spark, sf_dir)[0]
+    late = f"{folder}/late"
+    arrivals = _in_files(spark, _disordered(routed))
+    start_sequencer(arrivals, "2 days", f"{folder}/log", f"{folder}/checkpoint", late).awaitTermination()
+    return spark.read.parquet(late).select("seq", "dedup_key", "received_at", "late_by")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -546,5 +588,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_malformed,
         stream_alerts,
         stream_notifications,
+        stream_event_time,
+        stream_late,
     )
 }

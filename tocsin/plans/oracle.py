@@ -65,6 +65,18 @@ routed AS (
     substring(sha256(event_manager_id || ':' || {_VALUE}), 1, 16) AS partition_key
   FROM checked WHERE reject_reason IS NULL {{until}})"""
 
+# every seventh event comes with the slice after its own; the watermark is two days behind what came before
+_ARRIVED = """,
+span AS (SELECT min(epoch_us(received_at)) AS first, max(epoch_us(received_at)) AS last FROM routed),
+arrived AS (
+  SELECT seq, dedup_key, received_at, epoch_us(received_at) AS us, least(4,
+      (epoch_us(received_at) - first) * 5 // (last - first + 1) + (CASE WHEN seq % 7 = 3 THEN 1 ELSE 0 END)) AS arrival
+  FROM routed, span),
+seen AS (SELECT arrival, max(us) AS newest FROM arrived GROUP BY arrival),
+passed AS (
+  SELECT a.arrival, max(b.newest) // 1000 - 2 * 86400000 AS watermark
+  FROM seen a JOIN seen b ON b.arrival < a.arrival GROUP BY a.arrival)"""
+
 _BIRTHS = """,
 births AS (
   SELECT * EXCLUDE (rn) FROM (
@@ -496,8 +508,14 @@ LEFT JOIN rule_current r ON r.id = k.id""",
         "stream_alerts": _sql(alerts, *full),
     }
     sql["stream_notifications"] = sql["notifications"]
+    sql["stream_late"] = _sql(
+        """SELECT seq, dedup_key, received_at, CAST(watermark * 1000 - us AS BIGINT) AS late_by
+FROM arrived JOIN passed USING (arrival) WHERE (us // 1000000 + 1) * 1000 <= watermark""",
+        _ROUTED,
+        _ARRIVED,
+    )
     for name in ("grouped_alerts", "event_outcomes", "alerts_final", "live_parent_probe"):
         sql[f"{name}_split"] = sql[name]
-    for name in ("alerts_incremental", "alerts_compacted"):
+    for name in ("alerts_incremental", "alerts_compacted", "stream_event_time"):
         sql[name] = sql["alerts_final"]
     return sql

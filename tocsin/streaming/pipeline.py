@@ -209,22 +209,22 @@ def start_lifecycle(
 
 
 def start_sequencer(
-    routed: DataFrame, delay: str, log: str, checkpoint: str, late: str | None = None, **trigger
+    routed: DataFrame, delay: str, log: str, checkpoint: str, late: str | None = None, bucket_ms: int = 1000, **trigger
 ) -> StreamingQuery:
     """Event-time mode: pass a stream on in event-time order, `delay` behind its newest event.
 
     Each micro-batch of the output is later than those before it, so `start_lifecycle` over it (whole
     batches at a time) gives the batch result even if events come in late by up to `delay`. Events that
     are later still go to the folder `late` (by default `log` with "-late") with `late_by`, by how many
-    microseconds the watermark had passed them. The events of the last `delay` stay in state until newer
-    ones come: a finite log needs a closing event to let them out.
+    microseconds the watermark had passed them. Events are let go in buckets of `bucket_ms`. Those of the last
+    `delay` stay in state until newer ones come; `release_tail` lets them out when a log has ended.
     """
     prepare_state(routed.sparkSession)
     rows = compact_rows(routed.withColumn("received_at", F.col("received_at").cast("timestamp")))
     # the watermark's column goes no further, else Spark would drop late rows without a trace
     rows = rows.withWatermark("received_at", delay).select(*p.columns(ROUTED_SCHEMA))
     ordered = rows.groupBy("dedup_key").transformWithState(
-        p.Sequencer(ROUTED_SCHEMA), f"{ROUTED_SCHEMA}, late_by long", "append", "eventTime"
+        p.Sequencer(ROUTED_SCHEMA, bucket_ms), f"{ROUTED_SCHEMA}, late_by long", "append", "eventTime"
     )
     ordered = (
         ordered.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
@@ -245,3 +245,21 @@ def start_sequencer(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def release_tail(spark: SparkSession, checkpoint: str, log: str) -> None:
+    """Write the events that a stopped sequencer still holds as the last folder of its log.
+
+    Reads the sequencer's own state from its checkpoint. The folder is overwritten if this is repeated.
+    """
+    held = (
+        spark.read.format("statestore")
+        .option("path", checkpoint)
+        .option("stateVarName", "waiting")
+        .option("flattenCollectionTypes", "true")
+        .load()
+    )
+    rows = held.selectExpr("inline(user_map_value.rows)")
+    rows = rows.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
+    rows = rows.withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int")).drop("at", "window")
+    rows.write.mode("overwrite").parquet(f"{log}/batch={2**31 - 1}")
