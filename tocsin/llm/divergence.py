@@ -36,7 +36,8 @@ from tocsin.llm.shared import new_folder, ship_package, store
 
 MIN_DF = 3
 VOCAB_SIZE = 2**31 - 1
-SLICE_TERMS = 1 << 20
+SLICE_TERMS = 1 << 21
+ONE_IN = 64  # distinct terms are estimated from so small a share of all hash values
 BLOCK_TERMS = 1 << 12
 TOP_TERMS = 200
 SCALE = 10**9
@@ -62,8 +63,10 @@ def folder_of(lang: Column) -> Column:
 def languages(rows: DataFrame, slice_terms: int) -> list[tuple[str, int, int]]:
     """(folder, documents, slices) of each language of the stored rows."""
     sizes = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
-    spoken = rows.select("folder", F.explode("terms").alias("term")).groupBy("folder").agg(F.approx_count_distinct("term").alias("terms"))
-    return sorted((r["folder"], r["n"], 1 + r["terms"] // slice_terms) for r in sizes.join(spoken, "folder").collect())
+    counted = rows.select("folder", F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(ONE_IN)) == 0)
+    spoken = counted.groupBy("folder").agg((F.approx_count_distinct("term") * ONE_IN).alias("terms"))
+    found = sizes.join(spoken, "folder", "left").select("folder", "n", F.coalesce("terms", F.lit(0)).alias("terms"))
+    return sorted((r["folder"], r["n"], 1 + r["terms"] // slice_terms) for r in found.collect())
 
 
 def sliced(rows: DataFrame, slices: int, path: str) -> list[DataFrame]:
