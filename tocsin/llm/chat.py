@@ -68,7 +68,7 @@ class Template:
     """Token ids of turns and back; reserved ids follow the vocabulary."""
 
     def __init__(self, tokenizer: str):
-        self.encoder = text_encoder(tokenizer, by_word=False)
+        self.encoder = text_encoder(tokenizer, by_word=False, markers=False)
         vocabulary = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         self.first = max(vocabulary.values()) + 1
         self.reserved = {c: self.first + i for i, c in enumerate(CONTROLS)}

@@ -13,10 +13,14 @@ similarity. r, c ~ Gamma(2, 1) and beta ~ Uniform(0, 1) come from a table indexe
 the drawn one minimises ln c - r (floor(ln w / r + beta) - beta + 1), ties going to the smaller hash.
 ROWS samples make a band; texts that share a band are candidates.
 
-Candidates are never paired within a bucket. Each bucket's least text is compared with the others; links
+Candidates are never paired within a bucket. One text of each bucket (by hash) is compared with the others; links
 (weighted Jaccard of THRESHOLD or more) join classes; then only buckets that still hold several classes go
-on, with their next text, against texts of other classes. After STAR_ROUNDS such rounds what is left, which
-is little, is compared in full, so that every candidate pair is either verified or already in one class.
+on, with their next text, against texts of other classes. Texts that are still open after STAR_ROUNDS such rounds
+go on by prefix instead: with a text's shingles in order of how many open texts hold them, rarest first, two texts of
+similarity t share one of the first shingles of each that hold a share 1 - t of its weight. This is exact, and
+shingles of a passage that many texts share come last. Texts that share such a shingle, and could be alike by their
+total weights, are compared, by PREFIX_ROUNDS rounds of stars and then in full, so that every candidate pair is
+verified, excluded by that bound or already in one class.
 
 Exact copies are one node (a SHA-256 of the text), collapsed before any shuffle by partial aggregation.
 
@@ -31,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import id_and_text, join_on, map_batches, slices, store
+from tocsin.llm.shared import Tables, id_and_text, join_on, map_batches, slices, store
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -42,7 +46,9 @@ BANDS, ROWS = 14, 4
 BUCKETS = 1 << 19
 COMMON = 0.01
 FLOOR = 0.75
-STAR_ROUNDS = 4
+STAR_ROUNDS, PREFIX_ROUNDS = 2, 2  # rounds of stars over bands, then over prefixes
+STEPS = 6  # classes of total weights from t w to w
+HUB = 1_000  # pairs of one text that are verified together
 SLICE = 1 << 20  # bytes of text shingled together
 
 ID_BITS = 44
@@ -279,95 +285,183 @@ def similarity(a: tuple, b: tuple) -> float:
     return both / (a[2] + b[2] - both)
 
 
+def weighted(ids: bytes, counts: bytes, idf) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shingles, their weights and the sum of these, of a stored vector."""
+    numbers = np.cumsum(np.frombuffer(ids, np.uint64), dtype=np.uint64)
+    weights = np.frombuffer(counts, np.uint32) * idf.value[bucket_of(numbers)].astype(np.float64)
+    return numbers, weights, float(weights.sum())
+
+
 def verified(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
-    """Stored pairs (a, b) of nodes whose similarity reaches the threshold."""
+    """Pairs (a, b) of nodes whose similarity reaches the threshold.
+
+    A text with many partners is dealt to parts of about HUB pairs; its vector comes once to each part, ahead of
+    its partners' vectors, and is never copied into pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        own, mine = None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            columns = [batch.column(c) for c in ("a_ids", "a_counts", "b_ids", "b_counts")]
-            kept = []
-            for i in range(len(a)):
-                if last[0] != a[i]:
-                    last = a[i], vector(columns[0][i].as_py(), columns[1][i].as_py())
-                theirs = vector(columns[2][i].as_py(), columns[3][i].as_py())
-                kept.append(similarity(last[1], theirs) >= threshold - 1e-9)
-            chosen = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(chosen)
-
-    def vector(ids: bytes, counts: bytes) -> tuple:
-        numbers = np.cumsum(np.frombuffer(ids, np.uint64), dtype=np.uint64)
-        weights = np.frombuffer(counts, np.uint32) * idf.value[bucket_of(numbers)].astype(np.float64)
-        return numbers, weights, float(weights.sum())
-
-    of_a, of_b = (
-        vectors.select(F.col("node").alias(n), F.col("ids").alias(f"{n}_ids"), F.col("counts").alias(f"{n}_counts"))
-        for n in "ab"
-    )
-    both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "a_ids", "a_counts", "b_ids", "b_counts")
-    return store(map_batches(both, run, "a binary, b binary"), "links")
-
-
-def components(links: DataFrame) -> DataFrame:
+            found: list[tuple[bytes, bytes]] = []
+            names = ("a", "part", "b", "ids", "counts")
+            for a, part, b, ids, counts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if b is None:
+                    own, mine = (a, part), weighted(ids, counts, idf)
+                elif own == (a, part) and similarity(mine, weighted(ids, counts, idf)) >= threshold - 1e-9:
+                    found.append((a, b))
+            columns = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    hubs = pairs.groupBy("a").agg((1 + F.floor(F.count(F.lit(1)) / HUB)).alias("parts"))
+    dealt = pairs.join(hubs.where("parts > 1"), "a", "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), "b")
+    theirs = dealt.join(vectors.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "ids", "counts")
+    own = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    own = own.join(vectors.withColumnRenamed("node", "a"), "a")
+    own = own.select("a", "part", F.lit(None).cast("binary").alias("b"), "ids", "counts")
+    both = own.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return map_batches(both, run, "a binary, b binary")
+
+
+def components(tables: Tables, links: DataFrame) -> DataFrame:
     """Stored (node, label) of linked nodes: the least node of each connected component.
 
     Every node takes the least label among its neighbours, then its label's label, until none changes.
     """
-    edges = store(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = store(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    edges = tables.store(links.union(links.select("b", "a")).toDF("node", "other").distinct(), "edges")
+    labels = tables.store(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
         theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
         near = edges.join(theirs, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "theirs").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        after = lower.join(jump, "new").select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") < F.col("label")).alias("moved"))
-        after = store(after, "labels")
-        labels = after.select("node", "label")
+        after = lower.join(jump, "new").select(
+            "node", F.least("new", "jump").alias("label"), (F.least("new", "jump") < F.col("label")).alias("moved")
+        )
+        after = tables.store(after, "labels")
+        tables.drop(labels)
+        labels = after
         if after.where("moved").isEmpty():
-            return labels
+            tables.drop(edges)
+            return after
+
+
+def joined(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored (node, label) after new links; labels of nodes without links are the nodes themselves."""
+    of_a, of_b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in "ab")
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    ends = ends.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b")
+    moves = components(tables, ends)
+    nodes = links.select("a").union(links.select("b")).toDF("node").join(labels, "node", "left_anti").distinct()
+    known = labels.union(nodes.select("node", F.col("node").alias("label")))
+    moved = moves.select(F.col("node").alias("label"), F.col("label").alias("moved"))
+    found = tables.store(known.join(moved, "label", "left").select("node", F.coalesce("moved", "label").alias("label")), "labels")
+    tables.drop(moves, labels)
+    return found
+
+
+def prefix_buckets(nodes: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
+    """(band, node, total, heavy) of open nodes, by shingles of their prefixes that other open nodes hold as well.
+
+    Of two texts of similarity t and total weights v <= w, the common weight is at least t / (1 + t) (v + w), so their
+    first common shingle lies where less than the rest of that is before it: for the lighter text, within a share
+    1 - 2 t / (1 + t) of its weight; for the heavier one, within 1 - t / (1 + t) (1 + v / w) of its own. Weights are
+    cut to classes, STEPS of them from t w to w, which bounds v / w from below. A bucket is a shingle and a class: the
+    lighter texts of the class, and the heavier ones (`heavy`) of it and of the classes above that reach it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "ids", "counts")), strict=True):
+                shingles, weights, total = weighted(ids, counts, idf)
+                columns = [
+                    pa.array([node] * len(shingles), pa.binary()),
+                    pa.array(shingles.view(np.int64), pa.int64()),
+                    pa.array(weights, pa.float64()),
+                    pa.array(np.full(len(shingles), total), pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingle", "weight", "total"])
+
+    open_vectors = vectors.join(nodes, "node", "left_semi").select("node", "ids", "counts")
+    rows = map_batches(open_vectors, run, "node binary, shingle long, weight double, total double")
+    holders = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    place = Window.partitionBy("node").orderBy("holders", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(holders, "shingle").withColumn("share", (F.sum("weight").over(place) - F.col("weight")) / F.col("total"))
+    step = threshold ** (1 / STEPS)
+    own = F.floor(F.log("total") / -np.log(step))
+    part, more = threshold / (1 + threshold), 1e-9
+    lighter = F.struct(F.lit(False).alias("heavy"), F.lit(0).alias("below"), F.lit(1 - 2 * part + more).alias("within"))
+    heavier = [
+        # one class more than STEPS, as the logarithm may be rounded
+        F.struct(F.lit(True).alias("heavy"), F.lit(k).alias("below"), F.lit(1 - part * (1 + step ** (k + 1)) + more).alias("within"))
+        for k in range(STEPS + 2)
+    ]
+    dealt = placed.where(f"holders > 1 AND share <= {1 - threshold + 2 * more}")
+    dealt = dealt.select("node", "total", "shingle", "share", own.alias("own"), F.inline(F.array(lighter, *heavier)))
+    band = F.xxhash64("shingle", F.col("own") - F.col("below"))
+    return dealt.where("share <= within").select(band.alias("band"), "node", "total", "heavy")
+
+
+def open_of(tables: Tables, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored rows of buckets that hold several classes, with the label of each node and the bucket's first node."""
+    classed = tables.store(rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("label", "node").alias("label")), "classed")
+    per_band = classed.groupBy("band").agg(
+        # another text in each bucket, so that a text that is in many meets many others
+        F.min(F.struct(F.xxhash64("node", "band").alias("turn"), "node", "label", "total")).alias("first"),
+        F.min("label").alias("low"), F.max("label").alias("high"),
+    )
+    several = tables.store(classed.join(per_band.where("low < high").select("band", "first"), "band"), "several")
+    tables.drop(classed)
+    return several
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Stored (doc_id, node, label): documents of one near-duplicate class have one label."""
     texts = id_and_text(docs)
     spark = docs.sparkSession
+    tables = Tables(spark)
     idf = spark.sparkContext.broadcast(idf_table(texts))
-    signed = store(signatures(texts, idf), "signatures")
+    signed = tables.store(signatures(texts, idf), "signatures")
     nodes = signed.select("node", "bands").dropDuplicates(["node"])
     rows = nodes.select(F.explode("bands").alias("band"), "node")
     crowded = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    open_rows = store(rows.join(crowded, "band"), "buckets")
+    # no total is known yet: nothing is excluded by it
+    open_rows = rows.join(crowded, "band").withColumns({"total": F.lit(0.0), "heavy": F.lit(False)})
+    open_rows = tables.store(open_rows, "buckets")
     candidates = open_rows.select("node").distinct()
-    vectors = store(
-        signed.select("node", "ids", "counts").join(candidates, "node", "left_semi").dropDuplicates(["node"]), "vectors"
-    )
-    nothing = spark.createDataFrame([], "a binary, b binary")
-    links, done, labels = nothing, nothing, spark.createDataFrame([], "node binary, label binary")
-    round_number = 0
-    while True:
-        classed = open_rows.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        classed = store(classed, "classed")
-        per_band = classed.groupBy("band").agg(
-            F.min(F.struct("node", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        several = store(classed.join(per_band.where("low < high").select("band", "first"), "band"), "several")
-        if several.isEmpty():
-            break
-        if round_number < STAR_ROUNDS:
-            pairs = several.where("label <> first.label").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-            open_rows = several.where("node <> first.node").select("band", "node")
-        else:
-            other = several.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = several.join(other, "band").where("label <> other and node < b").select(F.col("node").alias("a"), "b")
-            open_rows = open_rows.limit(0)
-        pairs = store(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.union(pairs)
-        links = links.union(verified(pairs, vectors, idf, threshold))
-        labels = components(links)
-        round_number += 1
+    vectors = signed.select("node", "ids", "counts").join(candidates, "node", "left_semi").dropDuplicates(["node"])
+    vectors = tables.store(vectors, "vectors")
+    labels = tables.store(spark.range(0).select(*[F.lit(b"").alias(c) for c in ("node", "label")]), "labels")
+    could = F.least("total", "first.total") >= threshold * F.greatest("total", "first.total") * (1 - 1e-9)
+    kept = open_rows
+    for by_prefix in (False, True):
+        if by_prefix:
+            still = several.select("node").distinct()
+            rows = tables.store(prefix_buckets(still, vectors, idf, threshold), "prefixes")
+            tables.drop(several, kept)
+            kept = rows
+        rounds = PREFIX_ROUNDS if by_prefix else STAR_ROUNDS
+        for number in range(rounds + by_prefix):
+            several = open_of(tables, kept, labels)
+            tables.drop(kept)
+            if number < rounds:
+                pairs = several.where("label <> first.label").where(could).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+                rest = several.where("node <> first.node").select("band", "node", "total", "heavy")
+            else:
+                other = several.where("heavy").select("band", F.col("node").alias("b"), F.col("label").alias("other"), F.struct("total").alias("first"))
+                met = several.where("NOT heavy").drop("first").join(other, "band").where("label <> other AND total <= first.total").where(could)
+                pairs, rest = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")), several.limit(0)
+            pairs = tables.store(pairs.distinct(), "pairs")
+            links = tables.store(verified(pairs, vectors, idf, threshold), "links")
+            labels = joined(tables, labels, links)
+            kept = tables.store(rest, "open") if number < rounds else rest
+            tables.drop(pairs, links, several)
+        if not by_prefix:
+            several = open_of(tables, kept, labels)
     found = signed.select("doc_id", "node").join(labels, "node", "left")
-    return store(found.select("doc_id", "node", F.coalesce("label", "node").alias("label")), "classes")
+    found = store(found.select("doc_id", "node", F.coalesce("label", "node").alias("label")), "classes")
+    tables.close()
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -381,8 +475,7 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """One document of each class, the one with the least doc_id, with the columns it came with."""
     found = classes(docs, threshold)
     first = found.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*")
-    own = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__node", node_of(F.col("text")))
-    own = own.dropDuplicates(["__doc", "__node"])
-    first = first.toDF("__doc", "__node")
-    kept = join_on(own, first, ["__doc", "__node"], "left_semi")
-    return kept.select(*[F.col(f"l.`{c}`") for c in docs.columns])
+    # the row travels as one struct, so that its columns' names can't clash with these
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.struct("*").alias("row"))
+    own = own.dropDuplicates(["doc_id", "node"])
+    return join_on(own, first, ["doc_id", "node"], "left_semi").select("l.row.*")

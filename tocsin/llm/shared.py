@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -52,6 +53,31 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Stored tables that are given up when nothing reads them any more; what is left goes with `close`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *stored: DataFrame) -> None:
+        """Delete these tables' files, which this object wrote."""
+        for df in stored:
+            _, path = self.paths.pop(id(df), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self) -> None:
+        self.drop(*[df for df, _ in list(self.paths.values())])
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
     """`mapInArrow` with this package on the workers."""
     ship_package(df.sparkSession)
@@ -152,12 +178,15 @@ class TextEncoder:
     ends and tabs. Otherwise it is cut as BlankChunks does. Either way the ids are those of the text.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, markers: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a text that may hold a special token's string goes whole through the plain call, if that is to be an id
+        special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if markers and special else None
         self.by_word = by_word
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "<u2" if self.width == 2 else "<u4"
@@ -230,18 +259,32 @@ class TextEncoder:
         return [out[c] for c in chunks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, t in enumerate(texts) if self.special and self.special.search(t.lower())]
+        if not marked:
+            return self.unmarked(texts)
+        here = set(marked)
+        plain = iter(self.unmarked([t for i, t in enumerate(texts) if i not in here]))
+        self.tokenizer.encode_special_tokens = False
+        found = iter(self.encode([texts[i] for i in marked]))
+        self.tokenizer.encode_special_tokens = True
+        return [next(found if i in here else plain) for i in range(len(texts))]
+
+    def unmarked(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.blanks.ids(texts)
         lower = [t.lower() if t.isascii() else t for t in texts]  # as the tokenizer does
         return self.words.joined([t.replace("\n", " ").replace("\t", " ").split(" ") for t in lower])
 
 
-_encoders: dict[tuple[str, bool], TextEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], TextEncoder] = {}
 
 
-def text_encoder(name: str, by_word: bool) -> TextEncoder:
-    """The worker's encoder for a tokenizer file, kept with its cache between tasks."""
-    key = (name, by_word)
+def text_encoder(name: str, by_word: bool, markers: bool = True) -> TextEncoder:
+    """The worker's encoder for a tokenizer file, kept with its cache between tasks.
+
+    `markers`: strings of special tokens in a text become their ids, as the library's plain call has it.
+    """
+    key = (name, by_word, markers)
     if key not in _encoders:
-        _encoders[key] = TextEncoder(name if "/" in name else tokenizer_path(name), by_word)
+        _encoders[key] = TextEncoder(name if "/" in name else tokenizer_path(name), by_word, markers)
     return _encoders[key]
