@@ -24,10 +24,32 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def private_keys(order: int, kind: str) -> str:
+    """Parts of a text behind each BEGIN, measured by the same patterns."""
+    label, whole, named, stop, last = (
+        _text(getattr(secret_scan, f"KEY_{x}")) for x in ("LABEL", "WHOLE", "NAMED", "STOP", "LAST")
+    )
+    begin, size = _text(secret_scan.BEGIN), len(secret_scan.BEGIN)
+    body = lambda x: f"length(string_split_regex({x}, {stop})[1])"
+    full = lambda x, n: f"CASE WHEN {n} > 0 THEN {n} + length(regexp_extract({x}[{n} + 1:], {last})) ELSE 0 END"
+    return f"""SELECT r, {order} AS k, '{kind}' AS kind, start, start + {size} + (CASE WHEN whole > 0 THEN whole
+    WHEN named > 0 AND m > 0 THEN label + named + {full("inner_rest", "m")} ELSE label + {full("rest", "n")} END) AS stop
+FROM (SELECT *, {body("rest")} AS n, {body("inner_rest")} AS m FROM (SELECT *, rest[named + 1:] AS inner_rest FROM (
+  SELECT *, length(regexp_extract(rest, {named})) AS named FROM (
+  SELECT r, start, label, length(regexp_extract(part, {whole})) AS whole, part[label + 1:] AS rest FROM (
+  SELECT r, start, part, length(regexp_extract(part, {label})) AS label FROM (
+  SELECT r, i, part, sum(length(part) + {size}) OVER (PARTITION BY r ORDER BY i) - length(part) - 2 * {size} AS start FROM (
+  SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
+    SELECT r, string_split(text, {begin}) AS parts FROM d) a0) a1) a2 WHERE i > 1) a3 WHERE label > 0) a4) a5) a6) a7"""
+
+
 def secrets() -> str:
     """Matches and the text between them take turns, so their lengths add up to places."""
     kinds = []
     for order, rule in enumerate(secret_scan.RULES):
+        if not rule.pattern:
+            kinds.append(private_keys(order, rule.kind))
+            continue
         pattern = _text(rule.pattern)
         enough = f"length(regexp_extract(m, {pattern}, {rule.group})) >= {rule.least}"
         kinds.append(f"""SELECT r, {order} AS k, '{rule.kind}' AS kind, upto - length(m) AS start, upto AS stop FROM (

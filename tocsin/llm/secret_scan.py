@@ -27,7 +27,7 @@ from tocsin.llm.shared import id_and_text, new_folder
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. `needs`: a text without this string has no match; `group`, `least`: what must be that long."""
+    """A kind of secret; without a pattern, private keys. `needs`: a text without this string has no match; `group`, `least`: what must be that long."""
 
     kind: str
     version: int
@@ -51,18 +51,20 @@ BASE = (
     Rule("access", 1, "AKIA[A-Z0-9]{12,}", needs="AKIA"),
     Rule("hex", 1, "[0-9a-f]{32,}"),
 )
-# A key runs to its END line, without five dashes before it, or else over the lines of base64 that follow
-# (and named values before them). 1,000 is the most that RE2 repeats; Java's stack holds as many.
+# A key runs from BEGIN to its END line, if that comes before the next BEGIN, or else over the base64 behind BEGIN
+# (and over named values, up to the blank line that ends them). The patterns hold no repeated groups: Java takes
+# stack for each round of these, but none for a repeated class, so a key may be of any length.
+BEGIN = "-----BEGIN "
 _LABEL = "[A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-_BASE64 = "[A-Za-z0-9+/=]"
-_TO_END = f"[^-]*(?:--?-?-?[^-]+){{0,1000}}-----END {_LABEL}"
-_NAMED = r"(?:[ \t\r\n>]*[A-Za-z][A-Za-z-]*: [^\n]*){0,10}"
-_LINES = r"""(?:[ \t\r\n\\"'>#*]+""" + _BASE64 * 16 + "+){1,1000}"
-_LAST = rf"(?:\r?\n{_BASE64}+(?:\r?\n|\z))?"
-_KEY = f"-----BEGIN {_LABEL}(?:{_TO_END}|{_NAMED}{_LINES}{_LAST})?"
+_BASE64, _BETWEEN = "A-Za-z0-9+/=", r"""[ \t\r\n\\"'>#*]+"""
+KEY_LABEL = "^" + _LABEL
+KEY_WHOLE = f"^{_LABEL}(?s:.*?)-----END {_LABEL}"
+KEY_NAMED = r"^[ \t\r\n>]*[A-Za-z][A-Za-z-]*: (?s:.*?)\n[ \t\r>]*\n"
+KEY_STOP = rf"{_BETWEEN}[{_BASE64}]{{0,15}}(?:[^{_BASE64}]|\z)"  # the first string that is too short for a line
+KEY_LAST = rf"^\r?\n[{_BASE64}]+(?:\r?\n|\z)"
 # further kinds that public services document
 MORE = (
-    Rule("private_key", 2, _KEY, needs="-----BEGIN "),
+    Rule("private_key", 3, "", needs=BEGIN),
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}", needs="gh"),
     Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", needs="xox"),
     Rule("google", 1, "AIza[A-Za-z0-9_-]{35}", needs="AIza"),
@@ -79,12 +81,58 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def key_length(part: Column) -> Column:
+    """How much of what follows a BEGIN belongs to a private key; 0 if it isn't one."""
+    found = lambda value, pattern: F.regexp_extract(value, pattern, 0)
+    after = lambda value, length: F.substring(value, length + 1, F.length(value))
+
+    def body(rest: Column) -> Column:
+        lines = F.length(F.get(F.split(rest, KEY_STOP, 2), F.lit(0)))
+        last = lambda n: F.when(n > 0, n + F.length(found(after(rest, n), KEY_LAST))).otherwise(0)
+        return once(lines, last)
+
+    def open_key(rest: Column) -> Column:
+        named = F.length(found(rest, KEY_NAMED))
+        with_named = lambda n: once(body(after(rest, n)), lambda m: F.when((n > 0) & (m > 0), n + m).otherwise(body(rest)))
+        return once(named, with_named)
+
+    def length(label: Column) -> Column:
+        whole = F.length(found(part, KEY_WHOLE))
+        return F.when(label == 0, 0).otherwise(
+            once(whole, lambda n: F.when(n > 0, n).otherwise(label + open_key(after(part, label))))
+        )
+
+    return once(F.length(found(part, KEY_LABEL)), length)
+
+
+def key_spans(text: Column, kind: str) -> Column:
+    """Places of private keys: a text is cut at each BEGIN, and each part behind one is measured."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(done: Column, part: Column) -> Column:
+        def place(n: Column) -> Column:
+            end = done["at"] + len(BEGIN) + n
+            return F.struct(F.lit(kind).alias("kind"), done["at"].alias("start"), end.cast("long").alias("end"))
+
+        add = lambda n: F.when(n > 0, F.array_append(done["found"], place(n))).otherwise(done["found"])
+        more = once(key_length(part), add)
+        return F.struct((done["at"] + len(BEGIN) + F.length(part)).cast("long").alias("at"), more.cast(f"array<{SPAN}>").alias("found"))
+
+    def over(parts: Column) -> Column:
+        start = F.struct(F.length(F.get(parts, F.lit(0))).cast("long").alias("at"), none.alias("found"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda done: done["found"])
+
+    return F.when(F.contains(text, F.lit(BEGIN)), once(F.split(text, BEGIN, -1), over)).otherwise(none)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Places (code points, end exclusive) of the rule's leftmost, non-overlapping matches.
 
     The text between matches and the matches take turns, so lengths add up to places.
     """
     none = F.array().cast(f"array<{SPAN}>")
+    if not rule.pattern:
+        return key_spans(text, rule.kind)
 
     def places(matches: Column, gaps: Column) -> Column:
         pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
@@ -157,7 +205,8 @@ def findings_of(spark, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFram
     wanted = [r.key for r in rules]
     found = read_ledger(spark, folder).where(F.size("findings") > 0)
     found = found.select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin(wanted))
-    return found.groupBy("blob").agg(F.flatten(F.collect_list("f.spans")).alias("spans"))
+    # a blob may be in the ledger twice, when two scans ran at once or one was repeated
+    return found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("f.spans"))).alias("spans"))
 
 
 def in_order(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -199,8 +248,8 @@ def redacted(docs: DataFrame, folder: str | None = None, rules: tuple[Rule, ...]
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ledger")
     append_unseen(docs, folder, rules)
-    found = findings_of(spark, folder, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    text = F.col("text")
+    # the row travels as one struct, so that its columns' names can't clash with these
+    row, text = F.col("row"), F.col("row.text")
 
     def step(done: Column, s: Column) -> Column:
         before = F.when(s["start"] >= done["at"], F.concat(text.substr((done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mask)))
@@ -208,11 +257,12 @@ def redacted(docs: DataFrame, folder: str | None = None, rules: tuple[Rule, ...]
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = lambda done: F.concat(done["out"], text.substr((done["at"] + 1).cast("int"), F.length(text)))
-    clean = F.aggregate(in_order(F.col("__spans"), rules), start, step, rest)
-    keyed = docs.withColumn("__blob", blob_of(F.coalesce(text, F.lit("")))).join(found, "__blob", "left")
-    out = keyed.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean))
+    clean = F.aggregate(in_order(F.col("spans"), rules), start, step, rest)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), blob_of(F.coalesce(docs["text"], F.lit(""))).alias("blob"))
+    found = keyed.join(findings_of(spark, folder, rules), "blob", "left")
+    found = found.select("row", F.when(F.col("spans").isNull(), text).otherwise(clean).alias("clean"), F.col("spans").isNotNull().alias("changed"))
+    out = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        changed = F.col("__spans").isNotNull()
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out["n_chars"] = F.when(F.col("changed"), F.length("clean").cast(kind)).otherwise(row["n_chars"])
+    return found.select(*[out.get(c, row.getField(c)).alias(c) for c in docs.columns])
