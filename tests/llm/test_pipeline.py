@@ -65,7 +65,6 @@ def test_secrets_are_masked_and_the_rest_is_as_it_was(stages):
 
 def test_everything_kept_is_packed(stages):
     tokenizer = Tokenizer.from_file(P.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for r in stages[4].collect():
         for piece in brute.pieces(tokenizer.encode(r["text"], add_special_tokens=False).ids):

@@ -16,7 +16,7 @@ The loss mask is derived from the ids: a running sum over openings numbers the t
 it is no reserved one and its turn opened with the assistant's.
 
 Conversations are sorted by range of (conv_id, turn), so one conversation may lie in many tasks; none is held whole.
-Each task writes pieces of whole turns, of about PIECE_CHARS at most unless one turn is longer. Only a digest over
+Each task writes pieces of whole turns, of about `piece_chars` at most unless one turn is longer. Only a digest over
 a conversation's whole text, which SHA-256 can only take in order, streams the pieces of a conversation that has
 several through one task; others are digested where they are read.
 
@@ -137,7 +137,7 @@ def template(tokenizer: str) -> Template:
     return _templates[tokenizer]
 
 
-def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """Pieces of conversations: ids (little-endian unsigned 32-bit) and their loss mask (packed bits).
 
     Pieces of a conversation go by (part, piece); `whole`: the conversation has no other piece.
@@ -159,7 +159,7 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
             convs, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
             for own, ids, text in zip(convs, made.turns(roles, texts), texts, strict=True):
                 new = bool(held) and own != conv
-                if new or size > PIECE_CHARS:
+                if new or size > piece_chars:
                     # the first conversation here may have begun in the task before, the last may go on in the next
                     yield emit(new and not cut and not first)
                     held, size, piece = [], 0, piece + 1

@@ -187,6 +187,7 @@ class TextEncoder:
         # a text that may hold a special token's string goes whole through the plain call, if that is to be an id
         special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if markers and special else None
+        self.lead = os.path.commonprefix(special).partition("<|")[1]  # without letters, so in any case alike
         self.by_word = by_word
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "<u2" if self.width == 2 else "<u4"
@@ -259,7 +260,7 @@ class TextEncoder:
         return [out[c] for c in chunks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        marked = [i for i, t in enumerate(texts) if self.special and self.special.search(t.lower())]
+        marked = [i for i, t in enumerate(texts) if self.special and self.lead in t and self.special.search(t.lower())]
         if not marked:
             return self.unmarked(texts)
         here = set(marked)
