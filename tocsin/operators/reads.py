@@ -74,6 +74,7 @@ def children_of(alerts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFram
     Children come newest first within their parent.
     """
     asked = alerts_by_key(alerts.select("dedup_key", "type"), keys)
+    # fixed values: the two messages
     errors = asked.filter(~F.col("found") | ~is_parent()).select(
         F.col("requested").alias("dedup_key"),
         F.when(F.col("found"), "not_a_parent").otherwise("not_found").alias("error"),
