@@ -1,5 +1,6 @@
 """The stream gives the batch result, whatever files the log comes in."""
 
+import pytest
 from helpers import EVENT, config, event, frame, random_log, routed
 from pyspark.sql import functions as F
 
@@ -8,7 +9,10 @@ from tocsin.plans.run import AlertRun
 from tocsin.sources.events import decode_log, parse_events, read_events, stamp_arrival
 from tocsin.sources.log import write_log
 from tocsin.streaming.pipeline import (
+    live_parents,
+    live_windows,
     read_alerts,
+    read_state,
     release_tail,
     start_ingest,
     start_lifecycle,
@@ -209,3 +213,24 @@ def test_raw_ingest_keeps_what_does_not_parse(spark, tmp_path):
     assert refused == {2: ("malformed", body[:-1]), 3: ("event_manager_not_found", None)}
     decoded, skipped = decode_log(read_events(spark, f"{tmp_path}/log", "parquet"))
     assert [r.seq for r in decoded.collect()] == [1] and skipped.count() == 0 and calls
+
+
+def test_live_state_equals_batch(spark, tmp_path):
+    log = sorted(random_log(23, 200, keys=15), key=lambda e: (e["received_at"], e["seq"]))
+    run = AlertRun(routed(spark, log))
+    managers, rules = config(spark)
+    out = route_events(write_files(spark, log, f"{tmp_path}/in", 3), managers, rules)[0]
+    checkpoint = f"{tmp_path}/checkpoint"
+    start_lifecycle(out, f"{tmp_path}/alerts", f"{tmp_path}/notes", checkpoint, managers).awaitTermination()
+
+    names = ["parent_dedup_key", "status", "resolve_requested", "child_count", "requested_at", "remaining_children"]
+    parents = live_parents(spark, checkpoint)
+    assert rows(parents.select(*names)) == rows(run.parents.withColumnRenamed("dedup_key", "parent_dedup_key").select(*names))
+    assert parents.filter("resolve_requested").count() == run.parents.filter("resolve_requested").count() > 0
+    # the newest window of each group
+    newest = F.max_by(F.struct("dedup_key", "expires_at"), F.struct("born_at", "born_seq")).alias("w")
+    opened = run.links.filter("dedup_key = family").groupBy("event_manager_id", "grouping_key", "grouping_value")
+    want = opened.agg(newest).select("event_manager_id", "grouping_key", "grouping_value", "w.*")
+    assert rows(live_windows(spark, checkpoint)) == rows(want)
+    with pytest.raises(ValueError):
+        read_state(spark, checkpoint, "nothing")

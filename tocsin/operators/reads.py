@@ -24,6 +24,11 @@ def _whole_number(text: str | int | None, least: int, default: int) -> int:
     return number if least <= number < 2**63 else default
 
 
+def page_bounds(limit: str | int | None, offset: str | int | None) -> tuple[int, int]:
+    """Rows to skip and rows wanted; what is no fitting number stands for 0 and DEFAULT_LIMIT."""
+    return _whole_number(offset, 0, 0), _whole_number(limit, 1, DEFAULT_LIMIT)
+
+
 def list_alerts(
     alerts: DataFrame,
     event_manager_id: str = "",
@@ -40,7 +45,7 @@ def list_alerts(
     for name, value in wanted.items():
         if value:
             alerts = alerts.filter(F.col(name) == value)
-    skipped, wanted_rows = _whole_number(offset, 0, 0), _whole_number(limit, 1, DEFAULT_LIMIT)
+    skipped, wanted_rows = page_bounds(limit, offset)
     page = alerts.select(*ALERT_COLUMNS).orderBy(F.desc("created_at"), "dedup_key")
     if skipped > LARGEST:
         return page.limit(0)

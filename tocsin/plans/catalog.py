@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.events import alert_id
 from tocsin.operators import births as birth_ops
-from tocsin.operators import config_feed, lifecycle, reads, state
+from tocsin.operators import config_feed, lifecycle, reads, state, versions
 from tocsin.operators.hot import Limits
+from tocsin.operators.pages import RankedAlerts
 from tocsin.operators.routing import reject_counts, route_events
 from tocsin.plans.incremental import AlertStore
 from tocsin.plans.oracle import AT, MANAGER_CHANGES_SQL, RULE_CHANGES_SQL
@@ -30,6 +31,8 @@ from tocsin.sources.events import (
 from tocsin.sources.log import to_log_messages, write_log
 from tocsin.sources.sample_config import sample_config
 from tocsin.streaming.pipeline import (
+    live_parents,
+    live_windows,
     read_alerts,
     release_tail,
     start_decode,
@@ -252,6 +255,33 @@ def alert_state_asof(spark, sf_dir):
     return state.alert_state(_run(spark, sf_dir, AT).alerts)
 
 
+def alert_versions(spark, sf_dir):
+    return _run(spark, sf_dir).versions
+
+
+def alert_versions_split(spark, sf_dir):
+    return _run(spark, sf_dir, limits=SPLIT).versions
+
+
+def alert_state_at(spark, sf_dir):
+    """As alert_state_asof, from the interval history instead of a run that ends there."""
+    return versions.state_at(_run(spark, sf_dir).versions, AT)
+
+
+def _probes(spark, sf_dir):
+    """Every event's alert six hours after the event, refused events among them."""
+    later = F.col("received_at") + F.expr("INTERVAL 6 HOURS")
+    return alert_events(spark, sf_dir).select("seq", "dedup_key", later.alias("received_at"))
+
+
+def alert_state_probes(spark, sf_dir):
+    return versions.state_probes(_probes(spark, sf_dir), _run(spark, sf_dir).versions)
+
+
+def alert_state_probes_split(spark, sf_dir):
+    return versions.state_probes(_probes(spark, sf_dir), _run(spark, sf_dir).versions, SPLIT)
+
+
 def notifications(spark, sf_dir):
     return _run(spark, sf_dir).notifications(sample_config(spark)[0])
 
@@ -273,6 +303,18 @@ def alerts_page(spark, sf_dir):
     return reads.list_alerts(_run(spark, sf_dir).stored_alerts, limit=25, offset=50)
 
 
+def _ranked(spark, sf_dir):
+    return RankedAlerts.write(_run(spark, sf_dir).stored_alerts, _stream_folder(spark, "ranked"), range_rows=50)
+
+
+def alerts_deep_page(spark, sf_dir):
+    return _ranked(spark, sf_dir).page(limit=70, offset=333)
+
+
+def alerts_deep_page_filtered(spark, sf_dir):
+    return _ranked(spark, sf_dir).page(status="resolved", type="child", limit=70, offset="90")
+
+
 def _asked(spark, sf_dir):
     """Dedup keys to look up: all that events name, and some that no alert has."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -476,8 +518,9 @@ def _lifecycle(spark, sf_dir):
     managers, rules = sample_config(spark)
     alerts, notes = f"{folder}/alerts", f"{folder}/notifications"
     routed, _ = route_events(_in_files(spark, _slices(alert_events(spark, sf_dir))), managers, rules)
-    start_lifecycle(routed, alerts, notes, f"{folder}/checkpoint", managers).awaitTermination()
-    return alerts, notes
+    checkpoint = f"{folder}/checkpoint"
+    start_lifecycle(routed, alerts, notes, checkpoint, managers).awaitTermination()
+    return alerts, notes, checkpoint
 
 
 def stream_alerts(spark, sf_dir):
@@ -490,6 +533,23 @@ def stream_notifications(spark, sf_dir):
     return spark.read.parquet(_lifecycle(spark, sf_dir)[1]).drop("batch")
 
 
+def stream_open_parents(spark, sf_dir):
+    """Windows still open at the last event, read from the stream's state."""
+    windows = live_windows(spark, _lifecycle(spark, sf_dir)[2])
+    newest = _routed(spark, sf_dir)[0].agg(F.max("received_at").alias("newest"))
+    return windows.join(newest, F.col("expires_at") >= F.col("newest")).drop("newest")
+
+
+def stream_parent_states(spark, sf_dir):
+    """Every parent with its status and counts, read from the stream's state."""
+    return live_parents(spark, _lifecycle(spark, sf_dir)[2]).drop("requested_at", "remaining_children")
+
+
+def stream_pending(spark, sf_dir):
+    """Parents that wait for their children, read from the stream's state."""
+    return state.pending_resolves(live_parents(spark, _lifecycle(spark, sf_dir)[2]).withColumnRenamed("parent_dedup_key", "dedup_key"))
+
+
 def _disordered(routed):
     """The slices of a log as they arrive: every seventh event comes with the slice after its own."""
     numbered = _sliced(routed)
@@ -563,11 +623,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alerts_compacted,
         live_parent_probe_split,
         alert_state_asof,
+        alert_state_at,
+        alert_versions,
+        alert_versions_split,
+        alert_state_probes,
+        alert_state_probes_split,
         notifications,
         list_alerts_active,
         list_alerts_manager_parents,
         list_alerts_unknown_status,
         alerts_page,
+        alerts_deep_page,
+        alerts_deep_page_filtered,
         alerts_by_key,
         alerts_by_id,
         children_of,
@@ -588,6 +655,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_malformed,
         stream_alerts,
         stream_notifications,
+        stream_open_parents,
+        stream_parent_states,
+        stream_pending,
         stream_event_time,
         stream_late,
     )

@@ -179,6 +179,21 @@ alerts AS (
     LEFT JOIN (SELECT family, count(*) AS n FROM links WHERE dedup_key <> family GROUP BY family) k
       ON k.family = l.dedup_key)"""
 
+_VERSIONS = """,
+changes AS (
+  SELECT dedup_key, received_at, seq, 'child' AS type, family AS parent_dedup_key, FALSE AS resolve_requested,
+    CASE action WHEN 'trigger' THEN 'active' ELSE 'resolved' END AS status
+  FROM effects WHERE step <> 0
+  UNION ALL
+  SELECT family, received_at, seq, 'parent', NULL, state = 'pending',
+    CASE state WHEN 'resolved' THEN 'resolved' ELSE 'active' END
+  FROM effects WHERE effect IN ('born', 'deferred', 'resolved', 'cascaded', 'reactivated')),
+versions AS (
+  SELECT c.dedup_key, l.event_manager_id, c.type, c.status, c.parent_dedup_key, c.resolve_requested, c.seq,
+    c.received_at AS valid_from,
+    lead(c.received_at) OVER (PARTITION BY c.dedup_key ORDER BY c.received_at, c.seq) AS valid_to
+  FROM changes c JOIN links l ON l.dedup_key = c.dedup_key)"""
+
 _ASKED = """,
 asked AS (
   SELECT DISTINCT dedup_key AS requested FROM ev
@@ -423,6 +438,15 @@ FROM alerts""",
             *full,
             until=AT,
         ),
+        "alert_versions": _sql("SELECT * FROM versions", *full, _VERSIONS),
+        "alert_state_probes": _sql(
+            """SELECT e.seq, e.dedup_key, e.received_at + INTERVAL 6 HOUR AS received_at,
+  v.event_manager_id, v.type, v.status, v.parent_dedup_key, v.resolve_requested
+FROM ev e LEFT JOIN versions v ON v.dedup_key = e.dedup_key AND v.valid_from <= e.received_at + INTERVAL 6 HOUR
+  AND (v.valid_to IS NULL OR v.valid_to > e.received_at + INTERVAL 6 HOUR)""",
+            *full,
+            _VERSIONS,
+        ),
         "notifications": _sql(
             """SELECT md5(e.family) AS alert_id, e.family AS dedup_key, l.event_manager_id, l.summary,
   l.severity, CASE e.effect WHEN 'born' THEN 'active' ELSE 'resolved' END AS status, 'parent' AS type,
@@ -444,6 +468,14 @@ ORDER BY created_at DESC, dedup_key LIMIT 100""",
         "alerts_page": _sql(
             f"{alerts} ORDER BY created_at DESC, dedup_key LIMIT 25 OFFSET 50", *full
         ),
+        "alerts_deep_page": _sql(
+            f"{alerts} ORDER BY created_at DESC, dedup_key LIMIT 70 OFFSET 333", *full
+        ),
+        "alerts_deep_page_filtered": _sql(
+            f"""{alerts} WHERE status = 'resolved' AND type = 'child'
+ORDER BY created_at DESC, dedup_key LIMIT 70 OFFSET 90""",
+            *full,
+        ),
         "alerts_by_key": _sql(
             f"SELECT k.requested, {lookup} FROM asked k LEFT JOIN alerts a ON a.dedup_key = k.requested",
             *full,
@@ -508,13 +540,29 @@ LEFT JOIN rule_current r ON r.id = k.id""",
         "stream_alerts": _sql(alerts, *full),
     }
     sql["stream_notifications"] = sql["notifications"]
+    sql["stream_pending"] = sql["pending_resolves"]
+    sql["stream_open_parents"] = _sql(
+        """SELECT event_manager_id, grouping_key, grouping_value, dedup_key, expires_at FROM links
+WHERE dedup_key = family AND expires_at >= (SELECT max(received_at) FROM routed)""",
+        *link,
+    )
+    sql["stream_parent_states"] = _sql(
+        """SELECT a.dedup_key AS parent_dedup_key, a.status, a.resolve_requested, a.child_count,
+  CAST(coalesce(n.active, 0) AS BIGINT) AS active_children
+FROM alerts a LEFT JOIN (SELECT parent_dedup_key, count(*) AS active FROM alerts
+  WHERE type = 'child' AND status = 'active' GROUP BY parent_dedup_key) n ON n.parent_dedup_key = a.dedup_key
+WHERE a.type = 'parent'""",
+        *full,
+    )
     sql["stream_late"] = _sql(
         """SELECT seq, dedup_key, received_at, CAST(watermark * 1000 - us AS BIGINT) AS late_by
 FROM arrived JOIN passed USING (arrival) WHERE (us // 1000000 + 1) * 1000 <= watermark""",
         _ROUTED,
         _ARRIVED,
     )
-    for name in ("grouped_alerts", "event_outcomes", "alerts_final", "live_parent_probe"):
+    sql["alert_state_at"] = sql["alert_state_asof"]
+    split = "grouped_alerts", "event_outcomes", "alerts_final", "live_parent_probe", "alert_versions", "alert_state_probes"
+    for name in split:
         sql[f"{name}_split"] = sql[name]
     for name in ("alerts_incremental", "alerts_compacted", "stream_event_time"):
         sql[name] = sql["alerts_final"]

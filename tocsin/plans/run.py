@@ -11,6 +11,7 @@ from tocsin.functions.events import alert_id
 from tocsin.operators import anchors, births, lifecycle
 from tocsin.operators.hot import Limits, limits_for
 from tocsin.operators.notifications import notifications
+from tocsin.operators.versions import alert_versions
 from tocsin.schemas import ALERT_COLUMNS
 from tocsin.session import materialize
 
@@ -56,6 +57,11 @@ class AlertRun:
         rows = lifecycle.build_timeline(self.history, self.hot_families, self.limits)
         return materialize(rows, "timeline")
 
+    @cached_property
+    def versions(self) -> DataFrame:
+        """Every version of every alert with the time it holds, for questions about many times."""
+        return materialize(alert_versions(self.timeline, self.births, self.limits), "versions")
+
     @cached_property
     def parents(self) -> DataFrame:
         return lifecycle.parent_final(self.timeline)

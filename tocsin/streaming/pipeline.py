@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -208,6 +208,46 @@ def start_lifecycle(
     )
 
 
+def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """The rows of a state variable as of the last finished micro-batch, straight from a query's checkpoint.
+
+    The query may be running: each micro-batch commits a version of its own. Which of the chained steps
+    holds the variable comes from the checkpoint's own metadata.
+    """
+    steps = spark.read.format("state-metadata").option("path", checkpoint).load()
+    holds = F.col("operatorProperties").contains(f'"stateName":"{variable}"')
+    number = steps.filter(holds).agg(F.max("operatorId").alias("id")).first()["id"]
+    if number is None:
+        raise ValueError(f"no state variable {variable} in {checkpoint}")
+    rows = spark.read.format("statestore").option("path", checkpoint).option("operatorId", number)
+    return rows.option("stateVarName", variable).option("flattenCollectionTypes", "true").load()
+
+
+def _moment(column: str) -> Column:
+    return F.timestamp_micros(column).cast("timestamp_ntz")
+
+
+def live_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The window that was opened last in each group of a lifecycle stream: parent and end."""
+    return read_state(spark, checkpoint, "open").select(
+        "key.*", F.col("value.parent").alias("dedup_key"), _moment("value.until").alias("expires_at")
+    )
+
+
+def live_parents(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Every parent of a lifecycle stream: status, active children and children, and what it waits for."""
+    parent = F.col("value.status")
+    return read_state(spark, checkpoint, "parent").select(
+        F.col("key.family").alias("parent_dedup_key"),
+        F.when(parent == "resolved", "resolved").otherwise("active").alias("status"),
+        (parent == "pending").alias("resolve_requested"),
+        F.col("value.active").alias("active_children"),
+        F.col("value.child_count").cast("int").alias("child_count"),
+        _moment("value.requested_at").alias("requested_at"),
+        F.col("value.remaining").cast("int").alias("remaining_children"),
+    )
+
+
 def start_sequencer(
     routed: DataFrame, delay: str, log: str, checkpoint: str, late: str | None = None, bucket_ms: int = 1000, **trigger
 ) -> StreamingQuery:
@@ -252,13 +292,7 @@ def release_tail(spark: SparkSession, checkpoint: str, log: str) -> None:
 
     Reads the sequencer's own state from its checkpoint. The folder is overwritten if this is repeated.
     """
-    held = (
-        spark.read.format("statestore")
-        .option("path", checkpoint)
-        .option("stateVarName", "waiting")
-        .option("flattenCollectionTypes", "true")
-        .load()
-    )
+    held = read_state(spark, checkpoint, "waiting")
     rows = held.selectExpr("inline(user_map_value.rows)")
     rows = rows.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
     rows = rows.withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int")).drop("at", "window")

@@ -121,12 +121,13 @@ class Family(StatefulProcessor):
     """Key: family. Keeps the parent's state; emits alert versions and notifications."""
 
     FIELDS = ["status", "active", "child_count", "born_at", "updated_at", "resolved_at", *PAYLOAD]
+    FIELDS += ["requested_at", "remaining"]  # of a pending parent: last request, active children when last looked at
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.parent = handle.getValueState(
             "parent",
             "status string, active long, child_count long, born_at long, updated_at long, "
-            f"resolved_at long, {PAYLOAD_SCHEMA}",
+            f"resolved_at long, {PAYLOAD_SCHEMA}, requested_at long, remaining long",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -137,7 +138,7 @@ class Family(StatefulProcessor):
                 yield self._child_version(row)
                 notify = self._child_step(parent, row)
             elif row["is_birth"]:
-                born = ["active", 0, 0, row["at"], row["at"], None, *[row[c] for c in PAYLOAD]]
+                born = ["active", 0, 0, row["at"], row["at"], None, *[row[c] for c in PAYLOAD], None, None]
                 parent, notify = dict(zip(self.FIELDS, born)), True
             else:
                 notify = self._parent_step(parent, row)
@@ -148,7 +149,7 @@ class Family(StatefulProcessor):
 
     @staticmethod
     def _resolve(parent: dict, at: int) -> bool:
-        parent.update(status="resolved", resolved_at=at, updated_at=at)
+        parent.update(status="resolved", resolved_at=at, updated_at=at, requested_at=None, remaining=None)
         return True
 
     def _child_step(self, parent: dict, row: Row) -> bool:
@@ -156,6 +157,8 @@ class Family(StatefulProcessor):
         parent["active"] += 1 if row["action"] == "trigger" else -1
         if row["is_birth"]:
             parent.update(child_count=parent["child_count"] + 1, updated_at=row["at"])
+        if parent["status"] == "pending" and row["action"] == "resolve":
+            parent["remaining"] = parent["active"]
         if parent["status"] == "pending" and parent["active"] == 0:
             return self._resolve(parent, row["at"])
         return False
@@ -168,7 +171,8 @@ class Family(StatefulProcessor):
         elif parent["status"] != "resolved":
             if parent["active"] == 0:
                 return self._resolve(parent, row["at"])
-            parent.update(status="pending", updated_at=row["at"])
+            asked = {"requested_at": row["at"], "remaining": parent["active"]}
+            parent.update(status="pending", updated_at=row["at"], **asked)
         return False
 
     @staticmethod
