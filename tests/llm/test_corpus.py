@@ -112,16 +112,21 @@ def test_search(spark, monkeypatch, block, part):
 def test_search_replicates_only_what_may_count(spark, monkeypatch):
     # far clusters: a group of queries needs its own cluster's vectors only
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
-    seen = []
-    plain = topk.best_of
+    monkeypatch.setattr(topk, "PART_ROWS", 40)
     rng = np.random.default_rng(4)
     angle = np.arange(8) * np.pi / 4
     centres = np.stack([np.cos(angle), np.sin(angle)], 1) * 50
     rows = [(i, (centres[i % 8] + rng.normal(size=2) * 0.01).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, VECTORS)
+    numbers = topk.quantized(df, "vec_id", "embedding")
+    left, right = topk.sides(numbers, 2, F.col("vec_id") < 8, 5, 64)
+    blocks = left.select("block").distinct().count()
+    assert 400 <= right.count() < 400 * blocks / 2  # each vector to few of the blocks
+    filled = Counter((r["block"], r["part"]) for r in right.collect())
+    assert {(r["block"], r["part"]) for r in left.collect()} >= set(filled)
+    assert left.count() <= 8 * 11  # parts by what reaches a block, not by all data
     got = topk.top_k(df, F.col("vec_id") < 8, pivot_count=64)
     assert set(ranked(got)) == best(rows, 5, lambda q: q < 8)
-    assert plain is topk.best_of and not seen
 
 
 def test_search_of_few_and_none(spark):
@@ -135,10 +140,46 @@ def test_search_of_few_and_none(spark):
     assert ranked(topk.top_k(none, F.col("vec_id") % 50 == 0)) == []
 
 
-def test_search_of_large_components(spark):
-    rows = [(i, [float(10**6 + i), float(-(10**6)), float(i)]) for i in range(40)]
-    got = ranked(topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0))
-    assert set(got) == best(rows, 5, lambda q: q % 10 == 0)
+@pytest.mark.parametrize("size", [10.0**6, 2.0**23, 8e6, 1e9, 2.0**45])
+def test_search_of_large_components(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(i, [size - i, -size, float(i), *(rng.choice([-1, 1], 5) * size / 2).tolist()]) for i in range(40)]
+    rows += [(100 + i, [float(i)] * 8) for i in range(20)]
+    schema = "vec_id long, embedding array<double>"
+    got = topk.top_k(spark.createDataFrame(rows, schema).repartition(3), F.col("vec_id") % 10 == 0)
+    numbers = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}  # Python's numbers, of any size
+    want = set()
+    for q in (i for i in numbers if i % 10 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(numbers[q], numbers[o])), o) for o in numbers if o != q)
+        want |= {(q, n, o, -s if -(2**63) <= -s < 2**63 else None, -s) for n, (s, o) in enumerate(scored[:5], 1)}
+    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"], int(r["exact"])) for r in got.collect()}
+    assert found == want and all(int(r["exact"]) == r["score"] for r in got.collect() if r["score"] is not None)
+
+
+def test_far_from_the_origin_and_close_together(spark):
+    # rounding in distances is larger than the distances
+    rng = np.random.default_rng(8)
+    rows = [(i, (1e6 + rng.normal(size=8) * 0.01).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    numbers = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
+    want = set()
+    for q in range(0, 300, 20):
+        scored = sorted((-sum(a * b for a, b in zip(numbers[q], numbers[o])), o) for o in numbers if o != q)
+        want |= {(q, n, o, -s) for n, (s, o) in enumerate(scored[:5], 1)}
+    assert set(ranked(topk.top_k(df, F.col("vec_id") % 20 == 0))) == want
+
+
+def test_left_out_says_why(spark):
+    inf = float("inf")
+    rows = [(1, [1.0, 2.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [None, 1.0]), (6, [inf, 1.0]), (7, [1e300, 0.0])]
+    rows += [(8, [1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["reason"] for r in topk.left_out(df).collect()}
+    assert got == {
+        3: "no vector", 4: "no vector", 5: "not finite", 6: "not finite", 7: "too large", 8: "other length", None: "no id",
+    }
+    assert ranked(topk.top_k(df, F.col("vec_id") == 1)) == [(1, 1, 2, 2 * 65536)]
+    assert topk.left_out(df.limit(0)).count() == 0
 
 
 def test_search_of_the_sample(spark):

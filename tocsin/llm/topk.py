@@ -10,14 +10,17 @@ query block and a part of its data is solved locally by a matrix product, and th
 merged per query.
 
 Neighbouring cells with few queries form one block, cells with many are split into several: a block has
-about BLOCK_QUERIES queries, and a part of its data about PART_ROWS vectors, so a pivot that very many
-vectors share is spread over many tasks. Distances only decide what is replicated, with a margin for
+about BLOCK_QUERIES queries. The vectors that reach a block are counted first, and its queries are copied to as
+many parts as those vectors fill, PART_ROWS each; so a pivot that very many vectors share is spread over many
+tasks, and a block that few reach has one part. Distances only decide what is replicated, with a margin for
 rounding; scores come from the integers.
 
 Defined results: vectors that are null, hold null or non-finite components, or have another length than
 most, take no part, nor do rows without an id; an id stands for one vector (the least, should it come
 with several); ties go to the smaller id; an empty table gives an empty result; other columns are
-ignored. Components of 2^31 / scale or more are left out with their vectors.
+ignored. Components beyond 2^53 / scale, where doubles leave out whole numbers, can't be scored exactly:
+`left_out` lists them and all other vectors that take no part, with the reason. Ranks follow the exact scores
+in any case; a score that a long can't hold is null in `score` and stands in `exact`.
 """
 
 from __future__ import annotations
@@ -34,26 +37,63 @@ from tocsin.llm.shared import map_batches, store
 
 K = 5
 SCALE = 256
-PIVOTS = 48  # vectors, the first by a hash of their id, that groups form around
+PIVOTS = 48  # vectors that groups form around, chosen by a hash of their id, for each million to the power of 1/3
 BLOCK_QUERIES = 16_384
 PART_ROWS = 16_384
-MARGIN = 1e-6  # relative; far above what rounding does to a distance
+MARGIN = 1e-6  # relative
+WHOLE = 2.0**53  # doubles hold all whole numbers up to here
+LIMB = 18  # bits; products of two limbs add up in 64 bits for any number of components up to 2^26
 
 GROUPED = "vec_id long, vector binary, cell int, distance double, norm2 double"
 
 
-def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
-    """vec_id and the integer components of every usable vector."""
-    x = F.col("x")
-    usable = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= F.lit(2.0**31 / scale)))
+def _reason(id_column: str, scale: int) -> Column:
+    """Why a row's vector `x` takes no part by itself; null if it does."""
     return (
-        vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("x"))
-        .where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size("x") > 0))
-        .where(usable)
-        .select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("int")).alias("vector"))
+        F.when(F.col(id_column).isNull(), "no id")
+        .when(F.col("x").isNull() | (F.size("x") == 0), "no vector")
+        .when(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))), "not finite")
+        .when(F.exists("x", lambda v: F.abs(v) > F.lit(WHOLE / scale)), "too large")
     )
 
 
+def _with_reason(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("x"))
+    return rows.withColumn("reason", _reason("vec_id", scale))
+
+
+def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
+    """vec_id and the integer components of every usable vector."""
+    usable = _with_reason(vectors, id_column, vector_column, scale).where(F.col("reason").isNull())
+    return usable.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("vector"))
+
+
+def usual_length(numbers: DataFrame) -> int | None:
+    """The length that most vectors have, the smaller of two; None without vectors."""
+    sizes = numbers.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return sizes["n"] if sizes else None
+
+
+def left_out(
+    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE
+) -> DataFrame:
+    """(vec_id, reason) of the rows that take no part in a search."""
+    rows = _with_reason(vectors, id_column, vector_column, scale)
+    length = usual_length(quantized(vectors, id_column, vector_column, scale))
+    other = F.when(F.size("x") != F.lit(length), "other length")
+    return rows.select("vec_id", F.coalesce("reason", other).alias("reason")).where(F.col("reason").isNotNull())
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows of whole numbers as bytes, four a component where they fit."""
+    short = np.abs(x).max(axis=1) < 2**31
+    return [v.astype("<i4" if s else "<i8").tobytes() for v, s in zip(x, short.tolist(), strict=True)]
+
+
+def unpacked(rows: list[bytes], length: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<i4" if len(v) == 4 * length else "<i8") for v in rows]).astype(np.int64)
+
+
 def stacked(column: pa.Array) -> np.ndarray:
     """A list column as one matrix; all its rows have one length."""
     flat = column.flatten().to_numpy().astype(np.float64)
@@ -81,7 +121,7 @@ def grouped(vectors: DataFrame, pivots: np.ndarray, largest: float, data: bool)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id"),
-                    pa.array([v.astype("<i4").tobytes() for v in x], pa.binary()),
+                    pa.array(packed(x), pa.binary()),
                     pa.array(cell.astype(np.int32)),
                     pa.array(away[np.arange(len(x)), cell]),
                     pa.array(norm2),
@@ -143,111 +183,173 @@ def bounds(pivots: np.ndarray, largest: float, nearest: dict, own: dict, k: int)
     return out
 
 
-def top_k(
-    vectors: DataFrame,
-    is_query: Column,
-    k: int = K,
-    id_column: str = "vec_id",
-    vector_column: str = "embedding",
-    scale: int = SCALE,
-    pivot_count: int = PIVOTS,
-) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that `is_query` (of vec_id), its best k of all other rows."""
-    schema = "query_id long, rank int, vec_id long, score long"
-    spark = vectors.sparkSession
-    numbers = quantized(vectors, id_column, vector_column, scale)
-    sizes = numbers.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    numbers = numbers.where(F.size("vector") == sizes[0]["n"])
-    numbers = store(numbers.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+def sides(
+    numbers: DataFrame, length: int, is_query: Column, k: int, pivot_count: int
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and data as (block, part, vec_id, vector): what meets is solved together, and what can't count doesn't meet."""
+    spark = numbers.sparkSession
     norm2 = F.aggregate("vector", F.lit(0.0), lambda total, v: total + v.cast("double") * v)
-    largest = numbers.agg(F.max(norm2).alias("m")).first()["m"]
+    size = numbers.agg(F.max(norm2).alias("largest"), F.count("*").alias("n")).first()
+    largest = size["largest"] or 0.0
+    pivot_count = max(pivot_count, int(pivot_count * (size["n"] / 1e6) ** (1 / 3)))
     chosen = numbers.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivot_count).select("vector").collect()
-    pivots = np.unique(np.array([r["vector"] for r in chosen], np.float64), axis=0)
+    pivots = np.unique(np.array([r["vector"] for r in chosen], np.float64).reshape(-1, length), axis=0)
     pivots = pivots[:: max(1, len(pivots) // pivot_count)][:pivot_count]
 
     data = store(grouped(numbers, pivots, largest, True), "data")
     queries = store(grouped(numbers.where(is_query), pivots, largest, False), "queries")
     nearest, own = summaries(data, queries, k)
     reach = bounds(pivots, largest, nearest, own, k)
-    parts = max(1, -(-data.count() // PART_ROWS))
 
     groups = query_groups(pivots, own)
     blocks = [max(1, -(-sum(own[c][0] for c in cells) // BLOCK_QUERIES)) for cells in groups]
     first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)  # number of each group's first block
-    of_cell = [(c, int(first[g]), blocks[g]) for g, cells in enumerate(groups) for c in cells]
-    cells = spark.createDataFrame(of_cell, "cell int, first int, blocks int")
+    names = np.array([c for cells in groups for c in cells], np.int64)
+    starts = np.cumsum([0] + [len(cells) for cells in groups])[:-1]
+    # squares cancel: what rounding may do to a distance goes with the largest norm
+    slack = 8 * np.sqrt((length + 8) * np.finfo(float).eps * largest) + MARGIN
+    limits = np.array([reach[c] + own[c][1] for c in names.tolist()]) * (1 + MARGIN) + slack
+
+    def reached(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of each vector and each query group that it may reach."""
+        x = unpacked(batch.column("vector").to_pylist(), length).astype(np.float64)
+        own_lift = np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
+        lift = np.sqrt(np.maximum(largest - (pivots * pivots).sum(1), 0))
+        # |q - o| >= |p - o| - |q - p|: within the bound only if |p - o| <= bound + radius
+        near = distances(x, own_lift, pivots, lift)[:, names] <= limits
+        return np.nonzero(np.logical_or.reduceat(near, starts, axis=1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(groups), np.int64)
+        for batch in batches:
+            if batch.num_rows and len(names):
+                total += np.bincount(reached(batch)[1], minlength=len(groups))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(groups), dtype=np.int32)), pa.array(total)], ["group", "n"])
+
+    vectors = data.select("vec_id", "vector")
+    counted = map_batches(vectors, count, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()
+    replicas = {r["group"]: r["n"] for r in counted}
+    parts = np.array([max(1, -(-replicas.get(g, 0) // PART_ROWS)) for g in range(len(groups))], np.int64)
+
+    # a row for each pivot at most
+    of_cell = [(c, int(first[g]), blocks[g], int(parts[g])) for g, cells in enumerate(groups) for c in cells]
+    cells = spark.createDataFrame(of_cell, "cell int, first int, blocks int, parts int")
     left = (
-        queries.join(F.broadcast(cells), "cell")  # a row for each pivot at most
+        queries.join(F.broadcast(cells), "cell")
         .withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("block", "part", "vec_id", "vector")
     )
-    names = np.array([c for cells in groups for c in cells], np.int64)
-    starts = np.cumsum([0] + [len(cells) for cells in groups])[:-1]
-    limits = np.array([reach[c] + own[c][1] for c in names.tolist()]) * (1 + MARGIN) + MARGIN
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lift = np.sqrt(np.maximum(largest - (pivots * pivots).sum(1), 0))
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
-            x = np.stack([np.frombuffer(v, "<i4") for v in batch.column("vector").to_pylist()]).astype(np.float64)
-            own_lift = np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
-            # |q - o| >= |p - o| - |q - p|: within the bound only if |p - o| <= bound + radius
-            near = distances(x, own_lift, pivots, lift)[:, names] <= limits
-            row, group = np.nonzero(np.logical_or.reduceat(near, starts, axis=1))
+            row, group = reached(batch)
             times = np.diff(first)[group]
-            row, block = np.repeat(row, times), np.repeat(first[group], times)
+            row, group, block = np.repeat(row, times), np.repeat(group, times), np.repeat(first[group], times)
             block = block + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             for at in range(0, len(row), 50_000):
                 some = pa.array(row[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block[at : at + 50_000].astype(np.int32)),
+                        pa.array(parts[group[at : at + 50_000]].astype(np.int32)),
                         batch.column("vec_id").take(some),
                         batch.column("vector").take(some),
                     ],
-                    ["block", "vec_id", "vector"],
+                    ["block", "parts", "vec_id", "vector"],
                 )
 
-    right = map_batches(data.select("vec_id", "vector"), replicate, "block int, vec_id long, vector binary")
-    right = right.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    right = map_batches(vectors, replicate, "block int, parts int, vec_id long, vector binary")
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    return left, right.select("block", part.alias("part"), "vec_id", "vector")
+
+
+def top_k(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = K,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+    scale: int = SCALE,
+    pivot_count: int = PIVOTS,
+) -> DataFrame:
+    """query_id, rank, vec_id, score, exact: for each row that `is_query` (of vec_id), its best k of all other rows."""
+    numbers = quantized(vectors, id_column, vector_column, scale)
+    length = usual_length(numbers)
+    if length is None:
+        return vectors.sparkSession.createDataFrame(
+            [], "query_id long, rank int, vec_id long, score long, exact decimal(38,0)"
+        )
+    numbers = numbers.where(F.size("vector") == length)
+    numbers = store(numbers.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    left, right = sides(numbers, length, is_query, k, pivot_count)
 
     def solve(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        return best_of(mine, theirs, k)
+        return best_of(mine, theirs, k, length)
 
     pairs = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-    local = pairs.applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = pairs.applyInPandas(solve, "query_id long, vec_id long, high long, low long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    unit = F.lit(2**HIGH).cast("decimal(19,0)")
     return (
         local.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select(
+            "query_id",
+            "rank",
+            "vec_id",
+            F.when(F.col("high").between(-2, 1), F.shiftleft("high", HIGH) + F.col("low")).alias("score"),
+            (F.col("high").cast("decimal(18,0)") * unit + F.col("low")).cast("decimal(38,0)").alias("exact"),
+        )
     )
 
 
-def best_of(mine: pd.DataFrame, theirs: pd.DataFrame, k: int) -> pd.DataFrame:
+HIGH = 62  # a score is high * 2^62 + low, low from 0: the order of (high, low) is that of scores of any size
+
+
+def limbs(x: np.ndarray) -> list[np.ndarray]:
+    """x = sum of limb i times 2^(LIMB * i); all but the last from 0."""
+    return [x & (2**LIMB - 1), (x >> LIMB) & (2**LIMB - 1), x >> (2 * LIMB)]
+
+
+def products(q: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Exact inner products; as Python's numbers where 64 bits may not hold them."""
+    largest = int(np.abs(q).max()) * int(np.abs(o).max()) * q.shape[1]
+    if largest < 2**52:  # whole numbers that doubles hold
+        return (q.astype(np.float64) @ o.T.astype(np.float64)).astype(np.int64)
+    if largest < 2**62:
+        return q @ o.T
+    total = np.zeros((len(q), len(o)), object)
+    for i, x in enumerate(limbs(q)):
+        for j, y in enumerate(limbs(o)):
+            total += (x @ y.T).astype(object) << (LIMB * (i + j))
+    return total
+
+
+def best_of(mine: pd.DataFrame, theirs: pd.DataFrame, k: int, length: int) -> pd.DataFrame:
     """The best k of `theirs` for each of `mine`, but for itself."""
-    columns = ["query_id", "vec_id", "score"]
+    columns = ["query_id", "vec_id", "high", "low"]
     if mine.empty or theirs.empty:
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
     theirs = theirs.sort_values("vec_id")
-    q = np.stack([np.frombuffer(v, "<i4") for v in mine["vector"]]).astype(np.int64)
-    o = np.stack([np.frombuffer(v, "<i4") for v in theirs["vector"]]).astype(np.int64)
+    q, o = unpacked(mine["vector"].tolist(), length), unpacked(theirs["vector"].tolist(), length)
     ids, own = theirs["vec_id"].to_numpy(), mine["vec_id"].to_numpy()
-    if float(np.abs(q).max()) * float(np.abs(o).max()) * q.shape[1] < 2**52:
-        q, o = q.astype(np.float64), o.astype(np.float64)  # whole numbers that doubles hold
-    least = np.iinfo(np.int64).min
     out = []
     for at in range(0, len(q), 256):
-        scores = (q[at : at + 256] @ o.T).astype(np.int64)
+        scores = products(q[at : at + 256], o)
+        least = np.iinfo(np.int64).min if scores.dtype == np.int64 else -(2**200)
         scores[own[at : at + 256, None] == ids[None, :]] = least
         few = min(k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - few, axis=1)[:, scores.shape[1] - few]
+        if scores.dtype == np.int64:
+            floor = np.partition(scores, scores.shape[1] - few, axis=1)[:, scores.shape[1] - few]
+        else:
+            floor = np.sort(scores, axis=1)[:, scores.shape[1] - few]
         for i, (line, limit) in enumerate(zip(scores, floor, strict=True)):
             at_least = np.nonzero((line >= limit) & (line > least))[0]  # in the order of ids
             best = at_least[np.argsort(-line[at_least], kind="stable")[:k]]
-            out.append((np.full(len(best), own[at + i]), ids[best], line[best]))
+            found = line[best]
+            high, low = (found >> HIGH).astype(np.int64), (found & (2**HIGH - 1)).astype(np.int64)
+            out.append((np.full(len(best), own[at + i]), ids[best], high, low))
     return pd.DataFrame(dict(zip(columns, (np.concatenate(c) for c in zip(*out)), strict=True)))
