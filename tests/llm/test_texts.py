@@ -161,6 +161,18 @@ def test_quality(docs):
     assert found.where("kept and base_failed").count() == 0
 
 
+def test_the_order_is_that_of_rejections_per_cost(spark, tmp_path):
+    rows = [("x" if i % 2 else "y z",) for i in range(400)]
+    sample = quality.sample_of(spark.createDataFrame(rows, "text string").repartition(16), F.col("text"), 200)
+    assert 120 < sample.count() < 280 and len(sample.inputFiles()) <= quality.SAMPLE_PARTS
+    half, none = F.col("text") == "x", F.col("text") == "q"
+    slow = F.exists(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.md5((i + F.length("text")).cast("string")) == F.col("text"))
+    order = quality.rejections_per_cost(sample, {"none": none, "slow": slow | half, "half": half})
+    assert order == ["half", "slow", "none"]
+    empty = quality.sample_of(spark.createDataFrame([], "text string"), F.col("text"))
+    assert sorted(quality.rejections_per_cost(empty, {"none": none, "half": half})) == ["half", "none"]
+
+
 def test_cascade_keeps_the_same_texts_in_any_order(sample):
     facts = quality.facts(F.coalesce("text", F.lit("")))
     names = list(quality.rules(facts))

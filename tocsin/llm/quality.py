@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in SQL expressions only.
 
-Each rule is a condition on a text. On a bounded sample the cascade measures what a rule costs (time of
-a pass that evaluates only that rule) and how often it rejects; rules are then tried in the order of
-rejections per cost, and a text that one rule rejects isn't shown to the next (CASE stops at the first
-that holds). The sample decides the order alone: which texts are kept is the same in any order.
+Each rule is a condition on a text. On a sample of about SAMPLE_ROWS texts the cascade measures what a rule
+costs (time of a pass that evaluates only that rule, on the expressions that are used later, beyond that of a pass
+without any) and how often it rejects; rules are then tried in the order of rejections per cost, and a text that
+one rule rejects isn't shown to the next (CASE stops at the first that holds). The sample decides the order alone:
+which texts are kept is the same in any order. Where the counts are asked for anyway (`measured`), they are worked
+out for every text, and the order is that of the rules beyond the base ones over ready counts.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined results: a null text has no words and fails; repeated rows are
 judged each; an empty table gives an empty result; in `passed` all columns of the input stay as they
@@ -18,7 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 1000  # texts on which costs and rejections are estimated
+from tocsin.llm.shared import store
+
+SAMPLE_ROWS = 1000  # texts on which costs and rejections are estimated, about
+SAMPLE_PARTS = 8  # files that the sample is stored in
+RUNS = 2  # passes over the sample for each rule, of which the faster counts
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 INDEX_BITS = 20  # a text with fewer words than this has bits is sorted as plain numbers
@@ -129,19 +135,28 @@ def rules(f: dict[str, Column], limits: Limits = Limits()) -> dict[str, Column]:
     }
 
 
-def rejections_per_cost(docs: DataFrame, text: Column, limits: Limits = Limits(), rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names, the most rejections per second first, as measured on `rows` rows or fewer."""
-    sample = docs.select(text.alias("text")).limit(rows).cache()
-    try:
-        count = sample.count()
-        spent, rejected = {}, {}
-        for name, rule in rules(facts(F.col("text")), limits).items():
+def sample_of(docs: DataFrame, text: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The column `text` of about `rows` rows taken at random, stored; each partition sends its share of them."""
+    share = min(1.0, rows / max(docs.count(), 1))
+    some = docs.select(text.alias("text")).sample(share, seed=7)
+    return store(some.repartition(SAMPLE_PARTS), "rule-sample")
+
+
+def rejections_per_cost(sample: DataFrame, by_name: dict[str, Column]) -> list[str]:
+    """Rule names, the most rejections per second first, as measured on the stored rows of `sample`."""
+
+    def spent(rule: Column) -> tuple[float, float]:
+        times, share = [], 0.0
+        for _ in range(RUNS):
             began = time.perf_counter()
-            failed = sample.agg(F.sum(F.when(rule, 1).otherwise(0)).alias("n")).first()["n"]
-            spent[name], rejected[name] = time.perf_counter() - began, (failed or 0) / max(count, 1)
-    finally:
-        sample.unpersist()
-    return sorted(spent, key=lambda n: -rejected[n] / spent[n])
+            seen = sample.agg(F.count("text").alias("n"), F.count_if(rule).alias("rejected")).first()
+            times.append(time.perf_counter() - began)
+            share = seen["rejected"] / max(seen["n"], 1)
+        return min(times), share
+
+    idle, _ = spent(F.length("text") < 0)
+    costs = {name: spent(rule) for name, rule in by_name.items()}
+    return sorted(costs, key=lambda n: -costs[n][1] / max(costs[n][0] - idle, 1e-3))
 
 
 def first_rejection(
@@ -158,7 +173,7 @@ def first_rejection(
 def passed(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     text = F.coalesce(docs["text"], F.lit(""))
-    order = rejections_per_cost(docs, text, limits)
+    order = rejections_per_cost(sample_of(docs, text), rules(facts(F.col("text")), limits))
     return docs.where(first_rejection(facts(text), order, limits).isNull())
 
 
@@ -168,12 +183,15 @@ def measured(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     The counts are asked for anyway, so the rules read them; the base rules decide first.
     """
     texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    order = rejections_per_cost(texts, F.col("text"), limits)
     f = facts(F.col("text"))
     taken = ("word_chars", "n_symbols", "lines", "repeats")
-    counted = texts.select("doc_id", "text", *[f[n].alias(n) for n in taken])
+    counts = [f[n].alias(n) for n in taken]
+    counted = texts.select("doc_id", "text", *counts)
     known = {n: F.col(n) for n in taken} | {"n_words": F.col("repeats.n"), "n_capitals": f["n_capitals"]}
     by_name = rules(known, limits)
+    beyond = {name: rule for name, rule in by_name.items() if name not in BASE_RULES}
+    sample = store(sample_of(texts, F.col("text")).select("text", *counts), "rule-sample")
+    order = rejections_per_cost(sample, beyond)
     return (
         counted.withColumn("base_failed", by_name["few_words"] | by_name["repetitive"])
         .withColumn("kept", ~F.col("base_failed") & first_rejection(known, order, limits, BASE_RULES).isNull())
