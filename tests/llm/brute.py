@@ -69,6 +69,35 @@ def license_row(text):
     return len(words), len(found), min(starts, default=None), max(starts, default=None), labels
 
 
+def license_templates(text, templates, slack):
+    """Labels and best share of words in place, looking for every template at every place."""
+
+    def split(t):
+        return re.findall(r"[a-z0-9]+", t.lower())
+
+    words, labels, best = split(text or ""), set(), 0.0
+
+    def stands(phrase, at):
+        return at >= 0 and words[at : at + len(phrase)] == phrase
+
+    for t in templates:
+        whole, keys = split(t.text), [split(k) for k in t.keys or (t.text,)]
+        places = [next(i for i in range(len(whole)) if whole[i : i + len(k)] == k) for k in keys]
+        for i in range(len(words)):
+            if not stands(keys[0], i):
+                continue
+            start, shifts = i - places[0], [0]
+            for k, at in zip(keys[1:], places[1:]):
+                shifts.append(next((s for s in sorted(range(-slack, slack + 1), key=abs) if stands(k, start + at + s)), None))
+            if None in shifts:
+                continue
+            where = [{start + s + j for s in shifts} for j in range(len(whole))]
+            same = sum(any(0 <= p < len(words) and words[p] == w for p in ps) for w, ps in zip(whole, where))
+            labels.add(t.label)
+            best = max(best, same / len(whole))
+    return ",".join(sorted(labels)), round(best, 9)
+
+
 def pieces(ids, capacity=2048, end_id=0):
     """(piece, start, length, crc) of a document with these ids."""
     ids = [*ids, end_id]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import subprocess
 import sys
 import zlib
@@ -206,10 +207,54 @@ def test_license_templates_beside_the_base(spark):
     assert got == {1: ("mit", round(15 / 16, 3)), 2: ("", 0.0), 3: ("gpl", 1.0)}
 
 
-def test_license_anchor_is_the_rarest_key_word(spark):
-    lines = [(i, "license license the under") for i in range(5)] + [(9, "mit under")]
+def test_license_postings_are_the_rarest_key_words(spark):
+    lines = [(i, "license license the under") for i in range(5)] + [(i, "the") for i in range(10, 13)] + [(9, "mit under")]
     docs = spark.createDataFrame(lines, "doc_id long, text string")
-    assert licenses.anchors(docs, licenses.TEMPLATES[:1]) == [("mit", 2)]
+    found = licenses.postings(docs, licenses.TEMPLATES[:1])
+    assert [(p.word, p.at) for p in found] == [("mit", 2), ("license", 3), ("under", 0)]
+
+
+def test_license_texts_against_every_place(spark):
+    """Whole licence texts in comments, with words replaced, put in and left out, against a scan of every place."""
+    rng = random.Random(5)
+    lines = ["", None, "word " * 500, "permission is hereby granted free of charge " * 200]
+    for t in licenses.TEMPLATES:
+        lines.append("/*\n * " + t.text.strip().replace("\n", "\n * ") + "\n */ int main;")
+        lines.append(f"(c) {t.text} " * 3)
+        for _ in range(12):
+            changed = t.text.split()
+            for _ in range(rng.randint(1, 5)):
+                at = rng.randrange(len(changed) + 1)
+                changed[at : at + rng.randint(0, 2)] = ["changed"] * rng.choice([0, 1, 3, 20, 40])
+            lines.append("\n".join(["some words before"] * rng.randint(0, 2) + [" ".join(changed)]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = licenses.digest(licenses.scan(docs))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in found.collect()}
+    expected = {i: brute.license_templates(t, licenses.TEMPLATES, licenses.SLACK) for i, t in enumerate(lines)}
+    assert got == expected
+    assert len({labels for labels, _ in got.values()}) >= 12 and any(0 < score < 1 for _, score in got.values())
+
+
+def test_license_key_phrases_must_stand_near_their_places(spark):
+    lead, other = "alpha beta gamma", "delta epsilon"
+    template = licenses.Template("x", f"{lead} and {other} end", (lead, other))
+
+    def apart(n):
+        return f"{lead} {'word ' * n} {other}"
+
+    far = licenses.SLACK + 1  # "and" is one word
+    lines = [(1, apart(1)), (2, apart(far)), (3, apart(far + 1)), (4, f"{other} {lead}"), (5, "alpha beta delta gamma epsilon")]
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    found = licenses.digest(licenses.scan(docs, (template,)))
+    assert {r["doc_id"]: r["labels"] for r in found.collect()} == {1: "x", 2: "x", 3: "", 4: "x", 5: ""}
+
+
+def test_license_index_of_many_templates(spark):
+    many = tuple(licenses.Template(f"t{i:03}", " ".join(f"w{(i * 7 + j) % 90}" for j in range(12))) for i in range(80))
+    lines = [(i, "x " + t.text + " y") for i, t in enumerate(many)]
+    found = licenses.digest(licenses.scan(spark.createDataFrame(lines, "doc_id long, text string"), many))
+    expected = {i: brute.license_templates(t, many, licenses.SLACK) for i, t in lines}
+    assert {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in found.collect()} == expected
 
 
 def library(name):

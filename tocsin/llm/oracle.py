@@ -99,18 +99,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+def _texts(words: list[str]) -> str:
+    return "[" + ", ".join(map(_text, words)) + "]"
+
+
 def license_scan() -> str:
-    """Every place of every template's key phrase, without an index."""
+    """Every place of every template's key phrases, without an index."""
     hits = []
     for t in licenses.TEMPLATES:
-        key, n, at = t.key_words, len(t.words), t.key_at
-        same = " AND ".join(f"w[i + {j}] = {_text(x)}" for j, x in enumerate(key))
-        share = " + ".join(
-            f"(CASE WHEN i + {j - at} >= 1 AND w[i + {j - at}] = {_text(x)} THEN 1 ELSE 0 END)" for j, x in enumerate(t.words)
+        lead, first = t.key_words[0], t.keys_at[0]
+        same = " AND ".join(f"w[i + {j}] = {_text(x)}" for j, x in enumerate(lead))
+        shifts = ["0"]
+        for key, at in zip(t.key_words[1:], t.keys_at[1:], strict=True):
+            place = f"i + {at - first} + s"
+            shifts.append(
+                f"list_filter({licenses.SHIFTS}, lambda s: {place} >= 1 AND w[{place}:{place} + {len(key) - 1}] = {_texts(key)})[1]"
+            )
+        found = f"list_filter(range(1, len(w) + 1), lambda i: {same})"
+        placed = f"list_transform({found}, lambda i: {{'i': i - {first}, 'shifts': [{', '.join(shifts)}]}})"
+        whole = f"list_filter({placed}, lambda p: len(list_filter(p.shifts, lambda s: s IS NULL)) = 0)"
+        in_place = (
+            f"list_filter(range(1, {len(t.words) + 1}), lambda j: len(list_filter(p.shifts, lambda s: "
+            f"p.i + s + j - 1 >= 1 AND w[p.i + s + j - 1] = {_texts(t.words)}[j])) > 0)"
         )
         hits.append(
-            f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {same}), lambda i: "
-            f"{{'label': '{t.label}', 'base': {t.base}, 'start': i - 1 - {at}, 'share': ({share}) / CAST({n} AS DOUBLE)}})"
+            f"list_transform({whole}, lambda p: {{'label': '{t.label}', 'base': {t.base}, 'start': p.i - 1, "
+            f"'share': len({in_place}) / CAST({len(t.words)} AS DOUBLE)}})"
         )
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     separators = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
