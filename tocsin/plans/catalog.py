@@ -31,6 +31,7 @@ from tocsin.sources.events import (
 from tocsin.sources.log import to_log_messages, write_log
 from tocsin.sources.sample_config import sample_config
 from tocsin.streaming.pipeline import (
+    alert_table,
     live_parents,
     live_windows,
     read_alerts,
@@ -513,13 +514,13 @@ def stream_malformed(spark, sf_dir):
     return spark.read.parquet(rejects).select("seq", "reject_reason")
 
 
-def _lifecycle(spark, sf_dir):
+def _lifecycle(spark, sf_dir, **options):
     folder = _stream_folder(spark, "stream")
     managers, rules = sample_config(spark)
     alerts, notes = f"{folder}/alerts", f"{folder}/notifications"
     routed, _ = route_events(_in_files(spark, _slices(alert_events(spark, sf_dir))), managers, rules)
     checkpoint = f"{folder}/checkpoint"
-    start_lifecycle(routed, alerts, notes, checkpoint, managers).awaitTermination()
+    start_lifecycle(routed, alerts, notes, checkpoint, managers, **options).awaitTermination()
     return alerts, notes, checkpoint
 
 
@@ -528,6 +529,11 @@ def stream_alerts(spark, sf_dir):
     return read_alerts(spark, _lifecycle(spark, sf_dir)[0])
 
 
+def stream_alerts_compacted(spark, sf_dir):
+    """The alerts table kept by the stream as merged parts, compacted after every second micro-batch."""
+    return alert_table(spark, _lifecycle(spark, sf_dir, compact_every=2)[0]).rows()
+
+
 def stream_notifications(spark, sf_dir):
     """The notification log of the stateful stream."""
     return spark.read.parquet(_lifecycle(spark, sf_dir)[1]).drop("batch")
@@ -654,6 +660,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_raw_ingest,
         stream_malformed,
         stream_alerts,
+        stream_alerts_compacted,
         stream_notifications,
         stream_open_parents,
         stream_parent_states,

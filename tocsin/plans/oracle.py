@@ -538,6 +538,7 @@ LEFT JOIN rule_current r ON r.id = k.id""",
             base=_RAW_EVENTS,
         ),
         "stream_alerts": _sql(alerts, *full),
+        "stream_alerts_compacted": _sql(alerts, *full),
     }
     sql["stream_notifications"] = sql["notifications"]
     sql["stream_pending"] = sql["pending_resolves"]

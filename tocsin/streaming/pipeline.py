@@ -16,6 +16,7 @@ from tocsin.session import ship_package
 from tocsin.sources.events import decode_log, parse_events
 from tocsin.sources.log import to_log_messages, write_log
 from tocsin.streaming import processors as p
+from tocsin.streaming.table import AlertTable
 
 _STATE = "spark.sql.streaming.stateStore"
 STATE_STORE = {
@@ -142,15 +143,25 @@ def _times(df: DataFrame) -> DataFrame:
     return df.withColumn("id", alert_id(F.col("dedup_key")))
 
 
+def last_versions(batch: DataFrame) -> DataFrame:
+    """The last version of every alert of a micro-batch."""
+    last = F.max_by(F.struct(*batch.columns), F.struct("at", "seq"))
+    latest = batch.groupBy("dedup_key").agg(last.alias("row")).select("row.*")
+    return _times(latest).select(*ALERT_COLUMNS, "at", "seq")
+
+
+def alert_table(spark: SparkSession, path: str) -> AlertTable:
+    """The alerts table that a lifecycle stream with `compact_every` keeps under `path`."""
+    empty = spark.createDataFrame([], p.VERSION_SCHEMA)
+    return AlertTable(spark, path, last_versions(empty).select(*ALERT_COLUMNS).schema)
+
+
 def upsert_alerts(batch: DataFrame, batch_id: int, path: str) -> None:
     """Write the last version of every alert of a micro-batch under its batch number.
 
     A repeated micro-batch overwrites its own folder, so delivery is exactly once.
     """
-    last = F.max_by(F.struct(*batch.columns), F.struct("at", "seq"))
-    latest = batch.groupBy("dedup_key").agg(last.alias("row")).select("row.*")
-    columns = [*ALERT_COLUMNS, "at", "seq"]
-    _times(latest).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    last_versions(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -166,9 +177,14 @@ def start_lifecycle(
     notifications: str,
     checkpoint: str,
     managers: DataFrame,
+    compact_every: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Keep the alerts table and the notification log up to date with a stream of routed events."""
+    """Keep the alerts table and the notification log up to date with a stream of routed events.
+
+    `alerts` holds a folder of versions for every micro-batch (`read_alerts`). With `compact_every` it is a
+    table of merged parts instead (`alert_table`), compacted after every so many micro-batches.
+    """
     prepare_state(routed.sparkSession)
     hooks = managers.select(
         F.col("id").alias("event_manager_id"),
@@ -178,7 +194,15 @@ def start_lifecycle(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        upsert_alerts(batch.filter("kind = 'alert'").drop("kind"), batch_id, alerts)
+        versions = batch.filter("kind = 'alert'").drop("kind")
+        if compact_every is None:
+            upsert_alerts(versions, batch_id, alerts)
+        else:
+            table = alert_table(batch.sparkSession, alerts)
+            table.publish(last_versions(versions).select(*ALERT_COLUMNS), batch_id)
+            if batch_id % compact_every == compact_every - 1:
+                table.compact()
+                table.expire()
         notes = (
             _times(batch.filter("kind = 'notification'"))
             .join(hooks, "event_manager_id", "left")
