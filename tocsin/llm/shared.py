@@ -120,21 +120,44 @@ class Chunks:
 
     def __init__(self, encode: Callable[[list[str]], dict[str, bytes | str]]):
         self.encode = encode
-        self.known: dict[str, bytes | str] = {}
+        self.known = Known()
 
     def joined(self, texts: list[list[str]]) -> list[bytes | None]:
         """The bytes of each list of chunks in turn; None if one of them can't stand for itself."""
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        found = [list(map(self.known.get, chunks)) for chunks in texts]
-        missing = [[i for i, x in enumerate(f) if x is None] for f in found]
-        new = {c[i] for c, m in zip(texts, missing, strict=True) for i in m}
+        look, new = self.known.__getitem__, self.known.new
+        found, again = [], []
+        for chunks in texts:
+            before = len(new)
+            found.append(list(map(look, chunks)))
+            if len(new) > before:
+                again.append(len(found) - 1)
         if new:
-            self.known.update(self.encode(list(new)))
-            for chunks, f, m in zip(texts, found, missing, strict=True):
-                for i in m:
-                    f[i] = self.known[chunks[i]]
-        return [None if ALONE in f else b"".join(f) for f in found]
+            self.known.update(self.encode(list(set(new))))
+            new.clear()
+            for k in again:
+                found[k] = list(map(look, texts[k]))
+        return [joined_bytes(f) for f in found]
+
+
+class Known(dict):
+    """Encoded chunks. Those looked up in vain are listed in `new`, so that hits cost no more than the lookup."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.new.append(chunk)
+
+
+def joined_bytes(found: list[bytes | str]) -> bytes | None:
+    """All joined; None if ALONE, which is text, is among them."""
+    try:
+        return b"".join(found)  # type: ignore[arg-type]
+    except TypeError:
+        return None
 
 
 def stands_alone(part: str) -> bool:
