@@ -61,6 +61,14 @@ def hot_keys(stats: DataFrame, key: list[str], limits: Limits | None) -> DataFra
     return None if hot.isEmpty() else hot
 
 
+def cuts_below(cuts: str, value: Column) -> Column:
+    """How many of an ascending array of at most QUANTILES cuts are below `value`, by halving."""
+    steps = [1 << i for i in reversed(range(QUANTILES.bit_length()))]
+    further = lambda at, step: F.get(cuts, at + step - 1) < value  # noqa: E731  (null beyond the end)
+    halve = lambda at, step: F.when(further(at, step), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+
 def with_slot(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame:
     """Add `slots` (1 if the key is not split) and `slot`, which grows with received_at.
 
@@ -77,7 +85,7 @@ def with_slot(df: DataFrame, key: list[str], hot: DataFrame | None) -> DataFrame
     nth = lambda i: F.element_at("q", F.floor(i * QUANTILES / F.col("slots")).cast("int"))
     wanted = F.when(F.col("slots") > 1, F.transform(F.sequence(F.lit(1), F.col("slots") - 1), nth))
     cuts = materialize(cuts.select(*key, "slots", "first_at", wanted.alias("cuts")), "cuts")
-    slot = F.size(F.filter("cuts", lambda c: c < since)).cast("int")
+    slot = cuts_below("cuts", since)
     return (
         df.join(cuts, key, "left")
         .withColumn("slot", F.when(F.col("cuts").isNull(), 0).otherwise(slot))
