@@ -1,12 +1,15 @@
 """What keeps the work of a step in proportion to its input."""
 
 from bisect import bisect_left
+from pathlib import Path
 from random import Random
 
-from helpers import TINY, frame, random_log
+from helpers import EVENT, TINY, config, event, frame, random_log
 from pyspark.sql import functions as F
 
 from tocsin.operators import hot
+from tocsin.operators.routing import route_events
+from tocsin.streaming.pipeline import release_tail, start_sequencer
 
 
 def test_slots_are_found_by_halving(spark):
@@ -21,3 +24,21 @@ def test_slots_are_found_by_halving(spark):
     plan = slotted._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" in plan and "filter(cuts" not in plan  # no look at every cut for every row
     assert slotted.agg(F.max("slot")).first()[0] > 0
+
+
+def test_a_sequencer_keeps_one_table_and_goes_on_from_it(spark, tmp_path):
+    managers, rules = config(spark)
+    folder, log, checkpoint = f"{tmp_path}/in", f"{tmp_path}/log", f"{tmp_path}/c"
+    parts = [[event(0, 0, "a"), event(1, 1, "a")], [event(2, 200, "b"), event(3, 1.5, "c")], [event(4, 1, "late"), event(5, 400, "d")]]
+    parts[2].append({**event(6, 0, "timeless"), "received_at": None})
+    for part in parts:  # a query of its own each time, from the same checkpoint
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+        stream = route_events(spark.readStream.schema(EVENT).parquet(folder), managers, rules)[0]
+        start_sequencer(stream, "1 minute", log, checkpoint).awaitTermination()
+    assert not Path(f"{checkpoint}/state").exists()  # no state per key and bucket
+    got = {r.seq: r.batch for r in spark.read.parquet(log).collect()}
+    assert got == {0: 1, 1: 1, 3: 1, 2: 2}  # in whole micro-batches, each later than those before
+    aside = {r.seq: r.late_by for r in spark.read.parquet(f"{log}-late").collect()}
+    assert aside == {4: 198 * 60_000_000, 6: None}
+    release_tail(spark, checkpoint, log)
+    assert {r.seq for r in spark.read.parquet(log).collect()} == {0, 1, 2, 3, 5}

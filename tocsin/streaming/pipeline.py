@@ -26,6 +26,7 @@ STATE_STORE = {
     f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
 }
 ROUTED_SCHEMA = f"{p.BIRTH_SCHEMA}, partition_key string"
+MARK_SCHEMA = "batch long, watermark long"  # of a sequencer
 
 
 Config = tuple[DataFrame, DataFrame]
@@ -272,6 +273,29 @@ def live_parents(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
+def _held(checkpoint: str, batch_id: int) -> str:
+    """Where a sequencer keeps what it holds after a micro-batch: two places in turn, so that a micro-batch that is
+    repeated finds what was held before it."""
+    return f"{checkpoint}/held/{batch_id % 2}"
+
+
+def _mark(spark: SparkSession, checkpoint: str, batch_id: int) -> int:
+    """The watermark, in milliseconds, after a micro-batch that is finished."""
+    mark = spark.read.schema(MARK_SCHEMA).parquet(f"{_held(checkpoint, batch_id)}/mark").first()
+    if mark is None or mark["batch"] != batch_id:
+        raise ValueError(f"{checkpoint} does not hold micro-batch {batch_id}")
+    return mark["watermark"]
+
+
+def _log_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the stateful steps' form as the log has them."""
+    return (
+        rows.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
+        .withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int"))
+        .drop("at", "window")
+    )
+
+
 def start_sequencer(
     routed: DataFrame, delay: str, log: str, checkpoint: str, late: str | None = None, bucket_ms: int = 1000, **trigger
 ) -> StreamingQuery:
@@ -280,31 +304,43 @@ def start_sequencer(
     Each micro-batch of the output is later than those before it, so `start_lifecycle` over it (whole
     batches at a time) gives the batch result even if events come in late by up to `delay`. Events that
     are later still go to the folder `late` (by default `log` with "-late") with `late_by`, by how many
-    microseconds the watermark had passed them. Events are let go in buckets of `bucket_ms`. Those of the last
-    `delay` stay in state until newer ones come; `release_tail` lets them out when a log has ended.
+    microseconds the watermark had passed them (null if they have no time). Events are let go in buckets of
+    `bucket_ms`, whole buckets at once. Those of the last `delay` are held until newer ones come; `release_tail`
+    lets them out when a log has ended.
+
+    Rows that wait are a table beside the query's checkpoint, which each micro-batch reads and writes anew with its
+    own: all keys at once, no state per key or bucket. The watermark is written after them and names the micro-batch,
+    so one that is cut off leaves what was held before it in place.
     """
-    prepare_state(routed.sparkSession)
-    rows = compact_rows(routed.withColumn("received_at", F.col("received_at").cast("timestamp")))
-    # the watermark's column goes no further, else Spark would drop late rows without a trace
-    rows = rows.withWatermark("received_at", delay).select(*p.columns(ROUTED_SCHEMA))
-    ordered = rows.groupBy("dedup_key").transformWithState(
-        p.Sequencer(ROUTED_SCHEMA, bucket_ms), f"{ROUTED_SCHEMA}, late_by long", "append", "eventTime"
-    )
-    ordered = (
-        ordered.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
-        .withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int"))
-        .drop("at", "window")
-    )
+    spark = routed.sparkSession
+    rows = compact_rows(routed).select(*p.columns(ROUTED_SCHEMA))
+    width = bucket_ms * 1000
+    due = F.expr(f"(at - pmod(at, {width})) div 1000 + {bucket_ms}")  # the first millisecond after the row's bucket
+    behind = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{delay}') div 1000").first()[0]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         batch = batch.persist()
-        batch.filter("late_by IS NULL").drop("late_by").write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        too_late = batch.filter("late_by IS NOT NULL")
-        too_late.write.mode("overwrite").parquet(f"{late or log + '-late'}/batch={batch_id}")
+        held, passed = session.createDataFrame([], ROUTED_SCHEMA), 0
+        if batch_id > 0:
+            passed = _mark(session, checkpoint, batch_id - 1)
+            held = session.read.schema(ROUTED_SCHEMA).parquet(f"{_held(checkpoint, batch_id - 1)}/rows")
+        newest = batch.agg(F.max(F.expr("(at - pmod(at, 1000)) div 1000"))).first()[0]
+        watermark = passed if newest is None else max(passed, newest - behind)
+        too_late = F.coalesce(due <= passed, F.lit(True))
+        late_by = F.when(F.col("at").isNotNull(), F.greatest(F.lit(passed * 1000) - F.col("at"), F.lit(0))).cast("long")
+        aside = _log_rows(batch.filter(too_late).withColumn("late_by", late_by))
+        aside.write.mode("overwrite").parquet(f"{late or log + '-late'}/batch={batch_id}")
+        waiting = held.unionByName(batch.filter(~too_late))
+        _log_rows(waiting.filter(due <= watermark)).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        here = _held(checkpoint, batch_id)
+        waiting.filter(due > watermark).write.mode("overwrite").parquet(f"{here}/rows")
+        mark = session.range(1).select(F.lit(batch_id).cast("long").alias("batch"), F.lit(watermark).cast("long").alias("watermark"))
+        mark.write.mode("overwrite").parquet(f"{here}/mark")
         batch.unpersist()
 
     return (
-        ordered.writeStream.foreachBatch(write)
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -314,10 +350,8 @@ def start_sequencer(
 def release_tail(spark: SparkSession, checkpoint: str, log: str) -> None:
     """Write the events that a stopped sequencer still holds as the last folder of its log.
 
-    Reads the sequencer's own state from its checkpoint. The folder is overwritten if this is repeated.
+    Reads what the sequencer keeps beside its checkpoint. The folder is overwritten if this is repeated.
     """
-    held = read_state(spark, checkpoint, "waiting")
-    rows = held.selectExpr("inline(user_map_value.rows)")
-    rows = rows.withColumn("received_at", F.timestamp_micros("at").cast("timestamp_ntz"))
-    rows = rows.withColumn("time_window_minutes", (F.col("window") / 60_000_000).cast("int")).drop("at", "window")
-    rows.write.mode("overwrite").parquet(f"{log}/batch={2**31 - 1}")
+    last = spark.read.schema(MARK_SCHEMA).parquet(f"{checkpoint}/held/*/mark").agg(F.max("batch")).first()[0]
+    rows = spark.read.schema(ROUTED_SCHEMA).parquet(f"{_held(checkpoint, last)}/rows")
+    _log_rows(rows).write.mode("overwrite").parquet(f"{log}/batch={2**31 - 1}")

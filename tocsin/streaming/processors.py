@@ -208,57 +208,3 @@ class Family(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class Sequencer(StatefulProcessor):
-    """Key: dedup key. Holds rows back until the watermark has passed them.
-
-    Rows wait in a map from time bucket to the rows of that bucket, with one timer per bucket, so a timer reads
-    what it lets go and nothing else. What is let through in one micro-batch is later in event time than all that
-    was let through before it, in whole buckets. A row whose bucket the watermark has already passed goes out at
-    once with `late_by`, by how many microseconds the watermark is beyond it; it is null for others.
-    """
-
-    def __init__(self, schema: str, bucket_ms: int):
-        self.schema, self.bucket_ms = schema, bucket_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due long", f"rows array<struct<{self._fields()}>>")
-
-    def _fields(self) -> str:
-        return ", ".join(field.strip().replace(" ", ":", 1) for field in self.schema.split(", "))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = columns(self.schema)
-        at = names.index("at")
-        passed = timerValues.getCurrentWatermarkInMs()
-        emit = Row(*names, "late_by")
-        late, new = [], {}
-        for r in rows:
-            row = tuple(r[c] for c in names)
-            # the first millisecond after the row's bucket
-            due = (row[at] // 1000 // self.bucket_ms + 1) * self.bucket_ms
-            if due <= passed:
-                late.append(emit(*row, max(passed * 1000 - row[at], 0)))
-            else:
-                new.setdefault(due, []).append(row)
-        for due, more in new.items():
-            held = self.waiting.containsKey((due,))
-            if held:
-                more = [tuple(r) for r in self.waiting.getValue((due,))[0]] + more
-            else:
-                self.handle.registerTimer(due)
-            self.waiting.updateValue((due,), (more,))
-        return iter(late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.waiting.containsKey((due,)):
-            emit = Row(*columns(self.schema), "late_by")
-            for row in self.waiting.getValue((due,))[0]:
-                yield emit(*row, None)
-            self.waiting.removeKey((due,))
-
-    def close(self) -> None:
-        pass
