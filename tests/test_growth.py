@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tocsin.operators import hot
 from tocsin.operators.routing import route_events
+from tocsin.sources.events import parse_events, read_bodies, split_bodies
 from tocsin.streaming.pipeline import release_tail, start_sequencer
 
 
@@ -42,3 +43,14 @@ def test_a_sequencer_keeps_one_table_and_goes_on_from_it(spark, tmp_path):
     assert aside == {4: 198 * 60_000_000, 6: None}
     release_tail(spark, checkpoint, log)
     assert {r.seq for r in spark.read.parquet(log).collect()} == {0, 1, 2, 3, 5}
+
+
+def test_a_body_is_parsed_as_often_for_many_fields_as_for_one(spark):
+    raw = spark.createDataFrame([(1, '{"summary": "s"}'), (2, '{"summary": 5}'), (3, '{"OTHER": 5}'), (4, '{"Class": {}}')], "seq long, value string")
+    for found in parse_events(raw):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert filters and all(line.count("variant") <= 2 for line in filters), plan
+    assert {r.seq for r in parse_events(raw)[0].collect()} == {1, 3}
+    bodies = read_bodies(raw)
+    assert {r.seq for r in split_bodies(bodies)[1].collect()} == {2, 4}

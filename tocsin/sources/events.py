@@ -69,25 +69,34 @@ def _parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
         strings = F.filter(named(name), lambda e: F.schema_of_variant(e["value"]) == "STRING")
         return F.get(F.reverse(strings), F.lit(0))["value"]
 
-    fits = F.lit(True)
-    for name in texts:
-        fits &= F.forall(named(name), lambda e: F.schema_of_variant(e["value"]).isin("STRING", "VOID"))
+    # one look at the entries: a filter on `sound` repeats all that it is made of
+    other = lambda e: ~F.lower(e["key"]).isin(*[name.lower() for name in texts])
+    fits = F.forall("entries", lambda e: other(e) | F.schema_of_variant(e["value"]).isin("STRING", "VOID"))
     others = [F.col(f"typed.{f.name}").alias(f.name) for f in schema.fields if f.name not in texts]
     columns = [F.try_variant_get(field(name), "$", "string").alias(name) for name in texts]
     one = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
     return (
         raw.withColumn("entries", entries)
         .withColumn("typed", F.from_json(value, schema, strict))
-        .withColumn("sound", F.coalesce(one & F.col("entries").isNotNull() & fits, F.lit(False)))
+        .withColumn("sound", F.coalesce(one & fits, F.lit(False)))
         .withColumn("body", F.struct(*columns, *others))
         .drop("entries", "typed")
     )
 
 
+def read_bodies(raw: DataFrame) -> DataFrame:
+    """Raw JSON bodies with `body` and `sound`, for `split_bodies`; persisted, each is parsed once for both sides."""
+    return _parsed(raw, EVENT_JSON)
+
+
 def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw JSON bodies to (events, malformed bodies). Other columns pass through."""
-    parsed = _parsed(raw, EVENT_JSON)
-    keep = [c for c in raw.columns if c != "value"]
+    return split_bodies(read_bodies(raw))
+
+
+def split_bodies(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, malformed bodies) of `read_bodies`."""
+    keep = [c for c in parsed.columns if c not in ("value", "sound", "body")]
     fields = [text(f"body.{f.name}").alias(f.name) for f in EVENT_JSON.fields]
     events = (
         parsed.filter("sound")
@@ -100,9 +109,18 @@ def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, malformed
 
 
+def read_messages(raw: DataFrame) -> DataFrame:
+    """Messages of the enriched log with `body` and `sound`, for `split_messages`; worth persisting, as `read_bodies`."""
+    return _parsed(raw, LOG_JSON)
+
+
 def decode_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages of the enriched log to (routed events, skipped messages)."""
-    parsed = _parsed(raw, LOG_JSON)
+    return split_messages(read_messages(raw))
+
+
+def split_messages(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(routed events, skipped messages) of `read_messages`."""
     # a record without its log position cannot be ordered
     broken = ~F.col("sound") | F.col("body.received_at").isNull() | F.col("body.seq").isNull()
     texts = [

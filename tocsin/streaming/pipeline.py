@@ -13,7 +13,7 @@ from tocsin.functions.events import alert_id, reject_code, reject_message
 from tocsin.operators.routing import route_events
 from tocsin.schemas import ALERT_COLUMNS
 from tocsin.session import ship_package
-from tocsin.sources.events import decode_log, parse_events
+from tocsin.sources.events import read_bodies, read_messages, split_bodies, split_messages
 from tocsin.sources.log import to_log_messages, write_log
 from tocsin.streaming import processors as p
 from tocsin.streaming.table import AlertTable
@@ -56,9 +56,9 @@ def start_ingest(
     raw = "value" in events.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = (read_bodies(batch) if raw else batch).persist()
         managers, rules = config(batch.sparkSession) if callable(config) else config
-        parsed, malformed = parse_events(batch) if raw else (batch, None)
+        parsed, malformed = split_bodies(batch) if raw else (batch, None)
         routed, refused = route_events(parsed, managers, rules)
         if malformed is not None:
             reason = F.col("reject_reason")
@@ -81,8 +81,8 @@ def start_decode(raw: DataFrame, events: str, skipped: str, checkpoint: str, **t
     """Decode a stream of log messages; those that don't decode are kept in `skipped`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        decoded, broken = decode_log(batch)
+        batch = read_messages(batch).persist()
+        decoded, broken = split_messages(batch)
         decoded.write.mode("overwrite").parquet(f"{events}/batch={batch_id}")
         broken.write.mode("overwrite").parquet(f"{skipped}/batch={batch_id}")
         batch.unpersist()
