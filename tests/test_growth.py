@@ -4,11 +4,13 @@ from bisect import bisect_left
 from pathlib import Path
 from random import Random
 
-from helpers import EVENT, TINY, config, event, frame, random_log
+from helpers import EVENT, TINY, config, event, frame, random_log, routed
 from pyspark.sql import functions as F
 
 from tocsin.operators import hot
+from tocsin.operators.pages import RankedAlerts
 from tocsin.operators.routing import route_events
+from tocsin.plans.run import AlertRun
 from tocsin.sources.events import parse_events, read_bodies, split_bodies
 from tocsin.streaming.pipeline import release_tail, start_sequencer
 
@@ -54,3 +56,14 @@ def test_a_body_is_parsed_as_often_for_many_fields_as_for_one(spark):
     assert {r.seq for r in parse_events(raw)[0].collect()} == {1, 3}
     bodies = read_bodies(raw)
     assert {r.seq for r in split_bodies(bodies)[1].collect()} == {2, 4}
+
+
+def test_small_ranges_are_written_by_few_tasks(spark, tmp_path):
+    log = [event(i, i // 9, f"k{i:03}") for i in range(120)]
+    alerts = AlertRun(routed(spark, log)).stored_alerts
+    ranked = RankedAlerts.write(alerts, f"{tmp_path}/ranked", range_rows=2)
+    files = [f.split("/part-")[1][:5] for f in ranked.alerts.inputFiles()]  # a file names the task that wrote it
+    assert len(files) == 60 and len(set(files)) == 1
+    assert ranked.counts.groupBy("range").agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0] == 2
+    names = [r.dedup_key for r in sorted(sorted(alerts.collect(), key=lambda r: r.dedup_key), key=lambda r: r.created_at, reverse=True)]
+    assert [r.dedup_key for r in ranked.page(limit=7, offset=33).collect()] == names[33:40]

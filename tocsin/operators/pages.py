@@ -14,6 +14,7 @@ from tocsin.operators.reads import page_bounds
 from tocsin.schemas import ALERT_COLUMNS
 
 RANGE_ROWS = 100_000
+RUN_ROWS = 10_000
 FILTERS = ("event_manager_id", "status", "type")
 NEWEST_FIRST = (F.desc, "created_at"), (F.asc, "dedup_key")
 
@@ -35,12 +36,18 @@ class RankedAlerts:
     def write(cls, alerts: DataFrame, folder: str, range_rows: int = RANGE_ROWS) -> RankedAlerts:
         """Store `alerts` in ranges of about `range_rows` rows; the folder must be new.
 
-        Ranges come from a sample of the order, so they differ in size; counts are exact.
+        Runs of ranges come from a sample of the order, so they differ in size; counts are exact.
         """
         spark = alerts.sparkSession
-        ranges = max(1, -(-alerts.count() // range_rows))
-        ordered = alerts.select(*ALERT_COLUMNS).repartitionByRange(ranges, *_order())
-        numbered = ordered.withColumn("range", F.spark_partition_id())
+        rows = alerts.count()
+        ranges = max(1, -(-rows // range_rows))
+        # a task writes a run of ranges, so that small ranges don't make a task each
+        runs = min(ranges, -(-rows // RUN_ROWS))
+        ordered = alerts.select(*ALERT_COLUMNS).repartitionByRange(max(1, runs), *_order())
+        ordered = ordered.withColumn("run", F.spark_partition_id())
+        place = F.row_number().over(Window.partitionBy("run").orderBy(*_order())) - 1
+        within = F.floor(place / range_rows).cast("long")
+        numbered = ordered.withColumn("range", F.shiftleft(F.col("run").cast("long"), 32) + within).drop("run")
         numbered.write.partitionBy("range").parquet(f"{folder}/alerts")
         spark.createDataFrame([], numbered.schema).write.parquet(f"{folder}/columns")
         stored = spark.read.schema(numbered.schema).parquet(f"{folder}/alerts")
