@@ -7,7 +7,7 @@ from random import Random
 from helpers import EVENT, TINY, config, event, frame, random_log, routed
 from pyspark.sql import functions as F
 
-from tocsin.operators import hot
+from tocsin.operators import config_feed, hot
 from tocsin.operators.pages import RankedAlerts
 from tocsin.operators.routing import route_events
 from tocsin.plans.run import AlertRun
@@ -67,3 +67,15 @@ def test_small_ranges_are_written_by_few_tasks(spark, tmp_path):
     assert ranked.counts.groupBy("range").agg(F.sum("rows").alias("n")).agg(F.max("n")).first()[0] == 2
     names = [r.dedup_key for r in sorted(sorted(alerts.collect(), key=lambda r: r.dedup_key), key=lambda r: r.created_at, reverse=True)]
     assert [r.dedup_key for r in ranked.page(limit=7, offset=33).collect()] == names[33:40]
+
+
+def test_a_split_feed_is_read_once_for_all_results(spark):
+    feed = [(i, i, "create" if i % 5 == 0 else "delete" if i % 5 == 4 else "update", "r", f"n{i}", "class", 5) for i in range(40)]
+    schema = "seq long, at int, op string, id string, name string, grouping_key string, time_window_minutes int"
+    changes = spark.createDataFrame(feed, schema).withColumn("changed_at", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    whole = [sorted(map(repr, df.collect())) for df in config_feed.apply_rule_changes(changes)]
+    split = config_feed.apply_rule_changes(changes, TINY)
+    assert [sorted(map(repr, df.collect())) for df in split] == whole
+    for df in split:  # stored results: no window and no join is worked out again for each of them
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan, plan

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.operators.hot import Limits, hot_keys, running, with_slot
+from tocsin.session import materialize
 
 _ORDER = ("received_at", "is_left", "place")
 
@@ -53,8 +54,11 @@ def asof_join(
         F.max("received_at").alias("last_at"),
     )
     hot = hot_keys(stats, key, limits)
+    both = with_slot(both, key, hot)
+    if hot is not None:
+        both = materialize(both, "asof")  # the carry reads these rows once more
     both = running(
-        with_slot(both, key, hot),
+        both,
         key,
         hot is not None,
         latest={"newest": F.col(name)},

@@ -20,6 +20,7 @@ from tocsin.functions.events import (
 from tocsin.operators.asof import asof_join
 from tocsin.operators.hot import Limits, hot_keys, running, with_slot
 from tocsin.operators.routing import EVENT_COLUMNS, reject_reason, split_checked
+from tocsin.session import materialize
 
 RULE_FIELDS = ["name", "grouping_key", "time_window_minutes"]
 MANAGER_FIELDS = ["name", "description", "grouping_rule_id", "webhook_url"]
@@ -44,14 +45,17 @@ def apply_config_changes(
     hot = hot_keys(stats, ["id"], limits)
     split = hot is not None
     settles = F.when((op != "update") & F.col("invalid").isNull(), op == "create")
-    feed = running(with_slot(feed, ["id"], hot), ["id"], split, latest={"existed": settles})
+    # a split feed is read again for every running value and every result: each step is stored once
+    stored = materialize if split else lambda df, _: df
+    feed = stored(with_slot(feed, ["id"], hot), "feed")
+    feed = running(feed, ["id"], split, latest={"existed": settles})
     existed = F.coalesce("existed", F.lit(False))
     reason = F.coalesce(
         "invalid",
         F.when((op == "create") & existed, "already_exists"),
         F.when((op != "create") & ~existed, "not_found"),
     )
-    feed = feed.withColumn("reject_reason", reason)
+    feed = stored(feed.withColumn("reject_reason", reason), "judged")
     rejects = feed.filter("reject_reason IS NOT NULL").select(
         "seq",
         F.col("received_at").alias("changed_at"),
@@ -74,6 +78,7 @@ def apply_config_changes(
         F.col("received_at").alias("valid_from"),
         F.col("next").alias("valid_to"),
     )
+    history = stored(history, "config-history")
     current = history.filter("valid_to IS NULL").select("id", *fields, "created_at", "updated_at")
     return current, history, rejects
 
@@ -118,9 +123,9 @@ def route_events_asof(
     checked = checked.withColumn(
         "manager_id", F.when(_valid("manager"), F.col("event_manager_id"))
     ).withColumn("manager_rule_id", F.when(_valid("manager"), F.col("manager.grouping_rule_id")))
-    checked = asof_join(
-        checked.drop("manager"), rules, ["manager_rule_id"], "rule", limits=limits
-    )
+    # read for the keys' sizes, for their cuts and for the join itself
+    checked = materialize(checked.drop("manager"), "managed")
+    checked = asof_join(checked, rules, ["manager_rule_id"], "rule", limits=limits)
     checked = checked.select(
         *EVENT_COLUMNS,
         "invalid",
