@@ -118,11 +118,14 @@ def _scanned(births: DataFrame) -> DataFrame:
     )
 
 
-def links(born: DataFrame, limits: Limits | None = Limits(), opened: DataFrame | None = None) -> DataFrame:
+def links(
+    born: DataFrame, limits: Limits | None = Limits(), opened: DataFrame | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Births with `family`, the dedup key of their parent, and `expires_at`.
 
     `expires_at` is the end of the window an alert opens as a parent. `opened`:
     the windows open before these births, as (group..., open_parent, open_until).
+    `also`: other columns to keep.
     """
     ship_package(born.sparkSession)
     born = born.select(
@@ -133,6 +136,7 @@ def links(born: DataFrame, limits: Limits | None = Limits(), opened: DataFrame |
         "time_window_minutes",
         "rows",
         "last_at",
+        *also,
         expires_at(F.col("born_at"), F.col("time_window_minutes")).alias("expires_at"),
     )
     stats = born.groupBy(*GROUP).agg(

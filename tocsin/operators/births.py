@@ -18,6 +18,26 @@ BIRTH_FIELDS = [
 ]
 
 
+def summaries(routed: DataFrame, *more: F.Column) -> DataFrame:
+    """(dedup_key, first, rows, last_at, more...): of every key its first trigger (null if none) and how many events it has."""
+    is_trigger = F.col("action") == "trigger"
+    first = F.min(F.when(is_trigger, F.struct("received_at", "seq", *BIRTH_FIELDS)))
+    return routed.groupBy("dedup_key").agg(
+        first.alias("first"), F.count("*").alias("rows"), F.max("received_at").alias("last_at"), *more
+    )
+
+
+def of_summaries(found: DataFrame) -> DataFrame:
+    """Births from `summaries`."""
+    return found.filter(F.col("first").isNotNull()).select(
+        "dedup_key",
+        F.col("first.received_at").alias("born_at"),
+        F.col("first.seq").alias("born_seq"),
+        *[f"first.{name}" for name in BIRTH_FIELDS],
+        *[c for c in found.columns if c not in ("dedup_key", "first")],
+    )
+
+
 def births(routed: DataFrame) -> DataFrame:
     """(dedup_key, born_at, born_seq, fields of the first trigger, rows, last_at).
 
@@ -25,21 +45,7 @@ def births(routed: DataFrame) -> DataFrame:
     shuffle, so the size of a key does not matter. `rows` and `last_at` cover
     all events of the key and serve to find hot keys later.
     """
-    is_trigger = F.col("action") == "trigger"
-    first = F.min(F.when(is_trigger, F.struct("received_at", "seq", *BIRTH_FIELDS)))
-    return (
-        routed.groupBy("dedup_key")
-        .agg(first.alias("first"), F.count("*").alias("rows"), F.max("received_at").alias("last_at"))
-        .filter(F.col("first").isNotNull())
-        .select(
-            "dedup_key",
-            F.col("first.received_at").alias("born_at"),
-            F.col("first.seq").alias("born_seq"),
-            *[f"first.{name}" for name in BIRTH_FIELDS],
-            "rows",
-            "last_at",
-        )
-    )
+    return of_summaries(summaries(routed))
 
 
 def with_birth(routed: DataFrame, born: DataFrame) -> DataFrame:

@@ -74,16 +74,18 @@ def alert_history(
 ) -> DataFrame:
     """Events from their alert's birth on, with the action before of the same alert (`was`).
 
+    All events of an alert that has acted before these events count, whatever their time.
     `unborn` keeps the other events too; `known` tells them apart.
     """
     rows = attach(routed, links, hot)
+    counts = after_birth() | C("acted").isNotNull()
     if not unborn:
-        rows = rows.filter(after_birth())
+        rows = rows.filter(counts)
     else:
         # events before a birth, or without any, carry nothing: spread them, however many a key has
         alone = 1_000_000 + F.pmod(F.xxhash64("received_at", "seq"), F.lit(1024)).cast("int")
-        rows = rows.withColumn("slot", F.when(F.coalesce(after_birth(), F.lit(False)), C("slot")).otherwise(alone))
-    was = F.when(after_birth(), C("action"))
+        rows = rows.withColumn("slot", F.when(F.coalesce(counts, F.lit(False)), C("slot")).otherwise(alone))
+    was = F.when(counts, C("action"))
     rows = running(rows, ["dedup_key"], hot is not None, latest={"was": was})
     return rows.select(
         "family",
@@ -92,9 +94,10 @@ def alert_history(
         "seq",
         "action",
         _is_parent().alias("is_parent"),
-        (position() == F.struct("born_at", "born_seq")).alias("is_birth"),
+        # places may repeat: only the first event at the birth's place is the birth
+        ((position() == F.struct("born_at", "born_seq")) & F.coalesce("was", "acted").isNull()).alias("is_birth"),
         F.coalesce("was", "acted").alias("was"),
-        after_birth().alias("known"),
+        counts.alias("known"),
     )
 
 

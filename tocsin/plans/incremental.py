@@ -23,8 +23,9 @@ from tocsin.functions.events import alert_id
 from tocsin.operators import anchors, births, lifecycle
 from tocsin.operators.anchors import GROUP
 from tocsin.operators.hot import Limits, hot_keys
+from tocsin.operators.parts import newest
 from tocsin.schemas import ALERT_COLUMNS
-from tocsin.session import materialize
+from tocsin.session import materialize, passing
 
 PAYLOAD = ["event_manager_id", "summary", "severity", "class"]
 TABLES = {
@@ -37,7 +38,8 @@ TABLES = {
     "families": (
         ["family"],
         "family string, state string, active long, children long, updated_at timestamp_ntz, "
-        "resolved_at timestamp_ntz, requested_at timestamp_ntz, remaining int",
+        "resolved_at timestamp_ntz, requested_at timestamp_ntz, remaining int, born_at timestamp_ntz, "
+        + ", ".join(f"{c} string" for c in PAYLOAD),
     ),
     "groups": (GROUP, ", ".join(f"{c} string" for c in GROUP) + ", open_parent string, open_until timestamp_ntz"),
 }
@@ -65,50 +67,59 @@ def seeds_of(families: DataFrame) -> DataFrame:
     )
 
 
-def fold(routed: DataFrame, stored: dict[str, DataFrame], limits: Limits = Limits()) -> dict[str, DataFrame]:
-    """The rows of alerts, families and groups that the events change; `stored`: those from before."""
+def fold(
+    routed: DataFrame, stored: dict[str, DataFrame], limits: Limits = Limits()
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the rows of alerts, families and groups that the events change, the timeline of the events).
+
+    `stored`: the rows from before.
+    """
     place = F.struct("received_at", "seq")
-    touched = routed.groupBy("dedup_key").agg(
-        F.count("*").alias("rows"), F.max("received_at").alias("last_at"), F.max_by("action", place).alias("last_action")
-    )
-    touched = materialize(touched, "touched")
+    touched = materialize(births.summaries(routed, F.max_by("action", place).alias("last_action")), "touched")
     total = touched.agg(F.sum("rows")).first()[0] or 0
     split = limits if total > limits.hot_rows else None
-    known = materialize(stored["alerts"].join(touched, "dedup_key"), "known")
+    known = materialize(stored["alerts"].join(touched.drop("first"), "dedup_key"), "known")
 
-    born = births.births(routed).join(known.select("dedup_key"), "dedup_key", "left_anti")
-    born = materialize(born, "births")
-    new = materialize(anchors.links(born, split, stored["groups"]), "links")
+    born = births.of_summaries(touched).join(known.select("dedup_key"), "dedup_key", "left_anti")
+    if split is not None:
+        born = materialize(born, "births")
+    also = (*[c for c in PAYLOAD if c not in GROUP], "last_action")
+    new = materialize(anchors.links(born, split, stored["groups"], also), "links")
     columns = ["dedup_key", "family", "born_at", "born_seq", "rows", "last_at"]
     links = new.select(*columns, F.lit(None).cast("string").alias("acted")).union(known.select(*columns, "acted"))
-    links = materialize(links, "all-links")
 
     hot_alerts = hot_keys(
         links.select("dedup_key", "rows", F.col("born_at").alias("first_at"), "last_at"), ["dedup_key"], split
     )
     history = lifecycle.alert_history(routed, links, hot_alerts)
-    before = materialize(stored["families"].join(links.select("family").distinct(), "family", "left_semi"), "before")
+    before = materialize(stored["families"].join(links.select("family"), "family", "left_semi"), "before")
     timeline = lifecycle.build_timeline(history, lifecycle.hot_families(links, split), limits, seeds_of(before))
     timeline = materialize(timeline, "timeline")
-    return {
-        "alerts": _alerts(born, new, known, touched, timeline),
-        "families": _families(before, timeline),
+    tables = {
+        "alerts": _alerts(new, known, timeline),
+        "families": _families(before, new, timeline),
         "groups": _groups(new),
     }
+    return {name: df.select(*columns_of(name)) for name, df in tables.items()}, timeline
+
+
+def columns_of(table: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[table][1].split(", ")]
 
 
-def _alerts(born: DataFrame, new: DataFrame, known: DataFrame, touched: DataFrame, timeline: DataFrame) -> DataFrame:
+def _alerts(new: DataFrame, known: DataFrame, timeline: DataFrame) -> DataFrame:
     changed = lifecycle.child_final(timeline).select("dedup_key", F.col("updated_at").alias("changed_now"))
     columns = ["dedup_key", "family", "born_at", "born_seq", *PAYLOAD, "last_action"]
-    fresh = born.join(new.select("dedup_key", "family"), "dedup_key").join(touched.select("dedup_key", "last_action"), "dedup_key")
-    fresh = fresh.select(*columns, F.lit(None).cast("timestamp_ntz").alias("changed_at"))
+    fresh = new.select(*columns, F.lit(None).cast("timestamp_ntz").alias("changed_at"))
     rows = fresh.union(known.select(*columns, "changed_at")).join(changed, "dedup_key", "left")
     return rows.select(*columns[:-1], F.col("last_action").alias("acted"), F.coalesce("changed_now", "changed_at").alias("changed_at"))
 
 
-def _families(before: DataFrame, timeline: DataFrame) -> DataFrame:
+def _families(before: DataFrame, new: DataFrame, timeline: DataFrame) -> DataFrame:
     steps = timeline.groupBy("family").agg(F.sum("step").alias("steps"))
     found = lifecycle.parent_final(timeline).drop("dedup_key").withColumnRenamed("requested_at", "asked_at").join(steps, "family")
+    opened = new.where("dedup_key = family").select("family", "born_at", *PAYLOAD)
+    before = before.unionByName(opened, allowMissingColumns=True)
     old = before.select("family", *[F.col(c).alias(f"old_{c}") for c in before.columns if c != "family"])
     found = found.join(old, "family", "left")
     # null if no stretch of these events decides it (a split family without parent events): then it is as it was
@@ -124,6 +135,7 @@ def _families(before: DataFrame, timeline: DataFrame) -> DataFrame:
         F.when(resolved, F.coalesce("resolved_at", "old_resolved_at")).alias("resolved_at"),
         F.when(pending, F.coalesce("asked_at", "old_requested_at")).alias("requested_at"),
         F.when(pending, F.coalesce("remaining_children", "old_remaining")).alias("remaining"),
+        *[F.col(f"old_{c}").alias(c) for c in ("born_at", *PAYLOAD)],
     )
 
 
@@ -134,6 +146,38 @@ def _groups(new: DataFrame) -> DataFrame:
     return opened.select(*GROUP, F.col("last.dedup_key").alias("open_parent"), F.col("last.expires_at").alias("open_until"))
 
 
+def alert_rows(alerts: DataFrame, families: DataFrame) -> DataFrame:
+    """Rows of the alerts table: children from `alerts`, parents from `families`."""
+    resolved, nothing = F.col("acted") == "resolve", F.lit(None).cast("string")
+    children = alerts.where("family <> dedup_key").select(
+        alert_id(F.col("dedup_key")).alias("id"),
+        "dedup_key",
+        *PAYLOAD,
+        F.lit("child").alias("type"),
+        F.when(resolved, "resolved").otherwise("active").alias("status"),
+        F.col("family").alias("parent_dedup_key"),
+        F.lit(0).alias("child_count"),
+        F.lit(False).alias("resolve_requested"),
+        F.col("born_at").alias("created_at"),
+        F.col("changed_at").alias("updated_at"),
+        F.when(resolved, F.col("changed_at")).alias("resolved_at"),
+    )
+    parents = families.select(
+        alert_id(F.col("family")).alias("id"),
+        F.col("family").alias("dedup_key"),
+        *PAYLOAD,
+        F.lit("parent").alias("type"),
+        F.when(F.col("state") == "resolved", "resolved").otherwise("active").alias("status"),
+        nothing.alias("parent_dedup_key"),
+        F.col("children").cast("int").alias("child_count"),
+        (F.col("state") == "pending").alias("resolve_requested"),
+        F.col("born_at").alias("created_at"),
+        "updated_at",
+        "resolved_at",
+    )
+    return children.unionByName(parents).select(*ALERT_COLUMNS)
+
+
 class AlertStore:
     """The stored state under a path; see the module's text."""
 
@@ -170,19 +214,14 @@ class AlertStore:
     def _newest(self, name: str, parts: tuple[str, ...]) -> DataFrame:
         key, schema = TABLES[name]
         read = self.spark.read.schema(schema)
-        if len(parts) == 1:
-            return read.parquet(f"{self.path}/{parts[0]}/{name}")
-        found = self.spark.createDataFrame([], f"{schema}, number int")
-        for number, part in enumerate(parts):
-            found = found.union(read.parquet(f"{self.path}/{part}/{name}").withColumn("number", F.lit(number)))
-        rows = F.max_by(F.struct(*[c for c in found.columns if c != "number"]), "number")
-        return found.groupBy(*[F.col(c).alias(f"key_{c}") for c in key]).agg(rows.alias("row")).select("row.*")
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return newest([read.parquet(f"{self.path}/{part}/{name}") for part in parts], key)
 
     def _write(self, tables: dict[str, DataFrame]) -> str:
         part = f"part-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            names = [c.split()[0] for c in TABLES[name][1].split(", ")]
-            df.select(*names).write.parquet(f"{self.path}/{part}/{name}")
+            df.write.parquet(f"{self.path}/{part}/{name}")
         return part
 
     def fold(self, name: str, routed: DataFrame) -> Manifest:
@@ -190,7 +229,8 @@ class AlertStore:
         made = self.manifest()
         if name in made.slices:
             return made
-        part = self._write(fold(routed, self.tables(made), self.limits))
+        with passing(self.spark):
+            part = self._write(fold(routed, self.tables(made), self.limits)[0])
         return self._publish(Manifest(made.version + 1, (*made.parts, part), (*made.slices, name)))
 
     def compact(self) -> Manifest:
@@ -203,20 +243,4 @@ class AlertStore:
     def alerts(self) -> DataFrame:
         """The alerts table after all slices folded so far."""
         tables = self.tables()
-        rows = tables["alerts"].join(
-            tables["families"].select(F.col("family").alias("dedup_key"), "state", "children", "updated_at", "resolved_at"), "dedup_key", "left"
-        )
-        is_child, resolved = F.col("family") != F.col("dedup_key"), F.col("acted") == "resolve"
-        return rows.select(
-            alert_id(F.col("dedup_key")).alias("id"),
-            "dedup_key",
-            *PAYLOAD,
-            F.when(is_child, "child").otherwise("parent").alias("type"),
-            F.when(F.when(is_child, resolved).otherwise(F.col("state") == "resolved"), "resolved").otherwise("active").alias("status"),
-            F.when(is_child, F.col("family")).alias("parent_dedup_key"),
-            F.when(is_child, 0).otherwise(F.col("children")).cast("int").alias("child_count"),
-            (~is_child & (F.col("state") == "pending")).alias("resolve_requested"),
-            F.col("born_at").alias("created_at"),
-            F.when(is_child, F.col("changed_at")).otherwise(F.col("updated_at")).alias("updated_at"),
-            F.when(is_child, F.when(resolved, F.col("changed_at"))).otherwise(F.col("resolved_at")).alias("resolved_at"),
-        ).select(*ALERT_COLUMNS)
+        return alert_rows(tables["alerts"], tables["families"])

@@ -18,13 +18,13 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tocsin.operators.parts import newest
+
 GROWTH = 2  # a part is merged with newer ones if it has at most this many times their rows
 
 
@@ -44,8 +44,8 @@ class Manifest:
 class AlertTable:
     """The table under `path`, whose rows have the columns of `schema`; see the module's text."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, key: str = "dedup_key"):
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, key: tuple[str, ...] = ("dedup_key",)):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, list(key)
         jvm = spark._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -64,9 +64,13 @@ class AlertTable:
         row = self.spark.read.schema(schema).json(f"{self.path}/manifest/v{version}.json").first()
         return Manifest(row["version"], row["batch"], tuple(Part(p["name"], p["rows"]) for p in row["parts"]))
 
-    def manifest(self) -> Manifest:
-        versions = self._versions()
-        return self._read(versions[-1]) if versions else Manifest(0, -1, ())
+    def manifest(self, before: int | None = None) -> Manifest:
+        """The newest one, or the newest from before the micro-batch `before`."""
+        for version in reversed(self._versions()):
+            made = self._read(version)
+            if before is None or made.batch < before:
+                return made
+        return Manifest(0, -1, ())
 
     def _commit(self, made: Manifest) -> bool:
         """Put a manifest in place; false if another writer took its version."""
@@ -111,18 +115,11 @@ class AlertTable:
         """The newest row of each key."""
         if not parts:
             return self.spark.createDataFrame([], self.schema)
-        oldest, newer = self._open(parts[0].name), parts[1:]
-        if not newer:
-            return oldest
-        numbered = [self._open(p.name).withColumn("_number", F.lit(i)) for i, p in enumerate(newer)]
-        latest = F.max_by(F.struct(*oldest.columns), "_number")
-        rows = reduce(DataFrame.union, numbered).groupBy(F.col(self.key).alias("_key")).agg(latest.alias("_row"))
-        kept = oldest.join(rows.select(F.col("_key").alias(self.key)), self.key, "left_anti")
-        return kept.select(*oldest.columns).union(rows.select("_row.*"))
-
-    def rows(self) -> DataFrame:
-        """The table as of its newest manifest."""
-        return self._merged(self.manifest().parts)
+        return newest([self._open(p.name) for p in parts], self.key)
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """The table as of its newest manifest, or as it was before the micro-batch `before`."""
+        return self._merged(self.manifest(before).parts)
 
     def publish(self, rows: DataFrame, batch: int) -> Manifest:
         """Add the rows of a micro-batch, one per key at most, unless that micro-batch is in the table already."""
