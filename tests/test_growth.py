@@ -12,7 +12,7 @@ from tocsin.operators.pages import RankedAlerts
 from tocsin.operators.routing import route_events
 from tocsin.plans.run import AlertRun
 from tocsin.sources.events import parse_events, read_bodies, split_bodies
-from tocsin.streaming.pipeline import release_tail, start_sequencer
+from tocsin.streaming.pipeline import read_alerts, release_tail, start_lifecycle, start_sequencer
 
 
 def test_slots_are_found_by_halving(spark):
@@ -69,6 +69,20 @@ def test_small_ranges_are_written_by_few_tasks(spark, tmp_path):
     assert [r.dedup_key for r in ranked.page(limit=7, offset=33).collect()] == names[33:40]
 
 
+def test_a_stream_folds_micro_batches_onto_tables(spark, tmp_path):
+    managers, rules = config(spark)
+    folder, alerts, checkpoint = f"{tmp_path}/in", f"{tmp_path}/alerts", f"{tmp_path}/c"
+    # the resolve of "c" is from before its birth, but comes later: micro-batches count as they come
+    for part in [[event(0, 0, "p"), event(1, 1, "c")], [event(2, 0.5, "c", "resolve"), event(3, 2, "d")]]:
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+        stream = route_events(spark.readStream.schema(EVENT).parquet(folder), managers, rules)[0]
+        start_lifecycle(stream, alerts, f"{tmp_path}/notes", checkpoint, managers).awaitTermination()
+    assert not Path(f"{checkpoint}/state").exists()  # no state per key
+    found = {r.dedup_key: (r.type, r.status, r.child_count) for r in read_alerts(spark, alerts).collect()}
+    assert found == {"p": ("parent", "active", 2), "c": ("child", "resolved", 0), "d": ("child", "active", 0)}
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("*/arrived-*"))  # nothing is left of a micro-batch
+
+
 def test_a_split_feed_is_read_once_for_all_results(spark):
     feed = [(i, i, "create" if i % 5 == 0 else "delete" if i % 5 == 4 else "update", "r", f"n{i}", "class", 5) for i in range(40)]
     schema = "seq long, at int, op string, id string, name string, grouping_key string, time_window_minutes int"

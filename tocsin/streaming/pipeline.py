@@ -4,31 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tocsin.functions.events import alert_id, reject_code, reject_message
-from tocsin.operators.routing import route_events
+from tocsin.functions.events import reject_code, reject_message
+from tocsin.operators.notifications import notifications as notifications_of
+from tocsin.operators.routing import EVENT_COLUMNS, route_events
+from tocsin.plans.incremental import TABLES, alert_rows, fold
 from tocsin.schemas import ALERT_COLUMNS
-from tocsin.session import ship_package
+from tocsin.session import materialize, passing
 from tocsin.sources.events import read_bodies, read_messages, split_bodies, split_messages
 from tocsin.sources.log import to_log_messages, write_log
-from tocsin.streaming import processors as p
 from tocsin.streaming.table import AlertTable
 
-_STATE = "spark.sql.streaming.stateStore"
-STATE_STORE = {
-    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state."
-    "RocksDBStateStoreProvider",
-    # commit what changed in a micro-batch instead of a snapshot of the whole state
-    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
-}
-ROUTED_SCHEMA = f"{p.BIRTH_SCHEMA}, partition_key string"
+ROUTED_SCHEMA = (
+    "dedup_key string, at long, seq long, action string, event_manager_id string, summary string, severity string, "
+    "class string, grouping_key string, grouping_value string, window long, partition_key string"
+)
 MARK_SCHEMA = "batch long, watermark long"  # of a sequencer
 
 
+LOG_COLUMNS = [*EVENT_COLUMNS, "grouping_key", "grouping_value", "time_window_minutes"]
+
 Config = tuple[DataFrame, DataFrame]
 
 
@@ -95,81 +93,29 @@ def start_decode(raw: DataFrame, events: str, skipped: str, checkpoint: str, **t
     )
 
 
-def prepare_state(spark: SparkSession) -> None:
-    ship_package(spark)
-    # the driver's own runner of stateful steps doesn't see shipped packages: send the classes themselves
-    cloudpickle.register_pickle_by_value(p)
-    for key, value in STATE_STORE.items():
-        spark.conf.set(key, value)
-
-
 def compact_rows(routed: DataFrame) -> DataFrame:
-    """Routed events in the form the stateful steps work on."""
+    """Routed events in the form the sequencer keeps."""
     at = F.unix_micros(F.col("received_at").cast("timestamp"))
     window = F.col("time_window_minutes").cast("long") * 60_000_000
     return routed.withColumn("at", at).withColumn("window", window)
 
 
-def lifecycle_stream(routed: DataFrame) -> DataFrame:
-    """Alert versions and notifications of a stream of routed events, in arrival order.
-
-    Rows of one micro-batch are taken in log order, micro-batches as they come.
-    """
-    rows = compact_rows(routed)
-    births = (
-        rows.filter("action = 'trigger'")
-        .select(*p.columns(p.BIRTH_SCHEMA))
-        .groupBy("dedup_key")
-        .transformWithState(p.FirstTrigger(), p.BIRTH_SCHEMA, "append", "none")
-    )
-    links = births.groupBy(*p.GROUP).transformWithState(
-        p.OpenWindow(), p.LINK_SCHEMA, "append", "none"
-    )
-    # what an alert says comes from its birth, so other events travel without it
-    empty = [F.lit(None).cast("string").alias(c) for c in [*p.PAYLOAD, "family"]]
-    events = rows.select("dedup_key", "at", "seq", "action", *empty)
-    changes = (
-        events.unionByName(links)
-        .groupBy("dedup_key")
-        .transformWithState(p.Changes(), p.CHANGE_SCHEMA, "append", "none")
-    )
-    return changes.groupBy("family").transformWithState(
-        p.Family(), p.VERSION_SCHEMA, "append", "none"
-    )
-
-
-def _times(df: DataFrame) -> DataFrame:
-    for name in ("created_at", "updated_at", "resolved_at"):
-        df = df.withColumn(name, F.timestamp_micros(name).cast("timestamp_ntz"))
-    return df.withColumn("id", alert_id(F.col("dedup_key")))
-
-
-def last_versions(batch: DataFrame) -> DataFrame:
-    """The last version of every alert of a micro-batch."""
-    last = F.max_by(F.struct(*batch.columns), F.struct("at", "seq"))
-    latest = batch.groupBy("dedup_key").agg(last.alias("row")).select("row.*")
-    return _times(latest).select(*ALERT_COLUMNS, "at", "seq")
-
-
 def alert_table(spark: SparkSession, path: str) -> AlertTable:
     """The alerts table that a lifecycle stream with `compact_every` keeps under `path`."""
-    empty = spark.createDataFrame([], p.VERSION_SCHEMA)
-    return AlertTable(spark, path, last_versions(empty).select(*ALERT_COLUMNS).schema)
-
-
-def upsert_alerts(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Write the last version of every alert of a micro-batch under its batch number.
-
-    A repeated micro-batch overwrites its own folder, so delivery is exactly once.
-    """
-    last_versions(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    empty = [spark.createDataFrame([], TABLES[name][1]) for name in ("alerts", "families")]
+    return AlertTable(spark, path, alert_rows(*empty).schema)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The alerts table: the newest version of every alert."""
-    versions = spark.read.parquet(path)
-    newest = F.max_by(F.struct(*ALERT_COLUMNS), F.struct("batch", "at", "seq"))
-    return versions.groupBy("dedup_key").agg(newest.alias("row")).select("row.*")
+    newest = F.max_by(F.struct(*ALERT_COLUMNS), "batch")
+    return spark.read.parquet(path).groupBy("dedup_key").agg(newest.alias("row")).select("row.*")
+
+
+def _state(spark: SparkSession, checkpoint: str, name: str) -> AlertTable:
+    """A table of what a lifecycle stream has come to, beside the query's checkpoint."""
+    key, schema = TABLES[name]
+    return AlertTable(spark, f"{checkpoint}/kept/{name}", schema, tuple(key))
 
 
 def start_lifecycle(
@@ -183,49 +129,42 @@ def start_lifecycle(
 ) -> StreamingQuery:
     """Keep the alerts table and the notification log up to date with a stream of routed events.
 
-    `alerts` holds a folder of versions for every micro-batch (`read_alerts`). With `compact_every` it is a
-    table of merged parts instead (`alert_table`), compacted after every so many micro-batches.
+    Rows of one micro-batch are taken in log order, micro-batches as they come. `alerts` holds a folder for every
+    micro-batch with the alerts it changes (`read_alerts`). With `compact_every` it is a table of merged parts
+    instead (`alert_table`), compacted after every so many micro-batches.
+
+    A micro-batch is folded onto the rows of alerts, families and groups that the ones before it left (`fold`): joins,
+    aggregates and windows over all its keys at once, no state per key. These rows are tables beside the query's
+    checkpoint, read as they were before the micro-batch, so one that is repeated gives the same and adds nothing.
     """
-    prepare_state(routed.sparkSession)
-    hooks = managers.select(
-        F.col("id").alias("event_manager_id"),
-        F.col("notification_config.webhook_url").alias("webhook_url"),
-        F.lit(True).alias("known"),
-    )
+    spark = routed.sparkSession
+    state = {name: _state(spark, checkpoint, name) for name in TABLES}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        versions = batch.filter("kind = 'alert'").drop("kind")
-        if compact_every is None:
-            upsert_alerts(versions, batch_id, alerts)
-        else:
-            table = alert_table(batch.sparkSession, alerts)
-            table.publish(last_versions(versions).select(*ALERT_COLUMNS), batch_id)
-            if batch_id % compact_every == compact_every - 1:
+        with passing(spark):
+            # read by the session itself: the micro-batch's own has no adaptive execution
+            arrived = materialize(batch, "arrived", spark)
+            made, timeline = fold(arrived, {name: table.rows(batch_id) for name, table in state.items()})
+            made = {name: materialize(df, name) for name, df in made.items()}
+            changed = alert_rows(made["alerts"], made["families"])
+            if compact_every is None:
+                changed.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
+            else:
+                table = alert_table(spark, alerts)
+                table.publish(changed, batch_id)
+                if batch_id % compact_every == compact_every - 1:
+                    table.compact()
+                    table.expire()
+            parents = made["families"].withColumnRenamed("family", "dedup_key")
+            sent = notifications_of(timeline, parents, managers)
+            sent.write.mode("overwrite").parquet(f"{notifications}/batch={batch_id}")
+            for name, table in state.items():
+                table.publish(made[name], batch_id)
                 table.compact()
                 table.expire()
-        notes = (
-            _times(batch.filter("kind = 'notification'"))
-            .join(hooks, "event_manager_id", "left")
-            .filter(F.col("known") | (F.col("status") == "active"))
-            .select(
-                F.col("id").alias("alert_id"),
-                "dedup_key",
-                "event_manager_id",
-                "summary",
-                "severity",
-                "status",
-                "type",
-                "child_count",
-                F.timestamp_micros("at").cast("timestamp_ntz").alias("timestamp"),
-                F.coalesce("webhook_url", F.lit("")).alias("webhook_url"),
-            )
-        )
-        notes.write.mode("overwrite").parquet(f"{notifications}/batch={batch_id}")
-        batch.unpersist()
 
     return (
-        lifecycle_stream(routed)
+        routed.select(*[c for c in LOG_COLUMNS if c != "received_at"], F.col("received_at").cast("timestamp_ntz"))
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -233,43 +172,30 @@ def start_lifecycle(
     )
 
 
-def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
-    """The rows of a state variable as of the last finished micro-batch, straight from a query's checkpoint.
-
-    The query may be running: each micro-batch commits a version of its own. Which of the chained steps
-    holds the variable comes from the checkpoint's own metadata.
-    """
-    steps = spark.read.format("state-metadata").option("path", checkpoint).load()
-    holds = F.col("operatorProperties").contains(f'"stateName":"{variable}"')
-    number = steps.filter(holds).agg(F.max("operatorId").alias("id")).first()["id"]
-    if number is None:
-        raise ValueError(f"no state variable {variable} in {checkpoint}")
-    rows = spark.read.format("statestore").option("path", checkpoint).option("operatorId", number)
-    return rows.option("stateVarName", variable).option("flattenCollectionTypes", "true").load()
-
-
-def _moment(column: str) -> Column:
-    return F.timestamp_micros(column).cast("timestamp_ntz")
+def read_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """The rows of one of the TABLES of a lifecycle stream as of its last micro-batch, running or not."""
+    if name not in TABLES:
+        raise ValueError(f"no table {name} in {checkpoint}")
+    return _state(spark, checkpoint, name).rows()
 
 
 def live_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The window that was opened last in each group of a lifecycle stream: parent and end."""
-    return read_state(spark, checkpoint, "open").select(
-        "key.*", F.col("value.parent").alias("dedup_key"), _moment("value.until").alias("expires_at")
+    return read_state(spark, checkpoint, "groups").select(
+        *TABLES["groups"][0], F.col("open_parent").alias("dedup_key"), F.col("open_until").alias("expires_at")
     )
 
 
 def live_parents(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Every parent of a lifecycle stream: status, active children and children, and what it waits for."""
-    parent = F.col("value.status")
-    return read_state(spark, checkpoint, "parent").select(
-        F.col("key.family").alias("parent_dedup_key"),
-        F.when(parent == "resolved", "resolved").otherwise("active").alias("status"),
-        (parent == "pending").alias("resolve_requested"),
-        F.col("value.active").alias("active_children"),
-        F.col("value.child_count").cast("int").alias("child_count"),
-        _moment("value.requested_at").alias("requested_at"),
-        F.col("value.remaining").cast("int").alias("remaining_children"),
+    return read_state(spark, checkpoint, "families").select(
+        F.col("family").alias("parent_dedup_key"),
+        F.when(F.col("state") == "resolved", "resolved").otherwise("active").alias("status"),
+        (F.col("state") == "pending").alias("resolve_requested"),
+        F.col("active").alias("active_children"),
+        F.col("children").cast("int").alias("child_count"),
+        "requested_at",
+        F.col("remaining").alias("remaining_children"),
     )
 
 
@@ -313,7 +239,7 @@ def start_sequencer(
     so one that is cut off leaves what was held before it in place.
     """
     spark = routed.sparkSession
-    rows = compact_rows(routed).select(*p.columns(ROUTED_SCHEMA))
+    rows = compact_rows(routed).select(*[c.split()[0] for c in ROUTED_SCHEMA.split(", ")])
     width = bucket_ms * 1000
     due = F.expr(f"(at - pmod(at, {width})) div 1000 + {bucket_ms}")  # the first millisecond after the row's bucket
     behind = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{delay}') div 1000").first()[0]
