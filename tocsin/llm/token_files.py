@@ -44,20 +44,21 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     four = np.concatenate([code, np.zeros(-len(code) % 4, np.uint8)]).reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    kept = np.arange(4) <= code[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    width = int(code.max(initial=0)) + 1
+    kept = np.arange(width, dtype=np.uint8) <= code[:, None]
+    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][kept].tobytes()
 
 
 #: By control byte: how many data bytes each of its four ranks takes.
-WIDTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.int64) + 1
+WIDTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     widths = WIDTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    starts = np.cumsum(widths) - widths
+    starts = np.cumsum(widths, dtype=np.int64) - widths
     raw = np.frombuffer(data, np.uint8)
     out = raw[starts].astype(np.uint32) if count else np.empty(0, np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(widths.max(initial=1))):
         longer = np.nonzero(widths > k)[0]
         out[longer] |= raw[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -180,7 +181,7 @@ def read_files(spark: SparkSession, folder: str, keep_ids: bool = False) -> Data
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(bases[row["part"]] + row["start"] + ends - lengths),
                     pa.array(lengths),
-                    pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in own], pa.int64()),
                 ]
                 if keep_ids:
                     columns.append(pa.array([x.tobytes() for x in own], pa.binary()))
