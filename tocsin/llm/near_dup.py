@@ -20,7 +20,8 @@ go on by prefix instead: with a text's shingles in order of how many open texts
 similarity t share one of the first shingles of each that hold a share 1 - t of its weight. This is exact, and
 shingles of a passage that many texts share come last. Texts that share such a shingle, and could be alike by their
 total weights, are compared, by PREFIX_ROUNDS rounds of stars and then in full, so that every candidate pair is
-verified, excluded by that bound or already in one class.
+verified, excluded by that bound or already in one class. In full, texts are dealt to blocks and each two blocks whose
+texts may meet go to one task, so that a large group is copied once per block and its pairs are never rows.
 
 Exact copies are one node (a SHA-256 of the text), collapsed before any shuffle by partial aggregation.
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.shared import Tables, id_and_text, join_on, map_batches, slices, store
+from tocsin.llm.shared import Tables, id_and_text, join_on, kept_by, map_batches, slices, store
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -49,6 +50,8 @@ FLOOR = 0.75
 STAR_ROUNDS, PREFIX_ROUNDS = 2, 2  # rounds of stars over bands, then over prefixes
 STEPS = 6  # classes of total weights from t w to w
 HUB = 1_000  # pairs of one text that are verified together
+PACK = 128  # texts of a block, about, when texts are compared in full
+MARKS = 1 << 25  # bits of the filter of nodes
 SLICE = 1 << 20  # bytes of text shingled together
 
 ID_BITS = 44
@@ -169,14 +172,12 @@ class Sampler:
         return out
 
 
-_tools: list = []
-
-
 def tools() -> tuple[Shingler, Sampler]:
     """The worker's shingler and sampler, made once."""
-    if not _tools:
-        _tools.extend((Shingler(), Sampler()))
-    return _tools[0], _tools[1]
+    kept = kept_by("shingles")
+    if not kept:
+        kept.update(shingler=Shingler(), sampler=Sampler())
+    return kept["shingler"], kept["sampler"]
 
 
 def node_of(text: Column) -> Column:
@@ -402,6 +403,81 @@ def prefix_buckets(nodes: DataFrame, vectors: DataFrame, idf, threshold: float)
     return dealt.where("share <= within").select(band.alias("band"), "node", "total", "heavy")
 
 
+def compared(several: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between all texts of different classes that are, one heavy and one not, in one bucket.
+
+    A text's home is its most crowded bucket. Homes are cut to blocks of about PACK texts. Each two blocks of homes
+    that a bucket has in common are a unit: their texts come to it once each, with their vectors and buckets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+        names = ("unit", "side", "node", "label", "total", "lights", "heavies", "ids", "counts")
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[0] != unit:
+                    yield linked(held)
+                    unit, held = row[0], []
+                held.append((row[1], row[2], row[3], row[4], set(row[5]), set(row[6]), row[7], row[8]))
+        yield linked(held)
+
+    def linked(held: list[tuple]) -> pa.RecordBatch:
+        found, weights = [], {}
+
+        def own(k: int) -> tuple:
+            if k not in weights:
+                weights[k] = weighted(held[k][6], held[k][7], idf)
+            return weights[k]
+
+        for i, (side, node, label, total, lights, heavies, _, _) in enumerate(held):
+            for j in range(i + 1, len(held)):
+                other = held[j]
+                if label == other[2] or side == other[0] != 2 or min(total, other[3]) < threshold * max(total, other[3]) * (1 - 1e-9):
+                    continue
+                if lights.isdisjoint(other[5]) and heavies.isdisjoint(other[4]):
+                    continue
+                if similarity(own(i), own(j)) >= threshold - 1e-9:
+                    found.append((node, other[1]))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    sizes = several.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    places = several.join(sizes, "band").groupBy("node").agg(
+        F.max(F.struct("n", "band"))["band"].alias("home"), F.min("label").alias("label"), F.min("total").alias("total"),
+        F.collect_set(F.when(~F.col("heavy"), F.col("band"))).alias("lights"),
+        F.collect_set(F.when(F.col("heavy"), F.col("band"))).alias("heavies"),
+    )
+    parts = places.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("parts"))
+    homes = several.select("band", "node").join(places.select("node", "home"), "node").groupBy("band")
+    homes = homes.agg(F.sort_array(F.collect_set("home")).alias("homes")).select("homes").distinct()
+    meet = homes.select(F.explode("homes").alias("one"), "homes").select("one", F.explode("homes").alias("two")).where("one <= two").distinct()
+    meet = meet.join(parts.toDF("one", "ones"), "one").join(parts.toDF("two", "twos"), "two")
+    meet = meet.select("one", "two", "twos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ones") - 1)).alias("i"))
+    meet = meet.select("one", "two", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("twos") - 1)).alias("j"))
+    meet = meet.where("one < two OR i <= j").withColumn("unit", F.concat_ws(" ", "one", "i", "two", "j"))
+    # side 2: a block with itself; texts of one block are compared there alone
+    same = (F.col("one") == F.col("two")) & (F.col("i") == F.col("j"))
+    sides = F.when(same, F.array(F.struct(F.lit(2).alias("side"), F.col("one").alias("home"), F.col("i").alias("part")))).otherwise(
+        F.array(
+            F.struct(F.lit(0).alias("side"), F.col("one").alias("home"), F.col("i").alias("part")),
+            F.struct(F.lit(1).alias("side"), F.col("two").alias("home"), F.col("j").alias("part")),
+        )
+    )
+    blocks = meet.select("unit", F.inline(sides))
+    texts = places.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+    texts = texts.join(vectors, "node").join(blocks, ["home", "part"]).drop("home", "part")
+    return map_batches(texts.repartition("unit").sortWithinPartitions("unit"), run, "a binary, b binary").distinct()
+
+
+def marked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node is among `nodes`, and a few others: by a bitmap of MARKS bits, whatever the input's size."""
+    mark = F.pmod(F.xxhash64("node"), F.lit(MARKS))
+    word, bit = F.floor(mark / 32768), mark % 32768  # as many bits has a bitmap
+    maps = nodes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("word", word).join(F.broadcast(maps), "word")
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def open_of(tables: Tables, rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Stored rows of buckets that hold several classes, with the label of each node and the bucket's first node."""
     classed = tables.store(rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("label", "node").alias("label")), "classed")
@@ -429,7 +505,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_rows = rows.join(crowded, "band").withColumns({"total": F.lit(0.0), "heavy": F.lit(False)})
     open_rows = tables.store(open_rows, "buckets")
     candidates = open_rows.select("node").distinct()
-    vectors = signed.select("node", "ids", "counts").join(candidates, "node", "left_semi").dropDuplicates(["node"])
+    vectors = marked(signed.select("node", "ids", "counts"), candidates).join(candidates, "node", "left_semi").dropDuplicates(["node"])
     vectors = tables.store(vectors, "vectors")
     labels = tables.store(spark.range(0).select(*[F.lit(b"").alias(c) for c in ("node", "label")]), "labels")
     could = F.least("total", "first.total") >= threshold * F.greatest("total", "first.total") * (1 - 1e-9)
@@ -446,16 +522,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             tables.drop(kept)
             if number < rounds:
                 pairs = several.where("label <> first.label").where(could).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-                rest = several.where("node <> first.node").select("band", "node", "total", "heavy")
+                pairs = tables.store(pairs.distinct(), "pairs")
+                links = tables.store(verified(pairs, vectors, idf, threshold), "links")
+                tables.drop(pairs)
+                kept = tables.store(several.where("node <> first.node").select("band", "node", "total", "heavy"), "open")
             else:
-                other = several.where("heavy").select("band", F.col("node").alias("b"), F.col("label").alias("other"), F.struct("total").alias("first"))
-                met = several.where("NOT heavy").drop("first").join(other, "band").where("label <> other AND total <= first.total").where(could)
-                pairs, rest = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")), several.limit(0)
-            pairs = tables.store(pairs.distinct(), "pairs")
-            links = tables.store(verified(pairs, vectors, idf, threshold), "links")
+                links, kept = tables.store(compared(several, vectors, idf, threshold), "links"), None
             labels = joined(tables, labels, links)
-            kept = tables.store(rest, "open") if number < rounds else rest
-            tables.drop(pairs, links, several)
+            tables.drop(links, several)
         if not by_prefix:
             several = open_of(tables, kept, labels)
     found = signed.select("doc_id", "node").join(labels, "node", "left")
