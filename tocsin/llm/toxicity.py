@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.near_dup import Shingler, mixed
-from tocsin.llm.shared import id_and_text, map_batches, slices, store
+from tocsin.llm.shared import id_and_text, kept_by, map_batches, slices, store
 
 FIT_ROWS = 20_000  # labelled documents that the terms and the model are learned from, at most
 THRESHOLD = 0.3
@@ -449,16 +449,13 @@ def score_of(model: Model, hits: list[tuple[int, int, float]], words: int) -> fl
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_scanners: dict[int, tuple[list, Scanner]] = {}
-
-
 def scanner_for(model: Model) -> Scanner:
     """The worker's scanner of these terms, kept with its memory of words between tasks."""
-    key = hash(tuple(model.terms))
-    if key not in _scanners:
-        _scanners.clear()
-        _scanners[key] = (model.terms, Scanner(model.terms))
-    return _scanners[key][1]
+    key, scanners = hash(tuple(model.terms)), kept_by("scanners")
+    if key not in scanners:
+        scanners.clear()
+        scanners[key] = (model.terms, Scanner(model.terms))
+    return scanners[key][1]
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
