@@ -505,7 +505,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_rows = rows.join(crowded, "band").withColumns({"total": F.lit(0.0), "heavy": F.lit(False)})
     open_rows = tables.store(open_rows, "buckets")
     candidates = open_rows.select("node").distinct()
-    vectors = marked(signed.select("node", "ids", "counts"), candidates).join(candidates, "node", "left_semi").dropDuplicates(["node"])
+    # no semi-join here: that would be planned below the filter, and all vectors shuffled
+    vectors = marked(signed.select("node", "ids", "counts"), candidates).join(candidates, "node").dropDuplicates(["node"])
     vectors = tables.store(vectors, "vectors")
     labels = tables.store(spark.range(0).select(*[F.lit(b"").alias(c) for c in ("node", "label")]), "labels")
     could = F.least("total", "first.total") >= threshold * F.greatest("total", "first.total") * (1 - 1e-9)
