@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tocsin.llm import near_dup
+from tocsin.llm.shared import Tables
 
 
 def test_dense_group_is_compared_by_blocks(spark, monkeypatch):
@@ -39,3 +43,25 @@ def test_marked_keeps_all_named_rows(spark):
     nodes = rows.where("id % 7 = 0").select("node")
     found = {r.id for r in near_dup.marked(rows, nodes).collect()}
     assert {i for i in range(2000) if i % 7 == 0} <= found and len(found) < 400
+
+
+def test_packed_vectors_are_short_and_whole():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 500):
+        ids = np.unique(rng.integers(0, 1 << near_dup.ID_BITS, n, np.uint64))
+        raw = near_dup.packed(ids)
+        assert near_dup.unpacked(raw, len(ids)).tolist() == ids.tolist()
+        assert len(raw) <= 6 * len(ids)
+    assert near_dup.unpacked(near_dup.packed(np.array([0, (1 << 44) - 1], np.uint64)), 2).tolist() == [0, (1 << 44) - 1]
+
+
+def test_bucketed_table_is_not_shuffled_again(spark):
+    tables = Tables(spark)
+    rows = tables.bucketed(spark.range(1000).selectExpr("id AS node", "id * 2 AS twice"), "rows", "node")
+    (name,), (path,) = tables.names.values(), tables.names
+    joined = rows.hint("merge").join(spark.range(0, 1000, 3).withColumnRenamed("id", "node"), "node")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert joined.selectExpr("sum(twice - 2 * node)", "count(*)").first() == (0, 334)
+    tables.close()
+    assert not spark.catalog.tableExists(name) and not Path(path.removeprefix("file:")).exists()

@@ -260,8 +260,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 ends = np.append(starts[1:], len(ids))
                 for d, i, j, own in zip(filled.tolist(), starts.tolist(), ends.tolist(), drawn.view(np.int64).tolist()):
                     bands[d] = own
-                    steps = np.diff(ids[i:j], prepend=np.uint64(0))  # sorted, so steps are small
-                    vectors[d] = steps.tobytes(), counts[i:j].astype(np.uint32).tobytes()
+                    vectors[d] = packed(ids[i:j]), counts[i:j].astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -277,6 +276,20 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return map_batches(with_node, run, f"doc_id long, node binary, bands array<long>, {VECTOR}")
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Sorted shingles as the steps between them: the lowest byte of each, then the next, as many as the widest takes."""
+    steps = np.diff(ids, prepend=np.uint64(0)).astype("<u8")
+    width = -(-int(steps.max(initial=0)).bit_length() // 8)
+    return steps.view(np.uint8).reshape(-1, 8)[:, : max(width, 1)].T.tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    if n:
+        steps[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def similarity(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two (ids, weights, total)."""
     at = np.searchsorted(b[0], a[0])
@@ -288,7 +301,7 @@ def similarity(a: tuple, b: tuple) -> float:
 
 def weighted(ids: bytes, counts: bytes, idf) -> tuple[np.ndarray, np.ndarray, float]:
     """Shingles, their weights and the sum of these, of a stored vector."""
-    numbers = np.cumsum(np.frombuffer(ids, np.uint64), dtype=np.uint64)
+    numbers = unpacked(ids, len(counts) // 4)
     weights = np.frombuffer(counts, np.uint32) * idf.value[bucket_of(numbers)].astype(np.float64)
     return numbers, weights, float(weights.sum())
 
@@ -507,7 +520,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     candidates = open_rows.select("node").distinct()
     # no semi-join here: that would be planned below the filter, and all vectors shuffled
     vectors = marked(signed.select("node", "ids", "counts"), candidates).join(candidates, "node").dropDuplicates(["node"])
-    vectors = tables.store(vectors, "vectors")
+    vectors = tables.bucketed(vectors, "vectors", "node")  # every round joins them, twice
     labels = tables.store(spark.range(0).select(*[F.lit(b"").alias(c) for c in ("node", "label")]), "labels")
     could = F.least("total", "first.total") >= threshold * F.greatest("total", "first.total") * (1 - 1e-9)
     kept = open_rows
