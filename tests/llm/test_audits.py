@@ -203,3 +203,22 @@ def test_divergence_in_slices_and_blocks(spark, sample, monkeypatch):
     df = spark.createDataFrame(documents, "text string, lang string, source string")
     found = divergence.audit(df, slice_terms=1000)
     assert rows(found, "lang", "source", "part", "item", "value", "rank") == diverged(documents)
+
+
+def test_divergence_groups_documents_by_source(spark):
+    """A task holds whole sources (unless they are large), so what it sums up is sent once a source, not once a task."""
+    docs = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "'en' AS lang", "concat('s', id % 8) AS source", "'a b' AS text")
+    rows = divergence.rows_of(docs).select("source", F.spark_partition_id().alias("part")).collect()
+    assert len(rows) == 400 and len({(r.source, r.part) for r in rows}) == 8
+
+
+def test_divergence_shares_and_letters_are_exact(spark):
+    large = 2**63 // 10**9
+    counts = [0, 1, 7, large - 2, large - 1, large, large + 1, 10**15]
+    rows = spark.createDataFrame([(c, t) for c in counts for t in (1, 3, 10**12 + 7, 2**62)], "c long, t long")
+    rows = rows.where("c < 1000000000 OR t > 1000000")  # as a count is below its total
+    for c, t, p in rows.select("c", "t", divergence.share(F.col("c"), F.col("t"))).collect():
+        assert p == 1 + 10**9 * (c + 1) // t
+    texts = ["", "ABC xYz", "ÀÉ İI ẞ ΑΣ A", "Kelvin K K"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", divergence.lowered(F.col("text"))).collect()
+    assert [r[1] for r in found] == [t.translate({i: i + 32 for i in range(65, 91)}) for t in (r.text for r in found)]
