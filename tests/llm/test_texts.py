@@ -326,6 +326,19 @@ def test_control_bytes_round_trip():
     assert len(token_files.encode_ranks(np.arange(256))[1]) == 256
 
 
+@pytest.mark.parametrize("most, size", [(1, 1), (256, 1), (257, 2), (65536, 2), (65537, 4), (1 << 24, 4), (1 << 32, 4)])
+def test_ranks_are_packed_in_as_few_bytes_as_the_longest_needs(most, size):
+    for n in (1, 2, 5, 1000):
+        ranks = np.random.default_rng(n).integers(0, most, n, np.uint64).astype(np.uint32)
+        ranks[-1] = most - 1
+        widths = [max(1, -(-int(r).bit_length() // 8)) for r in ranks]
+        control, data = token_files.encode_ranks(ranks)
+        assert data == b"".join(int(r).to_bytes(w, "little") for r, w in zip(ranks, widths, strict=True))
+        assert [control[i // 4] >> 2 * (i % 4) & 3 for i in range(n)] == [w - 1 for w in widths]
+        assert (token_files.decode_ranks(control, data, n) == ranks).all()
+        assert token_files.kept_bytes(np.array(widths, np.uint8) - 1).shape == (n, size)
+
+
 def test_bpe(docs):
     ranks = bpe.codec().ranks
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

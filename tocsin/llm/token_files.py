@@ -41,27 +41,34 @@ BLOCK = (
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks below 2**32."""
     ranks = np.ascontiguousarray(ranks, "<u4")
-    code = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    code = (ranks > 0xFF).view(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if ranks.max(initial=0) > limit:
+            code = code + (ranks > limit)
     four = np.concatenate([code, np.zeros(-len(code) % 4, np.uint8)]).reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    width = int(code.max(initial=0)) + 1
-    kept = np.arange(width, dtype=np.uint8) <= code[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][kept].tobytes()
+    kept = kept_bytes(code)
+    return control.astype(np.uint8).tobytes(), ranks.astype(f"<u{kept.shape[1]}").view(np.uint8)[kept.reshape(-1)].tobytes()
 
 
-#: By control byte: how many data bytes each of its four ranks takes.
-WIDTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
+def kept_bytes(code: np.ndarray) -> np.ndarray:
+    """Which bytes of each rank are data, of as many (1, 2 or 4) as the longest needs; code: bytes of a rank less one."""
+    most = int(code.max(initial=0))
+    kept = np.ones((len(code), 4 if most > 1 else most + 1), bool)
+    for k in range(1, kept.shape[1]):
+        kept[:, k] = code >= k
+    return kept
+
+
+#: By control byte: how many data bytes each of its four ranks takes beyond one.
+CODES = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8)
 
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
-    widths = WIDTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    starts = np.cumsum(widths, dtype=np.int64) - widths
-    raw = np.frombuffer(data, np.uint8)
-    out = raw[starts].astype(np.uint32) if count else np.empty(0, np.uint32)
-    for k in range(1, int(widths.max(initial=1))):
-        longer = np.nonzero(widths > k)[0]
-        out[longer] |= raw[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    kept = kept_bytes(CODES[np.frombuffer(control, np.uint8)].reshape(-1)[:count])
+    out = np.zeros(kept.size, np.uint8)
+    out[kept.reshape(-1)] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{kept.shape[1]}").astype(np.uint32)
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
